@@ -80,3 +80,65 @@ _feature_query("feat_extract_all_compat", list(K.FEATURE_NAMES), compat=True)
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return features_df(spark, sf)
+
+
+# ----------------------------------------------------------------- sources + parsing
+
+from ..functions.parse import parse_lines, event_to_json  # noqa: E402
+
+_PARSED_SQL = OS.parsed_sql(FX.all_lines_sql("duckdb"))
+
+
+def parsed_df(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_lines(FX.all_lines(spark, sf), year=2024)
+
+
+def _us(c="event_time"):
+    # unknown lines are stamped with ingest time: not comparable across runs
+    return F.when(F.col("event_type") != "unknown", F.unix_micros(F.col(c))).alias("event_us")
+
+
+_SSH_COLS = ["event_id", "username", "source_ip", "source_port", "auth_method", "service"]
+_ALL_COLS = ["event_id", "source", "event_type", "username", "source_ip", "source_port", "auth_method",
+             "service", "message"]
+
+
+def _parse_query(name: str, where_sql: str, cols, with_time: bool = False):
+    sql_cols = ", ".join(cols + (["case when event_type <> 'unknown' then epoch_us(event_time) end as event_us"]
+                                 if with_time else []))
+    sql = f"select {sql_cols} from ({_PARSED_SQL}) p where {where_sql}"
+
+    def q(spark, sf):
+        df = parsed_df(spark, sf).where(F.expr(where_sql))
+        return df.select(*cols, *([_us()] if with_time else []))
+    register(name, sql)(q)
+
+
+_parse_query("parse_ssh_failed", "event_type = 'login_failed'", _SSH_COLS, True)
+_parse_query("parse_ssh_success", "event_type = 'login_success'", _SSH_COLS, True)
+_parse_query("parse_ssh_invalid_user", "event_type = 'invalid_user_attempt'", _SSH_COLS, True)
+_parse_query("parse_ssh_disconnect", "instr(raw_line, 'Disconnected from') > 0",
+             ["event_id", "event_type", "username", "source_ip", "source_port", "auth_method", "service"])
+_parse_query("parse_sudo_success", "event_type = 'sudo_success'", ["event_id", "username", "source_ip", "auth_method", "service"], True)
+_parse_query("parse_sudo_failure", "event_type = 'sudo_failure'", ["event_id", "username", "source_ip", "auth_method", "service"], True)
+_parse_query("parse_audit_execve", "source = 'audit_log'",
+             ["event_id", "event_type", "username", "message", "auth_method", "service"], True)
+_parse_query("parse_unknown_fallback", "event_type = 'unknown'",
+             ["event_id", "source", "username", "source_ip", "source_port", "auth_method", "service"])
+_parse_query("parse_event_time", "event_type <> 'unknown'", ["event_id", "source"], True)
+_parse_query("src_auth_log", "source = 'auth_log'", _ALL_COLS, True)
+_parse_query("src_syslog", "source = 'syslog'", _ALL_COLS, True)
+_parse_query("src_audit_log", "source = 'audit_log'", _ALL_COLS, True)
+_parse_query("src_union_all", "true", _ALL_COLS)
+
+
+@register("parse_drop_blank", f"""select source, event_type, count(*)::bigint as n, count(distinct raw_line)::bigint as n_lines
+  from ({_PARSED_SQL}) p group by source, event_type""")
+def q_parse_drop_blank(spark, sf):
+    return (parsed_df(spark, sf).groupBy("source", "event_type")
+            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw_line").alias("n_lines")))
+
+
+@register("event_to_json")
+def q_event_to_json(spark, sf):
+    return event_to_json(parsed_df(spark, sf).drop("event_time"))

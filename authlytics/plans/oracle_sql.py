@@ -87,3 +87,60 @@ select p.event_id,
   {"0" if compat else "coalesce(usw.ac, 0)"}::bigint as session_account_changes
 from p left join ipw using (event_id) left join usw using (event_id)
 """
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def parsed_sql(lines_sql: str, year: int = 2024) -> str:
+    """The parser stated in DuckDB: same patterns, same precedence."""
+    blank = r"regexp_matches(value, '^\s*$')"
+    ssh = "instr(value, 'sshd[') > 0"
+    sudo = "instr(value, 'sudo: ') > 0"
+    P = {n: _q(getattr(K, n)) for n in ("RE_SSH_FAILED", "RE_SSH_SUCCESS", "RE_SSH_INVALID", "RE_SUDO_SUCCESS",
+                                         "RE_SUDO_FAILURE", "RE_AUDIT_EXECVE", "RE_AUDIT_EPOCH")}
+    kind = f"""case when source = 'audit_log' then
+        (case when {blank} or instr(value, 'type=') = 0 then null when regexp_matches(value, {P['RE_AUDIT_EXECVE']}) then 7 end)
+      else (case when {blank} then null
+        when {ssh} and regexp_matches(value, {P['RE_SSH_FAILED']}) then 1
+        when {ssh} and regexp_matches(value, {P['RE_SSH_SUCCESS']}) then 2
+        when {ssh} and regexp_matches(value, {P['RE_SSH_INVALID']}) then 3
+        when {sudo} and regexp_matches(value, {P['RE_SUDO_SUCCESS']}) then 4
+        when {sudo} and regexp_matches(value, {P['RE_SUDO_FAILURE']}) then 5
+        else 6 end) end"""
+
+    def x(p, g):
+        return f"regexp_extract(value, {P[p]}, {g})"
+    stamp = (f"case kind when 1 then {x('RE_SSH_FAILED', 1)} when 2 then {x('RE_SSH_SUCCESS', 1)} "
+             f"when 3 then {x('RE_SSH_INVALID', 1)} when 4 then {x('RE_SUDO_SUCCESS', 1)} "
+             f"when 5 then {x('RE_SUDO_FAILURE', 1)} end")
+    return f"""
+with l as ({lines_sql}),
+k as (select *, {kind} as kind from l),
+r as (
+  select event_id, source, value, kind,
+    case kind when 1 then {x('RE_SSH_FAILED', 3)} when 2 then {x('RE_SSH_SUCCESS', 4)} when 3 then {x('RE_SSH_INVALID', 3)} end as ip_s,
+    case kind when 1 then {x('RE_SSH_FAILED', 4)} when 2 then {x('RE_SSH_SUCCESS', 5)} when 3 then {x('RE_SSH_INVALID', 4)} end as port_s,
+    case kind when 1 then {x('RE_SSH_FAILED', 2)} when 2 then {x('RE_SSH_SUCCESS', 3)} when 3 then {x('RE_SSH_INVALID', 2)}
+      when 4 then {x('RE_SUDO_SUCCESS', 2)} when 5 then {x('RE_SUDO_FAILURE', 2)} end as user_s,
+    {stamp} as stamp
+  from k where kind is not null
+)
+select event_id, source,
+  case when kind = 7 then make_timestamp(cast(cast(regexp_extract(value, {P['RE_AUDIT_EPOCH']}, 1) as decimal(24,6)) * 1000000 as bigint))
+       when kind = 6 then null
+       else strptime('{year} ' || regexp_replace(stamp, ' +', ' ', 'g'), '%Y %b %d %H:%M:%S') end as event_time,
+  'localhost' as host,
+  nullif(ip_s, '') as source_ip,
+  try_cast(nullif(port_s, '') as integer) as source_port,
+  nullif(user_s, '') as username,
+  case when kind in (1, 3) then 'password' when kind = 2 then {x('RE_SSH_SUCCESS', 2)} when kind in (4, 5) then 'sudo'
+       when kind = 7 then 'exec' else 'unknown' end as auth_method,
+  case kind when 1 then 'login_failed' when 2 then 'login_success' when 3 then 'invalid_user_attempt'
+       when 4 then 'sudo_success' when 5 then 'sudo_failure' when 7 then 'process_execution' else 'unknown' end as event_type,
+  case when kind in (1, 2, 3) then 'sshd' when kind in (4, 5) then 'sudo' when kind = 7 then 'auditd' else 'unknown' end as service,
+  case when kind = 7 then 'Executed: ' || {x('RE_AUDIT_EXECVE', 1)} else value end as message,
+  value as raw_line
+from r
+"""

@@ -105,3 +105,58 @@ def metrics_sql() -> str:
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as an operational metrics table."""
     return read_table(spark, sf_dir, "events").selectExpr(*METRICS_COLS)
+
+
+# Extra lines derived per event, for the parser branches the rendered auth
+# lines never reach: a disconnect line (matched, yields "unknown"), a line no
+# pattern matches, a blank and a whitespace-only line, an audit record that is
+# not EXECVE and an audit line without "type=" (both dropped). Line id =
+# event_id * 10 + variant.
+STAMP_EXPR = "concat({MON}, ' ', lpad(cast(day(ts) as string), 2, ' '), ' ', {HMS}, ' web1 ')"
+EXTRA_VARIANTS = (
+    (1, "auth_log", "case when source_ip is not null then concat({STAMP}, 'sshd[', cast(event_id as string), ']: Disconnected from ', source_ip, ' port ', cast(40000 + k as string)) end"),
+    (2, "auth_log", "concat({STAMP}, 'CRON[', cast(event_id as string), ']: pam_unix(cron:session): session opened for user ', coalesce(username, 'root'))"),
+    (3, "auth_log", "''"),
+    (4, "syslog", "'   '"),
+    (5, "audit_log", "concat('type=SYSCALL msg=audit(1704067807.179:', cast(event_id as string), '): arch=c000003e syscall=59 success=yes')"),
+    (6, "audit_log", "concat({STAMP}, 'audispd: node=web1 msg=audit(1704067807.179:', cast(event_id as string), '): op=login')"),
+)
+
+
+def extra_lines_sql(dialect: str = "duckdb") -> str:
+    d = DIALECT[dialect]
+    stamp = STAMP_EXPR.format(**d)
+    parts = [f"select event_id * 10 + {v} as event_id, {expr.format(STAMP=stamp)} as value, '{src}' as source from a"
+             for v, src, expr in EXTRA_VARIANTS]
+    return f"with a as ({auth_sql(dialect)}) select * from (" + " union all ".join(parts) + ") x where value is not null"
+
+
+def extra_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark side of ``extra_lines_sql`` (one pass over events, ``explode``)."""
+    d = DIALECT["spark"]
+    stamp = STAMP_EXPR.format(**d)
+    ev = read_table(spark, sf_dir, "events")
+    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et")
+           .selectExpr(*AUTH_COLS))
+    structs = ", ".join(
+        f"named_struct('event_id', event_id * 10 + {v}, 'value', {expr.format(STAMP=stamp)}, 'source', '{src}')"
+        for v, src, expr in EXTRA_VARIANTS)
+    return (a.selectExpr(f"inline(array({structs}))")
+             .where(F.col("value").isNotNull()))
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rendered line (id = event_id * 10), a syslog mirror of the
+    non-audit lines (rsyslog commonly writes auth events to both files), and
+    the extra variants (id = event_id * 10 + variant)."""
+    base = (log_lines(spark, sf_dir)
+            .select((F.col("event_id") * 10).alias("event_id"), "value", "source"))
+    mirror = base.where(F.col("source") != "audit_log").withColumn("source", F.lit("syslog"))
+    return base.unionByName(mirror).unionByName(extra_lines(spark, sf_dir))
+
+
+def all_lines_sql(dialect: str = "duckdb") -> str:
+    base = f"select event_id * 10 as event_id, raw_line as value, source from ({events_sql(dialect)}) e"
+    return (f"select * from ({base}) b union all "
+            f"select event_id, value, 'syslog' as source from ({base}) m where source <> 'audit_log' "
+            f"union all select * from ({extra_lines_sql(dialect)}) x")

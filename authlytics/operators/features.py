@@ -103,6 +103,7 @@ def prepare(events: DataFrame, p: Params) -> DataFrame:
         et.isin(K.EV_SUDO_SUCCESS, K.EV_PROCESS_EXEC).cast("int").alias("is_cmd"),
         account_change_expr(F.col("message")).cast("int").alias("is_acct"),
         lolbin_expr(F.col("message"), p.compat).alias("session_lolbin_executed"),
+        (F.coalesce(F.col("_hist"), F.lit(False)) if "_hist" in events.columns else F.lit(False)).alias("hist"),
     ).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}")))
 
 
@@ -113,30 +114,35 @@ def _with_replicas(df: DataFrame, W: int, B: int) -> DataFrame:
     return (df.withColumn("_b", F.explode(F.when(crosses, F.array(F.col("bkt"), F.col("bkt") + 1))
                                           .otherwise(F.array(F.col("bkt")))))
               .withColumn("home", F.col("_b") == F.col("bkt"))
+              # only home rows of new (non-history) events produce output
+              .withColumn("emit", F.col("home") & ~F.col("hist"))
               .drop("bkt").withColumnRenamed("_b", "bkt"))
 
 
 # ------------------------------------------------------------------ IP side
 
-def _pair_markers(base: DataFrame) -> DataFrame:
+def _pair_markers(base: DataFrame, seen_pairs: DataFrame | None = None) -> DataFrame:
     """One marker row per (ip, user) pair in the bucket of its first sighting.
-    A map-side-combined aggregate: a hot pair costs one partial row per task."""
-    first = (base.where(F.col("ip").isNotNull() & F.col("user").isNotNull())
+    A map-side-combined aggregate: a hot pair costs one partial row per task.
+    ``seen_pairs`` (ip, user): pairs known from earlier micro-batches."""
+    first = (base.where(F.col("ip").isNotNull() & F.col("user").isNotNull() & ~F.col("hist"))
              .groupBy("ip", "user").agg(F.min(F.struct("tus", "event_id")).alias("f")))
+    if seen_pairs is not None:
+        first = first.join(seen_pairs.select("ip", "user"), ["ip", "user"], "left_anti")
     return first.select("ip", "user", F.col("f.tus").alias("_ftus"))
 
 
-def _ip_side(prep: DataFrame, p: Params) -> DataFrame:
+def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) -> DataFrame:
     """IP features for events that have an IP. Returns one row per event with
     the passthrough struct ``_p`` unpacked."""
     W, B = _micros(p)
     rows = prep.where(F.col("ip").isNotNull())
     passthrough = F.struct(*[c for c in prep.columns if c not in ("ip", "bkt", "tus", "event_id")])
-    rows = rows.select("ip", "bkt", "tus", "event_id", "user", "auth_method", "is_failed",
+    rows = rows.select("ip", "bkt", "tus", "event_id", "user", "auth_method", "is_failed", "hist",
                        passthrough.alias("_p"))
     rows = _with_replicas(rows, W, B).withColumn("is_marker", F.lit(False))
 
-    markers = (_pair_markers(prep)
+    markers = (_pair_markers(prep, seen_pairs)
                .select("ip", "user",
                        F.expr(f"(_ftus - pmod(_ftus, {B})) div {B}").alias("bkt"),
                        F.lit(True).alias("is_marker"), F.lit(False).alias("home")))
@@ -150,20 +156,20 @@ def _ip_side(prep: DataFrame, p: Params) -> DataFrame:
           .withColumn("next_u", F.lead("tus").over(w_u))
           .withColumn("after_marker", F.lag("is_marker").over(w_u))
           .where(~F.col("is_marker"))
-          .withColumn("new_ip", F.col("home") & F.col("user").isNotNull()
+          .withColumn("new_ip", F.col("emit") & F.col("user").isNotNull()
                       & F.coalesce(F.col("after_marker"), F.lit(False))))
 
     if p.window_method == "frame":
         wf = (Window.partitionBy("ip", "bkt").orderBy("tus").rangeBetween(-(W - 1), 0))
         mkey = F.coalesce(F.col("auth_method"), F.lit("\u0000"))
         out = (x.select(
-            "ip", "event_id", "tus", "home", "new_ip", "_p",
+            "ip", "event_id", "tus", "emit", "new_ip", "_p",
             F.count(F.lit(1)).over(wf).alias("n"),
             F.sum("is_failed").over(wf).alias("f"),
             F.size(F.collect_set("user").over(wf)).cast("long").alias("u"),
             F.size(F.collect_set(mkey).over(wf)).cast("long").alias("m"),
             F.min("tus").over(wf).alias("t_min"))
-            .where("home"))
+            .where("emit"))
     else:
         x = x.withColumn("mkey", F.coalesce(F.col("auth_method"), F.lit("\u0000")))
         w_m = Window.partitionBy("ip", "bkt", "mkey").orderBy("tus", "event_id")
@@ -187,9 +193,9 @@ def _ip_side(prep: DataFrame, p: Params) -> DataFrame:
         exit_ = ev(tus + wl, 0, -1, -F.col("is_failed"), -end_u.cast("int"), -end_m.cast("int"),
                    F.col("next_any"))
         mark = ev(tus, 2, 0, F.lit(0), F.lit(0), F.lit(0), null_long)
-        arr = F.when(F.col("home"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
-        y = (x.select("ip", "bkt", "event_id", "home", "new_ip", "_p", F.explode(arr).alias("d"))
-              .select("ip", "bkt", "event_id", "home", "new_ip", "_p", "d.*")
+        arr = F.when(F.col("emit"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
+        y = (x.select("ip", "bkt", "event_id", "new_ip", "_p", F.explode(arr).alias("d"))
+              .select("ip", "bkt", "event_id", "new_ip", "_p", "d.*")
               # exits past the bucket end cannot reach any output row of this bucket
               .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
         wr = (Window.partitionBy("ip", "bkt").orderBy("time", "kind", "event_id")
@@ -228,25 +234,35 @@ def _no_ip_rows(prep: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ user side
 
-def _user_prefix(prep: DataFrame, B: int) -> DataFrame:
-    """Exclusive running totals over earlier buckets of each user (small table)."""
-    agg = (prep.where(F.col("user").isNotNull())
+def _user_prefix(prep: DataFrame, B: int, user_base: DataFrame | None = None) -> DataFrame:
+    """Exclusive running totals over earlier buckets of each user (small
+    table). ``user_base`` (user, sudo, ln, ls, lss): totals carried from
+    earlier micro-batches, added to every bucket of the user."""
+    agg = (prep.where(F.col("user").isNotNull() & ~F.col("hist"))
            .groupBy("user", "bkt").agg(
                F.sum("is_sudoish").cast("long").alias("b_sudo"),
                F.count("login_h").alias("b_ln"),
                F.sum("login_h").alias("b_ls"),
                F.sum(F.col("login_h") * F.col("login_h")).alias("b_lss")))
     wp = Window.partitionBy("user").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
-    return agg.select(
+    out = agg.select(
         "user", "bkt",
         *[F.coalesce(F.sum(c).over(wp), F.lit(0)).alias("base_" + c[2:])
           for c in ("b_sudo", "b_ln", "b_ls", "b_lss")])
+    if user_base is not None:
+        ub = user_base.select("user", *[F.col(c).alias("_u_" + c) for c in ("sudo", "ln", "ls", "lss")])
+        out = out.join(ub, "user", "left")
+        for c in ("sudo", "ln", "ls", "lss"):
+            out = out.withColumn("base_" + c, F.col("base_" + c) + F.coalesce(F.col("_u_" + c), F.lit(0)))
+        out = out.drop(*["_u_" + c for c in ("sudo", "ln", "ls", "lss")])
+    return out
 
 
 def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
+    rows = rows.drop("emit", "home")
     W, B = _micros(p)
     keep = ["user", "bkt", "tus", "event_id", "is_login", "login_h", "is_sudoish", "is_sudo_fail",
-            "is_sudo_ok", "is_cmd", "is_acct"]
+            "is_sudo_ok", "is_cmd", "is_acct", "hist"]
     passthrough = F.struct(*[c for c in rows.columns if c not in ("bkt", "tus", "event_id", "user")])
     x = rows.select(*keep, passthrough.alias("_p"))
     x = _with_replicas(x, W, B).repartition("user", "bkt")
@@ -254,13 +270,13 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     w1 = Window.partitionBy("user", "bkt").orderBy("tus", "event_id")
     before = w1.rowsBetween(Window.unboundedPreceding, -1)
     upto = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hl = F.when(F.col("home"), F.col("login_h"))
-    x = (x.withColumn("sudo_before", F.coalesce(F.sum(F.when(F.col("home"), F.col("is_sudoish"))).over(before), F.lit(0)))
+    hl = F.when(F.col("emit"), F.col("login_h"))
+    x = (x.withColumn("sudo_before", F.coalesce(F.sum(F.when(F.col("emit"), F.col("is_sudoish"))).over(before), F.lit(0)))
           .withColumn("ln", F.count(hl).over(upto))
           .withColumn("ls", F.coalesce(F.sum(hl).over(upto), F.lit(0.0)))
           .withColumn("lss", F.coalesce(F.sum(hl * hl).over(upto), F.lit(0.0))))
 
-    carry = ["event_id", "home", "is_sudo_ok", "sudo_before", "ln", "ls", "lss", "_p"]
+    carry = ["event_id", "emit", "is_sudo_ok", "sudo_before", "ln", "ls", "lss", "_p"]
     if p.window_method == "frame":
         wf = Window.partitionBy("user", "bkt").orderBy("tus").rangeBetween(-(W - 1), 0)
         wrun = Window.partitionBy("user", "bkt").orderBy("tus").rangeBetween(Window.unboundedPreceding, 0)
@@ -272,7 +288,7 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
             F.max(F.when(F.col("is_login"), F.col("tus"))).over(wf).alias("last_login"),
             F.col("R"),
             F.max(F.when(F.col("is_login"), F.col("R"))).over(wf).alias("RL"))
-            .where("home"))
+            .where("emit"))
     else:
         tus, wl = F.col("tus"), F.lit(W)
         null_long = F.lit(None).cast("long")
@@ -286,7 +302,7 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
                    F.when(login, tus))
         exit_ = ev(tus + wl, 0, F.lit(0), -F.col("is_sudo_fail"), -F.col("is_acct"), F.lit(0), null_long)
         mark = ev(tus, 2, F.lit(0), F.lit(0), F.lit(0), F.lit(0), null_long)
-        arr = F.when(F.col("home"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
+        arr = F.when(F.col("emit"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
         y = (x.select("user", "bkt", *carry, F.explode(arr).alias("d"))
               .select("user", "bkt", *carry, "d.*")
               .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
@@ -340,23 +356,34 @@ OUTPUT_COLUMNS = ["event_id", "event_time", "source_ip", "username", "event_type
 
 
 def extract_features(events: DataFrame, p: Params | None = None,
-                     asn_prefixes: DataFrame | None = None) -> DataFrame:
+                     asn_prefixes: DataFrame | None = None,
+                     user_base: DataFrame | None = None,
+                     seen_pairs: DataFrame | None = None) -> DataFrame:
     """All 14 features for every event, in one plan.
 
     ``events`` needs: event_id, event_time, source_ip, username, auth_method,
     event_type, message. ``asn_prefixes`` (lo, hi, asn) is optional; without it
     the new-ASN slot is false, as in the reference.
+
+    Streaming state (see ``streaming``): rows with ``_hist = true`` are
+    history -- they feed the trailing windows but produce no output and do
+    not count toward the all-time per-user totals, which come from
+    ``user_base``; ``seen_pairs`` lists (ip, user) pairs seen before.
     """
     p = p or Params()
     W, B = _micros(p)
     prep = prepare(events, p)
-    ip_part = _ip_side(prep, p)
+    ip_part = _ip_side(prep, p, seen_pairs)
     ip_cols = [c for c in ip_part.columns]
-    with_ip = ip_part.unionByName(_no_ip_rows(prep).select(*ip_cols))
+    with_ip = ip_part.unionByName(_no_ip_rows(prep.where(~F.col("hist"))).select(*ip_cols))
     # re-derive the user bucket and the user key for the second side
     with_ip = with_ip.withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}"))
-    prefix = _user_prefix(prep, B)
-    user_part = _user_side(with_ip.where(F.col("user").isNotNull()), prefix, p)
+    prefix = _user_prefix(prep, B, user_base)
+    # history rows re-enter the user side so its windows see them
+    hist_rows = prep.where(F.col("hist") & F.col("user").isNotNull()).select(*[
+        F.col(c) if c in prep.columns else F.lit(None).cast(ip_part.schema[c].dataType).alias(c)
+        for c in ip_cols]).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}"))
+    user_part = _user_side(with_ip.where(F.col("user").isNotNull()).unionByName(hist_rows), prefix, p)
     ucols = user_part.columns
     allrows = user_part.unionByName(_no_user_rows(with_ip).select(*ucols))
     if p.compat:

@@ -79,31 +79,33 @@ def reference_event_id(ip: Column, user: Column, tus: Column) -> Column:
     return F.concat_ws("_", F.coalesce(ip, F.lit("unknown")), F.coalesce(user, F.lit("unknown")), secs)
 
 
-def prepare(events: DataFrame, p: Params) -> DataFrame:
+def prepare(events: DataFrame, p: Params, carry=()) -> DataFrame:
     """Typed, null-normalised event rows with the per-row flags."""
     W, B = _micros(p)
-    et = F.col("event_type")
-    ts = F.col("event_time").cast("timestamp")
-    hours = F.hour(ts) + F.minute(ts) / F.lit(60.0)
+    hist = "coalesce(_hist, false)" if "_hist" in events.columns else "false"
+    exprs = [
+        "cast(event_id as bigint) as event_id",
+        "cast(event_time as timestamp) as event_time",
+        "nullif(source_ip, '') as ip",
+        "nullif(username, '') as user",
+        "auth_method", "event_type", "message",
+        "unix_micros(cast(event_time as timestamp)) as tus",
+        "cast(instr(event_type, 'failed') > 0 as int) as is_failed",
+        f"event_type = '{K.EV_LOGIN_SUCCESS}' as is_login",
+        # login hour shifted by 12 (stddev is shift-invariant; smaller sums)
+        f"case when event_type = '{K.EV_LOGIN_SUCCESS}' then hour(cast(event_time as timestamp)) "
+        f"+ minute(cast(event_time as timestamp)) / 60.0D - 12.0D end as login_h",
+        "cast(instr(event_type, 'sudo') > 0 as int) as is_sudoish",
+        f"cast(event_type = '{K.EV_SUDO_FAILURE}' as int) as is_sudo_fail",
+        f"event_type = '{K.EV_SUDO_SUCCESS}' as is_sudo_ok",
+        f"cast(event_type in ('{K.EV_SUDO_SUCCESS}', '{K.EV_PROCESS_EXEC}') as int) as is_cmd",
+        f"{hist} as hist",
+    ]
     return (events.select(
-        F.col("event_id").cast("long").alias("event_id"),
-        ts.alias("event_time"),
-        F.nullif(F.col("source_ip"), F.lit("")).alias("ip"),
-        F.nullif(F.col("username"), F.lit("")).alias("user"),
-        F.col("auth_method"),
-        et.alias("event_type"),
-        F.col("message"),
-        F.unix_micros(ts).alias("tus"),
-        (F.instr(et, "failed") > 0).cast("int").alias("is_failed"),
-        (et == K.EV_LOGIN_SUCCESS).alias("is_login"),
-        F.when(et == K.EV_LOGIN_SUCCESS, hours - F.lit(12.0)).alias("login_h"),
-        (F.instr(et, "sudo") > 0).cast("int").alias("is_sudoish"),
-        (et == K.EV_SUDO_FAILURE).cast("int").alias("is_sudo_fail"),
-        (et == K.EV_SUDO_SUCCESS).alias("is_sudo_ok"),
-        et.isin(K.EV_SUDO_SUCCESS, K.EV_PROCESS_EXEC).cast("int").alias("is_cmd"),
+        *[F.expr(e) for e in exprs],
         account_change_expr(F.col("message")).cast("int").alias("is_acct"),
         lolbin_expr(F.col("message"), p.compat).alias("session_lolbin_executed"),
-        (F.coalesce(F.col("_hist"), F.lit(False)) if "_hist" in events.columns else F.lit(False)).alias("hist"),
+        *[F.col(c) for c in carry],
     ).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}")))
 
 
@@ -111,12 +113,13 @@ def _with_replicas(df: DataFrame, W: int, B: int) -> DataFrame:
     """Home row in its bucket, plus one replica in the next bucket when the
     event's window influence [ts, ts + w) crosses the bucket end."""
     crosses = F.col("tus") + F.lit(W) > (F.col("bkt") + 1) * F.lit(B)
-    return (df.withColumn("_b", F.explode(F.when(crosses, F.array(F.col("bkt"), F.col("bkt") + 1))
-                                          .otherwise(F.array(F.col("bkt")))))
-              .withColumn("home", F.col("_b") == F.col("bkt"))
-              # only home rows of new (non-history) events produce output
-              .withColumn("emit", F.col("home") & ~F.col("hist"))
-              .drop("bkt").withColumnRenamed("_b", "bkt"))
+    others = [c for c in df.columns if c != "bkt"]
+    x = df.select(*others, F.col("bkt").alias("_home_bkt"),
+                  F.explode(F.when(crosses, F.array(F.col("bkt"), F.col("bkt") + 1))
+                            .otherwise(F.array(F.col("bkt")))).alias("bkt"))
+    home = F.col("bkt") == F.col("_home_bkt")
+    # only home rows of new (non-history) events produce output
+    return x.select(*others, "bkt", home.alias("home"), (home & ~F.col("hist")).alias("emit"))
 
 
 # ------------------------------------------------------------------ IP side
@@ -152,9 +155,8 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
 
     w_u = Window.partitionBy("ip", "bkt", "user").orderBy(F.col("tus").asc_nulls_first(),
                                                           F.col("event_id").asc_nulls_first())
-    x = (x.withColumn("prev_u", F.lag("tus").over(w_u))
-          .withColumn("next_u", F.lead("tus").over(w_u))
-          .withColumn("after_marker", F.lag("is_marker").over(w_u))
+    x = (x.withColumns({"prev_u": F.lag("tus").over(w_u), "next_u": F.lead("tus").over(w_u),
+                        "after_marker": F.lag("is_marker").over(w_u)})
           .where(~F.col("is_marker"))
           .withColumn("new_ip", F.col("emit") & F.col("user").isNotNull()
                       & F.coalesce(F.col("after_marker"), F.lit(False))))
@@ -174,26 +176,23 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
         x = x.withColumn("mkey", F.coalesce(F.col("auth_method"), F.lit("\u0000")))
         w_m = Window.partitionBy("ip", "bkt", "mkey").orderBy("tus", "event_id")
         w_0 = Window.partitionBy("ip", "bkt").orderBy("tus", "event_id")
-        x = (x.withColumn("prev_m", F.lag("tus").over(w_m))
-              .withColumn("next_m", F.lead("tus").over(w_m))
-              .withColumn("next_any", F.lead("tus").over(w_0)))
-        tus, wl = F.col("tus"), F.lit(W)
-        start_u = F.col("user").isNotNull() & (F.col("prev_u").isNull() | (tus - F.col("prev_u") >= wl))
-        end_u = F.col("user").isNotNull() & (F.col("next_u").isNull() | (F.col("next_u") - tus >= wl))
-        start_m = F.col("prev_m").isNull() | (tus - F.col("prev_m") >= wl)
-        end_m = F.col("next_m").isNull() | (F.col("next_m") - tus >= wl)
-        null_long = F.lit(None).cast("long")
+        x = x.withColumns({"prev_m": F.lag("tus").over(w_m), "next_m": F.lead("tus").over(w_m),
+                           "next_any": F.lead("tus").over(w_0)})
+        # entry (+1 at ts), exit (-1 at ts + w), output marker; island starts
+        # and ends of (ip, user) and (ip, method) give the distinct counts
+        start_u = f"(user is not null and (prev_u is null or tus - prev_u >= {W}))"
+        end_u = f"(user is not null and (next_u is null or next_u - tus >= {W}))"
+        start_m = f"(prev_m is null or tus - prev_m >= {W})"
+        end_m = f"(next_m is null or next_m - tus >= {W})"
 
         def ev(time, kind, dn, df_, du, dm, nxt):
-            return F.struct(time.alias("time"), F.lit(kind).alias("kind"),
-                            F.lit(dn).cast("long").alias("dn"), df_.cast("long").alias("df"),
-                            du.cast("long").alias("du"), dm.cast("long").alias("dm"),
-                            nxt.alias("nxt"))
-        entry = ev(tus, 1, 1, F.col("is_failed"), start_u.cast("int"), start_m.cast("int"), null_long)
-        exit_ = ev(tus + wl, 0, -1, -F.col("is_failed"), -end_u.cast("int"), -end_m.cast("int"),
-                   F.col("next_any"))
-        mark = ev(tus, 2, 0, F.lit(0), F.lit(0), F.lit(0), null_long)
-        arr = F.when(F.col("emit"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
+            return (f"named_struct('time', {time}, 'kind', {kind}, 'dn', cast({dn} as bigint), "
+                    f"'df', cast({df_} as bigint), 'du', cast({du} as bigint), 'dm', cast({dm} as bigint), "
+                    f"'nxt', cast({nxt} as bigint))")
+        entry = ev("tus", 1, 1, "is_failed", f"cast({start_u} as int)", f"cast({start_m} as int)", "null")
+        exit_ = ev(f"tus + {W}", 0, -1, "-is_failed", f"-cast({end_u} as int)", f"-cast({end_m} as int)", "next_any")
+        mark = ev("tus", 2, 0, 0, 0, 0, "null")
+        arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
         y = (x.select("ip", "bkt", "event_id", "new_ip", "_p", F.explode(arr).alias("d"))
               .select("ip", "bkt", "event_id", "new_ip", "_p", "d.*")
               # exits past the bucket end cannot reach any output row of this bucket
@@ -212,6 +211,7 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
     gap = F.when(n >= 2, (F.col("tus") - F.col("t_min")) / F.lit(1e6) / (n - 1)).otherwise(F.lit(0.0))
     return out.select(
         "event_id", "tus", "ip", "_p.*",
+        n.cast("long").alias("ip_window_events"),
         F.col("f").cast("long").alias("ip_failed_logins"),
         F.col("u").cast("long").alias("ip_unique_users_attempted"),
         (F.col("f") / n).cast("double").alias("ip_failed_to_success_ratio"),
@@ -224,6 +224,7 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
 def _no_ip_rows(prep: DataFrame) -> DataFrame:
     return prep.where(F.col("ip").isNull()).select(
         *[c for c in prep.columns if c != "bkt"],
+        F.lit(0).cast("long").alias("ip_window_events"),
         F.lit(0).cast("long").alias("ip_failed_logins"),
         F.lit(0).cast("long").alias("ip_unique_users_attempted"),
         F.lit(0.0).alias("ip_failed_to_success_ratio"),
@@ -259,30 +260,36 @@ def _user_prefix(prep: DataFrame, B: int, user_base: DataFrame | None = None) ->
 
 
 def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
+    """User features. Rows without a user are keyed by their own event id
+    (a singleton key each: spread evenly, never one giant null partition) and
+    get zero user features at the end."""
     rows = rows.drop("emit", "home")
     W, B = _micros(p)
-    keep = ["user", "bkt", "tus", "event_id", "is_login", "login_h", "is_sudoish", "is_sudo_fail",
+    rows = rows.withColumn("ukey", F.coalesce(F.col("user"), F.concat(F.lit("\u0001"), F.col("event_id").cast("string"))))
+    keep = ["ukey", "user", "bkt", "tus", "event_id", "is_login", "login_h", "is_sudoish", "is_sudo_fail",
             "is_sudo_ok", "is_cmd", "is_acct", "hist"]
-    passthrough = F.struct(*[c for c in rows.columns if c not in ("bkt", "tus", "event_id", "user")])
+    passthrough = F.struct(*[c for c in rows.columns if c not in ("bkt", "tus", "event_id", "user", "ukey")])
     x = rows.select(*keep, passthrough.alias("_p"))
-    x = _with_replicas(x, W, B).repartition("user", "bkt")
+    x = _with_replicas(x, W, B).repartition("ukey", "bkt")
 
-    w1 = Window.partitionBy("user", "bkt").orderBy("tus", "event_id")
+    w1 = Window.partitionBy("ukey", "bkt").orderBy("tus", "event_id")
     before = w1.rowsBetween(Window.unboundedPreceding, -1)
     upto = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hl = F.when(F.col("emit"), F.col("login_h"))
-    x = (x.withColumn("sudo_before", F.coalesce(F.sum(F.when(F.col("emit"), F.col("is_sudoish"))).over(before), F.lit(0)))
-          .withColumn("ln", F.count(hl).over(upto))
-          .withColumn("ls", F.coalesce(F.sum(hl).over(upto), F.lit(0.0)))
-          .withColumn("lss", F.coalesce(F.sum(hl * hl).over(upto), F.lit(0.0))))
+    x = x.withColumns({
+        "sudo_before": F.coalesce(F.sum(F.when(F.col("emit"), F.col("is_sudoish"))).over(before), F.lit(0)),
+        "ln": F.count(hl).over(upto),
+        "ls": F.coalesce(F.sum(hl).over(upto), F.lit(0.0)),
+        "lss": F.coalesce(F.sum(hl * hl).over(upto), F.lit(0.0))})
 
     carry = ["event_id", "emit", "is_sudo_ok", "sudo_before", "ln", "ls", "lss", "_p"]
     if p.window_method == "frame":
-        wf = Window.partitionBy("user", "bkt").orderBy("tus").rangeBetween(-(W - 1), 0)
-        wrun = Window.partitionBy("user", "bkt").orderBy("tus").rangeBetween(Window.unboundedPreceding, 0)
+        wf = Window.partitionBy("ukey", "bkt").orderBy("tus").rangeBetween(-(W - 1), 0)
+        wrun = Window.partitionBy("ukey", "bkt").orderBy("tus").rangeBetween(Window.unboundedPreceding, 0)
         x = x.withColumn("R", F.sum("is_cmd").over(wrun))
         out = (x.select(
-            "user", "bkt", "tus", *carry,
+            "ukey", "user", "bkt", "tus", *carry,
+            F.count(F.lit(1)).over(wf).alias("un"),
             F.sum("is_sudo_fail").over(wf).alias("fs"),
             F.sum("is_acct").over(wf).alias("ac"),
             F.max(F.when(F.col("is_login"), F.col("tus"))).over(wf).alias("last_login"),
@@ -290,34 +297,29 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
             F.max(F.when(F.col("is_login"), F.col("R"))).over(wf).alias("RL"))
             .where("emit"))
     else:
-        tus, wl = F.col("tus"), F.lit(W)
-        null_long = F.lit(None).cast("long")
-
-        def ev(time, kind, sub, dfs, dac, dcmd, login_t):
-            return F.struct(time.alias("time"), F.lit(kind).alias("kind"), sub.cast("int").alias("sub"),
-                            dfs.cast("long").alias("dfs"), dac.cast("long").alias("dac"),
-                            dcmd.cast("long").alias("dcmd"), login_t.alias("login_t"))
-        login = F.col("is_login")
-        entry = ev(tus, 1, login, F.col("is_sudo_fail"), F.col("is_acct"), F.col("is_cmd"),
-                   F.when(login, tus))
-        exit_ = ev(tus + wl, 0, F.lit(0), -F.col("is_sudo_fail"), -F.col("is_acct"), F.lit(0), null_long)
-        mark = ev(tus, 2, F.lit(0), F.lit(0), F.lit(0), F.lit(0), null_long)
-        arr = F.when(F.col("emit"), F.array(entry, exit_, mark)).otherwise(F.array(entry, exit_))
-        y = (x.select("user", "bkt", *carry, F.explode(arr).alias("d"))
-              .select("user", "bkt", *carry, "d.*")
+        def ev(time, kind, sub, dn, dfs, dac, dcmd, login_t):
+            return (f"named_struct('time', {time}, 'kind', {kind}, 'sub', cast({sub} as int), "
+                    f"'dun', cast({dn} as bigint), 'dfs', cast({dfs} as bigint), 'dac', cast({dac} as bigint), "
+                    f"'dcmd', cast({dcmd} as bigint), 'login_t', cast({login_t} as bigint))")
+        entry = ev("tus", 1, "is_login", 1, "is_sudo_fail", "is_acct", "is_cmd", "if(is_login, tus, null)")
+        exit_ = ev(f"tus + {W}", 0, 0, -1, "-is_sudo_fail", "-is_acct", 0, "null")
+        mark = ev("tus", 2, 0, 0, 0, 0, 0, "null")
+        arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
+        y = (x.select("ukey", "user", "bkt", *carry, F.explode(arr).alias("d"))
+              .select("ukey", "user", "bkt", *carry, "d.*")
               .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
         # commands sort before a login at the same instant: R at a login row
         # counts every command up to and including that instant
-        wr = (Window.partitionBy("user", "bkt").orderBy("time", "kind", "sub", "event_id")
+        wr = (Window.partitionBy("ukey", "bkt").orderBy("time", "kind", "sub", "event_id")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        y = (y.withColumn("fs", F.sum("dfs").over(wr))
-              .withColumn("ac", F.sum("dac").over(wr))
-              .withColumn("last_login", F.max("login_t").over(wr))
-              .withColumn("R", F.sum("dcmd").over(wr)))
+        y = y.withColumns({"un": F.sum("dun").over(wr), "fs": F.sum("dfs").over(wr),
+                           "ac": F.sum("dac").over(wr), "last_login": F.max("login_t").over(wr),
+                           "R": F.sum("dcmd").over(wr)})
         y = y.withColumn("RL", F.last(F.when(F.col("login_t").isNotNull(), F.col("R")), ignorenulls=True).over(wr))
         out = y.where(F.col("kind") == 2).withColumnRenamed("time", "tus")
 
     out = out.join(prefix, ["user", "bkt"], "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("base_sudo", "base_ln", "base_ls", "base_lss")})
     t, ll = F.col("tus"), F.col("last_login")
     in_win = ll.isNotNull() & (ll > t - F.lit(W))
     n = F.col("base_ln") + F.col("ln")
@@ -328,20 +330,26 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     privesc = F.when(F.col("is_sudo_ok") & in_win, (t - ll) / F.lit(1e6)).otherwise(F.lit(0.0))
     rate = F.when(in_win & (t > ll), (F.col("R") - F.col("RL")) / ((t - ll) / F.lit(60e6))).otherwise(F.lit(0.0))
     first_sudo = F.col("is_sudo_ok") & ((F.col("base_sudo") + F.col("sudo_before")) == 0)
+    has = F.col("user").isNotNull()
+
+    def z(expr, zero):
+        return F.when(has, expr).otherwise(zero)
     return out.select(
         "event_id", "tus", "user", "_p.*",
-        std.cast("double").alias("user_login_time_std_devs"),
-        F.lit(False).alias("user_first_sudo_usage") if p.compat else first_sudo.alias("user_first_sudo_usage"),
-        F.col("fs").cast("long").alias("user_failed_sudo_attempts"),
-        privesc.cast("double").alias("session_login_to_privesc_seconds"),
-        (F.lit(0.0) if p.compat else rate.cast("double")).alias("session_post_login_command_rate"),
-        (F.lit(0).cast("long") if p.compat else F.col("ac").cast("long")).alias("session_account_changes"),
+        z(F.col("un").cast("long"), F.lit(0).cast("long")).alias("user_window_events"),
+        z(std.cast("double"), F.lit(0.0)).alias("user_login_time_std_devs"),
+        (F.lit(False) if p.compat else z(first_sudo, F.lit(False))).alias("user_first_sudo_usage"),
+        z(F.col("fs").cast("long"), F.lit(0).cast("long")).alias("user_failed_sudo_attempts"),
+        z(privesc.cast("double"), F.lit(0.0)).alias("session_login_to_privesc_seconds"),
+        (F.lit(0.0) if p.compat else z(rate.cast("double"), F.lit(0.0))).alias("session_post_login_command_rate"),
+        (F.lit(0).cast("long") if p.compat else z(F.col("ac").cast("long"), F.lit(0).cast("long"))).alias("session_account_changes"),
     )
 
 
 def _no_user_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("user").isNull()).select(
         *[c for c in rows.columns if c != "bkt"],
+        F.lit(0).cast("long").alias("user_window_events"),
         F.lit(0.0).alias("user_login_time_std_devs"),
         F.lit(False).alias("user_first_sudo_usage"),
         F.lit(0).cast("long").alias("user_failed_sudo_attempts"),
@@ -358,7 +366,8 @@ OUTPUT_COLUMNS = ["event_id", "event_time", "source_ip", "username", "event_type
 def extract_features(events: DataFrame, p: Params | None = None,
                      asn_prefixes: DataFrame | None = None,
                      user_base: DataFrame | None = None,
-                     seen_pairs: DataFrame | None = None) -> DataFrame:
+                     seen_pairs: DataFrame | None = None,
+                     carry=()) -> DataFrame:
     """All 14 features for every event, in one plan.
 
     ``events`` needs: event_id, event_time, source_ip, username, auth_method,
@@ -372,7 +381,7 @@ def extract_features(events: DataFrame, p: Params | None = None,
     """
     p = p or Params()
     W, B = _micros(p)
-    prep = prepare(events, p)
+    prep = prepare(events, p, carry)
     ip_part = _ip_side(prep, p, seen_pairs)
     ip_cols = [c for c in ip_part.columns]
     with_ip = ip_part.unionByName(_no_ip_rows(prep.where(~F.col("hist"))).select(*ip_cols))
@@ -383,9 +392,7 @@ def extract_features(events: DataFrame, p: Params | None = None,
     hist_rows = prep.where(F.col("hist") & F.col("user").isNotNull()).select(*[
         F.col(c) if c in prep.columns else F.lit(None).cast(ip_part.schema[c].dataType).alias(c)
         for c in ip_cols]).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}"))
-    user_part = _user_side(with_ip.where(F.col("user").isNotNull()).unionByName(hist_rows), prefix, p)
-    ucols = user_part.columns
-    allrows = user_part.unionByName(_no_user_rows(with_ip).select(*ucols))
+    allrows = _user_side(with_ip.unionByName(hist_rows), prefix, p)
     if p.compat:
         new_ip = F.col("user").isNull() | F.col("ip").isNull()
     else:
@@ -402,6 +409,8 @@ def extract_features(events: DataFrame, p: Params | None = None,
         *[F.col(c) for c in FEATURE_COLUMNS[:9]],
         new_asn.alias("user_login_from_new_asn"),
         *[F.col(c) for c in FEATURE_COLUMNS[10:]],
+        "ip_window_events", "user_window_events",
+        *[F.col(c) for c in carry],
     )
 
 

@@ -102,8 +102,14 @@ def _make_fold():
                 cd = pdf["_cd"].to_numpy(dtype=np.int64)
                 starts = [0] + [i for i in range(1, n) if keys[i] != keys[i - 1]]
                 ends = starts[1:] + [n]
+                anchor = pdf["_anchor"].to_numpy() if "_anchor" in pdf.columns else None
                 for s, e in zip(starts, ends):
-                    last = carry_last if keys[s] == carry_key else None
+                    if keys[s] == carry_key:
+                        last = carry_last
+                    elif anchor is not None and not pd.isna(anchor[s]):
+                        last = int(anchor[s])
+                    else:
+                        last = None
                     c = int(cd[s])
                     tt = t[s:e]
                     i = 0 if last is None else int(np.searchsorted(tt, last + c, side="left"))
@@ -117,8 +123,14 @@ def _make_fold():
     return fold
 
 
-def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds: float | None = None) -> DataFrame:
-    """Adds ``allowed`` (greedy cooldown per action:target, event time)."""
+def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds: float | None = None,
+                   anchors: DataFrame | None = None) -> DataFrame:
+    """Adds ``allowed`` (greedy cooldown per action:target, event time).
+
+    ``anchors`` (action_type, target, last_allowed_us): last executed time per
+    key from earlier micro-batches; rows of the key before ``anchor + C`` are
+    blocked and the chain continues from the anchor.
+    """
     p = p or Params()
     max_cd = max([p.default_cooldown] + list(p.cooldowns.values()))
     B = int(round((bucket_seconds or max(3600.0, float(max_cd))) * 1e6))
@@ -131,6 +143,12 @@ def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds:
          .withColumn("_exec", executes(F.col("action_type"), p)))
     passive = x.where(~F.col("_exec")).withColumn("allowed", F.lit(True))
     live = x.where(F.col("_exec")).withColumn("_bkt", F.expr(f"(_t - pmod(_t, {B})) div {B}"))
+    if anchors is not None:
+        a = anchors.select(F.concat_ws(":", "action_type", "target").alias("_k"),
+                           F.col("last_allowed_us").alias("_anchor"))
+        live = live.join(a, "_k", "left")
+    else:
+        live = live.withColumn("_anchor", F.lit(None).cast("long"))
 
     # 1. previous action of the key within the same or the preceding bucket
     crosses = F.col("_t") + F.col("_cd") > (F.col("_bkt") + 1) * F.lit(B)
@@ -139,7 +157,9 @@ def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds:
                .withColumn("_home", F.col("_b") == F.col("_bkt")))
     w = Window.partitionBy("_k", "_b").orderBy("_t", "event_id", "seq")
     rep = rep.withColumn("_prev", F.lag("_t").over(w)).where("_home").drop("_b", "_home")
-    rep = rep.withColumn("_reset", (F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= F.col("_cd"))).cast("long"))
+    free = F.col("_anchor").isNull() | (F.col("_t") >= F.col("_anchor") + F.col("_cd"))
+    rep = rep.withColumn("_reset", ((F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= F.col("_cd")))
+                                    & free).cast("long"))
 
     # 2. segment number: resets before this row, two-level prefix
     per_bkt = (rep.groupBy("_k", "_bkt").agg(F.sum("_reset").alias("_r"))
@@ -155,8 +175,9 @@ def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds:
     # 3. ordered streaming fold per (key, segment)
     srt = seg.repartition("_k", "_seg").sortWithinPartitions("_k", "_seg", "_t", "event_id", "seq")
     folded = srt.mapInPandas(_make_fold(), _fold_schema(srt))
-    out = folded.unionByName(passive.withColumn("_seg", F.lit(None).cast("long")).select(*folded.columns))
-    return out.drop("_k", "_t", "_cd", "_seg", "_exec")
+    out = folded.unionByName(passive.withColumn("_seg", F.lit(None).cast("long"))
+                             .withColumn("_anchor", F.lit(None).cast("long")).select(*folded.columns))
+    return out.drop("_k", "_t", "_cd", "_seg", "_exec", "_anchor")
 
 
 def outcome(actions: DataFrame, p: Params | None = None) -> DataFrame:

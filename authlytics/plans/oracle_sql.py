@@ -61,7 +61,7 @@ u1 as (
 ),
 usw as (
   select event_id,
-    sum(is_sudo_fail) over wu as fs, sum(is_acct) over wu as ac,
+    count(*) over wu as un, sum(is_sudo_fail) over wu as fs, sum(is_acct) over wu as ac,
     max(case when is_login then ts end) over wu as last_login,
     r, max(case when is_login then r end) over wu as rl,
     coalesce(stddev_samp(login_h) over (partition by usr order by ts, event_id rows between unbounded preceding and current row), 0) as std,
@@ -69,7 +69,8 @@ usw as (
   from u1
   window wu as (partition by usr order by ts range between {iv} preceding and current row)
 )
-select p.event_id,
+select p.event_id, p.event_type, p.ts, p.ip as source_ip, p.usr as username,
+  coalesce(ipw.n, 0)::bigint as ip_window_events, coalesce(usw.un, 0)::bigint as user_window_events,
   coalesce(ipw.f, 0)::bigint as ip_failed_logins,
   coalesce(ipw.u, 0)::bigint as ip_unique_users_attempted,
   coalesce(ipw.f / ipw.n, 0.0) as ip_failed_to_success_ratio,

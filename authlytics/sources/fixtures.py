@@ -27,7 +27,7 @@ ET_EXPR = """case when event_type = 'error' then 'login_failed'
      else 'process_execution' end"""
 
 AUTH_COLS = [
-    "event_id", "ts", "k", "et as event_type",
+    "event_id", "ts", "k", "value", "et as event_type",
     "case when et like 'sudo%' or et = 'process_execution' then null "
     "else concat('10.0.0.', cast(k as string)) end as source_ip",
     "case when et = 'process_execution' then null else concat('user', cast(user_id as string)) end as username",
@@ -53,7 +53,7 @@ SOURCE_EXPR = "case when event_type = 'process_execution' then 'audit_log' else
 def auth_sql(dialect: str = "duckdb") -> str:
     d = DIALECT[dialect]
     return (f"select {', '.join(AUTH_COLS)} from (select event_id, ts, user_id, {d['K']} as k, "
-            f"{ET_EXPR} as et from events) q")
+            f"{ET_EXPR} as et, value from events) q")
 
 
 def events_sql(dialect: str = "duckdb") -> str:
@@ -76,7 +76,7 @@ def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = DIALECT["spark"]
     ev = read_table(spark, sf_dir, "events")
-    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et")
+    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
            .selectExpr(*AUTH_COLS))
     b = a.selectExpr("*", f"{LINE_EXPR.format(**d)} as raw_line")
     return (b.selectExpr("*", f"{MESSAGE_EXPR} as message", f"{SOURCE_EXPR} as source")
@@ -98,6 +98,12 @@ METRICS_COLS = [
 ]
 
 
+# Deterministic stand-in scores for the detection/response/report queries
+# (no transcendental function, so both engines compute identical doubles).
+SCORE_COLS = ["-(value / (value + 50.0)) as raw_score", "value / (value + 50.0) as score_fixture",
+              "value >= 50.0 as anomaly_fixture"]
+
+
 def metrics_sql() -> str:
     return f"select {', '.join(METRICS_COLS)} from events"
 
@@ -136,7 +142,7 @@ def extra_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = DIALECT["spark"]
     stamp = STAMP_EXPR.format(**d)
     ev = read_table(spark, sf_dir, "events")
-    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et")
+    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
            .selectExpr(*AUTH_COLS))
     structs = ", ".join(
         f"named_struct('event_id', event_id * 10 + {v}, 'value', {expr.format(STAMP=stamp)}, 'source', '{src}')"

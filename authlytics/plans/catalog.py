@@ -48,7 +48,7 @@ def _feature_select(df: DataFrame, cols) -> DataFrame:
 
 
 def _feature_query(name: str, cols, compat: bool = False):
-    sql_cols = ", ".join(["event_id"] + list(cols))
+    sql_cols = ", ".join(["event_id"] + [f"round({c}, 6) as {c}" if c in DOUBLE_FEATURES else c for c in cols])
     sql = f"select {sql_cols} from ({OS.features_sql(compat=compat)}) f"
     p = QP.with_(compat=True) if compat else QP
 
@@ -142,3 +142,599 @@ def q_parse_drop_blank(spark, sf):
 @register("event_to_json")
 def q_event_to_json(spark, sf):
     return event_to_json(parsed_df(spark, sf).drop("event_time"))
+
+
+# ----------------------------------------------------------------- remaining feature ids
+
+from ..operators import attack as AT  # noqa: E402
+from ..operators import detect as DT  # noqa: E402
+from ..operators import forest as FO  # noqa: E402
+from ..operators import ops as OP  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..operators import response as RS  # noqa: E402
+from ..session import apply_defaults, scratch_path  # noqa: E402
+
+_FSQL = OS.features_sql()
+
+
+@register("feat_window_history", f"select event_id, ip_window_events, user_window_events from ({_FSQL}) f")
+def q_feat_window_history(spark, sf):
+    return features_df(spark, sf).select("event_id", "ip_window_events", "user_window_events")
+
+
+def nation_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """ASN prefix table derived from ``nation``: nation n owns 10.0.0.(4n)..(4n+3)."""
+    return FX.read_table(spark, sf, "nation").selectExpr(
+        "167772160 + 4 * n_nationkey as lo", "167772160 + 4 * n_nationkey + 3 as hi",
+        "concat('AS', cast(64500 + n_nationkey as string)) as asn")
+
+
+@register("feat_user_new_asn", f"""
+with f as ({_FSQL}),
+pre as (select 167772160 + 4 * n_nationkey as lo, 167772160 + 4 * n_nationkey + 3 as hi,
+          'AS' || cast(64500 + n_nationkey as varchar) as asn from nation),
+x as (select f.event_id, f.ts, f.username, pre.asn,
+        cast(split_part(f.source_ip, '.', 1) as bigint) * 16777216 + cast(split_part(f.source_ip, '.', 2) as bigint) * 65536
+        + cast(split_part(f.source_ip, '.', 3) as bigint) * 256 + cast(split_part(f.source_ip, '.', 4) as bigint) as ipl
+      from f join pre on true
+      where f.source_ip is not null and f.username is not null),
+m as (select event_id, ts, username, asn from x
+      where ipl between (select lo from pre p where p.asn = x.asn) and (select hi from pre p where p.asn = x.asn)),
+firsts as (select event_id from (select event_id, row_number() over (partition by username, asn order by ts, event_id) as rn from m) q where rn = 1)
+select f.event_id, f.event_id in (select event_id from firsts) as user_login_from_new_asn from f""")
+def q_feat_user_new_asn(spark, sf):
+    df = FE.extract_features(FX.auth_events(spark, sf), QP, asn_prefixes=nation_prefixes(spark, sf))
+    return df.select("event_id", "user_login_from_new_asn")
+
+
+@register("feat_event_id", f"""select event_id, concat_ws('_', coalesce(source_ip, 'unknown'), coalesce(username, 'unknown'),
+  cast(cast(cast(epoch_us(ts) as decimal(20,0)) / 1000000 as decimal(20,6)) as varchar)) as ref_event_id from ({_FSQL}) f""")
+def q_feat_event_id(spark, sf):
+    return features_df(spark, sf).select("event_id", "ref_event_id")
+
+
+@register("feat_vector_assemble", f"""select event_id, [{', '.join(
+    ('round(' + n + '::double, 6)') if n == 'user_login_time_std_devs' else (n + '::double') for n in K.FEATURE_NAMES)}] as vector
+  from ({_FSQL}) f""")
+def q_feat_vector_assemble(spark, sf):
+    df = features_df(spark, sf).withColumn("user_login_time_std_devs", F.round("user_login_time_std_devs", 6))
+    return df.select("event_id", DT.vector().alias("vector"))
+
+
+@register("feat_metadata_project", f"""select event_id, concat_ws('_', coalesce(source_ip, 'unknown'), coalesce(username, 'unknown'),
+  cast(cast(cast(epoch_us(ts) as decimal(20,0)) / 1000000 as decimal(20,6)) as varchar)) as ref_event_id,
+  coalesce(source_ip, 'unknown') as source_ip, coalesce(username, 'unknown') as username, event_type,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as timestamp from ({_FSQL}) f""")
+def q_feat_metadata_project(spark, sf):
+    return features_df(spark, sf).select(
+        "event_id", "ref_event_id", F.coalesce("source_ip", F.lit("unknown")).alias("source_ip"),
+        F.coalesce("username", F.lit("unknown")).alias("username"), "event_type",
+        F.date_format("event_time", RP.ISO).alias("timestamp"))
+
+
+# ----------------------------------------------------------------- scored fixture (no forest)
+
+def scored_df(spark: SparkSession, sf: str, p: Params = QP) -> DataFrame:
+    apply_defaults(spark)
+    f = FE.extract_features(FX.auth_events(spark, sf), p, carry=("value",))
+    f = f.selectExpr("*", *FX.SCORE_COLS)
+    return DT.detect(f, p, raw_col="raw_score", anomaly_col="anomaly_fixture").withColumnRenamed(
+        "anomaly_fixture", "is_anomaly")
+
+
+_SCORED = OS.scored_sql()
+
+
+@register("ml_risk_level", f"select event_id, anomaly_score, {OS.risk_sql('anomaly_score')} as risk_level from ({_SCORED}) s")
+def q_ml_risk_level(spark, sf):
+    return scored_df(spark, sf).select("event_id", "anomaly_score", "risk_level")
+
+
+@register("ml_confidence", f"select event_id, least(anomaly_score * 1.5, 1.0) as confidence from ({_SCORED}) s")
+def q_ml_confidence(spark, sf):
+    return scored_df(spark, sf).select("event_id", "confidence")
+
+
+@register("ml_logistic_score", f"""select event_id, round(1.0 / (1.0 + exp(raw_score)), 6) as logistic,
+  {OS.risk_sql('1.0 / (1.0 + exp(raw_score))')} as risk_level from ({_SCORED}) s""")
+def q_ml_logistic_score(spark, sf):
+    s = scored_df(spark, sf)
+    lg = DT.logistic(F.col("raw_score"))
+    return s.select("event_id", F.round(lg, 6).alias("logistic"), DT.risk_level(lg).alias("risk_level"))
+
+
+@register("ml_contributions", f"""select event_id, array_to_string(list_transform(c, lambda x: x.name), ',') as contrib_names,
+  len(c)::bigint as contrib_n, round(coalesce(list_sum(list_transform(c, lambda x: x.value)), 0.0), 6) as contrib_sum
+  from (select event_id, {OS.contributions_list_sql()} as c from ({_FSQL}) f) q""")
+def q_ml_contributions(spark, sf):
+    c = DT.contributions(DT.vector())
+    return features_df(spark, sf).select(
+        "event_id", F.array_join(F.transform(c, lambda x: x["name"]), ",").alias("contrib_names"),
+        F.size(c).cast("long").alias("contrib_n"),
+        F.round(F.aggregate(F.transform(c, lambda x: x["value"]), F.lit(0.0), lambda a, b: a + b), 6).alias("contrib_sum"))
+
+
+@register("ml_explanation", f"select event_id, {OS.explanation_sql()} as explanation from ({_SCORED}) s")
+def q_ml_explanation(spark, sf):
+    return scored_df(spark, sf).select("event_id", "explanation")
+
+
+@register("ml_contamination_cut", """with s as (select event_id, -(value / (value + 50.0)) as raw_score from events),
+q as (select quantile_cont(raw_score, 0.1) as off from s)
+select event_id, raw_score < off as is_anomaly, round(off, 6) as offset from s, q""")
+def q_ml_contamination_cut(spark, sf):
+    s = FX.read_table(spark, sf, "events").selectExpr("event_id", "-(value / (value + 50.0)) as raw_score")
+    off = FO.exact_quantile(s, "raw_score", QP.contamination)
+    return s.select("event_id", (F.col("raw_score") < F.lit(off)).alias("is_anomaly"),
+                    F.round(F.lit(off), 6).alias("offset"))
+
+
+@register("ml_scaler_fit", " union all ".join(
+    f"select '{n}' as feature, round(avg({n}::double), 6) as mean, round(stddev_pop({n}::double), 6) as std from ({_FSQL}) f"
+    for n in K.FEATURE_NAMES))
+def q_ml_scaler_fit(spark, sf):
+    f = features_df(spark, sf)
+    mean, std = FO.fit_scaler(f, FO.FEATURES)
+    t = FO.scaler_table(spark, FO.FEATURES, mean, std)
+    return t.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("ml_scaler_apply", "select event_id, " + ", ".join(
+    f"round(({n}::double - avg({n}::double) over ()) / case when stddev_pop({n}::double) over () = 0 then 1.0 "
+    f"else stddev_pop({n}::double) over () end, 6) as z_{n}" for n in K.FEATURE_NAMES) + f" from ({_FSQL}) f")
+def q_ml_scaler_apply(spark, sf):
+    f = features_df(spark, sf)
+    mean, std = FO.fit_scaler(f, FO.FEATURES)
+    z = FO.apply_scaler(f, FO.FEATURES, mean, std, suffix="__z")
+    return z.select("event_id", *[F.round(F.col(n + "__z"), 6).alias("z_" + n) for n in FO.FEATURES])
+
+
+# ----------------------------------------------------------------- forest (rows-only checks)
+
+from . import pipelines as PL  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def trained_model(spark: SparkSession, sf: str, p: Params = Params()):
+    key = (sf, p.window_seconds, p.n_trees, p.max_samples, p.seed, p.contamination)
+    if key not in _MODELS:
+        apply_defaults(spark)
+        feats = FE.extract_features(FX.auth_events(spark, sf), p)
+        _MODELS[key] = PL.train(spark, feats, p, enforce_guard=False)
+    return _MODELS[key]
+
+
+@register("ml_forest_fit")
+def q_ml_forest_fit(spark, sf):
+    m = trained_model(spark, sf)
+    return spark.createDataFrame(m.nodes, FO.NODE_SCHEMA)
+
+
+@register("pipe_train")
+def q_pipe_train(spark, sf):
+    m = trained_model(spark, sf)
+    return spark.createDataFrame([(m.psi, m.n_trees, float(m.offset), len(m.nodes))],
+                                 "psi int, n_trees int, offset double, n_nodes long")
+
+
+@register("ml_score_samples")
+def q_ml_score_samples(spark, sf):
+    m = trained_model(spark, sf)
+    f = FE.extract_features(FX.auth_events(spark, sf), Params())
+    z = [c + "__z" for c in FO.FEATURES]
+    xs = FO.apply_scaler(f.select("event_id", *FO.FEATURES), FO.FEATURES, m.mean, m.std, suffix="__z")
+    return FO.score(xs.select("event_id", *z), m, z).select("event_id", "raw_score")
+
+
+def detections_df(spark, sf, p: Params = Params()):
+    m = trained_model(spark, sf, p)
+    return PL.score_features(FE.extract_features(FX.auth_events(spark, sf), p), m, p)
+
+
+@register("ml_detect")
+def q_ml_detect(spark, sf):
+    return detections_df(spark, sf).select("event_id", "raw_score", "anomaly_score", "is_anomaly", "risk_level",
+                                           "confidence", "contributing_features", "explanation")
+
+
+@register("ml_filter_anomalies")
+def q_ml_filter_anomalies(spark, sf):
+    return detections_df(spark, sf).where("is_anomaly").select("event_id", "event_type", "anomaly_score", "risk_level")
+
+
+@register("ml_train_guard")
+def q_ml_train_guard(spark, sf):
+    p = Params()
+    n = FX.read_table(spark, sf, "events").count()
+    return spark.createDataFrame([(n, PL.training_guard(n, p, enforce=False))], "n_rows long, status string")
+
+
+@register("ml_model_store")
+def q_ml_model_store(spark, sf):
+    m = trained_model(spark, sf)
+    path = scratch_path(spark, "model")
+    PL.save_model(spark, m, path)
+    back = PL.load_model(spark, path)
+    return spark.createDataFrame(back.nodes, FO.NODE_SCHEMA)
+
+
+@register("pipe_infer")
+def q_pipe_infer(spark, sf):
+    m = trained_model(spark, sf)
+    path = scratch_path(spark, "model")
+    PL.save_model(spark, m, path)
+    f = FE.extract_features(FX.auth_events(spark, sf), Params())
+    return PL.infer(spark, f, Params(), model_path=path).select("event_id", "raw_score", "is_anomaly", "risk_level")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch detection cycle: incidents with ATT&CK, actions, explanation."""
+    apply_defaults(spark)
+    p = Params()
+    m = trained_model(spark, sf, p)
+    res = PL.cycle(spark, FX.auth_events(spark, sf), m, p)
+    return res.incidents
+
+
+@register("pipe_cycle_batch")
+def q_pipe_cycle_batch(spark, sf):
+    return flagship(spark, sf)
+
+
+# ----------------------------------------------------------------- ATT&CK
+
+_RULES = OS.rules_sql()
+
+
+def _techs(df: DataFrame):
+    return AT.technique_ids_from(df, QP)
+
+
+@register("attack_rules", f"select event_id, {_RULES} as techniques from ({_FSQL}) f")
+def q_attack_rules(spark, sf):
+    f = features_df(spark, sf)
+    return f.select("event_id", F.array_join(_techs(f), ",").alias("techniques"))
+
+
+_TECH_ROWS = f"""with f as ({_FSQL}), r as (select event_id, {_RULES} as ids from f),
+u as (select event_id, unnest(string_split(ids, ',')) as tid, generate_subscripts(string_split(ids, ','), 1) as pos from r where ids <> ''),
+d as ({OS.dim_sql()}),
+j as (select u.event_id, u.pos, d.* from u join d on d.technique_id = u.tid)"""
+
+
+@register("attack_enrich", _TECH_ROWS + """
+select event_id, string_agg(name, '|' order by pos) as technique_names, string_agg(tactic, '|' order by pos) as technique_tactics
+from j group by event_id""")
+def q_attack_enrich(spark, sf):
+    f = features_df(spark, sf)
+    t = AT.enrich(_techs(f))
+    return (f.select("event_id", t.alias("t")).where(F.size("t") > 0)
+            .select("event_id", F.array_join(F.transform("t", lambda x: x["name"]), "|").alias("technique_names"),
+                    F.array_join(F.transform("t", lambda x: x["tactic"]), "|").alias("technique_tactics")))
+
+
+@register("attack_tactics", _TECH_ROWS + """
+select event_id, array_to_string(list_sort(list_distinct(list(tactic))), ',') as tactics from j group by event_id""")
+def q_attack_tactics(spark, sf):
+    f = features_df(spark, sf)
+    t = AT.enrich(_techs(f))
+    return (f.select("event_id", t.alias("t")).where(F.size("t") > 0)
+            .select("event_id", F.array_join(AT.tactics(F.col("t")), ",").alias("tactics")))
+
+
+@register("attack_dim", _TECH_ROWS + """
+select d.technique_id, d.name, d.tactic, d.description, coalesce(h.hits, 0)::bigint as hits
+from d left join (select technique_id, count(*) as hits from j group by technique_id) h using (technique_id)""")
+def q_attack_dim(spark, sf):
+    f = features_df(spark, sf)
+    hits = (f.select(F.explode(_techs(f)).alias("technique_id")).groupBy("technique_id")
+            .agg(F.count(F.lit(1)).alias("hits")))
+    dim = AT.attack_dim(spark)
+    return (dim.join(F.broadcast(hits), "technique_id", "left")
+            .select("technique_id", "name", "tactic", "description",
+                    F.coalesce("hits", F.lit(0)).cast("long").alias("hits")))
+
+
+@register("attack_lookup", f"""with e as ({FX.auth_sql('duckdb')}), d as ({OS.dim_sql()})
+select e.event_id, 'T' || cast(1100 + e.k as varchar) as lookup_id, d.name as technique_name, d.tactic as technique_tactic
+from e left join d on d.technique_id = 'T' || cast(1100 + e.k as varchar)""")
+def q_attack_lookup(spark, sf):
+    e = FX.auth_events(spark, sf).select("event_id", F.concat(F.lit("T"), (F.lit(1100) + F.col("k")).cast("string")).alias("lookup_id"))
+    return AT.attack_lookup(e, "lookup_id", AT.attack_dim(spark)).select(
+        "event_id", "lookup_id", "technique_name", "technique_tactic")
+
+
+# ----------------------------------------------------------------- response
+
+def actions_df(spark, sf, p: Params = QP) -> DataFrame:
+    return RS.decide(scored_df(spark, sf, p).where("is_anomaly"), p)
+
+
+_ACTS = "with " + OS.actions_sql(_SCORED).strip()
+
+
+@register("resp_severity_at_least", f"""with l as (select event_id, {OS.risk_sql('anomaly_score')} as risk_level from ({_SCORED}) s),
+o as (select *, case risk_level when 'NORMAL' then 1 when 'LOW' then 2 when 'MEDIUM' then 3 when 'HIGH' then 4 when 'CRITICAL' then 5 end as lv from l)
+select event_id, risk_level, lv >= 3 as at_least_medium, lv >= 4 as at_least_high, lv >= 5 as at_least_critical,
+  false as at_least_unknown from o""")
+def q_resp_severity_at_least(spark, sf):
+    s = scored_df(spark, sf)
+    lvl = F.col("risk_level")
+    return s.select("event_id", "risk_level", RS.severity_at_least(lvl, "MEDIUM").alias("at_least_medium"),
+                    RS.severity_at_least(lvl, "HIGH").alias("at_least_high"),
+                    RS.severity_at_least(lvl, "CRITICAL").alias("at_least_critical"),
+                    RS.severity_at_least(lvl, "SEVERE").alias("at_least_unknown"))
+
+
+@register("resp_decide", _ACTS + " select event_id, seq, action_type, target, reason, severity from acts")
+def q_resp_decide(spark, sf):
+    return actions_df(spark, sf).select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target",
+                                        "reason", "severity")
+
+
+@register("resp_cooldown_param", _ACTS + """ select event_id, seq, action_type,
+  case action_type when 'lock_account' then 300 when 'block_ip' then 600 when 'terminate_session' then 180 else 300 end::bigint as cooldown_seconds
+  from acts""")
+def q_resp_cooldown_param(spark, sf):
+    a = actions_df(spark, sf)
+    return a.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type",
+                    RS.cooldown_seconds(F.col("action_type"), QP).alias("cooldown_seconds"))
+
+
+_QPX = QP.with_(enable_actions=True)
+
+
+@register("resp_cooldown", _ACTS + "," + OS.cooldown_sql(True).strip()
+          + " select event_id, seq, action_type, target, allowed from cooled")
+def q_resp_cooldown(spark, sf):
+    a = RS.apply_cooldown(actions_df(spark, sf), _QPX)
+    return a.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target", "allowed")
+
+
+@register("resp_outcome", _ACTS + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
+          + " select event_id, seq, status, status = 'executed' as success, result_message from outc")
+def q_resp_outcome(spark, sf):
+    o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
+    return o.select("event_id", F.col("seq").cast("int").alias("seq"), "status", "success", "result_message")
+
+
+@register("resp_reversal_text", _ACTS + "," + OS.cooldown_sql(True).strip() + "," + OS.outcome_sql().strip()
+          + " select event_id, seq, status, result_message, reversal_command from outc")
+def q_resp_reversal_text(spark, sf):
+    o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf, _QPX), _QPX), _QPX)
+    return o.select("event_id", F.col("seq").cast("int").alias("seq"), "status", "result_message", "reversal_command")
+
+
+@register("resp_audit_record", _ACTS + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
+          + """ select event_id, seq, action_type, target, severity, true as success, result_message,
+  'devilnet_engine' as executed_by, reversal_command, strftime(ts, '%Y-%m-%d') as date from outc where status = 'executed'""")
+def q_resp_audit_record(spark, sf):
+    o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
+    a = RS.audit_records(o.withColumn("_seq", F.col("seq").cast("int")).withColumn("event_id", F.col("event_id")))
+    return (o.where("status = 'executed'").select(
+        "event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target", "severity", "success",
+        "result_message", F.lit("devilnet_engine").alias("executed_by"), "reversal_command",
+        F.date_format("event_time", "yyyy-MM-dd").alias("date"))
+        if a is not None else None)
+
+
+# ----------------------------------------------------------------- reports
+
+def anomalies_df(spark, sf):
+    return scored_df(spark, sf).where("is_anomaly")
+
+
+def incidents_df(spark, sf):
+    return RP.incidents(anomalies_df(spark, sf), QP)
+
+
+_ANOM = f"select * from ({_SCORED}) s where is_anomaly"
+
+
+@register("rep_incident_id", f"select event_id, {OS.incident_id_sql()} as incident_id from ({_ANOM}) a")
+def q_rep_incident_id(spark, sf):
+    return RP.incident_ids(anomalies_df(spark, sf)).select("event_id", "incident_id")
+
+
+@register("rep_feature_subset", f"""select event_id, ip_failed_logins, ip_unique_users_attempted, ip_failed_to_success_ratio,
+  user_new_ip_detected, user_first_sudo_usage, user_failed_sudo_attempts, session_login_to_privesc_seconds,
+  session_lolbin_executed from ({_ANOM}) a""")
+def q_rep_feature_subset(spark, sf):
+    return anomalies_df(spark, sf).select("event_id", RP.feature_subset().alias("f")).select("event_id", "f.*")
+
+
+@register("rep_kill_chain", f"""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || ' ' || event_type || ': ' ||
+  coalesce(source_ip, 'unknown') || ' -> ' || coalesce(username, 'unknown') as kill_chain from ({_ANOM}) a""")
+def q_rep_kill_chain(spark, sf):
+    a = anomalies_df(spark, sf)
+    kc = RP.kill_chain(F.col("event_time"), F.col("event_type"), F.col("source_ip"), F.col("username"))
+    return a.select("event_id", F.array_join(F.transform(kc, lambda e: F.concat_ws(" ", e["timestamp"], e["description"])), ";")
+                    .alias("kill_chain"))
+
+
+@register("rep_alert", f"""select {OS.incident_id_sql()} as incident_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as timestamp,
+  {OS.risk_sql('anomaly_score')} as severity, event_type, source_ip, username, anomaly_score,
+  {OS.explanation_sql()} as explanation from ({_ANOM}) a""")
+def q_rep_alert(spark, sf):
+    al = RP.alerts(incidents_df(spark, sf))
+    return al.withColumn("timestamp", F.date_format("timestamp", RP.ISO))
+
+
+def _text_sql() -> str:
+    eq, dash = "=" * 80, "-" * 80
+    contrib = OS.contributions_list_sql()
+    return f"""{_TECH_ROWS.replace('with f as (' + _FSQL + ')', 'with f as (' + _ANOM + ')')},
+techs as (select event_id, string_agg('  - ' || technique_id || ': ' || name || ' (' || tactic || ')', chr(10) order by pos) as tl,
+            array_to_string(list_sort(list_distinct(list(tactic))), ', ') as tac from j group by event_id),
+a as (select x.*, {OS.incident_id_sql()} as incident_id, {OS.risk_sql('anomaly_score')} as severity,
+        least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation, {contrib} as c
+      from f x)
+select a.incident_id, concat_ws(chr(10),
+  '{eq}', 'SECURITY INCIDENT REPORT', '{eq}', '',
+  'Incident ID: ' || a.incident_id, 'Timestamp: ' || strftime(a.ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Severity: ' || a.severity, '',
+  'INCIDENT SUMMARY', '{dash}', 'Event Type: ' || a.event_type,
+  case when coalesce(a.source_ip, '') <> '' then 'Source IP: ' || a.source_ip end,
+  case when coalesce(a.username, '') <> '' then 'Target User: ' || a.username end,
+  'Anomaly Score: ' || printf('%.3f', round(a.anomaly_score, 3)),
+  'ML Confidence: ' || printf('%.1f%%', round(a.confidence * 100.0, 1)), '',
+  'MITRE ATT&CK COVERAGE', '{dash}', 'Tactics: ' || coalesce(t.tac, ''), '', 'Techniques:', t.tl, '',
+  'KILL CHAIN TIMELINE', '{dash}',
+  '1. [' || strftime(a.ts, '%Y-%m-%dT%H:%M:%S.%f') || '] ' || a.event_type || ': ' || coalesce(a.source_ip, 'unknown') || ' -> ' || coalesce(a.username, 'unknown'),
+  '', 'MACHINE LEARNING ANALYSIS', '{dash}', 'Explanation: ' || a.explanation, '', 'Contributing Features:',
+  case when len(a.c) > 0 then array_to_string(list_transform(a.c, lambda x: '  - ' || x.name || ': ' || printf('%.3f', round(x.value, 3))), chr(10)) end,
+  '', '{eq}') as text
+from a left join techs t using (event_id)"""
+
+
+@register("rep_text", _text_sql())
+def q_rep_text(spark, sf):
+    return incidents_df(spark, sf).select("incident_id", RP.text_report().alias("text"))
+
+
+@register("rep_incident")
+def q_rep_incident(spark, sf):
+    return incidents_df(spark, sf)
+
+
+@register("rep_json")
+def q_rep_json(spark, sf):
+    return RP.report_json(incidents_df(spark, sf))
+
+
+from ..sinks import files as SK  # noqa: E402
+
+
+def _sink_roundtrip(spark, sf, fmt):
+    root = scratch_path(spark, "reports")
+    SK.save_reports(incidents_df(spark, sf), root, fmt)
+    return root
+
+
+@register("sink_report_json")
+def q_sink_report_json(spark, sf):
+    return spark.read.json(_sink_roundtrip(spark, sf, "json") + "/json")
+
+
+@register("sink_report_text")
+def q_sink_report_text(spark, sf):
+    return spark.read.text(_sink_roundtrip(spark, sf, "text") + "/text")
+
+
+@register("sink_report_format")
+def q_sink_report_format(spark, sf):
+    root = _sink_roundtrip(spark, sf, "both")
+    j = spark.read.json(root + "/json").select(F.lit("json").alias("format"), "date")
+    t = spark.read.text(root + "/text").where(F.col("value").startswith("Incident ID: ")).select(F.lit("text").alias("format"), "date")
+    return j.unionByName(t).groupBy("format", "date").count()
+
+
+@register("sink_alert_jsonl")
+def q_sink_alert_jsonl(spark, sf):
+    path = scratch_path(spark, "alerts")
+    al = RP.alerts(incidents_df(spark, sf))
+    SK.append_alerts(al, path)
+    SK.append_alerts(al, path)  # append twice: the stream only grows
+    return spark.read.json(path)
+
+
+@register("sink_response_jsonl")
+def q_sink_response_jsonl(spark, sf):
+    path = scratch_path(spark, "audit")
+    o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
+    SK.append_audit(RS.audit_records(o), path)
+    return spark.read.json(path)
+
+
+@register("ops_incident_count")
+def q_ops_incident_count(spark, sf):
+    return SK.incident_count(spark, _sink_roundtrip(spark, sf, "json"))
+
+
+# ----------------------------------------------------------------- ops tables
+
+_MET = FX.metrics_sql()
+
+
+def metrics_df(spark, sf):
+    apply_defaults(spark)
+    return FX.metrics(spark, sf)
+
+
+def _stats_sql(where: str = "true") -> str:
+    return f"""select component, count(*)::bigint as total_calls, round(sum(duration_ms), 6) as total_time_ms,
+  min(duration_ms) as min_time_ms, max(duration_ms) as max_time_ms, count(*) filter (where not success)::bigint as errors,
+  round(sum(duration_ms) / count(*), 6) as avg_time_ms, (count(*) - count(*) filter (where not success)) / count(*) as success_rate
+  from ({_MET}) m where {where} group by component"""
+
+
+def _stats_spark(df):
+    return df.select("component", "total_calls", F.round("total_time_ms", 6).alias("total_time_ms"), "min_time_ms",
+                     "max_time_ms", "errors", F.round("avg_time_ms", 6).alias("avg_time_ms"), "success_rate")
+
+
+@register("ops_component_stats", _stats_sql())
+def q_ops_component_stats(spark, sf):
+    return _stats_spark(OP.component_stats(metrics_df(spark, sf)))
+
+
+@register("ops_component_filter", _stats_sql("component = 'error'"))
+def q_ops_component_filter(spark, sf):
+    return _stats_spark(OP.component_filter(metrics_df(spark, sf), "error"))
+
+
+@register("ops_top_bottlenecks", f"""select component, operation, duration_ms, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') as timestamp
+  from ({_MET}) m where success order by duration_ms desc, timestamp, event_id limit 5""")
+def q_ops_top_bottlenecks(spark, sf):
+    return OP.top_bottlenecks(metrics_df(spark, sf)).withColumn("timestamp", F.date_format("timestamp", RP.ISO))
+
+
+@register("ops_retention", f"""select event_id, component, duration_ms from ({_MET}) m
+  where timestamp >= (select max(timestamp) from ({_MET}) x) - INTERVAL 3600 SECONDS""")
+def q_ops_retention(spark, sf):
+    return OP.retention(metrics_df(spark, sf), 3600).select("event_id", "component", "duration_ms")
+
+
+@register("ops_latest_n", f"select event_id, component from ({_MET}) m order by timestamp desc, event_id desc limit 10000")
+def q_ops_latest_n(spark, sf):
+    return OP.latest_n(metrics_df(spark, sf), 10000).select("event_id", "component")
+
+
+@register("ops_recommendations", f"""with s as (select component, count(*) as n, count(*) filter (where not success) as e,
+    sum(duration_ms) / count(*) as avg_ms from ({_MET}) m group by component),
+r as (select component, printf('Component ''%s'' has error rate %s%%. Review error logs for issues.', component,
+        printf('%.1f', round((1.0 - (n - e) / n) * 100.0, 1))) as recommendation from s where (n - e) / n < 0.95
+      union all select component, printf('Component ''%s'' has high latency (%sms avg). Consider optimization.', component,
+        printf('%.0f', round(avg_ms, 0))) from s where avg_ms > 100)
+select * from r union all select null, 'System performing normally.' where not exists (select 1 from r)""")
+def q_ops_recommendations(spark, sf):
+    return OP.recommendations(metrics_df(spark, sf))
+
+
+def cycles_df(spark, sf):
+    """Hourly detection cycles derived from the metrics view."""
+    m = metrics_df(spark, sf)
+    return (m.groupBy(F.date_trunc("hour", "timestamp").alias("cycle_id"))
+            .agg(F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"),
+                 (F.count_if(~F.col("success")) > 0).alias("failed"),
+                 F.count_if(F.col("duration_ms") > 100).alias("anomalies")))
+
+
+@register("ops_cycle_stats", f"""with c as (select date_trunc('hour', timestamp) as cycle_id, min(timestamp) as started_at,
+    max(timestamp) as ended_at, count(*) filter (where not success) > 0 as failed,
+    count(*) filter (where duration_ms > 100) as anomalies from ({_MET}) m group by 1)
+select count(*)::bigint as cycles_completed, count(*) filter (where failed)::bigint as cycles_failed,
+  sum(anomalies)::bigint as anomalies_detected,
+  (epoch(max(ended_at)) - epoch(min(started_at)))::bigint as uptime_seconds,
+  (count(*) - count(*) filter (where failed)) / greatest(count(*), 1) as success_rate from c""")
+def q_ops_cycle_stats(spark, sf):
+    return OP.cycle_stats(cycles_df(spark, sf)).select(
+        "cycles_completed", "cycles_failed", "anomalies_detected", F.col("uptime_seconds").cast("long").alias("uptime_seconds"),
+        "success_rate")
+
+
+@register("ops_recent_alerts", f"""select * from (select {OS.incident_id_sql()} as incident_id, ts,
+  {OS.risk_sql('anomaly_score')} as severity, event_type from ({_ANOM}) a) q order by ts desc, incident_id desc limit 10""")
+def q_ops_recent_alerts(spark, sf):
+    al = RP.alerts(incidents_df(spark, sf))
+    return OP.recent(al, 10).select("incident_id", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "severity", "event_type")

@@ -76,7 +76,7 @@ select p.event_id, p.event_type, p.ts, p.ip as source_ip, p.usr as username,
   coalesce(ipw.f / ipw.n, 0.0) as ip_failed_to_success_ratio,
   case when ipw.n >= 2 then date_diff('microsecond', ipw.tmin, p.ts) / 1e6 / (ipw.n - 1) else 0.0 end as ip_avg_inter_attempt_seconds,
   coalesce(ipw.m / ipw.n, 0.0) as ip_auth_method_variance,
-  round(coalesce(usw.std, 0.0), 6) as user_login_time_std_devs,
+  coalesce(usw.std, 0.0) as user_login_time_std_devs,
   {"(p.usr is null or p.ip is null)" if compat else "coalesce(ipw.new_ip, false)"} as user_new_ip_detected,
   {"false" if compat else "coalesce(usw.first_sudo, false)"} as user_first_sudo_usage,
   coalesce(usw.fs, 0)::bigint as user_failed_sudo_attempts,
@@ -145,3 +145,123 @@ select event_id, source,
   value as raw_line
 from r
 """
+
+
+# ----------------------------------------------------------------- shared pieces
+
+def scored_sql(compat: bool = False) -> str:
+    """Features + deterministic fixture score (no forest) per event."""
+    return f"""select f.*, e.value, -(e.value / (e.value + 50.0)) as raw_score,
+  e.value / (e.value + 50.0) as anomaly_score, e.value >= 50.0 as is_anomaly
+from ({features_sql(compat=compat)}) f join (select event_id, value from events) e using (event_id)"""
+
+
+def risk_sql(score: str) -> str:
+    return (f"case when {score} >= 0.9 then 'CRITICAL' when {score} >= 0.8 then 'HIGH' "
+            f"when {score} >= 0.6 then 'MEDIUM' when {score} >= 0.4 then 'LOW' else 'NORMAL' end")
+
+
+def rules_sql() -> str:
+    """Technique ids in rule order, comma separated ('' when none)."""
+    return """concat_ws(',',
+    case when event_type = 'login_failed' and ip_failed_logins > 5 then 'T1110,T1110.001' end,
+    case when event_type = 'invalid_user_attempt' then 'T1110' end,
+    case when event_type = 'login_success' and ip_failed_to_success_ratio > 0.5 then 'T1110.004,T1078' end,
+    case when event_type = 'login_success' and user_new_ip_detected then 'T1078,T1078.001' end,
+    case when instr(event_type, 'sudo') > 0 then 'T1548,T1548.003' end,
+    case when event_type = 'sudo_success' and user_first_sudo_usage then 'T1548' end,
+    case when event_type = 'sudo_failure' and user_failed_sudo_attempts > 3 then 'T1548.003' end,
+    case when session_login_to_privesc_seconds > 0 and session_login_to_privesc_seconds < 60 then 'T1548' end,
+    case when session_lolbin_executed then 'T1059.004,T1105' end)"""
+
+
+def dim_sql() -> str:
+    rows = ", ".join(f"({_q(i)}, {_q(n)}, {_q(t)}, {_q(d)}, {k})" for k, (i, n, t, d, _) in enumerate(K.TECHNIQUES))
+    return f"select * from (values {rows}) d(technique_id, name, tactic, description, dim_pos)"
+
+
+def explanation_sql() -> str:
+    return """case when not is_anomaly then 'Event appears normal'
+  when coalesce(concat_ws('; ',
+    case when ip_failed_logins > 5 then printf('High failed login attempts (%d)', ip_failed_logins) end,
+    case when ip_unique_users_attempted > 5 then printf('Scanning multiple users (%d)', ip_unique_users_attempted) end,
+    case when ip_failed_to_success_ratio > 0.7 then 'High failure rate (' || printf('%.1f%%', round(ip_failed_to_success_ratio * 100.0, 1)) || ')' end,
+    case when user_new_ip_detected then 'Login from new IP address' end,
+    case when user_first_sudo_usage then 'First sudo usage for user' end,
+    case when user_failed_sudo_attempts > 3 then printf('Multiple failed sudo attempts (%d)', user_failed_sudo_attempts) end,
+    case when session_login_to_privesc_seconds > 0 and session_login_to_privesc_seconds < 60 then printf('Rapid privilege escalation (%ds after login)', cast(trunc(session_login_to_privesc_seconds) as bigint)) end,
+    case when session_lolbin_executed then 'Potential LOLBin execution detected' end), '') = ''
+  then 'Anomaly detected but specific factors unclear'
+  else 'Possible attack detected: ' || concat_ws('; ',
+    case when ip_failed_logins > 5 then printf('High failed login attempts (%d)', ip_failed_logins) end,
+    case when ip_unique_users_attempted > 5 then printf('Scanning multiple users (%d)', ip_unique_users_attempted) end,
+    case when ip_failed_to_success_ratio > 0.7 then 'High failure rate (' || printf('%.1f%%', round(ip_failed_to_success_ratio * 100.0, 1)) || ')' end,
+    case when user_new_ip_detected then 'Login from new IP address' end,
+    case when user_first_sudo_usage then 'First sudo usage for user' end,
+    case when user_failed_sudo_attempts > 3 then printf('Multiple failed sudo attempts (%d)', user_failed_sudo_attempts) end,
+    case when session_login_to_privesc_seconds > 0 and session_login_to_privesc_seconds < 60 then printf('Rapid privilege escalation (%ds after login)', cast(trunc(session_login_to_privesc_seconds) as bigint)) end,
+    case when session_lolbin_executed then 'Potential LOLBin execution detected' end) end"""
+
+
+def contributions_list_sql() -> str:
+    """Sorted contribution structs (k = -value, idx, name, value), kept > 0.1."""
+    items = ", ".join(
+        f"{{'k': -least(abs({n}::double), 1.0), 'idx': {i}, 'name': '{n}', 'value': least(abs({n}::double), 1.0)}}"
+        for i, n in enumerate(K.FEATURE_NAMES))
+    return f"list_sort(list_filter([{items}], lambda x: x.value > 0.1))"
+
+
+def actions_sql(scored: str) -> str:
+    """Decisions per anomaly (default thresholds), one row per action."""
+    return f"""
+lvl as (select *, case risk_level when 'NORMAL' then 1 when 'LOW' then 2 when 'MEDIUM' then 3
+          when 'HIGH' then 4 when 'CRITICAL' then 5 end as lv
+        from (select *, {risk_sql('anomaly_score')} as risk_level from ({scored}) s where is_anomaly) a),
+acts as (
+  select event_id, 0 as seq, 'alert_only' as action_type, coalesce(username, 'unknown') as target,
+    'Anomaly detected: ' || event_type || ' (score: ' || printf('%.2f', round(anomaly_score, 2)) || ')' as reason,
+    risk_level as severity, ts from lvl
+  union all select event_id, 1, 'block_ip', coalesce(source_ip, 'unknown'), 'Blocking IP after ' || event_type, risk_level, ts from lvl where lv >= 4
+  union all select event_id, 2, 'lock_account', coalesce(username, 'unknown'), 'Locking account after ' || event_type, risk_level, ts from lvl where lv >= 4
+  union all select event_id, 3, 'terminate_session', coalesce(username, 'unknown'),
+    'Terminating sessions for ' || coalesce(username, 'unknown') || ' (CRITICAL)', risk_level, ts from lvl where lv >= 5
+)"""
+
+
+def cooldown_sql(enable_actions: bool) -> str:
+    """Greedy cooldown as a recursive chain per action:target (after actions_sql)."""
+    live = "true" if enable_actions else "action_type = 'alert_only'"
+    return f"""
+ca as (select *, action_type || ':' || target as k, epoch_us(ts) as t,
+         case action_type when 'lock_account' then 300 when 'block_ip' then 600 when 'terminate_session' then 180 else 300 end as cd_s,
+         {live} as live
+       from acts),
+ord as (select *, row_number() over (partition by k order by t, event_id, seq) as rn from ca where live),
+nxt as (select a.k, a.rn, min(b.rn) as nrn from ord a left join ord b on a.k = b.k and b.t >= a.t + a.cd_s * 1000000
+        group by a.k, a.rn),
+chain(k, rn) as (select k, rn from ord where rn = 1
+                 union all select n.k, n.nrn from chain c join nxt n on n.k = c.k and n.rn = c.rn where n.nrn is not null),
+cooled as (select ca.*, case when not ca.live then true else c.rn is not null end as allowed
+           from ca left join ord o on o.event_id = ca.event_id and o.seq = ca.seq
+           left join chain c on c.k = o.k and c.rn = o.rn)"""
+
+
+def outcome_sql() -> str:
+    return """
+outc as (select *,
+  case when not allowed then 'blocked_cooldown' when not live then 'dry_run' else 'executed' end as status,
+  case when not allowed then printf('Action blocked by cooldown (cooldown: %ds)', cd_s)
+       when not live then 'Automated actions disabled (dry-run mode)'
+       when action_type = 'lock_account' then printf('Account %s locked (simulated)', target)
+       when action_type = 'block_ip' then printf('IP %s blocked (simulated)', target)
+       when action_type = 'terminate_session' then printf('Sessions for %s terminated (simulated)', target)
+       else 'Alert: ' || reason end as result_message,
+  case when allowed and live then
+    case action_type when 'lock_account' then 'usermod -U ' || target
+                     when 'block_ip' then 'iptables -D INPUT -s ' || target || ' -j DROP' end end as reversal_command
+  from cooled)"""
+
+
+def incident_id_sql() -> str:
+    return ("'INC-' || strftime(ts, '%Y%m%d') || '-' || "
+            "lpad(cast(row_number() over (partition by cast(ts as date) order by ts, event_id) as varchar), 6, '0')")

@@ -218,6 +218,7 @@ def audit_records(outcomes: DataFrame) -> DataFrame:
     return (outcomes.where(c("status") == "executed")
             .select(F.to_date("event_time").alias("date"),
                     F.struct(c("action_type"), c("target"), c("reason"), c("severity"),
-                             c("event_time").alias("timestamp"), c("event_id"), c("is_reversible")).alias("action"),
+                             c("event_time").alias("timestamp"), c("event_id"), c("seq"),
+                             c("is_reversible")).alias("action"),
                     c("success"), c("result_message"), c("event_time").alias("executed_at"),
                     F.lit(K.EXECUTED_BY).alias("executed_by"), c("reversal_command")))

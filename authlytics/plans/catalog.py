@@ -452,6 +452,7 @@ def actions_df(spark, sf, p: Params = QP) -> DataFrame:
 
 
 _ACTS = "with " + OS.actions_sql(_SCORED).strip()
+_ACTS_REC = "with recursive " + OS.actions_sql(_SCORED).strip()
 
 
 @register("resp_severity_at_least", f"""with l as (select event_id, {OS.risk_sql('anomaly_score')} as risk_level from ({_SCORED}) s),
@@ -485,38 +486,36 @@ def q_resp_cooldown_param(spark, sf):
 _QPX = QP.with_(enable_actions=True)
 
 
-@register("resp_cooldown", _ACTS + "," + OS.cooldown_sql(True).strip()
+@register("resp_cooldown", _ACTS_REC + "," + OS.cooldown_sql(True).strip()
           + " select event_id, seq, action_type, target, allowed from cooled")
 def q_resp_cooldown(spark, sf):
     a = RS.apply_cooldown(actions_df(spark, sf), _QPX)
     return a.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target", "allowed")
 
 
-@register("resp_outcome", _ACTS + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
+@register("resp_outcome", _ACTS_REC + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
           + " select event_id, seq, status, status = 'executed' as success, result_message from outc")
 def q_resp_outcome(spark, sf):
     o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
     return o.select("event_id", F.col("seq").cast("int").alias("seq"), "status", "success", "result_message")
 
 
-@register("resp_reversal_text", _ACTS + "," + OS.cooldown_sql(True).strip() + "," + OS.outcome_sql().strip()
+@register("resp_reversal_text", _ACTS_REC + "," + OS.cooldown_sql(True).strip() + "," + OS.outcome_sql().strip()
           + " select event_id, seq, status, result_message, reversal_command from outc")
 def q_resp_reversal_text(spark, sf):
     o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf, _QPX), _QPX), _QPX)
     return o.select("event_id", F.col("seq").cast("int").alias("seq"), "status", "result_message", "reversal_command")
 
 
-@register("resp_audit_record", _ACTS + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
+@register("resp_audit_record", _ACTS_REC + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
           + """ select event_id, seq, action_type, target, severity, true as success, result_message,
   'devilnet_engine' as executed_by, reversal_command, strftime(ts, '%Y-%m-%d') as date from outc where status = 'executed'""")
 def q_resp_audit_record(spark, sf):
     o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
-    a = RS.audit_records(o.withColumn("_seq", F.col("seq").cast("int")).withColumn("event_id", F.col("event_id")))
-    return (o.where("status = 'executed'").select(
-        "event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target", "severity", "success",
-        "result_message", F.lit("devilnet_engine").alias("executed_by"), "reversal_command",
-        F.date_format("event_time", "yyyy-MM-dd").alias("date"))
-        if a is not None else None)
+    a = RS.audit_records(o)
+    return a.select("action.event_id", F.col("action.seq").cast("int").alias("seq"), "action.action_type",
+                    "action.target", "action.severity", "success", "result_message", "executed_by",
+                    "reversal_command", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 # ----------------------------------------------------------------- reports
@@ -567,9 +566,9 @@ def _text_sql() -> str:
     return f"""{_TECH_ROWS.replace('with f as (' + _FSQL + ')', 'with f as (' + _ANOM + ')')},
 techs as (select event_id, string_agg('  - ' || technique_id || ': ' || name || ' (' || tactic || ')', chr(10) order by pos) as tl,
             array_to_string(list_sort(list_distinct(list(tactic))), ', ') as tac from j group by event_id),
-a as (select x.*, {OS.incident_id_sql()} as incident_id, {OS.risk_sql('anomaly_score')} as severity,
+a as (select src.*, {OS.incident_id_sql()} as incident_id, {OS.risk_sql('anomaly_score')} as severity,
         least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation, {contrib} as c
-      from f x)
+      from f src)
 select a.incident_id, concat_ws(chr(10),
   '{eq}', 'SECURITY INCIDENT REPORT', '{eq}', '',
   'Incident ID: ' || a.incident_id, 'Timestamp: ' || strftime(a.ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Severity: ' || a.severity, '',

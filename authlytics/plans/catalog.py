@@ -737,3 +737,162 @@ def q_ops_cycle_stats(spark, sf):
 def q_ops_recent_alerts(spark, sf):
     al = RP.alerts(incidents_df(spark, sf))
     return OP.recent(al, 10).select("incident_id", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "severity", "event_type")
+
+
+# ----------------------------------------------------------------- streaming
+
+from pyspark.sql import types as T  # noqa: E402
+
+from ..streaming import stream as ST  # noqa: E402
+
+N_SEGMENTS = 5
+
+
+def write_segments(df: DataFrame, ts_col: str, root: str, fmt: str = "parquet", n: int = N_SEGMENTS) -> str:
+    """Land ``df`` as n time-ordered segments ``root/seg=i`` (written one after
+    another, so file modification times follow event time)."""
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    step = (hi - lo) // n + 1
+    for i in range(n):
+        part = df.where((t >= F.lit(lo + i * step)) & (t < F.lit(lo + (i + 1) * step)))
+        w = part.drop(ts_col) if fmt == "text" else part
+        w.coalesce(1).write.mode("overwrite").format(fmt).save(f"{root}/seg={i}")
+    return root
+
+
+def _stream_read(spark, root, schema: T.StructType, fmt: str = "parquet"):
+    sch = T.StructType(schema.fields + [T.StructField("seg", T.IntegerType())])
+    return (spark.readStream.format(fmt).schema(sch).option("maxFilesPerTrigger", 1).load(root).drop("seg"))
+
+
+def _run_foreach(stream_df, fn, name):
+    q = (stream_df.writeStream.foreachBatch(fn)
+         .option("checkpointLocation", scratch_path(stream_df.sparkSession, f"ck-{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+@register("stream_features", f"select event_id, " + ", ".join(
+    f"round({c}, 6) as {c}" if c in DOUBLE_FEATURES else c for c in K.FEATURE_NAMES) + f" from ({_FSQL}) f")
+def q_stream_features(spark, sf):
+    """Streaming = batch: the events land in five time-ordered segments; each
+    micro-batch runs the batch operators on (new rows + retained history)."""
+    apply_defaults(spark)
+    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
+    root = write_segments(ev, "event_time", scratch_path(spark, "landing-events"))
+    state = ST.FeatureState(scratch_path(spark, "fstate"), QP)
+    _run_foreach(_stream_read(spark, root, ev.schema), lambda b, i: state.step(b.sparkSession, b, i), "features")
+    out = spark.read.parquet(f"{state.root}/features")
+    return _feature_select(out, list(K.FEATURE_NAMES))
+
+
+@register("src_incremental", f"""select source, event_type, username, source_ip, source_port, auth_method, service, raw_line
+  from ({OS.parsed_sql(f"select event_id * 10 as event_id, raw_line as value, source from ({FX.events_sql('duckdb')}) e")}) p""")
+def q_src_incremental(spark, sf):
+    """New log segments picked up incrementally (one file per trigger),
+    exactly once via the stream checkpoint."""
+    apply_defaults(spark)
+    ev = FX.auth_events(spark, sf)
+    roots = {}
+    for src in ("auth_log", "audit_log"):
+        lines = ev.where(F.col("source") == src).select(F.col("raw_line").alias("value"), "event_time")
+        roots[src] = write_segments(lines, "event_time", scratch_path(spark, f"landing-{src}"), fmt="text")
+    out = scratch_path(spark, "incremental-out")
+    streams = [spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(r)
+               .drop("seg").withColumn("source", F.lit(s)) for s, r in roots.items()]
+    lines = streams[0].unionByName(streams[1])
+
+    def run(b, i):
+        parse_lines(b, year=2024).write.mode("overwrite").parquet(f"{out}/batch={i}")
+    _run_foreach(lines, run, "incremental")
+    return spark.read.parquet(out).select("source", "event_type", "username", "source_ip", "source_port",
+                                          "auth_method", "service", "raw_line")
+
+
+@register("stream_ip_window_agg", f"""with a as ({FX.auth_sql('duckdb')}),
+w as (select a.*, date_trunc('minute', ts) - to_minutes(g.k) as ws from a, (select unnest(range(0, 5)) as k) g
+      where a.source_ip is not null)
+select epoch_us(ws) as window_start_us, source_ip, count(*)::bigint as events,
+  sum(case when instr(event_type, 'failed') > 0 then 1 else 0 end)::bigint as failed,
+  count(distinct username)::bigint as unique_users from w group by ws, source_ip""")
+def q_stream_ip_window_agg(spark, sf):
+    apply_defaults(spark)
+    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
+    root = write_segments(ev, "event_time", scratch_path(spark, "landing-win"))
+    out = scratch_path(spark, "win-out")
+    agg = ST.ip_window_counts(_stream_read(spark, root, ev.schema))
+    q = (agg.writeStream.outputMode("complete")
+         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out))
+         .option("checkpointLocation", scratch_path(spark, "ck-win")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select(
+        F.unix_micros(F.col("w.start")).alias("window_start_us"), "source_ip",
+        F.col("events").cast("long").alias("events"), F.col("failed").cast("long").alias("failed"),
+        F.col("unique_users").cast("long").alias("unique_users"))
+
+
+@register("stream_cooldown", _ACTS_REC + "," + OS.cooldown_sql(True).strip()
+          + " select event_id, seq, action_type, target, allowed from cooled")
+def q_stream_cooldown(spark, sf):
+    apply_defaults(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    acts = actions_df(spark, sf, _QPX).select("event_id", F.col("seq").cast("int").alias("seq"),
+                                               "action_type", "target", "event_time")
+    root = write_segments(acts, "event_time", scratch_path(spark, "landing-acts"))
+    out = scratch_path(spark, "cool-out")
+    res = ST.cooldown_stream(_stream_read(spark, root, acts.schema), _QPX)
+    q = (res.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck-cool")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "seq", "action_type", "target", "allowed")
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    apply_defaults(spark)
+    p = Params()
+    m = trained_model(spark, sf, p)
+    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
+    root = write_segments(ev, "event_time", scratch_path(spark, "landing-score"))
+    state = ST.FeatureState(scratch_path(spark, "sstate"), p)
+    out = scratch_path(spark, "score-out")
+
+    def run(b, i):
+        f = state.step(b.sparkSession, b, i)
+        PL.score_features(f, m, p).write.mode("overwrite").parquet(f"{out}/batch={i}")
+    _run_foreach(_stream_read(spark, root, ev.schema), run, "score")
+    return spark.read.parquet(out).select("event_id", "raw_score", "is_anomaly", "risk_level", "explanation")
+
+
+def _cycle_stream(spark, sf, trigger):
+    apply_defaults(spark)
+    p = Params()
+    m = trained_model(spark, sf, p)
+    ev = FX.auth_events(spark, sf)
+    landing = {}
+    for src in ("auth_log", "audit_log"):
+        lines = ev.where(F.col("source") == src).select(F.col("raw_line").alias("value"), "event_time")
+        base = scratch_path(spark, f"cyc-{src}")
+        write_segments(lines, "event_time", base, fmt="text")
+        landing[src] = base
+    out = scratch_path(spark, "cycle-out")
+    q = ST.detection_stream(spark, landing, m, out, p, trigger=trigger, max_files_per_trigger=1)
+    if "availableNow" in trigger:
+        q.awaitTermination()
+    else:
+        q.processAllAvailable()
+        q.stop()
+    return spark.read.json(f"{out}/reports/json")
+
+
+@register("pipe_cycle_once")
+def q_pipe_cycle_once(spark, sf):
+    return _cycle_stream(spark, sf, {"availableNow": True})
+
+
+@register("pipe_monitor")
+def q_pipe_monitor(spark, sf):
+    return _cycle_stream(spark, sf, {"processingTime": "5 seconds"})

@@ -199,7 +199,7 @@ class CooldownProcessor(StatefulProcessor):
         self.cooldowns, self.default, self.enable, self.ttl = cooldowns, default, enable_actions, ttl_ms
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last_allowed", "t long", self.ttl)
+        self.last = handle.getValueState("last_allowed", "t long")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "event_id", "seq"], kind="mergesort")

@@ -17,6 +17,7 @@ fan-out, cooldown across micro-batches.
 
 from __future__ import annotations
 
+import datetime
 import time
 from dataclasses import dataclass, field
 
@@ -38,6 +39,10 @@ from ..sinks import files as SK
 EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message"]
 
 
+def _utc(seconds: float) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(seconds, tz=datetime.timezone.utc)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -156,7 +161,7 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
                     .agg(F.max("last_allowed_us").alias("last_allowed_us")))
         last.write.mode("overwrite").parquet(f"{out_root}/cooldown/v={batch_id}")
         n_anom = sp.read.parquet(f"{out_root}/actions/batch={batch_id}").select("event_id").distinct().count()
-        sp.createDataFrame([(batch_id, pd.Timestamp(started, unit="s"), pd.Timestamp(time.time(), unit="s"), False, n_anom)],
+        sp.createDataFrame([(batch_id, _utc(started), _utc(time.time()), False, n_anom)],
                            "cycle_id long, started_at timestamp, ended_at timestamp, failed boolean, anomalies long") \
             .write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
 

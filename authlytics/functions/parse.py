@@ -19,6 +19,20 @@ AUDIT_SOURCE = "audit_log"
 # kind codes of the CASE
 _FAILED, _SUCCESS, _INVALID, _SUDO_OK, _SUDO_FAIL, _UNKNOWN, _EXEC = 1, 2, 3, 4, 5, 6, 7
 
+# Java's "." excludes \r and other line separators; (?d) makes \n the only
+# terminator, as in the reference's Python patterns.
+_UNIX = "(?d)"
+_SEP = "\u0001"
+
+# pattern -> (kind, number of capture groups)
+_PATTERNS = (
+    (K.RE_SSH_FAILED, _FAILED, 4),      # stamp, user, ip, port
+    (K.RE_SSH_SUCCESS, _SUCCESS, 5),    # stamp, method, user, ip, port
+    (K.RE_SSH_INVALID, _INVALID, 4),    # stamp, user, ip, port
+    (K.RE_SUDO_SUCCESS, _SUDO_OK, 6),   # stamp, user, tty, pwd, runas, command
+    (K.RE_SUDO_FAILURE, _SUDO_FAIL, 2),  # stamp, user
+)
+
 
 def _ssh(v: Column) -> Column:
     return F.instr(v, "sshd[") > 0
@@ -28,25 +42,32 @@ def _sudo(v: Column) -> Column:
     return F.instr(v, "sudo: ") > 0
 
 
-def kind_expr(v: Column, source: Column) -> Column:
-    """Pattern that wins for a line, or null when the line yields no event."""
+def _groups(v: Column, pattern: str, kind: int, n: int) -> Column:
+    """'<kind>|g1|g2|..' from one anchored replace: the lazy prefix finds the
+    leftmost match, exactly like a search, and all groups come out of a single
+    regex run instead of one run per group."""
+    rep = _SEP.join(f"${i}" for i in range(1, n + 1))
+    return F.concat(F.lit(f"{kind}{_SEP}"), F.regexp_replace(v, f"{_UNIX}^.*?{pattern}.*$", rep))
+
+
+def match_expr(v: Column, source: Column) -> Column:
+    """Winning pattern and its groups as one string, null when the line yields
+    no event. Patterns are tried in the reference's order; a "Disconnected"
+    line matches its own pattern but yields no event there, so it falls
+    through to the sudo tests and then to unknown."""
     blank = v.rlike(r"^\s*$")
-    auth = (F.when(blank, F.lit(None))
-            .when(_ssh(v) & v.rlike(K.RE_SSH_FAILED), F.lit(_FAILED))
-            .when(_ssh(v) & v.rlike(K.RE_SSH_SUCCESS), F.lit(_SUCCESS))
-            .when(_ssh(v) & v.rlike(K.RE_SSH_INVALID), F.lit(_INVALID))
-            # a "Disconnected" line matches its pattern but yields no event in
-            # the reference: it falls through to the sudo tests and then unknown
-            .when(_sudo(v) & v.rlike(K.RE_SUDO_SUCCESS), F.lit(_SUDO_OK))
-            .when(_sudo(v) & v.rlike(K.RE_SUDO_FAILURE), F.lit(_SUDO_FAIL))
-            .otherwise(F.lit(_UNKNOWN)))
+    auth = F.when(blank, F.lit(None))
+    for pattern, kind, n in _PATTERNS:
+        guard = _ssh(v) if kind in (_FAILED, _SUCCESS, _INVALID) else _sudo(v)
+        auth = auth.when(guard & v.rlike(_UNIX + pattern), _groups(v, pattern, kind, n))
+    auth = auth.otherwise(F.lit(str(_UNKNOWN)))
     audit = (F.when(blank | (F.instr(v, "type=") == 0), F.lit(None))
-             .when(v.rlike(K.RE_AUDIT_EXECVE), F.lit(_EXEC)))
+             .when(v.rlike(_UNIX + K.RE_AUDIT_EXECVE), _groups(v, K.RE_AUDIT_EXECVE, _EXEC, 1)))
     return F.when(source == F.lit(AUDIT_SOURCE), audit).otherwise(auth)
 
 
-def _x(v: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(v, pattern, group)
+def kind_expr(v: Column, source: Column) -> Column:
+    return F.split(match_expr(v, source), _SEP)[0].cast("int")
 
 
 def syslog_time(stamp: Column, year: int) -> Column:
@@ -57,7 +78,7 @@ def syslog_time(stamp: Column, year: int) -> Column:
 
 
 def audit_time(v: Column) -> Column:
-    epoch = _x(v, K.RE_AUDIT_EPOCH, 1)
+    epoch = F.regexp_extract(v, _UNIX + K.RE_AUDIT_EPOCH, 1)
     micros = (epoch.cast("decimal(24,6)") * F.lit(1000000)).cast("bigint")
     return F.when(epoch != "", F.timestamp_micros(micros))
 
@@ -71,30 +92,20 @@ def parse_lines(lines: DataFrame, year: int = 2024, value_col: str = "value",
     Blank lines and audit lines that are not EXECVE records are dropped.
     """
     v = F.col(value_col)
-    src = F.col(source_col)
-    kind = F.col("_kind")
-    passthrough = [c for c in lines.columns if c not in (value_col,)]
+    passthrough = [c for c in lines.columns if c not in (value_col, ingest_col)]
     ingest = (F.col(ingest_col) if ingest_col and ingest_col in lines.columns
               else F.current_timestamp())
-
-    stamp = (F.when(kind == _FAILED, _x(v, K.RE_SSH_FAILED, 1))
-             .when(kind == _SUCCESS, _x(v, K.RE_SSH_SUCCESS, 1))
-             .when(kind == _INVALID, _x(v, K.RE_SSH_INVALID, 1))
-             .when(kind == _SUDO_OK, _x(v, K.RE_SUDO_SUCCESS, 1))
-             .when(kind == _SUDO_FAIL, _x(v, K.RE_SUDO_FAILURE, 1)))
-    ip = (F.when(kind == _FAILED, _x(v, K.RE_SSH_FAILED, 3))
-          .when(kind == _SUCCESS, _x(v, K.RE_SSH_SUCCESS, 4))
-          .when(kind == _INVALID, _x(v, K.RE_SSH_INVALID, 3)))
-    port = (F.when(kind == _FAILED, _x(v, K.RE_SSH_FAILED, 4))
-            .when(kind == _SUCCESS, _x(v, K.RE_SSH_SUCCESS, 5))
-            .when(kind == _INVALID, _x(v, K.RE_SSH_INVALID, 4)))
-    user = (F.when(kind == _FAILED, _x(v, K.RE_SSH_FAILED, 2))
-            .when(kind == _SUCCESS, _x(v, K.RE_SSH_SUCCESS, 3))
-            .when(kind == _INVALID, _x(v, K.RE_SSH_INVALID, 2))
-            .when(kind == _SUDO_OK, _x(v, K.RE_SUDO_SUCCESS, 2))
-            .when(kind == _SUDO_FAIL, _x(v, K.RE_SUDO_FAILURE, 2)))
+    m = (lines.withColumn("_g", F.split(match_expr(v, F.col(source_col)), _SEP))
+              .where(F.col("_g").isNotNull()))
+    g = F.col("_g")
+    kind = g[0].cast("int")
+    ssh = kind.isin(_FAILED, _SUCCESS, _INVALID)
+    stamp = F.when(kind.isin(_FAILED, _SUCCESS, _INVALID, _SUDO_OK, _SUDO_FAIL), g[1])
+    ip = F.when(kind.isin(_FAILED, _INVALID), g[3]).when(kind == _SUCCESS, g[4])
+    port = F.when(kind.isin(_FAILED, _INVALID), g[4]).when(kind == _SUCCESS, g[5])
+    user = F.when(kind.isin(_FAILED, _INVALID, _SUDO_OK, _SUDO_FAIL), g[2]).when(kind == _SUCCESS, g[3])
     method = (F.when(kind.isin(_FAILED, _INVALID), F.lit("password"))
-              .when(kind == _SUCCESS, _x(v, K.RE_SSH_SUCCESS, 2))
+              .when(kind == _SUCCESS, g[2])
               .when(kind.isin(_SUDO_OK, _SUDO_FAIL), F.lit("sudo"))
               .when(kind == _EXEC, F.lit("exec"))
               .otherwise(F.lit("unknown")))
@@ -105,32 +116,27 @@ def parse_lines(lines: DataFrame, year: int = 2024, value_col: str = "value",
              .when(kind == _SUDO_FAIL, F.lit(K.EV_SUDO_FAILURE))
              .when(kind == _EXEC, F.lit(K.EV_PROCESS_EXEC))
              .otherwise(F.lit(K.EV_UNKNOWN)))
-    service = (F.when(kind.isin(_FAILED, _SUCCESS, _INVALID), F.lit("sshd"))
+    service = (F.when(ssh, F.lit("sshd"))
                .when(kind.isin(_SUDO_OK, _SUDO_FAIL), F.lit("sudo"))
                .when(kind == _EXEC, F.lit("auditd"))
                .otherwise(F.lit("unknown")))
-    message = F.when(kind == _EXEC, F.concat(F.lit("Executed: "), _x(v, K.RE_AUDIT_EXECVE, 1))).otherwise(v)
+    message = F.when(kind == _EXEC, F.concat(F.lit("Executed: "), g[1])).otherwise(v)
     etime = (F.when(kind == _EXEC, F.coalesce(audit_time(v), ingest))
              .when(kind == _UNKNOWN, ingest)
              .otherwise(F.coalesce(syslog_time(stamp, year), ingest)))
-
-    out = (lines
-           .withColumn("_kind", kind_expr(v, src))
-           .where(kind.isNotNull())
-           .select(
-               *[F.col(c) for c in passthrough if c not in (ingest_col,)],
-               etime.alias("event_time"),
-               F.lit("localhost").alias("host"),
-               F.nullif(ip, F.lit("")).alias("source_ip"),
-               port.try_cast("int").alias("source_port"),
-               F.nullif(user, F.lit("")).alias("username"),
-               method.alias("auth_method"),
-               etype.alias("event_type"),
-               service.alias("service"),
-               message.alias("message"),
-               v.alias("raw_line"),
-           ))
-    return out
+    return m.select(
+        *[F.col(c) for c in passthrough],
+        etime.alias("event_time"),
+        F.lit("localhost").alias("host"),
+        F.nullif(ip, F.lit("")).alias("source_ip"),
+        port.try_cast("int").alias("source_port"),
+        F.nullif(user, F.lit("")).alias("username"),
+        method.alias("auth_method"),
+        etype.alias("event_type"),
+        service.alias("service"),
+        message.alias("message"),
+        v.alias("raw_line"),
+    )
 
 
 def event_to_json(events: DataFrame, key: str = "event_id") -> DataFrame:

@@ -137,28 +137,47 @@ def extra_lines_sql(dialect: str = "duckdb") -> str:
     return f"with a as ({auth_sql(dialect)}) select * from (" + " union all ".join(parts) + ") x where value is not null"
 
 
+def _line_structs(d: dict, variants) -> str:
+    stamp = STAMP_EXPR.format(**d)
+    return ", ".join(
+        f"named_struct('event_id', event_id * 10 + {v}, 'value', {expr.format(STAMP=stamp)}, 'source', {src})"
+        for v, src, expr in variants)
+
+
 def extra_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spark side of ``extra_lines_sql`` (one pass over events, ``explode``)."""
+    """Spark side of ``extra_lines_sql`` (one pass over events, ``inline``)."""
     d = DIALECT["spark"]
-    stamp = STAMP_EXPR.format(**d)
     ev = read_table(spark, sf_dir, "events")
     a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
            .selectExpr(*AUTH_COLS))
-    structs = ", ".join(
-        f"named_struct('event_id', event_id * 10 + {v}, 'value', {expr.format(STAMP=stamp)}, 'source', '{src}')"
-        for v, src, expr in EXTRA_VARIANTS)
-    return (a.selectExpr(f"inline(array({structs}))")
-             .where(F.col("value").isNotNull()))
+    variants = [(v, f"'{src}'", expr) for v, src, expr in EXTRA_VARIANTS]
+    return a.selectExpr(f"inline(array({_line_structs(d, variants)}))").where(F.col("value").isNotNull())
 
 
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rendered line (id = event_id * 10), a syslog mirror of the
     non-audit lines (rsyslog commonly writes auth events to both files), and
-    the extra variants (id = event_id * 10 + variant)."""
-    base = (log_lines(spark, sf_dir)
-            .select((F.col("event_id") * 10).alias("event_id"), "value", "source"))
-    mirror = base.where(F.col("source") != "audit_log").withColumn("source", F.lit("syslog"))
-    return base.unionByName(mirror).unionByName(extra_lines(spark, sf_dir))
+    the extra variants (id = event_id * 10 + variant), from one pass over
+    ``events``. The lines come out of one ``inline`` (a generator), so each is
+    computed once and the parser sees a plain column instead of the rendering
+    expression inlined into every pattern test."""
+    d = DIALECT["spark"]
+    ev = read_table(spark, sf_dir, "events")
+    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
+           .selectExpr(*AUTH_COLS))
+    line = "LINE"
+    variants = ([(0, SOURCE_EXPR, line),
+                 (0, "'syslog'", f"case when event_type <> 'process_execution' then {line} end")]
+                + [(v, f"'{src}'", expr) for v, src, expr in EXTRA_VARIANTS])
+    structs = _line_structs(d, variants).replace("LINE", LINE_EXPR.format(**d))
+    out = a.selectExpr(f"inline(array({structs}))").where(F.col("value").isNotNull())
+    # a small table can arrive as one split; spread the rendered lines over
+    # the cores before the regex work (a no-op for inputs that are already
+    # split into at least that many partitions)
+    dp = spark.sparkContext.defaultParallelism
+    if ev.rdd.getNumPartitions() < dp:
+        out = out.repartition(dp)
+    return out
 
 
 def all_lines_sql(dialect: str = "duckdb") -> str:

@@ -130,11 +130,12 @@ TECHNIQUES = (
 SEVERITY_LEVELS = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 RISK_CUTOFFS = {"CRITICAL": 0.9, "HIGH": 0.8, "MEDIUM": 0.6, "LOW": 0.4}
 
-# Response actions, per-action cooldown seconds (default 300), executor name.
+# Response actions, per-action cooldown seconds (default 300). The executor
+# name written into audit rows names this engine.
 ACTIONS = ("lock_account", "unlock_account", "block_ip", "unblock_ip", "terminate_session", "alert_only")
 ACTION_COOLDOWN_SECONDS = {"lock_account": 300, "block_ip": 600, "terminate_session": 180}
 DEFAULT_COOLDOWN_SECONDS = 300
-EXECUTED_BY = "devilnet_engine"
+EXECUTED_BY = "authlytics_engine"
 
 # Explanation texts.
 EXPLAIN_NORMAL = "Event appears normal"

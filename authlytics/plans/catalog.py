@@ -509,7 +509,7 @@ def q_resp_reversal_text(spark, sf):
 
 @register("resp_audit_record", _ACTS_REC + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
           + """ select event_id, seq, action_type, target, severity, true as success, result_message,
-  'devilnet_engine' as executed_by, reversal_command, strftime(ts, '%Y-%m-%d') as date from outc where status = 'executed'""")
+  'authlytics_engine' as executed_by, reversal_command, strftime(ts, '%Y-%m-%d') as date from outc where status = 'executed'""")
 def q_resp_audit_record(spark, sf):
     o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
     a = RS.audit_records(o)

@@ -78,10 +78,6 @@ for _n, _c in _FEATURE_IDS.items():
 _feature_query("feat_extract_all_compat", list(K.FEATURE_NAMES), compat=True)
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return features_df(spark, sf)
-
-
 # ----------------------------------------------------------------- sources + parsing
 
 from ..functions.parse import parse_lines, event_to_json  # noqa: E402

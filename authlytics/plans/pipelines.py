@@ -113,12 +113,15 @@ class CycleResult:
 
 def cycle(spark: SparkSession, events: DataFrame, model: FO.ForestModel, p: Params | None = None,
           attach_actions: bool = True) -> CycleResult:
-    """ingest -> features -> score -> filter -> decide/cooldown -> report/alert/audit,
-    as one lazy plan per output."""
+    """ingest -> features -> score -> filter -> decide/cooldown -> report/alert/audit.
+    The anomaly rows are checkpointed once; every output is a lazy plan over them."""
     p = p or Params()
     feats = FE.extract_features(events, p)
     det = score_features(feats, model, p)
-    anomalies = det.where(F.col("is_anomaly"))
+    # the anomaly rows feed two branches (actions, incidents): cut the lineage
+    # once (reliable checkpoint in the shared folder) so features and the
+    # Python scoring hop are not evaluated twice
+    anomalies = cut_lineage(det.where(F.col("is_anomaly")))
     acts = RS.outcome(RS.apply_cooldown(RS.decide(anomalies, p), p), p)
     inc = RP.incidents(anomalies, p, actions=acts if attach_actions else None)
     return CycleResult(feats, det, anomalies, acts, inc, RP.alerts(inc), RS.audit_records(acts))

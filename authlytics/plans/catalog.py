@@ -20,8 +20,17 @@ QP = Params(window_seconds=OS.QUERY_WINDOW_SECONDS, bucket_seconds=OS.QUERY_WIND
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query; every registered query first pins the session
+    settings the plans rely on (UTC time zone, AQE), whatever session the
+    caller passes in."""
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark, sf, _fn=fn):
+            from ..session import apply_defaults
+            apply_defaults(spark)
+            return _fn(spark, sf)
+        query.__name__ = fn.__name__
+        query.__doc__ = fn.__doc__
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .langid import identify_languages
+from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
 from .simhash import simhash_components
 
@@ -30,3 +32,19 @@ def op2_bpe(spark, sf_dir):
 def op8_simhash_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return simhash_components(table(spark, sf_dir, "documents"), words=SIMHASH_WORDS, max_bits=SIMHASH_BITS)
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    """Quality of every document, learned without labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classify_quality(docs)
+    return out.select("doc_id", F.col("__quality.weak_label").alias("weak_label"), F.col("__quality.score").alias("score"),
+                      (F.col("__quality.score") >= KEEP_FROM).alias("keep"))
+
+
+@register("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    """Language of every document, learned from three quarters of them."""
+    out = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "__lang.*")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .langid import identify_languages
+from .packing import best_fit_packing
 from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
 from .simhash import simhash_components
 
 BPE_FILE = "byte_bpe_50k.json"
+CAPACITY = 2048
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
 
 
@@ -48,3 +50,10 @@ def op7_language_id(spark, sf_dir):
     """Language of every document, learned from three quarters of them."""
     out = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "__lang.*")
+
+
+@register("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of 2048 tokens."""
+    return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_FILE),
+                            capacity=CAPACITY)

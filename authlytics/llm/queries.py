@@ -12,10 +12,13 @@ from .langid import identify_languages
 from .packing import best_fit_packing
 from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
+from .token_counts import line_sections, token_counts
+from .topk import exact_topk
 from .simhash import simhash_components
 
 BPE_FILE = "byte_bpe_50k.json"
 CAPACITY = 2048
+TOP_K = 20
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
 
 
@@ -57,3 +60,30 @@ def op10_best_fit_packing(spark, sf_dir):
     """All documents in sequences of 2048 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_FILE),
                             capacity=CAPACITY)
+
+
+@register("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    """Tokens of every line of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts(docs, public_tokenizers.path(BPE_FILE), line_sections("text"))
+    return out.select("doc_id", F.col("section").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id,
+         list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i]))::bigint score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+@register("op1_exact_topk", TOPK_SQL)
+def op1_exact_topk(spark, sf_dir):
+    """The 20 best rows for a twentieth of the vectors."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, TOP_K)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .langid import identify_languages
@@ -17,6 +18,7 @@ from .topk import exact_topk
 from .simhash import simhash_components
 
 BPE_FILE = "byte_bpe_50k.json"
+NEAREST = 10
 CAPACITY = 2048
 TOP_K = 20
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
@@ -87,3 +89,9 @@ select query_id, rank, vec_id, score from r where rank <= 20
 def op1_exact_topk(spark, sf_dir):
     """The 20 best rows for a twentieth of the vectors."""
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, TOP_K)
+
+
+@register("op9_ann_search")
+def op9_ann_search(spark, sf_dir):
+    """The 10 nearest rows found for a hundredth of the vectors."""
+    return ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEAREST)

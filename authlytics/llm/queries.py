@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
+from .chat import chat_digest, format_chat
 from .common import table
 from .langid import identify_languages
 from .packing import best_fit_packing
@@ -15,9 +16,12 @@ from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
 from .token_counts import line_sections, token_counts
 from .topk import exact_topk
+from .sharding import extendible_shards
 from .simhash import simhash_components
 
 BPE_FILE = "byte_bpe_50k.json"
+#: Shards are the unit a streaming loader fetches.
+SHARD_BYTES = 1 << 20
 NEAREST = 10
 CAPACITY = 2048
 TOP_K = 20
@@ -95,3 +99,50 @@ def op1_exact_topk(spark, sf_dir):
 def op9_ann_search(spark, sf_dir):
     """The 10 nearest rows found for a hundredth of the vectors."""
     return ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEAREST)
+
+
+CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|im_start|>', '<\|im_start|>'),
+    '<|im_end|>', '<\|im_end|>'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') esc from t),
+p as (
+  select *, length('<|im_start|>') + length(url_encode(role)) + 1 + length(esc) + length('<|im_end|>') + 1 n,
+         row_number() over (partition by conv_id order by turn, role, text) k, count(*) over (partition by conv_id) m from e),
+s as (select *, sum(n) over (partition by conv_id order by k) upto from p)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) loss_sha256,
+       (sum(upto) filter (role = 'assistant' or k = m))::bigint formatted_chars
+from s group by conv_id
+"""
+
+
+@register("op4_chat_format", CHAT_SQL)
+def op4_chat_format(spark, sf_dir):
+    """Prefix-target examples of every conversation, read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("""select -7L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text
+                        union all select -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'""")
+    return chat_digest(format_chat(turns.unionByName(more)))
+
+
+SHARD_SQL = f"""
+with r as (select doc_id, coalesce(strlen(text), 0) bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h from documents),
+p as (select r.*, d, h >> (60 - d) prefix from r, range(0, 61) x(d)),
+s as (select d, prefix, sum(bytes)::bigint shard_bytes, count(*)::bigint shard_docs from p group by d, prefix),
+f as (select p.doc_id, p.bytes, p.d, p.prefix, s.shard_bytes, s.shard_docs,
+             row_number() over (partition by p.doc_id order by p.d) k
+      from p join s using (d, prefix) where shard_bytes <= {SHARD_BYTES} or shard_docs = 1)
+select doc_id, bytes::bigint bytes, case when d = 0 then '' else lpad(bin(prefix), d::int, '0') end shard, d::int depth,
+       shard_bytes, shard_docs, shard_bytes > {SHARD_BYTES} oversize
+from f where k = 1
+"""
+
+
+@register("op5_sharding", SHARD_SQL)
+def op5_sharding(spark, sf_dir):
+    """A shard for every document."""
+    return extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)

@@ -159,7 +159,7 @@ def ann_search(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
     share = min(1.0, sample / max(1, n))
     picked = rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toPandas()["v"]
     points = sc.broadcast(_matrix(picked, dim).astype(np.float32))
-    scale = n / max(1, len(picked))
+    scale = max(1.0, n / max(1, len(picked)))
     leaf = max(2, int(leaf_rows / scale))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

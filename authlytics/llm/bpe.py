@@ -34,8 +34,8 @@ from pyspark.sql.functions import arrow_udf
 INF = np.int64(1) << 60
 #: Words up to this many bytes are merged in numpy batches.
 BATCHED_BYTES = 64
-#: Entries of a worker's word cache; it is emptied when it grows beyond that.
-CACHE_WORDS = 400_000
+#: Entries of a worker's word cache; beyond that the words seen least are dropped.
+CACHE_WORDS = 500_000
 #: White space of Unicode, as the pre-tokenizer's pattern means it.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -114,6 +114,7 @@ class Bpe:
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
+        self.seen = np.zeros(1 << 14, np.int32)
         self.used = 0
         if self.specials:
             self._add(list(self.specials), np.array(list(self.specials.values()), np.int32), np.ones(len(self.specials), np.int64))
@@ -121,7 +122,7 @@ class Bpe:
     def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         n, m = len(self.code), len(words)
         while n + m > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            self.starts, self.lens, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seen))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + len(ids)] = ids
@@ -130,6 +131,22 @@ class Bpe:
         self.used += len(ids)
         self.code.update(zip(words, range(n, n + m), strict=True))
 
+    def trim(self) -> None:
+        """Keep the half of the cache that was seen most often; its counts are halved."""
+        n = len(self.code)
+        seen = self.seen[:n].copy()
+        seen[:len(self.specials)] = np.iinfo(np.int32).max
+        keep = np.flatnonzero(seen >= max(2, np.partition(seen, n // 2)[n // 2] + 1))
+        words, lens = list(self.code), self.lens[keep]
+        words = [words[i] for i in keep.tolist()]
+        ends = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[keep] - (ends - lens), lens) + np.arange(ends[-1])]
+        self.specials, specials = {}, self.specials
+        self.reset()
+        self.specials = specials
+        self._add(words, ids, lens)
+        self.seen[:len(keep)] = seen[keep] // 2
+
     # ------------------------------------------------------------ merging
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,7 +259,7 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         if len(self.code) > CACHE_WORDS:
-            self.reset()
+            self.trim()
         per = [self.words(t) if t else [] for t in texts]
         code, counts = self.code, np.fromiter(map(len, per), np.int64, len(per))
         words = list(chain.from_iterable(per))
@@ -252,6 +269,7 @@ class Bpe:
             new = [words[i] for i in miss.tolist()]
             self.learn(list(dict.fromkeys(new)))
             at[miss] = np.fromiter(map(code.__getitem__, new), np.int64, len(new))
+        self.seen[:len(self.code)] += np.bincount(at, minlength=len(self.code)).astype(np.int32)
         lens = self.lens[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0

@@ -76,10 +76,13 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id: str = "doc_id", tex
                        (F.col("shard_bytes") > limit_bytes).alias("oversize"))
 
 
-def shard_directory(shards: DataFrame) -> DataFrame:
-    """The directory at global depth: (entry, shard); 2^(global depth - depth) entries
-    point to a shard. For directories that are to be looked up by prefix."""
-    deepest = shards.agg(F.max("depth").alias("g"))
-    each = shards.select("shard", "depth").distinct().crossJoin(F.broadcast(deepest))       # one row
-    base = F.coalesce(F.conv("shard", 2, 10).cast("long"), F.lit(0)) * F.expr("shiftleft(1L, g - depth)")
-    return each.select(F.explode(F.sequence(base, base + F.expr("shiftleft(1L, g - depth)") - 1)).alias("entry"), "shard", "depth")
+def shard_directory(shards: DataFrame, bits: int) -> DataFrame:
+    """The directory over the first ``bits`` (at most 20) bits: (entry, shard, depth). A
+    shallow shard has 2^(bits - depth) entries, a deeper one is listed under its first
+    bits, so a look-up reads the rows of one entry."""
+    if not 0 <= bits <= 20:
+        raise ValueError("a directory has at most 2^20 entries")
+    each = shards.select("shard", "depth").distinct()
+    head = F.coalesce(F.conv(F.substr("shard", F.lit(1), F.lit(bits)), 2, 10).cast("long"), F.lit(0))
+    spread = F.expr(f"shiftleft(1L, greatest(0, {bits} - depth))")
+    return each.select(F.explode(F.sequence(head * spread, head * spread + spread - 1)).alias("entry"), "shard", "depth")

@@ -1,9 +1,13 @@
 """Log line -> authentication event, as column expressions (no UDF).
 
 The reference tries its patterns in a fixed order and keeps the first hit; that
-precedence is one CASE. Each regex is guarded by a plain substring test so most
-lines are classified without running a regex at all. Java regex semantics apply
+precedence is one CASE. Each regex is guarded by a literal it needs, so most lines
+are classified without running a regex at all. Java regex semantics apply
 (``\\w`` and ``\\d`` are ASCII; immaterial for syslog text).
+
+``event_time`` is null when a matched line's stamp can't be read (such rows are
+rejects, see ``features.rejects``); ``time_source`` tells ``line`` from ``ingest``
+(lines without a stamp of their own).
 """
 
 from __future__ import annotations
@@ -24,24 +28,16 @@ _FAILED, _SUCCESS, _INVALID, _SUDO_OK, _SUDO_FAIL, _UNKNOWN, _EXEC = 1, 2, 3, 4,
 _UNIX = "(?d)"
 _SEP = "\u0001"
 
-# pattern -> (kind, number of capture groups)
+# pattern -> (kind, number of capture groups, literal that every match holds)
 _PATTERNS = (
-    (K.RE_SSH_FAILED, _FAILED, 4),      # stamp, user, ip, port
-    (K.RE_SSH_SUCCESS, _SUCCESS, 5),    # stamp, method, user, ip, port
-    (K.RE_SSH_INVALID, _INVALID, 4),    # stamp, user, ip, port
-    (K.RE_SUDO_SUCCESS, _SUDO_OK, 6),   # stamp, user, tty, pwd, runas, command
-    (K.RE_SUDO_FAILURE, _SUDO_FAIL, 2),  # stamp, user
+    (K.RE_SSH_FAILED, _FAILED, 4, "Failed password for "),   # stamp, user, ip, port
+    (K.RE_SSH_SUCCESS, _SUCCESS, 5, "ccepted "),             # stamp, method, user, ip, port
+    (K.RE_SSH_INVALID, _INVALID, 4, "Invalid user "),        # stamp, user, ip, port
+    (K.RE_SUDO_SUCCESS, _SUDO_OK, 6, " ; COMMAND="),         # stamp, user, tty, pwd, runas, command
+    (K.RE_SUDO_FAILURE, _SUDO_FAIL, 2, "command not allowed"),  # stamp, user
 )
 
 
-def _ssh(v: Column) -> Column:
-    return F.instr(v, "sshd[") > 0
-
-
-def _sudo(v: Column) -> Column:
-    return F.instr(v, "sudo: ") > 0
-
-
 def _groups(v: Column, pattern: str, kind: int, n: int) -> Column:
     """'<kind>|g1|g2|..' from one anchored replace: the lazy prefix finds the
     leftmost match, exactly like a search, and all groups come out of a single
@@ -56,10 +52,11 @@ def match_expr(v: Column, source: Column) -> Column:
     line matches its own pattern but yields no event there, so it falls
     through to the sudo tests and then to unknown."""
     blank = v.rlike(r"^\s*$")
+    # the separator of the groups can't come from the line itself
+    v = F.translate(v, _SEP, "")
     auth = F.when(blank, F.lit(None))
-    for pattern, kind, n in _PATTERNS:
-        guard = _ssh(v) if kind in (_FAILED, _SUCCESS, _INVALID) else _sudo(v)
-        auth = auth.when(guard & v.rlike(_UNIX + pattern), _groups(v, pattern, kind, n))
+    for pattern, kind, n, literal in _PATTERNS:
+        auth = auth.when((F.instr(v, literal) > 0) & v.rlike(_UNIX + pattern), _groups(v, pattern, kind, n))
     auth = auth.otherwise(F.lit(str(_UNKNOWN)))
     audit = (F.when(blank | (F.instr(v, "type=") == 0), F.lit(None))
              .when(v.rlike(_UNIX + K.RE_AUDIT_EXECVE), _groups(v, K.RE_AUDIT_EXECVE, _EXEC, 1)))
@@ -70,11 +67,18 @@ def kind_expr(v: Column, source: Column) -> Column:
     return F.split(match_expr(v, source), _SEP)[0].cast("int")
 
 
-def syslog_time(stamp: Column, year: int) -> Column:
-    """'Jan  5 14:32:10' -> TIMESTAMP of the given year (null when unparsable)."""
+def syslog_time(stamp: Column, year: int | None, ingest: Column | None = None) -> Column:
+    """'Jan  5 14:32:10' -> TIMESTAMP (null when unparsable) of the given year, or, for
+    None, of the latest year that doesn't put the line over a day after its ingest."""
     norm = F.regexp_replace(stamp, " +", " ")
-    return F.try_to_timestamp(F.concat(F.lit(str(year)), F.lit(" "), norm),
-                              F.lit("yyyy MMM d HH:mm:ss"))
+
+    def of(y: Column) -> Column:
+        return F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), norm), F.lit("yyyy MMM d HH:mm:ss"))
+
+    if year is not None:
+        return of(F.lit(year))
+    this, last = of(F.year(ingest)), of(F.year(ingest) - 1)
+    return F.when(this <= ingest + F.expr("interval 1 day"), this).otherwise(last)
 
 
 def audit_time(v: Column) -> Column:
@@ -83,19 +87,21 @@ def audit_time(v: Column) -> Column:
     return F.when(epoch != "", F.timestamp_micros(micros))
 
 
-def parse_lines(lines: DataFrame, year: int = 2024, value_col: str = "value",
+def parse_lines(lines: DataFrame, year: int | None = 2024, value_col: str = "value",
                 source_col: str = "source", ingest_col: str | None = "ingest_time") -> DataFrame:
     """Parse raw lines into events. Extra input columns are carried through.
 
-    Output columns: event_time, host, source_ip, source_port, username,
+    Output columns: event_time, time_source, host, source_ip, source_port, username,
     auth_method, event_type, service, message, raw_line (+ passthrough).
     Blank lines and audit lines that are not EXECVE records are dropped.
+    The match is computed behind a generator, so the filter on it and the
+    columns made from it read one result instead of repeating the CASE.
     """
     v = F.col(value_col)
     passthrough = [c for c in lines.columns if c not in (value_col, ingest_col)]
     ingest = (F.col(ingest_col) if ingest_col and ingest_col in lines.columns
               else F.current_timestamp())
-    m = (lines.withColumn("_g", F.split(match_expr(v, F.col(source_col)), _SEP))
+    m = (lines.withColumn("_g", F.explode(F.array(F.split(match_expr(v, F.col(source_col)), _SEP))))
               .where(F.col("_g").isNotNull()))
     g = F.col("_g")
     kind = g[0].cast("int")
@@ -121,12 +127,13 @@ def parse_lines(lines: DataFrame, year: int = 2024, value_col: str = "value",
                .when(kind == _EXEC, F.lit("auditd"))
                .otherwise(F.lit("unknown")))
     message = F.when(kind == _EXEC, F.concat(F.lit("Executed: "), g[1])).otherwise(v)
-    etime = (F.when(kind == _EXEC, F.coalesce(audit_time(v), ingest))
+    etime = (F.when(kind == _EXEC, audit_time(v))
              .when(kind == _UNKNOWN, ingest)
-             .otherwise(F.coalesce(syslog_time(stamp, year), ingest)))
+             .otherwise(syslog_time(stamp, year, ingest)))
     return m.select(
         *[F.col(c) for c in passthrough],
         etime.alias("event_time"),
+        F.when(kind == _UNKNOWN, F.lit("ingest")).otherwise(F.lit("line")).alias("time_source"),
         F.lit("localhost").alias("host"),
         F.nullif(ip, F.lit("")).alias("source_ip"),
         port.try_cast("int").alias("source_port"),

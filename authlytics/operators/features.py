@@ -92,9 +92,9 @@ def prepare(events: DataFrame, p: Params, carry=()) -> DataFrame:
         "unix_micros(cast(event_time as timestamp)) as tus",
         "cast(instr(event_type, 'failed') > 0 as int) as is_failed",
         f"event_type = '{K.EV_LOGIN_SUCCESS}' as is_login",
-        # login hour shifted by 12 (stddev is shift-invariant; smaller sums)
-        f"case when event_type = '{K.EV_LOGIN_SUCCESS}' then hour(cast(event_time as timestamp)) "
-        f"+ minute(cast(event_time as timestamp)) / 60.0D - 12.0D end as login_h",
+        # minute of the day: integer sums, so the spread doesn't depend on their order
+        f"case when event_type = '{K.EV_LOGIN_SUCCESS}' then cast(hour(cast(event_time as timestamp)) * 60 "
+        f"+ minute(cast(event_time as timestamp)) as bigint) end as login_h",
         "cast(instr(event_type, 'sudo') > 0 as int) as is_sudoish",
         f"cast(event_type = '{K.EV_SUDO_FAILURE}' as int) as is_sudo_fail",
         f"event_type = '{K.EV_SUDO_SUCCESS}' as is_sudo_ok",
@@ -279,8 +279,8 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     x = x.withColumns({
         "sudo_before": F.coalesce(F.sum(F.when(F.col("emit"), F.col("is_sudoish"))).over(before), F.lit(0)),
         "ln": F.count(hl).over(upto),
-        "ls": F.coalesce(F.sum(hl).over(upto), F.lit(0.0)),
-        "lss": F.coalesce(F.sum(hl * hl).over(upto), F.lit(0.0))})
+        "ls": F.coalesce(F.sum(hl).over(upto), F.lit(0)),
+        "lss": F.coalesce(F.sum(hl * hl).over(upto), F.lit(0))})
 
     carry = ["event_id", "emit", "is_sudo_ok", "sudo_before", "ln", "ls", "lss", "_p"]
     if p.window_method == "frame":
@@ -325,8 +325,9 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     n = F.col("base_ln") + F.col("ln")
     s = F.col("base_ls") + F.col("ls")
     ss = F.col("base_lss") + F.col("lss")
-    var = (ss - s * s / n) / (n - 1)
-    std = F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0))
+    wide = "decimal(38,0)"
+    spread = (n.cast("decimal(18,0)") * ss.cast("decimal(18,0)")).cast(wide) - (s.cast("decimal(18,0)") * s.cast("decimal(18,0)")).cast(wide)
+    std = F.when(n >= 2, F.sqrt(spread.cast("double") / (n.cast("double") * (n - 1).cast("double"))) / 60.0).otherwise(F.lit(0.0))
     privesc = F.when(F.col("is_sudo_ok") & in_win, (t - ll) / F.lit(1e6)).otherwise(F.lit(0.0))
     rate = F.when(in_win & (t > ll), (F.col("R") - F.col("RL")) / ((t - ll) / F.lit(60e6))).otherwise(F.lit(0.0))
     first_sudo = F.col("is_sudo_ok") & ((F.col("base_sudo") + F.col("sudo_before")) == 0)
@@ -346,42 +347,39 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _no_user_rows(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("user").isNull()).select(
-        *[c for c in rows.columns if c != "bkt"],
-        F.lit(0).cast("long").alias("user_window_events"),
-        F.lit(0.0).alias("user_login_time_std_devs"),
-        F.lit(False).alias("user_first_sudo_usage"),
-        F.lit(0).cast("long").alias("user_failed_sudo_attempts"),
-        F.lit(0.0).alias("session_login_to_privesc_seconds"),
-        F.lit(0.0).alias("session_post_login_command_rate"),
-        F.lit(0).cast("long").alias("session_account_changes"))
-
-
 # ------------------------------------------------------------------ assembly
 
 OUTPUT_COLUMNS = ["event_id", "event_time", "source_ip", "username", "event_type", "ref_event_id"] + FEATURE_COLUMNS
 
 
+def rejects(events: DataFrame) -> DataFrame:
+    """The rows that ``extract_features`` leaves out, with a ``reason``: those without a
+    readable time, which belong to no window."""
+    return events.where(F.col("event_time").isNull()).withColumn("reason", F.lit("no event_time"))
+
+
 def extract_features(events: DataFrame, p: Params | None = None,
                      asn_prefixes: DataFrame | None = None,
                      user_base: DataFrame | None = None,
                      seen_pairs: DataFrame | None = None,
+                     seen_asn: DataFrame | None = None,
                      carry=()) -> DataFrame:
     """All 14 features for every event, in one plan.
 
     ``events`` needs: event_id, event_time, source_ip, username, auth_method,
     event_type, message. ``asn_prefixes`` (lo, hi, asn) is optional; without it
-    the new-ASN slot is false, as in the reference.
+    the new-ASN slot is false, as in the reference. Rows without a time are left out;
+    ``rejects`` gives them.
 
     Streaming state (see ``streaming``): rows with ``_hist = true`` are
     history -- they feed the trailing windows but produce no output and do
     not count toward the all-time per-user totals, which come from
-    ``user_base``; ``seen_pairs`` lists (ip, user) pairs seen before.
+    ``user_base``; ``seen_pairs`` and ``seen_asn`` list the (ip, user) and
+    (user, asn) pairs seen before.
     """
     p = p or Params()
     W, B = _micros(p)
-    prep = prepare(events, p, carry)
+    prep = prepare(events.where(F.col("event_time").isNotNull()), p, carry)
     ip_part = _ip_side(prep, p, seen_pairs)
     ip_cols = [c for c in ip_part.columns]
     with_ip = ip_part.unionByName(_no_ip_rows(prep.where(~F.col("hist"))).select(*ip_cols))
@@ -400,7 +398,7 @@ def extract_features(events: DataFrame, p: Params | None = None,
     new_asn = F.lit(False)
     out = allrows.withColumn("user_new_ip_detected", new_ip)
     if asn_prefixes is not None and not p.compat:
-        out = out.join(new_asn_flags(prep, asn_prefixes), "event_id", "left")
+        out = out.join(new_asn_flags(prep, asn_prefixes, seen_asn), "event_id", "left")
         new_asn = F.coalesce(F.col("_new_asn"), F.lit(False))
     return out.select(
         "event_id", "event_time",
@@ -424,26 +422,33 @@ def ip_to_long(ip: Column) -> Column:
 
 
 def asn_lookup(df: DataFrame, prefixes: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """Range join ``lo <= ip <= hi`` as an equi-join: each prefix is exploded
-    into the /16 blocks it covers, each IP looks up its own block, and the
-    range test runs only on candidates of that block (no nested loop). When
-    ranges overlap the narrowest wins."""
-    blk = F.floor(F.col("ipl") / 65536)
-    pre = (prefixes.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "asn")
-           .withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536)))))
-    x = df.withColumn("ipl", ip_to_long(F.col(ip_col))).withColumn("blk", blk)
-    j = (x.join(pre, "blk", "left")
-         .where(F.col("lo").isNull() | ((F.col("ipl") >= F.col("lo")) & (F.col("ipl") <= F.col("hi")))))
-    w = Window.partitionBy(*[F.col(c) for c in ("event_id",)]).orderBy(F.col("hi") - F.col("lo"))
-    return (j.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-             .drop("_r", "lo", "hi", "blk", "ipl"))
-
-
-def new_asn_flags(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(event_id, _new_asn): first sighting of (user, asn), ordered by (ts, id)."""
-    x = asn_lookup(prep.where(F.col("ip").isNotNull() & F.col("user").isNotNull())
-                   .select("event_id", "tus", "ip", "user"), prefixes)
-    x = x.where(F.col("asn").isNotNull())
-    first = (x.groupBy("user", "asn").agg(F.min(F.struct("tus", "event_id")).alias("f"))
-             .select(F.col("f.event_id").alias("event_id"), F.lit(True).alias("_new_asn")))
-    return first
+    """``df`` with column ``asn`` (null where no prefix holds the address); every row
+    stays. The range join ``lo <= ip <= hi`` runs on distinct addresses: each prefix is
+    exploded into the /16 blocks it covers, each address looks up its own block, and the
+    narrowest range wins (ties: the smaller asn)."""
+    blocks = (prefixes.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "asn")
+              .withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536)))))
+    ips = (df.select(F.col(ip_col).alias("_ip")).where("_ip is not null").distinct()
+           .withColumn("ipl", ip_to_long(F.col("_ip"))).withColumn("blk", F.floor(F.col("ipl") / 65536)))
+    found = (ips.join(blocks, "blk").where("ipl between lo and hi").groupBy("_ip")
+             .agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "asn"))["asn"].alias("asn")))
+    return df.join(found, df[ip_col] == found["_ip"], "left").drop("_ip")
+
+
+def _asn_rows(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
+    x = prep.where(F.col("ip").isNotNull() & F.col("user").isNotNull() & ~F.col("hist"))
+    return asn_lookup(x.select("event_id", "tus", "ip", "user"), prefixes).where("asn is not null")
+
+
+def user_asns(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct (user, asn) of the events."""
+    return _asn_rows(prep, prefixes).select("user", "asn").distinct()
+
+
+def new_asn_flags(prep: DataFrame, prefixes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(event_id, _new_asn): first sighting of (user, asn), ordered by (ts, id); pairs in
+    ``seen`` are known from earlier micro-batches."""
+    first = _asn_rows(prep, prefixes).groupBy("user", "asn").agg(F.min(F.struct("tus", "event_id")).alias("f"))
+    if seen is not None:
+        first = first.join(seen.select("user", "asn"), ["user", "asn"], "left_anti")
+    return first.select(F.col("f.event_id").alias("event_id"), F.lit(True).alias("_new_asn"))

@@ -19,6 +19,7 @@ Scores follow the paper / scikit-learn convention: ``score_samples`` is
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -168,19 +169,19 @@ def _score_batch(X: np.ndarray, trees, psi: int) -> np.ndarray:
 
 
 def score(df: DataFrame, model: ForestModel, feature_cols, out_col: str = "raw_score") -> DataFrame:
-    """Adds ``out_col`` (score_samples) to every row; batches of Arrow rows."""
+    """Adds ``out_col`` (score_samples) to every row. Only the feature columns go to
+    Python and one double comes back."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((model.arrays(), model.psi))
-    cols = list(feature_cols)
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def raw(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees, psi = bc.value
-        for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=np.float64)
-            pdf[out_col] = _score_batch(X, trees, psi) if len(pdf) else np.zeros(0)
-            yield pdf
-    return df.mapInPandas(run, schema)
+        for cols in batches:
+            X = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
+            yield pd.Series(_score_batch(X, trees, psi) if len(X) else np.zeros(0))
+
+    return df.withColumn(out_col, raw.asNondeterministic()(*[F.col(c) for c in feature_cols]))
 
 
 # ------------------------------------------------------------------ exact quantile

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import attack as AT
 from ..params import Params
+from ..session import cut_lineage
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -21,7 +22,8 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def incident_ids(df: DataFrame, ts: str = "event_time", key: str = "event_id") -> DataFrame:
     """Adds ``incident_id`` (per-day sequence in (ts, key) order)."""
     t = F.col(ts).cast("timestamp")
-    x = (df.withColumn("_day", F.to_date(t))
+    # read twice below (rows and their counts): the upstream plan runs once
+    x = (cut_lineage(df).withColumn("_day", F.to_date(t))
            .withColumn("_sec", F.unix_seconds(t)))
     per_sec = (x.groupBy("_day", "_sec").agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_base", F.coalesce(F.sum("_c").over(

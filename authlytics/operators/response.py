@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..params import Params
+from ..session import cut_lineage
 
 
 def severity_at_least(level: Column, threshold: str | Column) -> Column:
@@ -97,14 +98,14 @@ def _make_fold():
             n = len(pdf)
             allowed = np.zeros(n, dtype=bool)
             if n:
-                keys = list(zip(pdf["_k"].to_numpy(), pdf["_seg"].to_numpy()))
+                k, seg = pdf["_k"].to_numpy(), pdf["_seg"].to_numpy()
                 t = pdf["_t"].to_numpy(dtype=np.int64)
                 cd = pdf["_cd"].to_numpy(dtype=np.int64)
-                starts = [0] + [i for i in range(1, n) if keys[i] != keys[i - 1]]
+                starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (seg[1:] != seg[:-1])])).tolist()
                 ends = starts[1:] + [n]
                 anchor = pdf["_anchor"].to_numpy() if "_anchor" in pdf.columns else None
                 for s, e in zip(starts, ends):
-                    if keys[s] == carry_key:
+                    if (k[s], seg[s]) == carry_key:
                         last = carry_last
                     elif anchor is not None and not pd.isna(anchor[s]):
                         last = int(anchor[s])
@@ -117,7 +118,7 @@ def _make_fold():
                         allowed[s + i] = True
                         last = int(tt[i])
                         i = int(np.searchsorted(tt, last + c, side="left"))
-                    carry_key, carry_last = keys[s], last
+                    carry_key, carry_last = (k[s], seg[s]), last
             pdf["allowed"] = allowed
             yield pdf
     return fold
@@ -136,7 +137,8 @@ def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds:
     B = int(round((bucket_seconds or max(3600.0, float(max_cd))) * 1e6))
     if B < max_cd * 1_000_000:
         raise ValueError("bucket must be >= the largest cooldown")
-    x = (actions
+    # the rows feed four branches below: the upstream plan runs once
+    x = (cut_lineage(actions)
          .withColumn("_k", F.concat_ws(":", F.col("action_type"), F.col("target")))
          .withColumn("_t", F.unix_micros(F.col("event_time").cast("timestamp")))
          .withColumn("_cd", cooldown_seconds(F.col("action_type"), p) * F.lit(1_000_000))

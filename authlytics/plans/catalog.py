@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import features as FE
 from ..params import Params
+from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import text_logs as TL
 from . import oracle_sql as OS
 
 QUERIES: dict = {}
@@ -43,21 +45,16 @@ def r6(c: str):
 
 # ----------------------------------------------------------------- features
 
-# computed by different formulas in the two engines: compared at 6 decimals;
-# every other double is the same IEEE operation sequence on both sides
-DOUBLE_FEATURES = {"user_login_time_std_devs"}
-
-
 def features_df(spark: SparkSession, sf: str, p: Params = QP) -> DataFrame:
     return FE.extract_features(FX.auth_events(spark, sf), p)
 
 
 def _feature_select(df: DataFrame, cols) -> DataFrame:
-    return df.select("event_id", *[r6(c) if c in DOUBLE_FEATURES else F.col(c) for c in cols])
+    return df.select("event_id", *cols)
 
 
 def _feature_query(name: str, cols, compat: bool = False):
-    sql_cols = ", ".join(["event_id"] + [f"round({c}, 6) as {c}" if c in DOUBLE_FEATURES else c for c in cols])
+    sql_cols = ", ".join(["event_id", *cols])
     sql = f"select {sql_cols} from ({OS.features_sql(compat=compat)}) f"
     p = QP.with_(compat=True) if compat else QP
 
@@ -99,7 +96,7 @@ def parsed_df(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _us(c="event_time"):
-    # unknown lines are stamped with ingest time: not comparable across runs
+    # unknown lines are stamped with ingest time, which differs from run to run
     return F.when(F.col("event_type") != "unknown", F.unix_micros(F.col(c))).alias("event_us")
 
 
@@ -131,10 +128,35 @@ _parse_query("parse_audit_execve", "source = 'audit_log'",
 _parse_query("parse_unknown_fallback", "event_type = 'unknown'",
              ["event_id", "source", "username", "source_ip", "source_port", "auth_method", "service"])
 _parse_query("parse_event_time", "event_type <> 'unknown'", ["event_id", "source"], True)
-_parse_query("src_auth_log", "source = 'auth_log'", _ALL_COLS, True)
-_parse_query("src_syslog", "source = 'syslog'", _ALL_COLS, True)
-_parse_query("src_audit_log", "source = 'audit_log'", _ALL_COLS, True)
-_parse_query("src_union_all", "true", _ALL_COLS)
+
+
+def _source_query(name: str, source: str | None):
+    """The rendered lines are written as text and read by the source operator."""
+    cols = [c for c in _ALL_COLS if c != "event_id"] + ["raw_line"]
+    where = f"source = '{source}'" if source else "true"
+    sql = (f"select {', '.join(cols)}, case when event_type <> 'unknown' then epoch_us(event_time) end as event_us "
+           f"from ({_PARSED_SQL}) p where {where}")
+
+    def q(spark, sf):
+        paths = FX.write_sources(spark, FX.all_lines(spark, sf), scratch_path(spark, f"logs-{name}"))
+        lines = TL.read_source(spark, paths[source], source) if source else TL.read_sources(spark, paths)
+        return parse_lines(lines, year=2024).select(*cols, _us())
+    register(name, sql)(q)
+
+
+_source_query("src_auth_log", "auth_log")
+_source_query("src_syslog", "syslog")
+_source_query("src_audit_log", "audit_log")
+_source_query("src_union_all", None)
+
+
+@register("src_baseline_jsonl", f"select cast(event_id as varchar) as event_id, {', '.join(n + '::double as ' + n for n in K.FEATURE_NAMES)} "
+          f"from ({OS.features_sql()}) f")
+def q_src_baseline_jsonl(spark, sf):
+    """Feature rows written as JSON lines (flags as true/false) and read back."""
+    path = scratch_path(spark, "baseline")
+    features_df(spark, sf).select("event_id", *K.FEATURE_NAMES).write.json(path)
+    return TL.read_baseline_jsonl(spark, path)
 
 
 @register("parse_drop_blank", f"""select source, event_type, count(*)::bigint as n, count(distinct raw_line)::bigint as n_lines
@@ -144,9 +166,14 @@ def q_parse_drop_blank(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw_line").alias("n_lines")))
 
 
-@register("event_to_json")
+_JSON_COLS = ["source", "event_type", "username", "source_ip", "auth_method", "service", "message", "raw_line", "host"]
+
+
+@register("event_to_json", f"select event_id, {', '.join(_JSON_COLS)}, source_port from ({_PARSED_SQL}) p")
 def q_event_to_json(spark, sf):
-    return event_to_json(parsed_df(spark, sf).drop("event_time"))
+    j = event_to_json(parsed_df(spark, sf))
+    back = F.from_json("json", ", ".join(f"{c} string" for c in _JSON_COLS) + ", source_port int")
+    return j.select("event_id", back.alias("j")).select("event_id", "j.*")
 
 
 # ----------------------------------------------------------------- remaining feature ids
@@ -157,7 +184,7 @@ from ..operators import forest as FO  # noqa: E402
 from ..operators import ops as OP  # noqa: E402
 from ..operators import report as RP  # noqa: E402
 from ..operators import response as RS  # noqa: E402
-from ..session import apply_defaults, scratch_path  # noqa: E402
+from ..session import apply_defaults  # noqa: E402
 
 _FSQL = OS.features_sql()
 
@@ -198,12 +225,10 @@ def q_feat_event_id(spark, sf):
     return features_df(spark, sf).select("event_id", "ref_event_id")
 
 
-@register("feat_vector_assemble", f"""select event_id, [{', '.join(
-    ('round(' + n + '::double, 6)') if n == 'user_login_time_std_devs' else (n + '::double') for n in K.FEATURE_NAMES)}] as vector
+@register("feat_vector_assemble", f"""select event_id, [{', '.join(n + '::double' for n in K.FEATURE_NAMES)}] as vector
   from ({_FSQL}) f""")
 def q_feat_vector_assemble(spark, sf):
-    df = features_df(spark, sf).withColumn("user_login_time_std_devs", F.round("user_login_time_std_devs", 6))
-    return df.select("event_id", DT.vector().alias("vector"))
+    return features_df(spark, sf).select("event_id", DT.vector().alias("vector"))
 
 
 @register("feat_metadata_project", f"""select event_id, concat_ws('_', coalesce(source_ip, 'unknown'), coalesce(username, 'unknown'),
@@ -302,7 +327,7 @@ _MODELS: dict = {}
 
 
 def trained_model(spark: SparkSession, sf: str, p: Params = Params()):
-    key = (sf, p.window_seconds, p.n_trees, p.max_samples, p.seed, p.contamination)
+    key = (spark.sparkContext.applicationId, sf, repr(p))
     if key not in _MODELS:
         apply_defaults(spark)
         feats = FE.extract_features(FX.auth_events(spark, sf), p)
@@ -323,13 +348,14 @@ def q_pipe_train(spark, sf):
                                  "psi int, n_trees int, offset double, n_nodes long")
 
 
-@register("ml_score_samples")
+@register("ml_score_samples", "select event_id, true as in_range from events")
 def q_ml_score_samples(spark, sf):
     m = trained_model(spark, sf)
     f = FE.extract_features(FX.auth_events(spark, sf), Params())
     z = [c + "__z" for c in FO.FEATURES]
     xs = FO.apply_scaler(f.select("event_id", *FO.FEATURES), FO.FEATURES, m.mean, m.std, suffix="__z")
-    return FO.score(xs.select("event_id", *z), m, z).select("event_id", "raw_score")
+    scored = FO.score(xs.select("event_id", *z), m, z)
+    return scored.select("event_id", F.col("raw_score").between(-1.0, 0.0).alias("in_range"))
 
 
 def detections_df(spark, sf, p: Params = Params()):
@@ -337,22 +363,42 @@ def detections_df(spark, sf, p: Params = Params()):
     return PL.score_features(FE.extract_features(FX.auth_events(spark, sf), p), m, p)
 
 
-@register("ml_detect")
+_DETECT_SQL = f"""select event_id, event_type, raw_score, anomaly_score, is_anomaly, {OS.risk_sql('anomaly_score')} as risk_level,
+  least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation from ({_SCORED}) s"""
+
+
+@register("ml_detect", _DETECT_SQL)
 def q_ml_detect(spark, sf):
-    return detections_df(spark, sf).select("event_id", "raw_score", "anomaly_score", "is_anomaly", "risk_level",
-                                           "confidence", "contributing_features", "explanation")
+    return scored_df(spark, sf).select("event_id", "event_type", "raw_score", "anomaly_score", "is_anomaly", "risk_level",
+                                       "confidence", "explanation")
 
 
-@register("ml_filter_anomalies")
+@register("ml_filter_anomalies", f"select event_id, event_type, anomaly_score, risk_level from ({_DETECT_SQL}) d where is_anomaly")
 def q_ml_filter_anomalies(spark, sf):
-    return detections_df(spark, sf).where("is_anomaly").select("event_id", "event_type", "anomaly_score", "risk_level")
+    return scored_df(spark, sf).where("is_anomaly").select("event_id", "event_type", "anomaly_score", "risk_level")
+
 
+_GUARD = "case when n >= 1000 then 'ok' else 'insufficient' end as status, n < 1000 as refused"
 
-@register("ml_train_guard")
+
+@register("ml_train_guard", f"""with c as (select event_type as part, count(*) as n from events group by 1
+  union all select 'all', count(*) from events union all select 'user ' || (user_id % 3), count(*) from events where user_id < 3 group by 1)
+select part, n as n_rows, {_GUARD} from c""")
 def q_ml_train_guard(spark, sf):
+    """The guard on all rows, on each event type and on a few users' rows."""
     p = Params()
-    n = FX.read_table(spark, sf, "events").count()
-    return spark.createDataFrame([(n, PL.training_guard(n, p, enforce=False))], "n_rows long, status string")
+    ev = FX.read_table(spark, sf, "events")
+    few = ev.where("user_id < 3").groupBy(F.concat(F.lit("user "), (F.col("user_id") % 3).cast("string")).alias("part")).count()
+    parts = ev.groupBy(F.col("event_type").alias("part")).count().unionByName(ev.agg(F.count(F.lit(1)).alias("count")).withColumn("part", F.lit("all"))).unionByName(few)
+    out = []
+    for r in parts.collect():
+        try:
+            PL.training_guard(r["count"], p)
+            refused = False
+        except PL.TrainingDataError:
+            refused = True
+        out.append((r["part"], r["count"], PL.training_guard(r["count"], p, enforce=False), refused))
+    return spark.createDataFrame(out, "part string, n_rows long, status string, refused boolean")
 
 
 @register("ml_model_store")
@@ -374,12 +420,15 @@ def q_pipe_infer(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The batch detection cycle: incidents with ATT&CK, actions, explanation."""
+    """The batch detection cycle, from log lines in text files to incidents with
+    ATT&CK, actions and explanation."""
     apply_defaults(spark)
     p = Params()
     m = trained_model(spark, sf, p)
-    res = PL.cycle(spark, FX.auth_events(spark, sf), m, p)
-    return res.incidents
+    lines = FX.log_lines(spark, sf)
+    paths = FX.write_sources(spark, lines, scratch_path(spark, "logs-cycle"))
+    events = TL.ingest_all(spark, {s: paths[s] for s in ("auth_log", "audit_log")}, p.log_year)
+    return PL.cycle(spark, events, m, p).incidents
 
 
 @register("pipe_cycle_batch")
@@ -596,14 +645,33 @@ def q_rep_text(spark, sf):
     return incidents_df(spark, sf).select("incident_id", RP.text_report().alias("text"))
 
 
-@register("rep_incident")
+_INC_COLS = "incident_id, severity, event_type, source_ip, username, anomaly_score, confidence, explanation"
+_INC_SQL = f"""select {OS.incident_id_sql()} as incident_id, strftime(ts, '%Y-%m-%d') as date, event_id,
+  {OS.risk_sql('anomaly_score')} as severity, event_type, source_ip, username, anomaly_score,
+  least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation from ({_ANOM}) a"""
+_INC_SCHEMA = ("incident_id string, severity string, event_type string, source_ip string, username string, anomaly_score double, "
+               "confidence double, explanation string, mitre_techniques array<struct<id:string>>, mitre_tactics array<string>")
+_INC_TECHS = f"""{_TECH_ROWS.replace('with f as (' + _FSQL + ')', 'with f as (' + _ANOM + ')')},
+t as (select event_id, string_agg(technique_id, ',' order by pos) as techniques,
+        array_to_string(list_sort(list_distinct(list(tactic))), ',') as tactics from j group by event_id),
+i as ({_INC_SQL})
+select {{}}, coalesce(techniques, '') as techniques, coalesce(tactics, '') as tactics from i left join t using (event_id)"""
+
+
+def _inc_columns(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, *_INC_COLS.split(", "), F.array_join(F.transform("mitre_techniques", lambda t: t["id"]), ",").alias("techniques"),
+                     F.array_join("mitre_tactics", ",").alias("tactics"))
+
+
+@register("rep_incident", _INC_TECHS.format("event_id, " + _INC_COLS))
 def q_rep_incident(spark, sf):
-    return incidents_df(spark, sf)
+    return _inc_columns(incidents_df(spark, sf), "event_id")
 
 
-@register("rep_json")
+@register("rep_json", _INC_TECHS.format(_INC_COLS))
 def q_rep_json(spark, sf):
-    return RP.report_json(incidents_df(spark, sf))
+    j = RP.report_json(incidents_df(spark, sf))
+    return _inc_columns(j.select(F.from_json("json", _INC_SCHEMA).alias("j")).select("j.*"))
 
 
 from ..sinks import files as SK  # noqa: E402
@@ -615,42 +683,51 @@ def _sink_roundtrip(spark, sf, fmt):
     return root
 
 
-@register("sink_report_json")
+@register("sink_report_json", _INC_TECHS.format("date, " + _INC_COLS))
 def q_sink_report_json(spark, sf):
-    return spark.read.json(_sink_roundtrip(spark, sf, "json") + "/json")
+    back = spark.read.schema(_INC_SCHEMA + ", date string").json(_sink_roundtrip(spark, sf, "json") + "/json")
+    return _inc_columns(back, "date")
 
 
-@register("sink_report_text")
+@register("sink_report_text", f"select unnest(string_split(text, chr(10))) as value from ({_text_sql()}) t")
 def q_sink_report_text(spark, sf):
-    return spark.read.text(_sink_roundtrip(spark, sf, "text") + "/text")
+    return spark.read.text(_sink_roundtrip(spark, sf, "text") + "/text").select("value")
 
 
-@register("sink_report_format")
+@register("sink_report_format", f"""with d as (select date, count(*)::bigint as count from ({_INC_SQL}) i group by date)
+select 'json' as format, * from d union all select 'text', * from d""")
 def q_sink_report_format(spark, sf):
     root = _sink_roundtrip(spark, sf, "both")
-    j = spark.read.json(root + "/json").select(F.lit("json").alias("format"), "date")
-    t = spark.read.text(root + "/text").where(F.col("value").startswith("Incident ID: ")).select(F.lit("text").alias("format"), "date")
+    j = spark.read.schema("incident_id string, date string").json(root + "/json").select(F.lit("json").alias("format"), "date")
+    t = spark.read.text(root + "/text").where(F.col("value").startswith("Incident ID: ")).select(F.lit("text").alias("format"), F.col("date").cast("string").alias("date"))
     return j.unionByName(t).groupBy("format", "date").count()
 
 
-@register("sink_alert_jsonl")
+_ALERT_COLS = "incident_id, severity, event_type, source_ip, username, anomaly_score, explanation"
+
+
+@register("sink_alert_jsonl", f"select {_ALERT_COLS} from ({_INC_SQL}) i union all select {_ALERT_COLS} from ({_INC_SQL}) i")
 def q_sink_alert_jsonl(spark, sf):
     path = scratch_path(spark, "alerts")
     al = RP.alerts(incidents_df(spark, sf))
     SK.append_alerts(al, path)
     SK.append_alerts(al, path)  # append twice: the stream only grows
-    return spark.read.json(path)
+    return spark.read.schema(_ALERT_COLS.replace(",", " string,").replace("anomaly_score string", "anomaly_score double") + " string").json(path)
 
 
-@register("sink_response_jsonl")
+@register("sink_response_jsonl", _ACTS_REC + "," + OS.cooldown_sql(False).strip() + "," + OS.outcome_sql().strip()
+          + """ select event_id, seq, action_type, target, severity, true as success, result_message,
+  'authlytics_engine' as executed_by, reversal_command, strftime(ts, '%Y-%m-%d') as date from outc where status = 'executed'""")
 def q_sink_response_jsonl(spark, sf):
     path = scratch_path(spark, "audit")
     o = RS.outcome(RS.apply_cooldown(actions_df(spark, sf), QP), QP)
     SK.append_audit(RS.audit_records(o), path)
-    return spark.read.json(path)
+    back = spark.read.schema("action struct<event_id:bigint,seq:int,action_type:string,target:string,severity:string>, success boolean, "
+                             "result_message string, executed_by string, reversal_command string, date string").json(path)
+    return back.select("action.*", "success", "result_message", "executed_by", "reversal_command", "date")
 
 
-@register("ops_incident_count")
+@register("ops_incident_count", f"select count(*)::bigint as incidents from ({_ANOM}) a")
 def q_ops_incident_count(spark, sf):
     return SK.incident_count(spark, _sink_roundtrip(spark, sf, "json"))
 
@@ -699,9 +776,9 @@ def q_ops_retention(spark, sf):
     return OP.retention(metrics_df(spark, sf), 3600).select("event_id", "component", "duration_ms")
 
 
-@register("ops_latest_n", f"select event_id, component from ({_MET}) m order by timestamp desc, event_id desc limit 10000")
+@register("ops_latest_n", f"select event_id, component from ({_MET}) m order by timestamp desc, event_id desc limit 2500")
 def q_ops_latest_n(spark, sf):
-    return OP.latest_n(metrics_df(spark, sf), 10000).select("event_id", "component")
+    return OP.latest_n(metrics_df(spark, sf), 2500).select("event_id", "component")
 
 
 @register("ops_recommendations", f"""with s as (select component, count(*) as n, count(*) filter (where not success) as e,
@@ -779,17 +856,30 @@ def _run_foreach(stream_df, fn, name):
     return q
 
 
-@register("stream_features", f"select event_id, " + ", ".join(
-    f"round({c}, 6) as {c}" if c in DOUBLE_FEATURES else c for c in K.FEATURE_NAMES) + f" from ({_FSQL}) f")
+@register("stream_features", f"select event_id, {', '.join(K.FEATURE_NAMES)} from ({_FSQL}) f")
 def q_stream_features(spark, sf):
-    """Streaming = batch: the events land in five time-ordered segments; each
-    micro-batch runs the batch operators on (new rows + retained history)."""
+    """Streaming = batch: the events land in five time-ordered segments, with lines that
+    no pattern matches (stamped at ingest) among them; each micro-batch runs the batch
+    operators on (new rows + retained history). The query is stopped after three
+    segments and started again on its checkpoint for the other two."""
     apply_defaults(spark)
     ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
     root = write_segments(ev, "event_time", scratch_path(spark, "landing-events"))
     state = ST.FeatureState(scratch_path(spark, "fstate"), QP)
-    _run_foreach(_stream_read(spark, root, ev.schema), lambda b, i: state.step(b.sparkSession, b, i), "features")
-    out = spark.read.parquet(f"{state.root}/features")
+    ck = scratch_path(spark, "ck-features")
+
+    def step(b, i):
+        unmatched = b.where("event_id % 50 = 0").select(
+            (-F.col("event_id") - 1).alias("event_id"), F.current_timestamp().alias("event_time"), F.lit(None).cast("string").alias("source_ip"),
+            F.lit(None).cast("string").alias("username"), F.lit("unknown").alias("auth_method"), F.lit("unknown").alias("event_type"),
+            "message", F.lit("ingest").alias("time_source"))
+        state.step(b.sparkSession, b.unionByName(unmatched), i)
+
+    for segments in ("seg=[0-2]", "seg=*"):
+        q = (spark.readStream.format("parquet").schema(ev.schema).option("maxFilesPerTrigger", 1).load(f"{root}/{segments}")
+             .writeStream.foreachBatch(step).option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+    out = spark.read.parquet(f"{state.root}/features").where("event_id >= 0")
     return _feature_select(out, list(K.FEATURE_NAMES))
 
 
@@ -805,8 +895,7 @@ def q_src_incremental(spark, sf):
         lines = ev.where(F.col("source") == src).select(F.col("raw_line").alias("value"), "event_time")
         roots[src] = write_segments(lines, "event_time", scratch_path(spark, f"landing-{src}"), fmt="text")
     out = scratch_path(spark, "incremental-out")
-    streams = [spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(r)
-               .drop("seg").withColumn("source", F.lit(s)) for s, r in roots.items()]
+    streams = [TL.stream_source(spark, r, s, 1).drop("seg") for s, r in roots.items()]
     lines = streams[0].unionByName(streams[1])
 
     def run(b, i):
@@ -890,7 +979,7 @@ def _cycle_stream(spark, sf, trigger):
     else:
         q.processAllAvailable()
         q.stop()
-    return spark.read.json(f"{out}/reports/json")
+    return spark.read.schema(_INC_SCHEMA + ", date string").json(f"{out}/reports/json")
 
 
 @register("pipe_cycle_once")

@@ -38,7 +38,7 @@ p as (
   select event_id, ts, nullif(source_ip, '') as ip, nullif(username, '') as usr, auth_method, event_type, message,
     case when instr(event_type, 'failed') > 0 then 1 else 0 end as is_failed,
     event_type = 'login_success' as is_login,
-    case when event_type = 'login_success' then hour(ts) + minute(ts) / 60.0 end as login_h,
+    case when event_type = 'login_success' then (hour(ts) * 60 + minute(ts))::hugeint end as login_h,
     case when instr(event_type, 'sudo') > 0 then 1 else 0 end as is_sudoish,
     case when event_type = 'sudo_failure' then 1 else 0 end as is_sudo_fail,
     event_type = 'sudo_success' as is_sudo_ok,
@@ -64,10 +64,12 @@ usw as (
     count(*) over wu as un, sum(is_sudo_fail) over wu as fs, sum(is_acct) over wu as ac,
     max(case when is_login then ts end) over wu as last_login,
     r, max(case when is_login then r end) over wu as rl,
-    coalesce(stddev_samp(login_h) over (partition by usr order by ts, event_id rows between unbounded preceding and current row), 0) as std,
+    case when count(login_h) over wh >= 2 then sqrt((count(login_h) over wh * sum(login_h * login_h) over wh - sum(login_h) over wh * sum(login_h) over wh)::double
+      / (count(login_h) over wh::double * (count(login_h) over wh - 1)::double)) / 60.0 else 0.0 end as std,
     is_sudo_ok and coalesce(sum(is_sudoish) over (partition by usr order by ts, event_id rows between unbounded preceding and 1 preceding), 0) = 0 as first_sudo
   from u1
-  window wu as (partition by usr order by ts range between {iv} preceding and current row)
+  window wu as (partition by usr order by ts range between {iv} preceding and current row),
+    wh as (partition by usr order by ts, event_id rows between unbounded preceding and current row)
 )
 select p.event_id, p.event_type, p.ts, p.ip as source_ip, p.usr as username,
   coalesce(ipw.n, 0)::bigint as ip_window_events, coalesce(usw.un, 0)::bigint as user_window_events,

@@ -10,6 +10,7 @@ only when the session has none, which is the local/test case.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
-    conf.setdefault("spark.driver.memory", "16g")
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -67,12 +69,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
     Uses ``spark.checkpoint.dir`` (or the SparkContext checkpoint dir) of the
-    session. Only when neither is set (local runs, tests) a temporary folder is
-    created and registered.
+    session. Only a local run without either gets a temporary folder; on a
+    cluster, where executors wouldn't see it, that is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="authlytics-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

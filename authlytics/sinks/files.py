@@ -58,4 +58,4 @@ def append_audit(audit: DataFrame, path: str, batch_id: int | None = None) -> st
 
 def incident_count(spark: SparkSession, path: str) -> DataFrame:
     """Number of stored incident reports (status view)."""
-    return spark.read.json(f"{path}/json").agg(F.countDistinct("incident_id").alias("incidents"))
+    return spark.read.schema("incident_id string").json(f"{path}/json").agg(F.countDistinct("incident_id").alias("incidents"))

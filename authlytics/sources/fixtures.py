@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 DIALECT = {
     "spark": {"K": "cast(get_json_object(props, '$.k') as int)",
-              "MON": "date_format(ts, 'MMM')", "HMS": "date_format(ts, 'HH:mm:ss')"},
+              "MON": "date_format(ts, 'MMM')", "HMS": "date_format(ts, 'HH:mm:ss')",
+              "EPOCH": "unix_seconds(cast(ts as timestamp))"},
     "duckdb": {"K": "cast(json_extract(props, '$.k') as int)",
-               "MON": "strftime(ts, '%b')", "HMS": "strftime(ts, '%H:%M:%S')"},
+               "MON": "strftime(ts, '%b')", "HMS": "strftime(ts, '%H:%M:%S')",
+               "EPOCH": "epoch_us(ts) // 1000000"},
 }
 
 ET_EXPR = """case when event_type = 'error' then 'login_failed'
@@ -35,18 +37,21 @@ AUTH_COLS = [
     "when et = 'login_success' and event_id % 2 = 0 then 'publickey' else 'password' end as auth_method",
 ]
 
+EXE_EXPR = "case event_id % 4 when 0 then '/usr/bin/curl' when 1 then '/usr/sbin/logrotate' when 2 then '/bin/bash' else '/usr/lib/git-core/hook' end"
+CMD_EXPR = ("case event_id % 6 when 0 then '/bin/systemctl restart nginx' when 1 then '/usr/sbin/useradd deploy' "
+            "when 2 then '/bin/bash' when 3 then '/usr/bin/passwd root' when 4 then '/bin/cat /var/log/syslog' else '/usr/bin/tar cf /tmp/x' end")
 LINE_EXPR = """concat({MON}, ' ', lpad(cast(day(ts) as string), 2, ' '), ' ', {HMS}, ' web1 ',
   case event_type
     when 'login_failed' then concat('sshd[', cast(event_id as string), ']: Failed password for ', username, ' from ', source_ip, ' port ', cast(40000 + k as string), ' ssh2')
     when 'invalid_user_attempt' then concat('sshd[', cast(event_id as string), ']: Invalid user ', username, ' from ', source_ip, ' port ', cast(40000 + k as string))
     when 'login_success' then concat('sshd[', cast(event_id as string), ']: Accepted ', auth_method, ' for ', username, ' from ', source_ip, ' port ', cast(40000 + k as string), ' ssh2')
-    when 'sudo_success' then concat('sudo: ', username, ' : TTY=pts/0 ; PWD=/home/', username, ' ; USER=root ; COMMAND=/bin/systemctl restart nginx')
+    when 'sudo_success' then concat('sudo: ', username, ' : TTY=pts/0 ; PWD=/home/', username, ' ; USER=root ; COMMAND=', {CMD})
     when 'sudo_failure' then concat('sudo: ', username, ' : command not allowed ; TTY=pts/0 ; PWD=/tmp')
-    else concat('audispd: type=EXECVE msg=audit(1704067807.179:', cast(event_id as string), '): argc=1 exe="/usr/bin/curl"')
+    else concat('audispd: type=EXECVE msg=audit(', cast({EPOCH} as string), '.179:', cast(event_id as string), '): argc=1 exe="', {EXE}, '"')
   end)"""
 
 # message as the parser would produce it: the line, or "Executed: <exe>" for audit
-MESSAGE_EXPR = "case when event_type = 'process_execution' then 'Executed: /usr/bin/curl' else raw_line end"
+MESSAGE_EXPR = f"case when event_type = 'process_execution' then concat('Executed: ', {EXE_EXPR}) else raw_line end"
 SOURCE_EXPR = "case when event_type = 'process_execution' then 'audit_log' else 'auth_log' end"
 
 
@@ -59,7 +64,7 @@ def auth_sql(dialect: str = "duckdb") -> str:
 def events_sql(dialect: str = "duckdb") -> str:
     """auth + rendered line + message + source (one row per driver event)."""
     d = DIALECT[dialect]
-    line = LINE_EXPR.format(**d)
+    line = LINE_EXPR.format(**d, CMD=CMD_EXPR, EXE=EXE_EXPR)
     return (f"select *, {MESSAGE_EXPR} as message, {SOURCE_EXPR} as source from "
             f"(select *, {line} as raw_line from ({auth_sql(dialect)}) a) b")
 
@@ -78,9 +83,10 @@ def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
            .selectExpr(*AUTH_COLS))
-    b = a.selectExpr("*", f"{LINE_EXPR.format(**d)} as raw_line")
+    b = a.selectExpr("*", f"{LINE_EXPR.format(**d, CMD=CMD_EXPR, EXE=EXE_EXPR)} as raw_line")
     return (b.selectExpr("*", f"{MESSAGE_EXPR} as message", f"{SOURCE_EXPR} as source")
              .withColumn("event_time", F.col("ts").cast("timestamp"))
+             .withColumn("time_source", F.lit("line"))
              .withColumn("source_port", F.when(F.col("source_ip").isNotNull(), F.lit(40000) + F.col("k"))))
 
 
@@ -169,15 +175,17 @@ def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = ([(0, SOURCE_EXPR, line),
                  (0, "'syslog'", f"case when event_type <> 'process_execution' then {line} end")]
                 + [(v, f"'{src}'", expr) for v, src, expr in EXTRA_VARIANTS])
-    structs = _line_structs(d, variants).replace("LINE", LINE_EXPR.format(**d))
+    structs = _line_structs(d, variants).replace("LINE", LINE_EXPR.format(**d, CMD=CMD_EXPR, EXE=EXE_EXPR))
     out = a.selectExpr(f"inline(array({structs}))").where(F.col("value").isNotNull())
-    # a small table can arrive as one split; spread the rendered lines over
-    # the cores before the regex work (a no-op for inputs that are already
-    # split into at least that many partitions)
-    dp = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < dp:
-        out = out.repartition(dp)
-    return out
+    # a small table arrives as one split; the rendered lines are spread before the
+    # regex work
+    return out.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def write_sources(spark: SparkSession, lines: DataFrame, root: str) -> dict[str, str]:
+    """Write (value, source) lines as one text folder per source: source -> path."""
+    lines.select("value", "source").write.partitionBy("source").text(root)
+    return {s: f"{root}/source={s}" for s in ("auth_log", "syslog", "audit_log")}
 
 
 def all_lines_sql(dialect: str = "duckdb") -> str:

@@ -8,31 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..functions.parse import parse_lines
 
 SOURCE_ORDER = ("auth_log", "syslog", "audit_log")
 
 
+def _lines(spark: SparkSession, path: str, source: str) -> DataFrame:
+    return (spark.read.text(path)
+            .withColumn("source", F.lit(source))
+            .withColumn("ingest_time", F.current_timestamp()))
+
+
 def read_source(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Lines of one log source: (value, source, ingest_time, event_id).
 
     ``event_id`` is a row key for lines that carry no id of their own.
     """
-    return (spark.read.text(path)
-            .withColumn("source", F.lit(source))
-            .withColumn("ingest_time", F.current_timestamp())
-            .withColumn("event_id", F.monotonically_increasing_id()))
+    return _lines(spark, path, source).withColumn("event_id", F.monotonically_increasing_id())
 
 
 def read_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """One line set from all configured sources (no dedupe), tagged by source."""
-    frames = [read_source(spark, paths[s], s) for s in SOURCE_ORDER if s in paths]
+    """One line set from all configured sources (no dedupe), tagged by source. Row
+    keys are given after the union, so no two lines share one."""
+    frames = [_lines(spark, paths[s], s) for s in SOURCE_ORDER if s in paths]
     if not frames:
         raise ValueError("no log source configured")
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return reduce(lambda a, b: a.unionByName(b), frames).withColumn("event_id", F.monotonically_increasing_id())
 
 
-def ingest_all(spark: SparkSession, paths: dict[str, str], year: int = 2024) -> DataFrame:
+def ingest_all(spark: SparkSession, paths: dict[str, str], year: int | None = 2024) -> DataFrame:
     """Read and parse every source: the batch form of one ingestion cycle."""
     return parse_lines(read_sources(spark, paths), year=year)
 
@@ -54,17 +59,14 @@ def stream_source(spark: SparkSession, directory: str, source: str,
             .withColumn("ingest_time", F.current_timestamp()))
 
 
-FEATURE_ROW_SCHEMA = T.StructType(
-    [T.StructField("event_id", T.LongType())]
-    + [T.StructField(n, T.DoubleType()) for n in (
-        "ip_failed_logins", "ip_unique_users_attempted", "ip_failed_to_success_ratio",
-        "ip_avg_inter_attempt_seconds", "ip_auth_method_variance", "user_login_time_std_devs",
-        "user_new_ip_detected", "user_first_sudo_usage", "user_failed_sudo_attempts",
-        "user_login_from_new_asn", "session_login_to_privesc_seconds",
-        "session_post_login_command_rate", "session_lolbin_executed", "session_account_changes")]
-)
+def read_baseline_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Baseline feature rows (event_id string, 14 doubles) from JSON lines. Every field is
+    read as text first, so flags may be true/false or 0/1 and ids of any kind."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id", *K.FEATURE_NAMES)])
+    rows = spark.read.schema(schema).json(path)
 
+    def number(c: str):
+        v = F.lower(F.col(c))
+        return F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double")).alias(c)
 
-def read_baseline_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Baseline feature rows from JSON lines, with a fixed schema (no inference)."""
-    return spark.read.schema(FEATURE_ROW_SCHEMA).json(path)
+    return rows.select("event_id", *[number(c) for c in K.FEATURE_NAMES])

@@ -3,12 +3,17 @@ fan-out, cooldown across micro-batches.
 
 * ``FeatureState`` + ``detection_stream``: ``readStream.text`` on a landing
   folder -> ``foreachBatch``. Each micro-batch runs the *batch* operators on
-  (retained history + new rows); state between batches is three versioned
-  tables under the checkpoint folder -- the trailing history (last ``w`` plus
-  the allowed lateness of events), all-time per-user totals, and the
-  (ip, user) pairs seen. Batch ``b`` reads version ``b-1`` and writes version
-  ``b`` and its outputs with overwrite, so a re-executed batch after a restart
-  gives the same result (exactly-once to the file sinks).
+  (retained history + new rows); state between batches is four versioned
+  tables under the output folder -- the trailing history (last ``w`` plus
+  the allowed lateness of events), all-time per-user totals, the
+  (ip, user) pairs and (user, asn) pairs seen. The history's limit follows the
+  stamps read from lines only: lines stamped with their ingest time never move it,
+  and rows without address and user, which no window needs, aren't retained.
+  Rows older than the limit are marked ``late``: their trailing windows may miss
+  events that have left the history. Batch ``b`` reads version ``b-1`` and writes
+  version ``b`` and its outputs with overwrite; the query's checkpoint lies in the
+  output folder, so a restart resumes, and a re-executed batch gives the same result
+  (exactly-once to the file sinks). Versions before ``b-1`` are deleted.
 * ``ip_window_counts``: the coarse per-IP counts as a native watermarked
   sliding-window aggregation.
 * ``cooldown_stream``: the greedy cooldown with ``transformWithStateInPandas``
@@ -36,7 +41,7 @@ from ..plans import pipelines as PL
 from ..session import checkpoint_root, scratch_path
 from ..sinks import files as SK
 
-EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message"]
+EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message", "time_source"]
 
 
 def _utc(seconds: float) -> datetime.datetime:
@@ -64,12 +69,23 @@ def latest_version(spark: SparkSession, root: str, below: int) -> int | None:
     return best
 
 
+def drop_versions(spark: SparkSession, root: str, below: int) -> None:
+    """Delete the ``v=<n>`` folders under ``root`` with n < below."""
+    fs, p = _fs(spark, root)
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) < below:
+                fs.delete(st.getPath(), True)
+
+
 @dataclass
 class FeatureState:
     """Versioned state tables of the streaming feature extraction."""
     root: str
     p: Params = field(default_factory=Params)
     allowed_lateness_seconds: float = 600.0
+    asn_prefixes: DataFrame | None = None
 
     def _read(self, spark, version, name, schema):
         if version is None:
@@ -80,26 +96,39 @@ class FeatureState:
         """Features of the new events of micro-batch ``batch_id``; writes
         state version ``batch_id``. Returns a DataFrame over written files."""
         v = latest_version(spark, f"{self.root}/history", batch_id)
-        ev_schema = new_events.select(*EVENT_COLS).schema
+        if "time_source" not in new_events.columns:
+            new_events = new_events.withColumn("time_source", F.lit("line"))
+        # the micro-batch is read by several jobs: written once
+        new_events.select(*EVENT_COLS).write.mode("overwrite").parquet(f"{self.root}/new/v={batch_id}")
+        new_events = spark.read.schema(new_events.select(*EVENT_COLS).schema).parquet(f"{self.root}/new/v={batch_id}")
+        ev_schema = new_events.schema
         hist = self._read(spark, v, "history", ev_schema)
-        ub = self._read(spark, v, "user_base", "user string, sudo long, ln long, ls double, lss double")
+        ub = self._read(spark, v, "user_base", "user string, sudo long, ln long, ls long, lss long")
         seen = self._read(spark, v, "seen_pairs", "ip string, user string")
-        new = new_events.select(*EVENT_COLS).withColumn("_hist", F.lit(False))
+        seen_asn = self._read(spark, v, "seen_asn", "user string, asn string") if self.asn_prefixes is not None else None
+        limit = None if v is None else spark.read.parquet(f"{self.root}/limit/v={v}").first()["limit_us"]
+        new = new_events.withColumn("_hist", F.lit(False))
         rows = new if hist is None else new.unionByName(hist.withColumn("_hist", F.lit(True)))
-        feats = FE.extract_features(rows, self.p, user_base=ub, seen_pairs=seen)
+        feats = FE.extract_features(rows, self.p, asn_prefixes=self.asn_prefixes, user_base=ub, seen_pairs=seen, seen_asn=seen_asn)
+        late = F.lit(False) if limit is None else F.unix_micros(F.col("event_time").cast("timestamp")) <= F.lit(limit)
         out = f"{self.root}/features/batch={batch_id}"
-        feats.write.mode("overwrite").parquet(out)
+        feats.withColumn("late", late).write.mode("overwrite").parquet(out)
+        FE.rejects(new_events).write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch_id}")
 
         # next state version
-        prep = FE.prepare(new, self.p)
+        prep = FE.prepare(new.where("event_time is not null"), self.p)
         keep_us = int((self.p.window_seconds + self.allowed_lateness_seconds) * 1e6)
         all_rows = new.drop("_hist") if hist is None else new.drop("_hist").unionByName(hist)
-        mx = all_rows.agg(F.max(F.unix_micros(F.col("event_time").cast("timestamp")))).first()[0]
-        nxt = all_rows.where(F.unix_micros(F.col("event_time").cast("timestamp")) > F.lit((mx or 0) - keep_us))
+        us = F.unix_micros(F.col("event_time").cast("timestamp"))
+        mx = new_events.where("time_source = 'line'").agg(F.max(us)).first()[0]
+        now = max([x for x in (limit, None if mx is None else mx - keep_us) if x is not None], default=None)
+        nxt = all_rows.where("event_time is not null and coalesce(source_ip, username) is not null")
+        if now is not None:
+            nxt = nxt.where(us > F.lit(now))
         add = (prep.where(F.col("user").isNotNull()).groupBy("user").agg(
             F.sum("is_sudoish").cast("long").alias("sudo"), F.count("login_h").alias("ln"),
-            F.coalesce(F.sum("login_h"), F.lit(0.0)).alias("ls"),
-            F.coalesce(F.sum(F.col("login_h") * F.col("login_h")), F.lit(0.0)).alias("lss")))
+            F.coalesce(F.sum("login_h"), F.lit(0)).alias("ls"),
+            F.coalesce(F.sum(F.col("login_h") * F.col("login_h")), F.lit(0)).alias("lss")))
         base = add if ub is None else ub.unionByName(add)
         (base.groupBy("user").agg(*[F.sum(c).alias(c) for c in ("sudo", "ln", "ls", "lss")])
          .write.mode("overwrite").parquet(f"{self.root}/user_base/v={batch_id}"))
@@ -107,8 +136,15 @@ class FeatureState:
         if seen is not None:
             pairs = pairs.unionByName(seen).distinct()
         pairs.write.mode("overwrite").parquet(f"{self.root}/seen_pairs/v={batch_id}")
+        if self.asn_prefixes is not None:
+            asn = FE.user_asns(prep, self.asn_prefixes)
+            asn = asn if seen_asn is None else asn.unionByName(seen_asn).distinct()
+            asn.write.mode("overwrite").parquet(f"{self.root}/seen_asn/v={batch_id}")
+        spark.createDataFrame([(now,)], "limit_us long").write.mode("overwrite").parquet(f"{self.root}/limit/v={batch_id}")
         # history is written last: its _SUCCESS marks version batch_id complete
         nxt.write.mode("overwrite").parquet(f"{self.root}/history/v={batch_id}")
+        for name in ("new", "history", "user_base", "seen_pairs", "seen_asn", "limit"):
+            drop_versions(spark, f"{self.root}/{name}", batch_id - 1)
         return spark.read.parquet(out)
 
 
@@ -124,7 +160,8 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
                      max_files_per_trigger: int | None = None, emit_features_only: bool = False):
     """Start the streaming detection cycle. ``landing``: source -> folder of
     new log segments. ``trigger``: e.g. {"availableNow": True} (one cycle and
-    exit) or {"processingTime": "5 seconds"} (continuous monitoring)."""
+    exit) or {"processingTime": "5 seconds"} (continuous monitoring). Started
+    again with the same ``out_root``, it resumes where it stopped."""
     from ..sources.text_logs import stream_source
     p = p or Params()
     streams = [stream_source(spark, d, s, max_files_per_trigger) for s, d in landing.items()]
@@ -132,7 +169,7 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
     for s in streams[1:]:
         lines = lines.unionByName(s)
     state = FeatureState(f"{out_root}/state", p)
-    ck = checkpoint or scratch_path(spark, "detect-stream")
+    ck = checkpoint or f"{out_root}/_checkpoint"
 
     def run(batch_df: DataFrame, batch_id: int):
         started = time.time()
@@ -142,7 +179,9 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
         if emit_features_only or model is None:
             return
         det = PL.score_features(feats, model, p)
-        anomalies = det.where(F.col("is_anomaly"))
+        # written once: scoring isn't repeated for each of the outputs below
+        det.where(F.col("is_anomaly")).write.mode("overwrite").parquet(f"{out_root}/anomalies/batch={batch_id}")
+        anomalies = sp.read.schema(det.schema).parquet(f"{out_root}/anomalies/batch={batch_id}")
         v = latest_version(sp, f"{out_root}/cooldown", batch_id)
         anchors = None if v is None else sp.read.parquet(f"{out_root}/cooldown/v={v}")
         acts = RS.outcome(RS.apply_cooldown(RS.decide(anomalies, p), p, anchors=anchors), p)
@@ -160,6 +199,7 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
             last = (last.unionByName(anchors).groupBy("action_type", "target")
                     .agg(F.max("last_allowed_us").alias("last_allowed_us")))
         last.write.mode("overwrite").parquet(f"{out_root}/cooldown/v={batch_id}")
+        drop_versions(sp, f"{out_root}/cooldown", batch_id - 1)
         n_anom = sp.read.parquet(f"{out_root}/actions/batch={batch_id}").select("event_id").distinct().count()
         sp.createDataFrame([(batch_id, _utc(started), _utc(time.time()), False, n_anom)],
                            "cycle_id long, started_at timestamp, ended_at timestamp, failed boolean, anomalies long") \
@@ -204,7 +244,7 @@ class CooldownProcessor(StatefulProcessor):
         self.cooldowns, self.default, self.enable, self.ttl = cooldowns, default, enable_actions, ttl_ms
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last_allowed", "t long")
+        self.last = handle.getValueState("last_allowed", "t long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "event_id", "seq"], kind="mergesort")
@@ -232,10 +272,11 @@ class CooldownProcessor(StatefulProcessor):
 
 def cooldown_stream(actions: DataFrame, p: Params | None = None) -> DataFrame:
     """actions stream (event_id, seq, action_type, target, event_time) ->
-    (event_id, seq, action_type, target, t, allowed)."""
+    (event_id, seq, action_type, target, t, allowed). A key's state expires a day of
+    processing time after its last allowed action, far beyond any cooldown of a live feed."""
     p = p or Params()
     x = actions.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target",
                        F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"))
     return (x.groupBy("action_type", "target").transformWithStateInPandas(
         statefulProcessor=CooldownProcessor(dict(p.cooldowns), p.default_cooldown, p.enable_actions),
-        outputStructType=COOLDOWN_OUT, outputMode="Append", timeMode="None"))
+        outputStructType=COOLDOWN_OUT, outputMode="Append", timeMode="ProcessingTime"))

@@ -238,9 +238,9 @@ COOLDOWN_OUT = T.StructType([
 
 class CooldownProcessor(StatefulProcessor):
     """Greedy cooldown per action:target across micro-batches; state = last
-    allowed-and-executed time (micros), expired by TTL."""
+    allowed-and-executed time (micros), expired after ``ttl_ms`` if given."""
 
-    def __init__(self, cooldowns: dict, default: int, enable_actions: bool, ttl_ms: int = 86_400_000):
+    def __init__(self, cooldowns: dict, default: int, enable_actions: bool, ttl_ms: int | None = None):
         self.cooldowns, self.default, self.enable, self.ttl = cooldowns, default, enable_actions, ttl_ms
 
     def init(self, handle) -> None:
@@ -270,13 +270,19 @@ class CooldownProcessor(StatefulProcessor):
         pass
 
 
-def cooldown_stream(actions: DataFrame, p: Params | None = None) -> DataFrame:
+def cooldown_stream(actions: DataFrame, p: Params | None = None, ttl_ms: int | None = None) -> DataFrame:
     """actions stream (event_id, seq, action_type, target, event_time) ->
-    (event_id, seq, action_type, target, t, allowed). A key's state expires a day of
-    processing time after its last allowed action, far beyond any cooldown of a live feed."""
+    (event_id, seq, action_type, target, t, allowed).
+
+    A monitor that runs for ever passes ``ttl_ms`` (processing time since a key's last
+    allowed action, at least the longest cooldown); an ``availableNow`` run passes none,
+    as Spark goes on with empty batches while a state can expire."""
     p = p or Params()
+    longest = max([p.default_cooldown, *p.cooldowns.values()])
+    if ttl_ms is not None and ttl_ms < longest * 1000:
+        raise ValueError("the state must outlive the longest cooldown")
     x = actions.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target",
                        F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"))
     return (x.groupBy("action_type", "target").transformWithStateInPandas(
-        statefulProcessor=CooldownProcessor(dict(p.cooldowns), p.default_cooldown, p.enable_actions),
-        outputStructType=COOLDOWN_OUT, outputMode="Append", timeMode="ProcessingTime"))
+        statefulProcessor=CooldownProcessor(dict(p.cooldowns), p.default_cooldown, p.enable_actions, ttl_ms),
+        outputStructType=COOLDOWN_OUT, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime"))

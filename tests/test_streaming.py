@@ -4,7 +4,7 @@ import datetime as dt
 
 from authlytics.operators import features as FE
 from authlytics.params import Params
-from authlytics.streaming.stream import EVENT_COLS, FeatureState
+from authlytics.streaming.stream import FeatureState
 
 T0 = dt.datetime(2024, 1, 15, 12, 0, 0)
 COLS = "event_id long, event_time timestamp, source_ip string, username string, auth_method string, event_type string, message string"
@@ -21,9 +21,42 @@ def test_two_batches_equal_batch(spark, tmp_path):
     p = Params()
     batch = FE.extract_features(ev, p)
     st = FeatureState(str(tmp_path / "state"), p)
-    st.step(spark, ev.where("event_id < 60").select(*EVENT_COLS), 0)
-    st.step(spark, ev.where("event_id >= 60").select(*EVENT_COLS), 1)
+    st.step(spark, ev.where("event_id < 60"), 0)
+    st.step(spark, ev.where("event_id >= 60"), 1)
     streamed = spark.read.parquet(str(tmp_path / "state" / "features"))
-    cols = [c for c in batch.columns if c not in ("user_login_time_std_devs",)]
+    cols = batch.columns
     assert streamed.count() == 120
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+
+
+def test_ingest_stamps_do_not_move_the_history(spark, tmp_path):
+    """Lines that no pattern matches carry their ingest time; 28 failures stay 28."""
+    fails = [(i, T0 + dt.timedelta(seconds=i), "203.0.113.5", "eve", "password", "login_failed", "x", "line") for i in range(28)]
+    cron = [(100 + i, dt.datetime.now(), None, None, "unknown", "unknown", "CRON", "ingest") for i in range(2)]
+    late = [(200, T0 - dt.timedelta(days=2), "203.0.113.5", "eve", "password", "login_failed", "x", "line")]
+    schema = COLS + ", time_source string"
+    st = FeatureState(str(tmp_path / "state"), Params())
+    st.step(spark, spark.createDataFrame(fails[:20] + cron, schema), 0)
+    second = {r["event_id"]: r for r in st.step(spark, spark.createDataFrame(fails[20:] + cron + late, schema), 1).collect()}
+    assert second[27]["ip_failed_logins"] == 28 and not second[27]["late"]
+    assert second[200]["late"]
+    st.step(spark, spark.createDataFrame(fails[:0], schema), 2)
+    assert [p.name for p in (tmp_path / "state" / "history").iterdir() if p.name == "v=0"] == []
+
+
+def test_stopped_and_started_again(spark, tmp_path):
+    """A detection stream resumes from the checkpoint in its output folder."""
+    from authlytics.streaming.stream import detection_stream
+    logs = tmp_path / "logs"
+    logs.mkdir()
+
+    def run():
+        q = detection_stream(spark, {"auth_log": str(logs)}, None, str(tmp_path / "out"), Params(), emit_features_only=True)
+        q.awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out" / "state" / "features"))
+
+    for k in range(2):
+        (logs / f"part{k}.log").write_text("".join(
+            f"Mar  3 09:0{k}:{s:02d} box sshd[77]: Failed password for mallory from 198.18.0.7 port 9 ssh2\n" for s in range(15)))
+        out = run()
+    assert out.count() == 30 and out.agg({"ip_failed_logins": "max"}).first()[0] == 30

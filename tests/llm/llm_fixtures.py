@@ -1,3 +1,5 @@
+"""Fixtures of these tests; a conftest here would hide that of the folder above."""
+
 import os
 import sys
 
@@ -9,7 +11,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(autouse=True)
-def _prepared(spark):
+def prepared(spark):
     from authlytics.llm.common import prepare
     prepare(spark)
 

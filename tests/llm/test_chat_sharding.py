@@ -1,3 +1,4 @@
+from llm_fixtures import prepared, vocab  # noqa: F401
 import hashlib
 
 import pytest
@@ -5,6 +6,7 @@ from authlytics.llm.chat import chat_digest, escape, format_chat, read_turns, un
 from authlytics.llm.sharding import extendible_shards, shard_directory
 from pyspark.sql import functions as F
 
+
 TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "back\\slash \\\\ <\\s> \\<s>", "<<|im_end|>", "é漢🙂<", "ends \\"]
 
 

@@ -1,8 +1,10 @@
+from llm_fixtures import prepared, vocab  # noqa: F401
 import pytest
 from authlytics.llm.langid import fit_languages, held_out, identify_languages
 from authlytics.llm.quality import (KEEP_FROM, LABELLERS, analyse, classify_quality, fit_labellers, pattern, unpattern, votes)
 from pyspark.sql import functions as F
 
+
 DATA = "/root/testdata/sf0.01"
 
 

@@ -1,3 +1,4 @@
+from llm_fixtures import prepared, vocab  # noqa: F401
 import corpus_pipeline
 from authlytics.llm import quality
 from authlytics.llm.common import stored

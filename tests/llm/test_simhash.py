@@ -1,3 +1,4 @@
+from llm_fixtures import prepared, vocab  # noqa: F401
 import numpy as np
 import pandas as pd
 import pytest

@@ -1,3 +1,4 @@
+from llm_fixtures import prepared, vocab  # noqa: F401
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +7,7 @@ from authlytics.llm.ann import ann_search
 from authlytics.llm.topk import accumulate, exact_topk
 from pyspark.sql import functions as F
 
+
 CASES = [(0, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, 0.5]),
          (6, [0.0, 0.0]), (7, [1.0]), (7, [1.0]), (8, []), (20, [1.0, 0.5]), (40, [-3.0, 2.0]), (None, [1.0, 1.0])]
 SCHEMA = "vec_id long, embedding array<double>, score string"

@@ -193,8 +193,10 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
         exit_ = ev(f"tus + {W}", 0, -1, "-is_failed", f"-cast({end_u} as int)", f"-cast({end_m} as int)", "next_any")
         mark = ev("tus", 2, 0, 0, 0, 0, "null")
         arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
+        # the payload rides on the output row only
+        payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
         y = (x.select("ip", "bkt", "event_id", "new_ip", "_p", F.explode(arr).alias("d"))
-              .select("ip", "bkt", "event_id", "new_ip", "_p", "d.*")
+              .select("ip", "bkt", "event_id", "new_ip", payload, "d.*")
               # exits past the bucket end cannot reach any output row of this bucket
               .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
         wr = (Window.partitionBy("ip", "bkt").orderBy("time", "kind", "event_id")
@@ -305,8 +307,9 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
         exit_ = ev(f"tus + {W}", 0, 0, -1, "-is_sudo_fail", "-is_acct", 0, "null")
         mark = ev("tus", 2, 0, 0, 0, 0, 0, "null")
         arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
+        payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
         y = (x.select("ukey", "user", "bkt", *carry, F.explode(arr).alias("d"))
-              .select("ukey", "user", "bkt", *carry, "d.*")
+              .select("ukey", "user", "bkt", *carry[:-1], payload, "d.*")
               .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
         # commands sort before a login at the same instant: R at a login row
         # counts every command up to and including that instant

@@ -13,7 +13,6 @@ from __future__ import annotations
 RE_SSH_FAILED = r"(\w+ +\d+ [\d:]+) .+ sshd\[\d+\]: .*Failed password for (.*) from ([\d.]+) port (\d+)"
 RE_SSH_SUCCESS = r"(\w+ +\d+ [\d:]+) .+ sshd\[\d+\]: .*[Aa]ccepted (\w+) for (\w+) from ([\d.]+) port (\d+)"
 RE_SSH_INVALID = r"(\w+ +\d+ [\d:]+) .+ sshd\[\d+\]: .*Invalid user (\w+) from ([\d.]+) port (\d+)"
-RE_SSH_DISCONNECT = r"(\w+ +\d+ [\d:]+) .+ sshd\[\d+\]: .*Disconnected from (\w+ )?([\d.]+) port (\d+)"
 RE_SUDO_SUCCESS = r"(\w+ +\d+ [\d:]+) .+ sudo: (\w+) : TTY=(\S+) ; PWD=(\S+) ; USER=(\w+) ; COMMAND=(.+)"
 RE_SUDO_FAILURE = r"(\w+ +\d+ [\d:]+) .+ sudo: (\w+) : command not allowed"
 RE_AUDIT_EXECVE = r"type=EXECVE msg=audit\(\d+\.\d+:\d+\): .*exe=\"([^\"]+)\""
@@ -126,19 +125,18 @@ TECHNIQUES = (
       "Grep for credentials in files")),
 )
 
-# Severity order and the default risk cut-offs.
+# Severity order.
 SEVERITY_LEVELS = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
-RISK_CUTOFFS = {"CRITICAL": 0.9, "HIGH": 0.8, "MEDIUM": 0.6, "LOW": 0.4}
 
-# Response actions, per-action cooldown seconds (default 300). The executor
+# Per-action cooldown seconds (default 300). The executor
 # name written into audit rows names this engine.
-ACTIONS = ("lock_account", "unlock_account", "block_ip", "unblock_ip", "terminate_session", "alert_only")
 ACTION_COOLDOWN_SECONDS = {"lock_account": 300, "block_ip": 600, "terminate_session": 180}
 DEFAULT_COOLDOWN_SECONDS = 300
 EXECUTED_BY = "authlytics_engine"
 
 # Explanation texts.
 EXPLAIN_NORMAL = "Event appears normal"
+EXPLAIN_MISSING = "Unable to generate explanation"
 EXPLAIN_UNCLEAR = "Anomaly detected but specific factors unclear"
 EXPLAIN_PREFIX = "Possible attack detected: "
 

@@ -63,10 +63,6 @@ def match_expr(v: Column, source: Column) -> Column:
     return F.when(source == F.lit(AUDIT_SOURCE), audit).otherwise(auth)
 
 
-def kind_expr(v: Column, source: Column) -> Column:
-    return F.split(match_expr(v, source), _SEP)[0].cast("int")
-
-
 def syslog_time(stamp: Column, year: int | None, ingest: Column | None = None) -> Column:
     """'Jan  5 14:32:10' -> TIMESTAMP (null when unparsable) of the given year, or, for
     None, of the latest year that doesn't put the line over a day after its ingest."""

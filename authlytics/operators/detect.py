@@ -58,8 +58,9 @@ def _pct1(x: Column) -> Column:
     return F.format_string("%.1f%%", F.round(x * 100.0, 1))
 
 
-def explanation(is_anomaly: Column, p: Params | None = None, present: bool = True) -> Column:
-    """Fixed-text rules joined by '; ' (threshold literals are parameters)."""
+def explanation(is_anomaly: Column, p: Params | None = None) -> Column:
+    """Fixed-text rules joined by '; ' (threshold literals are parameters). A row
+    without a feature vector (all features null) has an explanation of its own."""
     p = p or Params()
     c = F.col
     factors = F.concat_ws(
@@ -80,6 +81,7 @@ def explanation(is_anomaly: Column, p: Params | None = None, present: bool = Tru
         F.when(c("session_lolbin_executed"), F.lit("Potential LOLBin execution detected")),
     )
     return (F.when(~is_anomaly, F.lit(K.EXPLAIN_NORMAL))
+            .when(F.coalesce(*[c(n).cast("string") for n in K.FEATURE_NAMES]).isNull(), F.lit(K.EXPLAIN_MISSING))
             .when(factors == "", F.lit(K.EXPLAIN_UNCLEAR))
             .otherwise(F.concat(F.lit(K.EXPLAIN_PREFIX), factors)))
 

@@ -43,13 +43,12 @@ def top_bottlenecks(metrics: DataFrame, k: int = 5) -> DataFrame:
 
 def retention(metrics: DataFrame, seconds: int = 3600, as_of=None) -> DataFrame:
     """Keep rows not older than ``as_of - seconds``; ``as_of`` defaults to the
-    newest timestamp in the table (a one-row aggregate, broadcast)."""
+    newest timestamp in the table (one value, read first, so that the filter is a
+    literal the scan can use)."""
     if as_of is None:
-        ref = metrics.agg(F.max("timestamp").alias("_asof"))
-        return (metrics.crossJoin(F.broadcast(ref))
-                .where(F.col("timestamp") >= F.col("_asof") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
-                .drop("_asof"))
-    return metrics.where(F.col("timestamp") >= F.lit(as_of) - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+        as_of = metrics.agg(F.max("timestamp")).first()[0]
+    newest = F.lit(as_of).cast(metrics.schema["timestamp"].dataType)
+    return metrics.where(F.col("timestamp") >= newest - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
 
 
 def latest_n(df: DataFrame, n: int = 10000, ts: str = "timestamp", key: str = "event_id") -> DataFrame:

@@ -48,9 +48,6 @@ class Params:
     cooldowns: dict = field(default_factory=lambda: {
         "lock_account": 300, "block_ip": 600, "terminate_session": 180})
     default_cooldown: int = 300
-    # operational metrics
-    metrics_retention_seconds: int = 3600
-    metrics_max_rows: int = 10000
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

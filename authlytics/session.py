@@ -9,7 +9,6 @@ only when the session has none, which is the local/test case.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -98,7 +97,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the upstream plan."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def table_path(root: str, name: str) -> str:
-    return os.path.join(root, name) if "://" not in root else root.rstrip("/") + "/" + name

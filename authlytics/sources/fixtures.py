@@ -150,16 +150,6 @@ def _line_structs(d: dict, variants) -> str:
         for v, src, expr in variants)
 
 
-def extra_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spark side of ``extra_lines_sql`` (one pass over events, ``inline``)."""
-    d = DIALECT["spark"]
-    ev = read_table(spark, sf_dir, "events")
-    a = (ev.selectExpr("event_id", "ts", "user_id", f"{d['K']} as k", f"{ET_EXPR} as et", "value")
-           .selectExpr(*AUTH_COLS))
-    variants = [(v, f"'{src}'", expr) for v, src, expr in EXTRA_VARIANTS]
-    return a.selectExpr(f"inline(array({_line_structs(d, variants)}))").where(F.col("value").isNotNull())
-
-
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rendered line (id = event_id * 10), a syslog mirror of the
     non-audit lines (rsyslog commonly writes auth events to both files), and

@@ -38,7 +38,6 @@ from ..operators import report as RP
 from ..operators import response as RS
 from ..params import Params
 from ..plans import pipelines as PL
-from ..session import checkpoint_root, scratch_path
 from ..sinks import files as SK
 
 EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message", "time_source"]
@@ -171,13 +170,12 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
     state = FeatureState(f"{out_root}/state", p)
     ck = checkpoint or f"{out_root}/_checkpoint"
 
-    def run(batch_df: DataFrame, batch_id: int):
-        started = time.time()
+    def cycle(batch_df: DataFrame, batch_id: int) -> int:
         sp = batch_df.sparkSession
         events = lines_to_events(batch_df, p.log_year, batch_id)
         feats = state.step(sp, events, batch_id)
         if emit_features_only or model is None:
-            return
+            return 0
         det = PL.score_features(feats, model, p)
         # written once: scoring isn't repeated for each of the outputs below
         det.where(F.col("is_anomaly")).write.mode("overwrite").parquet(f"{out_root}/anomalies/batch={batch_id}")
@@ -201,9 +199,18 @@ def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_ro
         last.write.mode("overwrite").parquet(f"{out_root}/cooldown/v={batch_id}")
         drop_versions(sp, f"{out_root}/cooldown", batch_id - 1)
         n_anom = sp.read.parquet(f"{out_root}/actions/batch={batch_id}").select("event_id").distinct().count()
-        sp.createDataFrame([(batch_id, _utc(started), _utc(time.time()), False, n_anom)],
-                           "cycle_id long, started_at timestamp, ended_at timestamp, failed boolean, anomalies long") \
-            .write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
+        return n_anom
+
+    def run(batch_df: DataFrame, batch_id: int):
+        started, n_anom, failed = time.time(), 0, True
+        try:
+            n_anom = cycle(batch_df, batch_id)
+            failed = False
+        finally:       # a failed cycle is a row too; a batch that runs again replaces it
+            batch_df.sparkSession.createDataFrame(
+                [(batch_id, _utc(started), _utc(time.time()), failed, n_anom)],
+                "cycle_id long, started_at timestamp, ended_at timestamp, failed boolean, anomalies long") \
+                .write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
 
     w = lines.writeStream.foreachBatch(run).option("checkpointLocation", ck)
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 INF = np.int64(1) << 60
+NONE = np.int32(2 ** 31 - 1)
 #: Words up to this many bytes are merged in numpy batches.
 BATCHED_BYTES = 64
 #: Entries of a worker's word cache; beyond that the words seen least are dropped.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+#: Characters that are split into words at once; longer texts are cut at a space.
+CHARS_AT_ONCE = 1 << 20
 #: White space of Unicode, as the pre-tokenizer's pattern means it.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -64,6 +67,19 @@ def _splitter(top: int) -> re.Pattern:
                       rf" ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: A space between other characters begins a word whatever stands around it.
+_CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+
+
+def slices(text: str) -> Iterator[str]:
+    """A text in parts of about ``CHARS_AT_ONCE`` that have the words of the whole."""
+    at = 0
+    while len(text) - at > CHARS_AT_ONCE and (m := _CUT.search(text, at + CHARS_AT_ONCE)):
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def pretokens(text: str) -> list[str]:
     narrow = text.isascii() or len(text.encode("utf-16-le", "replace")) == 2 * len(text)
     return _splitter(0x10000 if narrow else 0x110000).findall(text)
@@ -104,7 +120,7 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         by_byte = {b: c for c, b in alphabet.items()}
         return {"byte_id": np.array([vocab[by_byte[b]] for b in range(256)], np.int64), "keys": keys[order],
-                "ranks": order.astype(np.int64), "new_id": np.array([vocab[a + b] for a, b in merges], np.int64),
+                "ranks": order.astype(np.int32), "new_id": np.array([vocab[a + b] for a, b in merges], np.int32),
                 "tok_bytes": tok_bytes, "specials": specials}
 
     # ------------------------------------------------------------ word cache
@@ -150,50 +166,56 @@ class Bpe:
     # ------------------------------------------------------------ merging
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], INF)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
     def merge_batch(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of at most ``size`` (a power of two) bytes, a tree per row."""
+        """Ids of words of at most ``size`` (a power of two) bytes. Word w has places
+        w * size .. and a tree at w * 2 * size .. of flat 32-bit arrays."""
         w = len(words)
         lens = np.fromiter(map(len, words), np.int64, w)
-        tok = np.full((w, size), -1, np.int64)
         live = np.arange(size) < lens[:, None]
+        tok = np.full((w, size), -1, np.int32)
         tok[live] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        nxt = np.tile(np.arange(1, size + 1), (w, 1))
+        nxt = np.tile(np.arange(1, size + 1, dtype=np.int32), (w, 1))
         nxt[nxt >= lens[:, None]] = size
-        prv = np.tile(np.arange(-1, size - 1), (w, 1))
-        tree = np.full((w, 2 * size), INF, np.int64)
+        prv = np.tile(np.arange(-1, size - 1, dtype=np.int32), (w, 1))
+        tree = np.full((w, 2 * size), NONE, np.int32)
         r, c = np.nonzero(live[:, 1:])
         rank = self._rank(tok[r, c], tok[r, c + 1])
-        tree[r, size + c] = np.where(rank < INF, rank * size + c, INF)
+        tree[r, size + c] = np.where(rank < NONE // size, rank * size + c, NONE)
         for node in range(size - 1, 0, -1):
             np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
-        act = np.flatnonzero(tree[:, 1] < INF)
+        tok, nxt, prv, live_at, tree = (x.ravel() for x in (tok, nxt, prv, live, tree))
+        act = np.flatnonzero(tree[1::2 * size] < NONE)
         while len(act):
-            root = tree[act, 1]
+            place, base = act * size, act * (2 * size)
+            root = tree[base + 1]
             at, new = root % size, self.new_id[root // size]
-            right = nxt[act, at]
-            after, before = nxt[act, right], prv[act, at]
-            tok[act, at], nxt[act, at], live[act, right] = new, after, False
-            tree[act, size + right] = INF
-            ok = after < size
-            prv[act[ok], after[ok]] = at[ok]
-            leaf = np.full(len(act), INF)
-            rank = self._rank(new[ok], tok[act[ok], after[ok]])
-            leaf[ok] = np.where(rank < INF, rank * size + at[ok], INF)
-            tree[act, size + at] = leaf
-            ok = before >= 0
-            rank = self._rank(tok[act[ok], before[ok]], new[ok])
-            tree[act[ok], size + before[ok]] = np.where(rank < INF, rank * size + before[ok], INF)
+            here = place + at
+            right = nxt[here]
+            after, before = nxt[place + right], prv[here]
+            tok[here], nxt[here], live_at[place + right] = new, after, False
+            tree[base + size + right] = NONE
+            leaf = np.full(len(act), NONE, np.int32)
+            ok = np.flatnonzero(after < size)
+            then = place[ok] + after[ok]
+            prv[then] = at[ok]
+            rank = self._rank(new[ok], tok[then])
+            leaf[ok] = np.where(rank < NONE // size, rank * size + at[ok], NONE)
+            tree[base + size + at] = leaf
+            ok = np.flatnonzero(before >= 0)
+            rank = self._rank(tok[place[ok] + before[ok]], new[ok])
+            tree[base[ok] + size + before[ok]] = np.where(rank < NONE // size, rank * size + before[ok], NONE)
             nodes = [size + at, size + right, size + np.maximum(before, 0)]
             for _ in range(size.bit_length() - 1):
                 nodes = [x >> 1 for x in nodes]
                 for x in nodes:
-                    tree[act, x] = np.minimum(tree[act, 2 * x], tree[act, 2 * x + 1])
-            act = act[tree[act, 1] < INF]
-        return tok[live].astype(np.int32), live.sum(1)
+                    left = base + 2 * x
+                    tree[base + x] = np.minimum(tree[left], tree[left + 1])
+            act = act[tree[base + 1] < NONE]
+        return tok[live_at], live.sum(1)
 
     def merge_one(self, word: bytes) -> list[int]:
         """The same for one word of any length."""
@@ -258,9 +280,27 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
+        ids, counts, owner, group, chars = [], [], [], [], 0
+        for i, t in enumerate(texts):
+            for part in slices(t or ""):
+                if group and chars + len(part) > CHARS_AT_ONCE:
+                    for out, x in zip((ids, counts), self._encode(group), strict=True):
+                        out.append(x)
+                    group, chars = [], 0
+                group.append(part)
+                owner.append(i)
+                chars += len(part)
+        if group:
+            for out, x in zip((ids, counts), self._encode(group), strict=True):
+                out.append(x)
+        if not counts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.bincount(owner, np.concatenate(counts), len(texts)).astype(np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.code) > CACHE_WORDS:
             self.trim()
-        per = [self.words(t) if t else [] for t in texts]
+        per = [self.words(t) for t in texts]
         code, counts = self.code, np.fromiter(map(len, per), np.int64, len(per))
         words = list(chain.from_iterable(per))
         at = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))

@@ -59,6 +59,14 @@ def test_cache_is_emptied(both, monkeypatch):
     own.reset()
 
 
+def test_long_texts_are_cut_at_spaces(both, monkeypatch):
+    own, lib = both
+    monkeypatch.setattr(B, "CHARS_AT_ONCE", 7)
+    for t in ("a long  text\n with\t spaces   and <|endoftext|> more 漢 字 text " * 5, "x" * 50, " " * 40, " a" * 30):
+        ids, counts = own.encode([t, "", t])
+        assert ids.tolist() == lib.encode(t).ids * 2 and counts.tolist()[1] == 0
+
+
 def test_operator_cases(spark, vocab):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (2, "", 6), (3, "a\n\nb 漢", 7)], "doc_id long, text string, ids int")
     out = bpe_decode(bpe_encode(df, vocab), vocab).collect()

@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts the
-    lineage, survives lost executors and is evaluated once."""
+    lineage, survives lost executors and is evaluated once. ``small``: narrow rows that
+    need no more files than twice the cores."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if small:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,18 +23,18 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     from every node that reaches a smaller one (a root has no row of its own). Null ends
     and loops are no links; no links give no rows."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-               .where("a > b").distinct(), f"{name}-0")
+               .where("a > b").distinct(), f"{name}-0", small=True)
     state, k = _state(e), 0
     while True:
         k += 1
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(e.distinct(), f"{name}-{k}l")
+        e = stored(e.distinct(), f"{name}-{k}l", small=True)
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = (e.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
              .unionByName(low.select("a", F.col("m").alias("b"))))
-        e = stored(e.distinct(), f"{name}-{k}s")
+        e = stored(e.distinct(), f"{name}-{k}s", small=True)
         now = _state(e)
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

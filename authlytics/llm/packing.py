@@ -185,11 +185,11 @@ def pack(sized: DataFrame, capacity: int = 2048) -> DataFrame:
             usable, opened = usable.unionByName(new), opened + need
         most = -(-n // max(1, n_gaps + need)) + 1
         matches, rest = _round(left, usable.withColumn("most", F.lit(most)), longest, f"pack-{k}")
-        matches = stored(matches.withColumn("round", F.lit(k)).select("uid", "seq", "round", "slot", "size"), f"pack-{k}-placed")
+        matches = stored(matches.withColumn("round", F.lit(k)).select("uid", "seq", "round", "slot", "size"), f"pack-{k}-placed", small=True)
         placed.append(matches)
         taken = matches.groupBy("seq").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("n"))
-        left = stored(rest, f"pack-{k}-left")
-        gaps = stored(usable.join(taken, "seq", "left").select("seq", F.expr("int(gap - coalesce(taken, 0))").alias("gap")).where("gap > 0"), f"pack-{k}-gaps")
+        left = stored(rest, f"pack-{k}-left", small=True)
+        gaps = stored(usable.join(taken, "seq", "left").select("seq", F.expr("int(gap - coalesce(taken, 0))").alias("gap")).where("gap > 0"), f"pack-{k}-gaps", small=True)
         matched = matches.count()
     every = placed[0]
     for m in placed[1:]:

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -83,7 +83,7 @@ def hex_column(fp: str | Column) -> Column:
 # ---------------------------------------------------------------- Golay keys
 
 def _remainder(word: np.ndarray) -> np.ndarray:
-    """Syndrome of 23-bit words: the remainder by the generator polynomial."""
+    """Remainder of 23-bit words by the generator polynomial."""
     word = word.copy()
     for bit in range(22, 10, -1):
         word = np.where(word >> bit & 1, word ^ (GOLAY << (bit - 11)), word)
@@ -92,32 +92,27 @@ def _remainder(word: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Syndrome of each 23-bit word (16 MB of int16), and per syndrome the errors of at
-    most 4 bits that lead to a codeword: 1, or 6 if the lightest has 3 bits (-1: none)."""
-    unit = _remainder(np.int64(1) << np.arange(23))
-    syndrome = np.zeros(1, np.int16)
-    for u in unit:
-        syndrome = np.concatenate([syndrome, syndrome ^ np.int16(u)])
-    every = np.arange(1 << 23)
-    weight = np.bitwise_count(every)
+    """Syndrome of each value of the 12 upper bits, and per syndrome the errors of at most
+    4 bits that lead to a codeword: 1, or 6 if the lightest has 3 bits (-1: none)."""
+    upper = _remainder(np.arange(1 << 12) << 11)
     errors = np.full((2048, 6), -1, np.int64)
     filled = np.zeros(2048, np.int64)
     for w in range(5):
-        words = every[weight == w]
-        s = syndrome[words].astype(np.int64)
+        words = np.array([sum(1 << b for b in bits) for bits in combinations(range(23), w)], np.int64)
+        s = _remainder(words)
         order = np.argsort(s, kind="stable")
         words, s = words[order], s[order]
         nth = np.arange(len(s)) - np.searchsorted(s, s)
         errors[s, filled[s] + nth] = words
         filled += np.bincount(s, minlength=2048)
-    return syndrome, errors
+    return upper, errors
 
 
 def nearby_indices(word: np.ndarray) -> np.ndarray:
     """Indices (12 message bits) of the codewords within 4 bits of each 23-bit word,
     six columns, -1 where there are fewer."""
-    syndrome, errors = golay_tables()
-    err = errors[syndrome[word]]
+    upper, errors = golay_tables()
+    err = errors[upper[word >> 11] ^ (word & 0x7FF)]
     return np.where(err >= 0, (word[:, None] ^ err) >> 11, -1)
 
 
@@ -237,7 +232,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         return fps.sparkSession.createDataFrame([], "fp bigint, root bigint")
     keys = fps.select("fp").distinct().select("fp", F.explode(keys_column("fp")).alias("key"))
     found = stored(keys.repartition("key").sortWithinPartitions("key", "fp")
-                   .mapInPandas(_sweep(max_bits), "a bigint, b bigint"), "simhash-links")
+                   .mapInPandas(_sweep(max_bits), "a bigint, b bigint"), "simhash-links", small=True)
     large = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     links = found.where("b is not null").unionByName(probe_links(large, max_bits))
     return connected_components(links, "simhash-cc").select(F.col("node").alias("fp"), "root")
@@ -252,7 +247,7 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", word
     roots = fingerprint_components(by_fp, max_bits)
     by_fp = by_fp.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = by_fp.groupBy("root").agg(F.min("low").alias("component"))
-    return rows, stored(by_fp.join(low, "root").select("fp", "root", "component"), "simhash-groups")
+    return rows, stored(by_fp.join(low, "root").select("fp", "root", "component"), "simhash-groups", small=True)
 
 
 def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3,

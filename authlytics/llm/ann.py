@@ -15,9 +15,12 @@ no hot leaf. Leaves next to each other in a tree form buckets of about ``BUCKET`
 rows and queries meet per bucket.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part; shorter vectors are continued by zeros; a repeated id with other components is
-an entry of its own, and rows with the query's id are never its neighbours; ties go to the smaller id; no queries or
-no candidates give no rows.
+no part; shorter vectors are continued by zeros; neighbours are ids: one that is repeated,
+with the same vector or with others, is a neighbour once, at the distance of its nearest
+row, and takes one of the k places (the effort counts its rows with different vectors
+one by one); rows with the query's id are never its neighbours; a
+repeated query row is answered each time; ties go to the smaller id; no queries or no
+candidates give no rows.
 """
 
 from __future__ import annotations
@@ -134,16 +137,32 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
 
 
 def entries(df: DataFrame, id: str, vector: str, k: int) -> DataFrame:
-    """(v, ids): every different valid vector with its k smallest ids, ascending. Spark
-    limits each group in the map tasks, so no group gathers more."""
+    """(v, ids): every different valid vector with its k smallest different ids, ascending.
+    Repeated rows are dropped and each group is limited in the map tasks, so no group
+    gathers more."""
     x = F.transform(vector, lambda c: c.cast("double"))
     ok = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
-    rows = df.where(F.col(id).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id).cast("long").alias("id"), x.alias("v"))
+    rows = df.where(F.col(id).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id).cast("long").alias("id"), x.alias("v")).distinct()
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     return (rows.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("v")
             .agg(F.sort_array(F.collect_list("id")).alias("ids")))
 
 
+def nearest_ids(d: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """(distance, id) of the k nearest different ids of rows with distances ``d`` and
+    arrays ``ids``, each at its smallest distance."""
+    most = k
+    while True:
+        near = d <= np.partition(d, most - 1)[most - 1] if len(d) > most else np.ones(len(d), bool)
+        best: dict[int, float] = {}
+        for x, a in zip(d[near].tolist(), ids[near], strict=True):
+            for i in a:
+                best[int(i)] = min(x, best.get(int(i), x))
+        if len(best) >= k or len(d) <= most:
+            return heapq.nsmallest(k, ((x, i) for i, x in best.items()))
+        most *= 4       # few ids have the nearest rows
+
+
 def ann_search(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding",
                trees: int = TREES, leaf_rows: int = LEAF_ROWS, effort: float = EFFORT, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every row for which
@@ -205,10 +224,7 @@ def ann_search(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
                 at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
                 d = m[at] - q
                 d = np.sqrt(np.einsum("ij,ij->i", d, d))
-                if len(at) > k + 1:
-                    keep = d <= np.partition(d, k)[k]
-                    at, d = at[keep], d[keep]
-                best = heapq.nsmallest(k + 1, ((x, int(i)) for x, a in zip(d.tolist(), at, strict=True) for i in ids[a]))
+                best = nearest_ids(d, ids[at], k + 1)
                 out["qid"] += [qid] * len(best)
                 out["vec_id"] += [i for _, i in best]
                 out["score"] += [x for x, _ in best]
@@ -218,7 +234,7 @@ def ann_search(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
     probes = asks.repartition(max(1, sc.defaultParallelism * 2), "qid").mapInPandas(ask, "tree int, bucket int, leaves array<int>, qid bigint, v binary")
     found = held.groupBy("tree", "bucket").cogroup(probes.groupBy("tree", "bucket")).applyInPandas(rank, "qid bigint, vec_id bigint, score double")
     order = Window.partitionBy("qid").orderBy("score", "vec_id")
-    best = (found.dropDuplicates(["qid", "vec_id"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    best = (found.groupBy("qid", "vec_id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
             .groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near")))
     answers = asks.join(best, "qid").select("v", "near")
     mine = ask_rows.join(answers, "v").withColumn(

@@ -78,3 +78,31 @@ def test_recall(spark):
         assert np.allclose(d[g["vec_id"]], g["score"]) and list(g["rank"]) == list(range(1, 11))
         hits.append(len(set(want) & set(g["vec_id"])) / 10)
     assert len(hits) == 30 and np.mean(hits) >= 0.9
+
+
+def brute_neighbours(rows, q, k):
+    x = dict.fromkeys(rows)
+    own = [v for i, v in x if i == q]
+    near = {}
+    for i, v in x:
+        if i != q:
+            d = min(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, o, strict=True)))) for o in own)
+            near[i] = min(d, near.get(i, d))
+    return sorted((round(d, 6), i) for i, d in near.items())[:k]
+
+
+@pytest.mark.parametrize("copies", ["every row twice", "one row twenty times", "one id with many vectors"])
+def test_repeated_rows_take_one_place(spark, copies):
+    rng = np.random.default_rng(3)
+    rows = [(i, tuple(map(float, v))) for i, v in enumerate(rng.normal(size=(60, 4)))]
+    if copies == "every row twice":
+        rows += rows
+    elif copies == "one row twenty times":
+        rows += [rows[0]] * 19 + [rows[20]] * 19
+    else:
+        rows += [(59, tuple(c + 0.001 * n for c in rows[0][1])) for n in range(1, 31)]
+    df = spark.createDataFrame([(i, list(v), "x") for i, v in rows], SCHEMA).repartition(4)
+    got = {}
+    for r in ann_search(df, F.col("vec_id") % 20 == 0, 10, effort=60.0).collect():
+        got.setdefault(r.query_id, set()).add((r["rank"], round(r.score, 6), r.vec_id))
+    assert got == {q: {(n + 1, *x) for n, x in enumerate(brute_neighbours(rows, q, 10))} for q in (0, 20, 40)}

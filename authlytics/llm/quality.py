@@ -8,9 +8,11 @@ hashed features: character-class 4-grams and binned text statistics.
 
 Three passes over whole texts: the votes of all documents, summed per vote pattern (at
 most 3^labellers patterns, whatever the corpus); the features of the training sample;
-the scores of all documents. The sample is about ``SAMPLE`` documents, those whose id
-hash falls below a threshold, and is the only bounded part: the accuracies come from all
-documents. No table of the corpus is shuffled.
+the scores of all documents. The sample is about ``SAMPLE`` documents, drawn row by row
+whatever their ids and texts, so that repeated ids or rows have the share they have in the
+corpus; it is the only bounded part: the accuracies come from all documents. Draws are
+seeded per partition, so which rows a corpus over ``SAMPLE`` gives depends on how it is
+split. No table of the corpus is shuffled.
 
 Defined results: a text that is null or has no word is bad without a vote (posterior and
 score 0, not kept). An empty table gives no rows.
@@ -31,6 +33,7 @@ from pyspark.sql.functions import arrow_udf
 
 #: Documents the linear scorer is fitted on, about.
 SAMPLE = 20_000
+SEED = 11
 FEATURES = 1 << 12
 KEEP_FROM = 0.5
 EM_ROUNDS = 100
@@ -247,14 +250,19 @@ def _features_column(text: Column) -> Column:
     return extract.asNondeterministic()(text)
 
 
+def training_sample(docs: DataFrame, n: float, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` of ``docs``, of which ``n`` count. Each row is drawn by itself: a
+    hash of its values would take or leave all equal rows at once."""
+    return docs.where(F.rand(SEED) < min(1.0, sample / max(1.0, n)))
+
+
 def fit_quality(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> QualityModel:
+    """The model of ``docs``; ``id`` plays no part in it."""
     found = (docs.select(pattern_column(F.col(text)).alias("code")).where("code is not null")
              .groupBy("code").count().toPandas())
     codes, counts = found["code"].to_numpy(np.int64), found["count"].to_numpy(float)
     labels = fit_labellers(codes, counts)
-    of = 1 << 20
-    share = min(of, int(np.ceil(sample / max(1.0, counts.sum()) * of)))
-    rows = (docs.where(F.pmod(F.xxhash64(F.col(id)), F.lit(of)) < share).select(_features_column(F.col(text)).alias("f"))
+    rows = (training_sample(docs, counts.sum(), sample).select(_features_column(F.col(text)).alias("f"))
             .where("f.code is not null").select("f.*").toPandas())
     target = labels.posterior(unpattern(rows["code"].to_numpy(np.int64)))
     weights = fit_linear([np.asarray(x, np.int64) for x in rows["ids"]], [np.asarray(x) for x in rows["vals"]], target)

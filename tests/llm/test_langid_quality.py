@@ -1,5 +1,6 @@
 from llm_fixtures import prepared, vocab  # noqa: F401
 import pytest
+from authlytics.llm import quality
 from authlytics.llm.langid import fit_languages, held_out, identify_languages
 from authlytics.llm.quality import (KEEP_FROM, LABELLERS, analyse, classify_quality, fit_labellers, pattern, unpattern, votes)
 from pyspark.sql import functions as F
@@ -77,3 +78,16 @@ def test_quality_cases(spark, n):
     got = classify_quality(df if n else df.limit(0)).select("doc_id", "score", "__quality.*").collect()
     assert len(got) == n * len(rows)
     assert all(r["weak_label"] == 0 for r in got if r.doc_id in (1, 2))
+
+
+@pytest.mark.parametrize("key", ["null id", "repeated id", "equal rows"])
+def test_hot_ids_keep_to_their_share_of_the_sample(spark, monkeypatch, key):
+    n, fitted, fit = 6000, [], quality.fit_linear
+    monkeypatch.setattr(quality, "fit_linear", lambda ids, *a: fitted.append(len(ids)) or fit(ids, *a))
+    hot, each = F.col("id") % 3 == 0, F.col("id").cast("string")
+    # a threshold on a hash of values takes or leaves a hot key as a whole: several keys
+    for same in range(5) if key != "null id" else [None]:
+        one = F.lit(same).cast("long")
+        text = F.concat(F.lit("some words of document "), F.when(hot & F.lit(key == "equal rows"), "x").otherwise(each))
+        quality.fit_quality(spark.range(n).select(F.when(hot, one).otherwise(F.col("id") + 10).alias("doc_id"), text.alias("text")), sample=3000)
+    assert all(2700 < k < 3300 for k in fitted), fitted

@@ -7,8 +7,8 @@ score array (rows x queries). Then a partition selection keeps each query's k be
 chunk, and a merge keeps the best of all blocks.
 
 Work is a grid of candidate blocks and query blocks: every query meets every row exactly
-once, rows are dealt by hash (a repeated vector is no hot block), and a cell holds at most
-about ``ROWS`` candidates and ``QUERIES`` queries whatever the table's size. Cells give k
+once, both are dealt by a stored row number (a repeated id or vector is no hot block), and a
+cell holds at most about ``ROWS`` candidates and ``QUERIES`` queries whatever the table's size. Cells give k
 rows a query, which the merge ranks (Spark limits each group before it shuffles).
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
@@ -110,19 +110,25 @@ def _best(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndar
         yield pd.DataFrame({"q": query + q0, "query_id": own[query], "vec_id": vec, "score": score})
 
 
+def block(row: str, blocks: int) -> Column:
+    """Block of a numbered row."""
+    return F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int")
+
+
 def exact_topk(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",
                scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row for which ``is_query`` holds."""
     asks = integer_vectors(df.where(is_query), id, vector, scale)
     rows = integer_vectors(df, id, vector, scale)
     spark = df.sparkSession
-    n_rows, n_asks = df.count(), asks.count()
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
+    n_rows, n_asks = rows.count(), asks.count()
     blocks = max(-(-n_rows // ROWS), min(spark.sparkContext.defaultParallelism * 2, -(-n_rows // CHUNK_ROWS)), 1)
     ask_blocks = max(-(-n_asks // QUERIES), 1)
     asks = stored(asks.withColumn("qid", F.monotonically_increasing_id()), "topk-queries")
     deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", deal(ask_blocks))
-    right = asks.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(ask_blocks)).cast("int")).withColumn("b", deal(blocks))
+    left = rows.select("id", "v", block("row", blocks).alias("b"), deal(ask_blocks).alias("qb"))
+    right = asks.withColumn("qb", block("qid", ask_blocks)).withColumn("b", deal(blocks))
 
     def cell(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"qid": queries["qid"].to_numpy()[part["q"]], "query_id": part["query_id"], "vec_id": part["vec_id"], "score": part["score"]})

@@ -36,6 +36,25 @@ def test_topk(spark, monkeypatch, rows):
     assert exact_topk(frame(spark), F.lit(False)).count() == 0
 
 
+def test_topk_deals_a_hot_id_to_all_blocks(spark, monkeypatch):
+    """The largest candidate group of a cell, read by a cell function put in its place."""
+    monkeypatch.setattr(T, "ROWS", 500)
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 < 3, 7).otherwise(F.col("id")).alias("vec_id"), F.array(F.col("id") % 50 + 0.5).alias("embedding"))
+    cells = []
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    real = PandasCogroupedOps.applyInPandas
+
+    def counted(self, cell, schema):
+        count = lambda cands, queries: pd.DataFrame({"n": [len(cands)]})
+        cells.extend(r.n for r in real(self, count, "n bigint").collect())
+        return real(self, cell, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", counted)
+    got = exact_topk(rows, F.col("vec_id") == 7, 1).collect()
+    assert sum(cells) == 4000 and max(cells) < 1000
+    assert len(got) == 3001 and {r.vec_id for r in got} == {99}
+
+
 def test_accumulate_is_exact():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-40, 40, (200, 16)), rng.integers(-40, 40, (9, 16))

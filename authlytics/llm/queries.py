@@ -3,8 +3,14 @@ derived from the operator's real output."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
@@ -14,6 +20,7 @@ from .langid import identify_languages
 from .packing import best_fit_packing
 from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
+from .runs import periodic_runs, runs_digest, split_words
 from .token_counts import line_sections, token_counts
 from .topk import exact_topk
 from .sharding import extendible_shards
@@ -146,3 +153,30 @@ from f where k = 1
 def op5_sharding(spark, sf_dir):
     """A shard for every document."""
     return extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
+def planted_column(id: Column, text: Column) -> Column:
+    """The text of a tenth of the documents with its tail made periodic (op11's contract)."""
+
+    @arrow_udf("string")
+    def plant(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, texts in batches:
+            out = []
+            for i, t in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True):
+                h = None if i is None else zlib.crc32(i.encode())
+                if h is not None and h % 10 == 0 and (words := split_words(t)):
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    t = b" ".join(words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a])
+                out.append(t)
+            yield pa.array(out, pa.binary()).cast(pa.string())
+
+    return plant.asNondeterministic()(id.cast("string"), text)
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of words of every document, periodic tails planted in a tenth of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_column(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs_digest(periodic_runs(docs))

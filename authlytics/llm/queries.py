@@ -15,11 +15,12 @@ from pyspark.sql.functions import arrow_udf
 from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
 from .chat import chat_digest, format_chat
-from .common import table
+from .common import stored, table
 from .langid import identify_languages
 from .packing import best_fit_packing
 from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
+from .repair import audits, number_turns, repaired_hashes
 from .runs import periodic_runs, runs_digest, split_words
 from .token_counts import line_sections, token_counts
 from .topk import exact_topk
@@ -180,3 +181,27 @@ def op11_periodic_runs(spark, sf_dir):
     """Runs of words of every document, periodic tails planted in a tenth of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", planted_column(F.col("doc_id"), F.col("text")).alias("text"))
     return runs_digest(periodic_runs(docs))
+
+
+def damaged(turns):
+    """Turns with the damage of op12's contract."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    x = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                     (F.crc32(name) % 20).alias("d"))
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("d") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return x.where("d <> 0").select("conv_id", "turn", F.when(F.col("d") == 4, "user").otherwise(F.col("role")).alias("role"),
+                                    text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Audits and repairs of all conversations, damaged first."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    numbered = number_turns(damaged(turns))
+    found = stored(audits(numbered), "audits", small=True)
+    one = found.join(repaired_hashes(numbered, found).withColumnRenamed("conv", "_c"), F.col("conv").eqNullSafe(F.col("_c")))
+    every = turns.select("conv_id").distinct().join(one, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

@@ -17,6 +17,7 @@ from .bpe import bpe_decode, bpe_encode
 from .chat import chat_digest, format_chat
 from .common import stored, table
 from .langid import identify_languages
+from .lm import score_documents
 from .packing import best_fit_packing
 from .quality import KEEP_FROM, classify_quality
 from .registry import ORACLE, QUERIES, register  # noqa: F401
@@ -205,3 +206,11 @@ def op12_conversation_repair(spark, sf_dir):
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@register("op13_lm_scoring")
+def op13_lm_scoring(spark, sf_dir):
+    """Language-model scores of every document, learned from nine tenths of them."""
+    tenth = F.crc32(F.col("doc_id").cast("string")) % 10
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tenth != 0)
+    return out.withColumn("held_out", F.coalesce(tenth == 0, F.lit(False)))

@@ -52,7 +52,7 @@ ORDER = 2
 ADD = 0.1
 GRID = 4.0 ** np.arange(-3, 13)
 CLASSES = 48
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Entries of a bucket, about.
 BUCKET = 1 << 21
 #: Tokens of a text that one lane of the automaton reads.

@@ -22,13 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark drops the shuffle files of a query when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts the
-    lineage, survives lost executors and is evaluated once. ``small``: narrow rows that
-    need no more files than twice the cores."""
+    lineage, survives lost executors and is evaluated once; its shuffles are dropped when
+    it's written. ``small``: narrow rows that need no more files than twice the cores."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if small:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Give back the space of ``stored`` tables that no later plan reads: each is
+    overwritten with an empty one."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.stored_at)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import released, stored
 
 ORDER = 2
 ADD = 0.1
@@ -407,12 +407,13 @@ class Automaton:
 
 
 def fit(blocks: DataFrame, order: int = ORDER, bucket: int = BUCKET) -> tuple[Model, DataFrame]:
-    """(model, blocks with the counts of their n-grams)."""
+    """(model, blocks with the counts of their n-grams). ``blocks`` itself is given up."""
     size = blocks.agg(F.sum("n").alias("n"), F.sum("n_learn").alias("learn"), F.sum("texts_learn").alias("texts")).first()
     counts = count_grams(blocks, order, size.n or 0, bucket)
     kinds = counts.where("level = 1").agg(F.sum("known")).first()[0] or 0
     model = Model(size.learn or 0, kinds - bool(size.texts))       # the begin is no token
     joined = with_counts(blocks, counts, order)
+    released(blocks, counts)
     for k in range(2, order + 1):
         model.weights.append(choose_weights(_likelihoods(joined, model, k)))
     return model, joined

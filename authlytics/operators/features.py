@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..params import Params
+from ..session import cut_lineage
 
 FEATURE_COLUMNS = list(K.FEATURE_NAMES)
 
@@ -209,18 +210,23 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
                        F.min(F.when(F.col("kind") == 1, F.col("time"))).over(wr)).alias("t_min"))
             .where(F.col("kind") == 2))
 
+    return out.select("event_id", "tus", "ip", "_p.*", *[c.alias(name) for name, c in ip_measures().items()],
+                      F.col("new_ip").alias("user_new_ip_detected"))
+
+
+def ip_measures() -> dict[str, Column]:
+    """The IP features from what a window holds at an event: ``n`` events, ``f`` failed, ``u``
+    users, ``m`` methods and the earliest time ``t_min``."""
     n = F.col("n")
     gap = F.when(n >= 2, (F.col("tus") - F.col("t_min")) / F.lit(1e6) / (n - 1)).otherwise(F.lit(0.0))
-    return out.select(
-        "event_id", "tus", "ip", "_p.*",
-        n.cast("long").alias("ip_window_events"),
-        F.col("f").cast("long").alias("ip_failed_logins"),
-        F.col("u").cast("long").alias("ip_unique_users_attempted"),
-        (F.col("f") / n).cast("double").alias("ip_failed_to_success_ratio"),
-        gap.cast("double").alias("ip_avg_inter_attempt_seconds"),
-        (F.col("m") / n).cast("double").alias("ip_auth_method_variance"),
-        F.col("new_ip").alias("user_new_ip_detected"),
-    )
+    return {
+        "ip_window_events": n.cast("long"),
+        "ip_failed_logins": F.col("f").cast("long"),
+        "ip_unique_users_attempted": F.col("u").cast("long"),
+        "ip_failed_to_success_ratio": (F.col("f") / n).cast("double"),
+        "ip_avg_inter_attempt_seconds": gap.cast("double"),
+        "ip_auth_method_variance": (F.col("m") / n).cast("double"),
+    }
 
 
 def _no_ip_rows(prep: DataFrame) -> DataFrame:
@@ -322,24 +328,32 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
         out = y.where(F.col("kind") == 2).withColumnRenamed("time", "tus")
 
     out = out.join(prefix, ["user", "bkt"], "left")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("base_sudo", "base_ln", "base_ls", "base_lss")})
+    total = {c: F.coalesce(F.col("base_" + c), F.lit(0)) + F.col(own)
+             for c, own in (("sudo", "sudo_before"), ("ln", "ln"), ("ls", "ls"), ("lss", "lss"))}
+    out = out.withColumns({"all_" + c: x for c, x in total.items()})
+    return out.select("event_id", "tus", "user", "_p.*", *user_measures(p))
+
+
+def user_measures(p: Params) -> list[Column]:
+    """The user and session features from what is known at an event: in the window ``un``
+    events, ``fs`` failed sudo, ``ac`` account changes, the ``last_login`` and the commands
+    up to now ``R`` and up to that login ``RL``; over all time the earlier sudo events
+    ``all_sudo`` and the count, sum and sum of squares of login minutes ``all_l*``."""
+    W, _ = _micros(p)
     t, ll = F.col("tus"), F.col("last_login")
     in_win = ll.isNotNull() & (ll > t - F.lit(W))
-    n = F.col("base_ln") + F.col("ln")
-    s = F.col("base_ls") + F.col("ls")
-    ss = F.col("base_lss") + F.col("lss")
+    n, s, ss = F.col("all_ln"), F.col("all_ls"), F.col("all_lss")
     wide = "decimal(38,0)"
     spread = (n.cast("decimal(18,0)") * ss.cast("decimal(18,0)")).cast(wide) - (s.cast("decimal(18,0)") * s.cast("decimal(18,0)")).cast(wide)
     std = F.when(n >= 2, F.sqrt(spread.cast("double") / (n.cast("double") * (n - 1).cast("double"))) / 60.0).otherwise(F.lit(0.0))
     privesc = F.when(F.col("is_sudo_ok") & in_win, (t - ll) / F.lit(1e6)).otherwise(F.lit(0.0))
     rate = F.when(in_win & (t > ll), (F.col("R") - F.col("RL")) / ((t - ll) / F.lit(60e6))).otherwise(F.lit(0.0))
-    first_sudo = F.col("is_sudo_ok") & ((F.col("base_sudo") + F.col("sudo_before")) == 0)
+    first_sudo = F.col("is_sudo_ok") & (F.col("all_sudo") == 0)
     has = F.col("user").isNotNull()
 
     def z(expr, zero):
         return F.when(has, expr).otherwise(zero)
-    return out.select(
-        "event_id", "tus", "user", "_p.*",
+    return [
         z(F.col("un").cast("long"), F.lit(0).cast("long")).alias("user_window_events"),
         z(std.cast("double"), F.lit(0.0)).alias("user_login_time_std_devs"),
         (F.lit(False) if p.compat else z(first_sudo, F.lit(False))).alias("user_first_sudo_usage"),
@@ -347,7 +361,7 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
         z(privesc.cast("double"), F.lit(0.0)).alias("session_login_to_privesc_seconds"),
         (F.lit(0.0) if p.compat else z(rate.cast("double"), F.lit(0.0))).alias("session_post_login_command_rate"),
         (F.lit(0).cast("long") if p.compat else z(F.col("ac").cast("long"), F.lit(0).cast("long"))).alias("session_account_changes"),
-    )
+    ]
 
 
 # ------------------------------------------------------------------ assembly
@@ -394,15 +408,16 @@ def extract_features(events: DataFrame, p: Params | None = None,
         F.col(c) if c in prep.columns else F.lit(None).cast(ip_part.schema[c].dataType).alias(c)
         for c in ip_cols]).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}"))
     allrows = _user_side(with_ip.unionByName(hist_rows), prefix, p)
-    if p.compat:
-        new_ip = F.col("user").isNull() | F.col("ip").isNull()
-    else:
-        new_ip = F.col("user_new_ip_detected")
-    new_asn = F.lit(False)
-    out = allrows.withColumn("user_new_ip_detected", new_ip)
     if asn_prefixes is not None and not p.compat:
-        out = out.join(new_asn_flags(prep, asn_prefixes, seen_asn), "event_id", "left")
-        new_asn = F.coalesce(F.col("_new_asn"), F.lit(False))
+        allrows = allrows.join(new_asn_flags(prep, asn_prefixes, seen_asn), "event_id", "left")
+    return assembled(allrows, p, carry)
+
+
+def assembled(rows: DataFrame, p: Params, carry=()) -> DataFrame:
+    """The output columns from the measures of both sides; ``_new_asn`` may be missing."""
+    new_ip = F.col("user").isNull() | F.col("ip").isNull() if p.compat else F.col("user_new_ip_detected")
+    out = rows.withColumn("user_new_ip_detected", new_ip)
+    new_asn = F.coalesce(F.col("_new_asn"), F.lit(False)) if "_new_asn" in rows.columns and not p.compat else F.lit(False)
     return out.select(
         "event_id", "event_time",
         F.col("ip").alias("source_ip"), F.col("user").alias("username"), "event_type",
@@ -415,43 +430,87 @@ def extract_features(events: DataFrame, p: Params | None = None,
     )
 
 
-# ------------------------------------------------------------------ ASN (range join)
-
-def ip_to_long(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    return F.when(F.size(parts) == 4,
-                  parts[0].try_cast("long") * 16777216 + parts[1].try_cast("long") * 65536
-                  + parts[2].try_cast("long") * 256 + parts[3].try_cast("long"))
+# ------------------------------------------------------------------ ASN (longest prefix)
+
+def ip_to_hex(ip: Column) -> Column:
+    """32 hex digits of an IPv6 address, or of an IPv4 one as its mapped form; null if it's
+    neither."""
+    v4 = F.regexp_extract_all(ip, F.lit(r"(?:^|\.)(\d{1,3})(?=\.|$)"), F.lit(1))
+    octets = F.transform(v4, lambda x: x.cast("int"))
+    is_v4 = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(octets, lambda x: x > 255)
+    mapped = F.concat(F.lit("0" * 20 + "ffff"), F.array_join(F.transform(octets, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), ""))
+    sides = F.split(ip, "::", -1)
+
+    def groups(side: Column) -> Column:
+        return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+
+    head, tail = groups(sides[0]), F.when(F.size(sides) == 2, groups(sides[1])).otherwise(F.array().cast("array<string>"))
+    fill = F.lit(8) - F.size(head) - F.size(tail)
+    whole = F.array_join(F.concat(head, F.array_repeat(F.lit("0000"), fill), tail), "")
+    is_v6 = ip.rlike(r"^[0-9a-fA-F:]+$") & (F.size(sides) == F.when(ip.contains("::"), 2).otherwise(1)) \
+        & (ip.contains("::") | (fill == 0)) & (F.length(whole) == 32)
+    return F.when(is_v4, mapped).when(is_v6, whole)
+
+
+def network(address: Column, bits: int) -> Column:
+    """The first ``bits`` bits of 32 hex digits, as text."""
+    whole, rest = divmod(bits, 4)
+    text = F.substring(address, 1, whole)
+    if rest:
+        text = F.concat(text, F.lower(F.hex(F.shiftright(F.conv(F.substring(address, whole + 1, 1), 16, 10).cast("int"), 4 - rest))))
+    return text
+
+
+def prefix_blocks(prefixes: DataFrame) -> DataFrame:
+    """(bits, address, width, asn): the aligned blocks of all prefixes, which are either IPv4
+    ranges ``lo``, ``hi`` (a range is cut into blocks of powers of two) or texts ``prefix``
+    (address/bits, both families). ``width``: bits of the block, or of a range the size."""
+    if "prefix" in prefixes.columns:
+        parts = F.split("prefix", "/")
+        address = ip_to_hex(parts[0])
+        bits = parts[1].cast("int") + F.when(parts[0].contains(":"), 0).otherwise(96)
+        return prefixes.select(bits.alias("bits"), address.alias("address"), F.pow(F.lit(2.0), 128 - bits).alias("width"), "asn")
+    size = "length(bin({0})) - 1"
+    cut = f"""aggregate(sequence(1, 64), named_struct('lo', lo, 'out', cast(array() as array<struct<lo:bigint,k:int>>)),
+        (a, i) -> if(a.lo > hi, a, named_struct(
+            'lo', a.lo + shiftleft(1L, least(if(a.lo = 0, 32, {size.format('a.lo & -a.lo')}), {size.format('hi - a.lo + 1')})),
+            'out', concat(a.out, array(named_struct('lo', a.lo, 'k', least(if(a.lo = 0, 32, {size.format('a.lo & -a.lo')}), {size.format('hi - a.lo + 1')})))))),
+        a -> a.out)"""
+    x = prefixes.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "asn").where("lo <= hi")
+    x = x.select("asn", (F.col("hi") - F.col("lo") + 1).cast("double").alias("width"), F.explode(F.expr(cut)).alias("b"))
+    return x.select((F.lit(128) - F.col("b.k")).alias("bits"), F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex("b.lo")), 8, "0")).alias("address"), "width", "asn")
 
 
 def asn_lookup(df: DataFrame, prefixes: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """``df`` with column ``asn`` (null where no prefix holds the address); every row
-    stays. The range join ``lo <= ip <= hi`` runs on distinct addresses: each prefix is
-    exploded into the /16 blocks it covers, each address looks up its own block, and the
-    narrowest range wins (ties: the smaller asn)."""
-    blocks = (prefixes.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "asn")
-              .withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536)))))
-    ips = (df.select(F.col(ip_col).alias("_ip")).where("_ip is not null").distinct()
-           .withColumn("ipl", ip_to_long(F.col("_ip"))).withColumn("blk", F.floor(F.col("ipl") / 65536)))
-    found = (ips.join(blocks, "blk").where("ipl between lo and hi").groupBy("_ip")
-             .agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "asn"))["asn"].alias("asn")))
-    return df.join(found, df[ip_col] == found["_ip"], "left").drop("_ip")
-
-
-def _asn_rows(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
-    x = prep.where(F.col("ip").isNotNull() & F.col("user").isNotNull() & ~F.col("hist"))
-    return asn_lookup(x.select("event_id", "tus", "ip", "user"), prefixes).where("asn is not null")
-
-
-def user_asns(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Distinct (user, asn) of the events."""
-    return _asn_rows(prep, prefixes).select("user", "asn").distinct()
+    """``df`` with column ``asn`` (null where no prefix holds the address); every row stays.
+    One equi-join for each length that occurs among the prefixes (129 at most): an address
+    meets at most one block of a length. The narrowest prefix wins (ties: the smaller asn).
+    Nothing is grouped, so ``df`` may be a stream."""
+    blocks = cut_lineage(prefix_blocks(prefixes))
+    lengths = sorted(r.bits for r in blocks.select("bits").distinct().collect())
+    x = df.withColumn("_address", ip_to_hex(F.col(ip_col)))
+    for n in lengths:
+        own = (blocks.where(F.col("bits") == n).groupBy(network(F.col("address"), n).alias("_net"))
+               .agg(F.min(F.struct("width", "asn")).alias(f"_found{n}")))
+        x = x.withColumn("_net", network(F.col("_address"), n)).join(own, "_net", "left").drop("_net")
+    found = [F.col(f"_found{n}") for n in lengths]
+    best = F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("struct<width:double,asn:string>")
+    return x.withColumn("asn", best["asn"]).drop("_address", *[f"_found{n}" for n in lengths])
+
+
+def _asn_pairs(prep: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(user, asn, f): first sighting of each pair by (time, id). Addresses are looked up once
+    each; a hot pair or address is combined before it meets anything."""
+    pairs = (prep.where(F.col("ip").isNotNull() & F.col("user").isNotNull() & ~F.col("hist"))
+             .groupBy("ip", "user").agg(F.min(F.struct("tus", "event_id")).alias("f")))
+    found = asn_lookup(pairs.select("ip").distinct(), prefixes).where("asn is not null")
+    return pairs.join(found, "ip").groupBy("user", "asn").agg(F.min("f").alias("f"))
 
 
 def new_asn_flags(prep: DataFrame, prefixes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(event_id, _new_asn): first sighting of (user, asn), ordered by (ts, id); pairs in
-    ``seen`` are known from earlier micro-batches."""
-    first = _asn_rows(prep, prefixes).groupBy("user", "asn").agg(F.min(F.struct("tus", "event_id")).alias("f"))
+    ``seen`` are known from before."""
+    first = _asn_pairs(prep, prefixes)
     if seen is not None:
         first = first.join(seen.select("user", "asn"), ["user", "asn"], "left_anti")
     return first.select(F.col("f.event_id").alias("event_id"), F.lit(True).alias("_new_asn"))

@@ -19,8 +19,9 @@ from ..session import cut_lineage
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def incident_ids(df: DataFrame, ts: str = "event_time", key: str = "event_id") -> DataFrame:
-    """Adds ``incident_id`` (per-day sequence in (ts, key) order)."""
+def incident_ids(df: DataFrame, ts: str = "event_time", key: str = "event_id", carried: DataFrame | None = None) -> DataFrame:
+    """Adds ``incident_id`` (per-day sequence in (ts, key) order). ``carried`` (date, last):
+    the numbers that days have reached already."""
     t = F.col(ts).cast("timestamp")
     # read twice below (rows and their counts): the upstream plan runs once
     x = (cut_lineage(df).withColumn("_day", F.to_date(t))
@@ -33,6 +34,11 @@ def incident_ids(df: DataFrame, ts: str = "event_time", key: str = "event_id") -
     w = Window.partitionBy("_day", "_sec").orderBy(F.col(ts), F.col(key))
     x = x.withColumn("_loc", F.row_number().over(w)).join(per_sec, ["_day", "_sec"])
     seq = F.col("_base") + F.col("_loc")
+    if carried is not None:
+        x = x.join(carried.select(F.col("date").alias("_day"), F.col("last").alias("_last")), "_day", "left")
+        seq = seq + F.coalesce("_last", F.lit(0))
+        x = x.withColumn("_base", seq - F.col("_loc")).drop("_last")
+        seq = F.col("_base") + F.col("_loc")
     return (x.withColumn("incident_id", F.format_string("INC-%s-%06d", F.date_format("_day", "yyyyMMdd"), seq))
              .drop("_day", "_sec", "_loc", "_base"))
 
@@ -58,7 +64,8 @@ def kill_chain(ts: Column, event_type: Column, ip: Column, user: Column) -> Colu
                                             F.coalesce(user, F.lit("unknown"))).alias("description")))
 
 
-def incidents(anomalies: DataFrame, p: Params | None = None, actions: DataFrame | None = None) -> DataFrame:
+def incidents(anomalies: DataFrame, p: Params | None = None, actions: DataFrame | None = None,
+              carried: DataFrame | None = None) -> DataFrame:
     """Full nested incident rows from anomaly rows (features + detection
     columns on the row). ``actions`` (event_id, seq, action_type, target,
     reason, result_message) are attached per incident when given; the
@@ -72,7 +79,7 @@ def incidents(anomalies: DataFrame, p: Params | None = None, actions: DataFrame
         user_failed_sudo_attempts=fs["user_failed_sudo_attempts"],
         session_login_to_privesc_seconds=fs["session_login_to_privesc_seconds"],
         session_lolbin_executed=fs["session_lolbin_executed"])
-    x = incident_ids(anomalies).withColumn("_techs", AT.enrich(ids))
+    x = incident_ids(anomalies, carried=carried).withColumn("_techs", AT.enrich(ids))
     out = x.select(
         "incident_id", "event_id",
         F.col("event_time").alias("timestamp"),

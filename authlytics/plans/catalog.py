@@ -219,6 +219,34 @@ def q_feat_user_new_asn(spark, sf):
     return df.select("event_id", "user_login_from_new_asn")
 
 
+def nested_prefixes(spark, sf):
+    """Prefixes of both families, narrow ones of every other nation inside wide ones."""
+    n = FX.read_table(spark, sf, "nation").selectExpr("n_nationkey as n", "concat('AS', cast(64500 + n_nationkey as string)) as asn").where("n % 2 = 0")
+    wide = spark.createDataFrame([("10.0.0.0/25", "wide4"), ("10.0.0.0/8", "widest4"), ("2001:DB8::/32", "wide6"), ("2001:db8::40/122", "narrower6")],
+                                 "prefix string, asn string")
+    return (n.selectExpr("concat('10.0.0.', cast(n * 4 as string), '/30') as prefix", "asn")
+            .unionByName(n.selectExpr("concat('2001:0db8::', lower(hex(n * 16)), '/124') as prefix", "asn")).unionByName(wide))
+
+
+@register("feat_user_new_asn_nested", f"""
+with a as ({FX.auth_sql('duckdb')}),
+m as (select event_id, ts, username, case
+    when event_id % 2 = 0 and (k // 4) % 2 = 0 and k // 4 < 25 then 'AS' || (64500 + k // 4)::varchar
+    when event_id % 2 = 0 then 'wide4'
+    when (k // 16) % 2 = 0 and k // 16 < 25 then 'AS' || (64500 + k // 16)::varchar
+    when k between 64 and 127 then 'narrower6' else 'wide6' end as asn
+  from a where source_ip is not null and username is not null),
+firsts as (select event_id from (select event_id, row_number() over (partition by username, asn order by ts, event_id) as rn from m) q where rn = 1)
+select event_id, event_id in (select event_id from firsts) as user_login_from_new_asn from a""")
+def q_feat_user_new_asn_nested(spark, sf):
+    """New ASNs of users where every other event comes from an IPv6 address."""
+    ev = FX.auth_events(spark, sf)
+    v6 = F.concat(F.lit("2001:db8:0::"), F.lower(F.hex("k")))
+    ev = ev.withColumn("source_ip", F.when(F.col("source_ip").isNotNull() & (F.col("event_id") % 2 == 1), v6).otherwise(F.col("source_ip")))
+    df = FE.extract_features(ev, QP, asn_prefixes=nested_prefixes(spark, sf))
+    return df.select("event_id", "user_login_from_new_asn")
+
+
 @register("feat_event_id", f"""select event_id, concat_ws('_', coalesce(source_ip, 'unknown'), coalesce(username, 'unknown'),
   cast(cast(cast(epoch_us(ts) as decimal(20,0)) / 1000000 as decimal(20,6)) as varchar)) as ref_event_id from ({_FSQL}) f""")
 def q_feat_event_id(spark, sf):
@@ -826,6 +854,8 @@ def q_ops_recent_alerts(spark, sf):
 from pyspark.sql import types as T  # noqa: E402
 
 from ..streaming import stream as ST  # noqa: E402
+from ..sources import tail as TL2  # noqa: E402
+from ..streaming.state import streaming_features  # noqa: E402
 
 N_SEGMENTS = 5
 
@@ -843,64 +873,90 @@ def write_segments(df: DataFrame, ts_col: str, root: str, fmt: str = "parquet",
     return root
 
 
-def _stream_read(spark, root, schema: T.StructType, fmt: str = "parquet"):
-    sch = T.StructType(schema.fields + [T.StructField("seg", T.IntegerType())])
-    return (spark.readStream.format(fmt).schema(sch).option("maxFilesPerTrigger", 1).load(root).drop("seg"))
-
-
-def _run_foreach(stream_df, fn, name):
-    q = (stream_df.writeStream.foreachBatch(fn)
-         .option("checkpointLocation", scratch_path(stream_df.sparkSession, f"ck-{name}"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+def arrivals(spark, sf, heartbeat_ip: str | None = None):
+    """The events as files in five time-ordered segments, as they may come in: a seventh of
+    them one segment late, lines that no pattern matches (stamped at ingest) among them,
+    and at the end a heartbeat, whose stamp lets the last ones go. Copies of some events
+    come three segments late, behind the watermark. Ids of all but the events are negative.
+    Returns (schema, folder, seconds that a segment takes)."""
+    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
+    t = F.unix_micros("event_time")
+    lo, hi = ev.agg(F.min(t), F.max(t)).first()
+    step = (hi - lo) // N_SEGMENTS + 1
+    seg = F.floor((t - F.lit(lo)) / F.lit(step)).cast("int")
+    last = F.lit(N_SEGMENTS)
+    on_time = ev.withColumn("seg", F.least(seg + (F.col("event_id") % 7 == 3).cast("int"), last - 1))
+    unmatched = ev.where("event_id % 50 = 0").withColumns({
+        "event_id": -F.col("event_id") - 10, "event_time": F.current_timestamp(), "source_ip": F.lit(None).cast("string"), "username": F.lit(None).cast("string"),
+        "auth_method": F.lit("unknown"), "event_type": F.lit("unknown"), "time_source": F.lit("ingest"), "seg": seg})
+    too_late = ev.where((F.col("event_id") % 20 == 1) & (seg < N_SEGMENTS - 3)).withColumns({"event_id": -F.col("event_id") - 10, "seg": seg + 3})
+    heartbeat = ev.limit(1).withColumns({
+        "event_id": F.lit(-1).cast("long"), "event_time": F.timestamp_micros(F.lit(hi + 3 * step)), "source_ip": F.lit(heartbeat_ip).cast("string"),
+        "username": F.lit(None).cast("string"), "seg": last})
+    rows = on_time.unionByName(unmatched).unionByName(too_late).unionByName(heartbeat)
+    root = scratch_path(spark, "arrivals")
+    for i in range(N_SEGMENTS + 1):
+        rows.where(F.col("seg") == i).drop("seg").coalesce(1).write.parquet(f"{root}/seg={i}")
+    return ev.schema, root, step / 1e6
+
+
+def _run_in_two(spark, stream, out: str, ck: str, roots, schema):
+    """Runs ``stream`` over the first files until it stops, and again on its checkpoint over
+    all of them."""
+    for segments in roots:
+        src = spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", 1).load(segments)
+        q = (stream(src).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 @register("stream_features", f"select event_id, {', '.join(K.FEATURE_NAMES)} from ({_FSQL}) f")
 def q_stream_features(spark, sf):
-    """Streaming = batch: the events land in five time-ordered segments, with lines that
-    no pattern matches (stamped at ingest) among them; each micro-batch runs the batch
-    operators on (new rows + retained history). The query is stopped after three
-    segments and started again on its checkpoint for the other two."""
+    """Streaming = batch, on keyed state: the events come as ``arrivals`` tells; the query is
+    stopped after three segments and started again on its checkpoint for the others."""
     apply_defaults(spark)
-    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
-    root = write_segments(ev, "event_time", scratch_path(spark, "landing-events"))
-    state = ST.FeatureState(scratch_path(spark, "fstate"), QP)
-    ck = scratch_path(spark, "ck-features")
-
-    def step(b, i):
-        unmatched = b.where("event_id % 50 = 0").select(
-            (-F.col("event_id") - 1).alias("event_id"), F.current_timestamp().alias("event_time"), F.lit(None).cast("string").alias("source_ip"),
-            F.lit(None).cast("string").alias("username"), F.lit("unknown").alias("auth_method"), F.lit("unknown").alias("event_type"),
-            "message", F.lit("ingest").alias("time_source"))
-        state.step(b.sparkSession, b.unionByName(unmatched), i)
-
-    for segments in ("seg=[0-2]", "seg=*"):
-        q = (spark.readStream.format("parquet").schema(ev.schema).option("maxFilesPerTrigger", 1).load(f"{root}/{segments}")
-             .writeStream.foreachBatch(step).option("checkpointLocation", ck).trigger(availableNow=True).start())
-        q.awaitTermination()
-    out = spark.read.parquet(f"{state.root}/features").where("event_id >= 0")
-    return _feature_select(out, list(K.FEATURE_NAMES))
+    schema, root, seconds = arrivals(spark, sf)
+    out = scratch_path(spark, "stream-features")
+    _run_in_two(spark, lambda s: streaming_features(s, QP, lateness_seconds=seconds, in_order=True), out, scratch_path(spark, "ck-features"),
+                (f"{root}/seg=[0-2]", f"{root}/seg=*"), schema)
+    return _feature_select(spark.read.parquet(out).where("event_id >= 0"), list(K.FEATURE_NAMES))
+
+
+def log_phases(spark, sf, n: int):
+    """The log lines of two hosts a source (source, host, n, value), with the phase (from 0) in
+    which they are written, by time."""
+    ev = FX.auth_events(spark, sf)
+    t = F.unix_micros("event_time")
+    lo, hi = ev.agg(F.min(t), F.max(t)).first()
+    phase = F.floor((t - F.lit(lo)) / F.lit((hi - lo) // n + 1)).cast("int")
+    return ev.select("source", (F.col("event_id") % 2).alias("host"), F.struct(t, "event_id").alias("n"), F.col("raw_line").alias("value"), phase.alias("phase"))
 
 
 @register("src_incremental", f"""select source, event_type, username, source_ip, source_port, auth_method, service, raw_line
   from ({OS.parsed_sql(f"select event_id * 10 as event_id, raw_line as value, source from ({FX.events_sql('duckdb')}) e")}) p""")
 def q_src_incremental(spark, sf):
-    """New log segments picked up incrementally (one file per trigger),
-    exactly once via the stream checkpoint."""
+    """Growing log files followed by byte position: lines are appended in five phases, some
+    left unfinished until the next; files are rotated twice, once while the query is
+    stopped; a batch takes a seventh of the lines of a phase at most."""
     apply_defaults(spark)
-    ev = FX.auth_events(spark, sf)
-    roots = {}
-    for src in ("auth_log", "audit_log"):
-        lines = ev.where(F.col("source") == src).select(F.col("raw_line").alias("value"), "event_time")
-        roots[src] = write_segments(lines, "event_time", scratch_path(spark, f"landing-{src}"), fmt="text")
-    out = scratch_path(spark, "incremental-out")
-    streams = [TL.stream_source(spark, r, s, 1).drop("seg") for s, r in roots.items()]
-    lines = streams[0].unionByName(streams[1])
-
-    def run(b, i):
-        parse_lines(b, year=2024).write.mode("overwrite").parquet(f"{out}/batch={i}")
-    _run_foreach(lines, run, "incremental")
+    phases = log_phases(spark, sf, N_SEGMENTS)
+    folder, out, ck = (scratch_path(spark, f"incremental-{x}") for x in ("logs", "out", "ck"))
+    bound = max(1, phases.count() // (7 * N_SEGMENTS))
+    q = None
+    for i in range(N_SEGMENTS):
+        patterns = FX.grow_logs(phases.where(F.col("phase") == i), folder, unfinished=i in (0, 2))
+        if q is None:
+            q = (parse_lines(TL2.tail_sources(spark, patterns, max_lines=bound), year=2024).writeStream.format("parquet")
+                 .option("path", out).option("checkpointLocation", ck).trigger(processingTime="0 seconds").start())
+        q.processAllAvailable()
+        if i == 1:
+            FX.rotate_logs(folder)
+        if i == 3:
+            q.stop()
+            FX.rotate_logs(folder)
+            q = None
+    q.processAllAvailable()
+    q.stop()
     return spark.read.parquet(out).select("source", "event_type", "username", "source_ip", "source_port",
                                           "auth_method", "service", "raw_line")
 
@@ -912,15 +968,14 @@ select epoch_us(ws) as window_start_us, source_ip, count(*)::bigint as events,
   sum(case when instr(event_type, 'failed') > 0 then 1 else 0 end)::bigint as failed,
   count(distinct username)::bigint as unique_users from w group by ws, source_ip""")
 def q_stream_ip_window_agg(spark, sf):
+    """Closed windows in append mode. The events come as ``arrivals`` tells: what is late
+    within the watermark counts, what is behind it doesn't, and the heartbeat closes all
+    windows but its own."""
     apply_defaults(spark)
-    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
-    root = write_segments(ev, "event_time", scratch_path(spark, "landing-win"))
+    schema, root, seconds = arrivals(spark, sf, heartbeat_ip="0.0.0.0")
     out = scratch_path(spark, "win-out")
-    agg = ST.ip_window_counts(_stream_read(spark, root, ev.schema))
-    q = (agg.writeStream.outputMode("complete")
-         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out))
-         .option("checkpointLocation", scratch_path(spark, "ck-win")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run_in_two(spark, lambda s: ST.ip_window_counts(s, watermark=f"{int(seconds) + 1} seconds"), out, scratch_path(spark, "ck-win"),
+                (f"{root}/seg=[0-2]", f"{root}/seg=*"), schema)
     return spark.read.parquet(out).select(
         F.unix_micros(F.col("w.start")).alias("window_start_us"), "source_ip",
         F.col("events").cast("long").alias("events"), F.col("failed").cast("long").alias("failed"),
@@ -930,56 +985,50 @@ def q_stream_ip_window_agg(spark, sf):
 @register("stream_cooldown", _ACTS_REC + "," + OS.cooldown_sql(True).strip()
           + " select event_id, seq, action_type, target, allowed from cooled")
 def q_stream_cooldown(spark, sf):
+    """Cooldown on keyed state over five segments, stopped and started again after three."""
     apply_defaults(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     acts = actions_df(spark, sf, _QPX).select("event_id", F.col("seq").cast("int").alias("seq"),
                                                "action_type", "target", "event_time")
     root = write_segments(acts, "event_time", scratch_path(spark, "landing-acts"))
     out = scratch_path(spark, "cool-out")
-    res = ST.cooldown_stream(_stream_read(spark, root, acts.schema), _QPX)
-    q = (res.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ck-cool")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run_in_two(spark, lambda s: ST.cooldown_stream(s, _QPX), out, scratch_path(spark, "ck-cool"), (f"{root}/seg=[0-2]", f"{root}/seg=*"), acts.schema)
     return spark.read.parquet(out).select("event_id", "seq", "action_type", "target", "allowed")
 
 
 @register("stream_score")
 def q_stream_score(spark, sf):
+    """The forest applied to streaming features."""
     apply_defaults(spark)
     p = Params()
     m = trained_model(spark, sf, p)
-    ev = FX.auth_events(spark, sf).select(*ST.EVENT_COLS)
-    root = write_segments(ev, "event_time", scratch_path(spark, "landing-score"))
-    state = ST.FeatureState(scratch_path(spark, "sstate"), p)
+    schema, root, seconds = arrivals(spark, sf)
     out = scratch_path(spark, "score-out")
+    _run_in_two(spark, lambda s: PL.score_features(streaming_features(s, p, lateness_seconds=seconds, in_order=True), m, p), out,
+                scratch_path(spark, "ck-score"), (f"{root}/seg=*",), schema)
+    return spark.read.parquet(out).where("event_id >= 0").select("event_id", "raw_score", "is_anomaly", "risk_level", "explanation")
 
-    def run(b, i):
-        f = state.step(b.sparkSession, b, i)
-        PL.score_features(f, m, p).write.mode("overwrite").parquet(f"{out}/batch={i}")
-    _run_foreach(_stream_read(spark, root, ev.schema), run, "score")
-    return spark.read.parquet(out).select("event_id", "raw_score", "is_anomaly", "risk_level", "explanation")
 
-
-def _cycle_stream(spark, sf, trigger):
+def _cycle_stream(spark, sf, trigger, n: int = 3):
+    """Incidents of the streaming cycle over logs that grow in phases: one run a phase, or
+    one that goes on."""
     apply_defaults(spark)
     p = Params()
     m = trained_model(spark, sf, p)
-    ev = FX.auth_events(spark, sf)
-    landing = {}
-    for src in ("auth_log", "audit_log"):
-        lines = ev.where(F.col("source") == src).select(F.col("raw_line").alias("value"), "event_time")
-        base = scratch_path(spark, f"cyc-{src}")
-        write_segments(lines, "event_time", base, fmt="text")
-        landing[src] = base
-    out = scratch_path(spark, "cycle-out")
-    q = ST.detection_stream(spark, landing, m, out, p, trigger=trigger, max_files_per_trigger=1)
-    if "availableNow" in trigger:
-        q.awaitTermination()
-    else:
-        q.processAllAvailable()
+    phases = log_phases(spark, sf, n)
+    folder, out = scratch_path(spark, "cycle-logs"), scratch_path(spark, "cycle-out")
+    q = None
+    for i in range(n):
+        patterns = FX.grow_logs(phases.where(F.col("phase") == i), folder)
+        if q is None:
+            q = ST.detection_stream(spark, patterns, m, out, p, trigger=trigger)
+        if "availableNow" in trigger:
+            q.awaitTermination()
+            q = None
+        else:
+            q.processAllAvailable()
+    if q is not None:
         q.stop()
-    return spark.read.schema(_INC_SCHEMA + ", date string").json(f"{out}/reports/json")
+    return ST.committed(spark, out, "reports/json", schema=_INC_SCHEMA + ", date string").drop("date")
 
 
 @register("pipe_cycle_once")
@@ -989,4 +1038,4 @@ def q_pipe_cycle_once(spark, sf):
 
 @register("pipe_monitor")
 def q_pipe_monitor(spark, sf):
-    return _cycle_stream(spark, sf, {"processingTime": "5 seconds"})
+    return _cycle_stream(spark, sf, {"processingTime": "0 seconds"})

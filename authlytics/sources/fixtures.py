@@ -183,3 +183,50 @@ def all_lines_sql(dialect: str = "duckdb") -> str:
     return (f"select * from ({base}) b union all "
             f"select event_id, value, 'syslog' as source from ({base}) m where source <> 'audit_log' "
             f"union all select * from ({extra_lines_sql(dialect)}) x")
+
+
+def grow_logs(lines: DataFrame, folder: str, unfinished: bool = False) -> dict[str, str]:
+    """Append (source, host, n, value) lines to one file per source and host, in the order of
+    ``n``; returns source -> pattern of its files. ``unfinished``: the line end after the
+    last line of each file comes with the next call."""
+    def append(rows):
+        from .tail import _open
+        out, now = None, None
+        for r in rows:
+            fs, path = _open(f"{folder}/{r['source']}-{r['host']}.log")
+            if path != now:
+                if out is not None:
+                    finish(out)
+                info = fs.get_file_info(path)
+                tail = b"\n"
+                if info.size:
+                    with fs.open_input_file(path) as f:
+                        tail = f.read_at(1, info.size - 1)
+                out, now = fs.open_append_stream(path), path
+                out.write(b"" if tail == b"\n" else b"\n")
+                out.write(r["value"].encode())
+            else:
+                out.write(b"\n" + r["value"].encode())
+        if out is not None:
+            finish(out)
+
+    def finish(out):
+        if not unfinished:
+            out.write(b"\n")
+        out.close()
+
+    from .tail import _open
+    fs, path = _open(folder)
+    fs.create_dir(path)
+    lines.repartition("source", "host").sortWithinPartitions("source", "host", "n").foreachPartition(append)
+    return {s: f"{folder}/{s}-*.log*" for s in ("auth_log", "audit_log")}
+
+
+def rotate_logs(folder: str) -> None:
+    """Rename each log to its name with .1, as logrotate does (older ones move on)."""
+    from .tail import _open
+    fs, path = _open(folder)
+    from pyarrow.fs import FileSelector
+    for f in sorted(fs.get_file_info(FileSelector(path)), key=lambda f: f.base_name, reverse=True):
+        base, number = (f.path, 0) if f.path.endswith(".log") else (f.path.rpartition(".")[0], int(f.extension))
+        fs.move(f.path, f"{base}.{number + 1}")

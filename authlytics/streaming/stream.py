@@ -1,36 +1,28 @@
-"""Structured Streaming: incremental ingestion, stateful features, scoring and
-fan-out, cooldown across micro-batches.
-
-* ``FeatureState`` + ``detection_stream``: ``readStream.text`` on a landing
-  folder -> ``foreachBatch``. Each micro-batch runs the *batch* operators on
-  (retained history + new rows); state between batches is four versioned
-  tables under the output folder -- the trailing history (last ``w`` plus
-  the allowed lateness of events), all-time per-user totals, the
-  (ip, user) pairs and (user, asn) pairs seen. The history's limit follows the
-  stamps read from lines only: lines stamped with their ingest time never move it,
-  and rows without address and user, which no window needs, aren't retained.
-  Rows older than the limit are marked ``late``: their trailing windows may miss
-  events that have left the history. Batch ``b`` reads version ``b-1`` and writes
-  version ``b`` and its outputs with overwrite; the query's checkpoint lies in the
-  output folder, so a restart resumes, and a re-executed batch gives the same result
-  (exactly-once to the file sinks). Versions before ``b-1`` are deleted.
-* ``ip_window_counts``: the coarse per-IP counts as a native watermarked
-  sliding-window aggregation.
-* ``cooldown_stream``: the greedy cooldown with ``transformWithStateInPandas``
-  (``ValueState`` of the last allowed time per action:target, with TTL).
+"""Structured Streaming jobs: the detection cycle, window counts, cooldown.
+
+* ``detection_stream``: growing log files (``sources.tail``) -> parse -> keyed features
+  (``state.streaming_features``) -> scoring -> decisions -> keyed cooldown -> sinks, one
+  query whose state is Spark's own. ``foreachBatch`` only writes: each sink gets a folder
+  per batch, replaced if the batch runs again, and one row in ``commits`` at the end makes
+  all of them visible together (``committed`` reads no others). That row carries the last
+  incident number of every day, so numbers go on where the batch before ended.
+* ``ip_window_counts``: per-IP counts of closed sliding windows by two native aggregations,
+  per (window, IP, user), then per (window, IP): no set of users is ever held.
+* ``cooldown_stream``: the greedy cooldown on keyed state.
 """
 
 from __future__ import annotations
 
 import datetime
+import heapq
+import json
 import time
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.parse import parse_lines
 from ..operators import features as FE
@@ -39,257 +31,191 @@ from ..operators import response as RS
 from ..params import Params
 from ..plans import pipelines as PL
 from ..sinks import files as SK
+from ..sources.tail import tail_sources
+from .state import streaming_features, use_rocksdb
 
 EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message", "time_source"]
+#: Rows of a key sorted at once, and rows of a stored run read at once.
+RUN, PAGE = 4096, 256
 
 
 def _utc(seconds: float) -> datetime.datetime:
     return datetime.datetime.fromtimestamp(seconds, tz=datetime.timezone.utc)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def latest_version(spark: SparkSession, root: str, below: int) -> int | None:
-    """Newest ``v=<n>`` folder under ``root`` with n < below (None if none)."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            n = int(name[2:])
-            if n < below and (best is None or n > best):
-                best = n
-    return best
-
-
-def drop_versions(spark: SparkSession, root: str, below: int) -> None:
-    """Delete the ``v=<n>`` folders under ``root`` with n < below."""
-    fs, p = _fs(spark, root)
-    if fs.exists(p):
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and int(name[2:]) < below:
-                fs.delete(st.getPath(), True)
-
-
-@dataclass
-class FeatureState:
-    """Versioned state tables of the streaming feature extraction."""
-    root: str
-    p: Params = field(default_factory=Params)
-    allowed_lateness_seconds: float = 600.0
-    asn_prefixes: DataFrame | None = None
-
-    def _read(self, spark, version, name, schema):
-        if version is None:
-            return None
-        return spark.read.schema(schema).parquet(f"{self.root}/{name}/v={version}")
-
-    def step(self, spark: SparkSession, new_events: DataFrame, batch_id: int) -> DataFrame:
-        """Features of the new events of micro-batch ``batch_id``; writes
-        state version ``batch_id``. Returns a DataFrame over written files."""
-        v = latest_version(spark, f"{self.root}/history", batch_id)
-        if "time_source" not in new_events.columns:
-            new_events = new_events.withColumn("time_source", F.lit("line"))
-        # the micro-batch is read by several jobs: written once
-        new_events.select(*EVENT_COLS).write.mode("overwrite").parquet(f"{self.root}/new/v={batch_id}")
-        new_events = spark.read.schema(new_events.select(*EVENT_COLS).schema).parquet(f"{self.root}/new/v={batch_id}")
-        ev_schema = new_events.schema
-        hist = self._read(spark, v, "history", ev_schema)
-        ub = self._read(spark, v, "user_base", "user string, sudo long, ln long, ls long, lss long")
-        seen = self._read(spark, v, "seen_pairs", "ip string, user string")
-        seen_asn = self._read(spark, v, "seen_asn", "user string, asn string") if self.asn_prefixes is not None else None
-        limit = None if v is None else spark.read.parquet(f"{self.root}/limit/v={v}").first()["limit_us"]
-        new = new_events.withColumn("_hist", F.lit(False))
-        rows = new if hist is None else new.unionByName(hist.withColumn("_hist", F.lit(True)))
-        feats = FE.extract_features(rows, self.p, asn_prefixes=self.asn_prefixes, user_base=ub, seen_pairs=seen, seen_asn=seen_asn)
-        late = F.lit(False) if limit is None else F.unix_micros(F.col("event_time").cast("timestamp")) <= F.lit(limit)
-        out = f"{self.root}/features/batch={batch_id}"
-        feats.withColumn("late", late).write.mode("overwrite").parquet(out)
-        FE.rejects(new_events).write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch_id}")
-
-        # next state version
-        prep = FE.prepare(new.where("event_time is not null"), self.p)
-        keep_us = int((self.p.window_seconds + self.allowed_lateness_seconds) * 1e6)
-        all_rows = new.drop("_hist") if hist is None else new.drop("_hist").unionByName(hist)
-        us = F.unix_micros(F.col("event_time").cast("timestamp"))
-        mx = new_events.where("time_source = 'line'").agg(F.max(us)).first()[0]
-        now = max([x for x in (limit, None if mx is None else mx - keep_us) if x is not None], default=None)
-        nxt = all_rows.where("event_time is not null and coalesce(source_ip, username) is not null")
-        if now is not None:
-            nxt = nxt.where(us > F.lit(now))
-        add = (prep.where(F.col("user").isNotNull()).groupBy("user").agg(
-            F.sum("is_sudoish").cast("long").alias("sudo"), F.count("login_h").alias("ln"),
-            F.coalesce(F.sum("login_h"), F.lit(0)).alias("ls"),
-            F.coalesce(F.sum(F.col("login_h") * F.col("login_h")), F.lit(0)).alias("lss")))
-        base = add if ub is None else ub.unionByName(add)
-        (base.groupBy("user").agg(*[F.sum(c).alias(c) for c in ("sudo", "ln", "ls", "lss")])
-         .write.mode("overwrite").parquet(f"{self.root}/user_base/v={batch_id}"))
-        pairs = prep.where(F.col("ip").isNotNull() & F.col("user").isNotNull()).select("ip", "user").distinct()
-        if seen is not None:
-            pairs = pairs.unionByName(seen).distinct()
-        pairs.write.mode("overwrite").parquet(f"{self.root}/seen_pairs/v={batch_id}")
-        if self.asn_prefixes is not None:
-            asn = FE.user_asns(prep, self.asn_prefixes)
-            asn = asn if seen_asn is None else asn.unionByName(seen_asn).distinct()
-            asn.write.mode("overwrite").parquet(f"{self.root}/seen_asn/v={batch_id}")
-        spark.createDataFrame([(now,)], "limit_us long").write.mode("overwrite").parquet(f"{self.root}/limit/v={batch_id}")
-        # history is written last: its _SUCCESS marks version batch_id complete
-        nxt.write.mode("overwrite").parquet(f"{self.root}/history/v={batch_id}")
-        for name in ("new", "history", "user_base", "seen_pairs", "seen_asn", "limit"):
-            drop_versions(spark, f"{self.root}/{name}", batch_id - 1)
-        return spark.read.parquet(out)
-
-
-def lines_to_events(lines: DataFrame, year: int, batch_id: int) -> DataFrame:
-    """Parsed events of a micro-batch with a row key that is stable when the
-    same batch is executed again (same files, same split)."""
-    ev = parse_lines(lines.withColumn("_rid", F.monotonically_increasing_id()), year=year)
-    return ev.withColumn("event_id", F.xxhash64(F.lit(batch_id), F.col("_rid"), F.col("raw_line"))).drop("_rid")
-
-
-def detection_stream(spark: SparkSession, landing: dict[str, str], model, out_root: str,
-                     p: Params | None = None, trigger: dict | None = None, checkpoint: str | None = None,
-                     max_files_per_trigger: int | None = None, emit_features_only: bool = False):
-    """Start the streaming detection cycle. ``landing``: source -> folder of
-    new log segments. ``trigger``: e.g. {"availableNow": True} (one cycle and
-    exit) or {"processingTime": "5 seconds"} (continuous monitoring). Started
-    again with the same ``out_root``, it resumes where it stopped."""
-    from ..sources.text_logs import stream_source
-    p = p or Params()
-    streams = [stream_source(spark, d, s, max_files_per_trigger) for s, d in landing.items()]
-    lines = streams[0]
-    for s in streams[1:]:
-        lines = lines.unionByName(s)
-    state = FeatureState(f"{out_root}/state", p)
-    ck = checkpoint or f"{out_root}/_checkpoint"
-
-    def cycle(batch_df: DataFrame, batch_id: int) -> int:
-        sp = batch_df.sparkSession
-        events = lines_to_events(batch_df, p.log_year, batch_id)
-        feats = state.step(sp, events, batch_id)
-        if emit_features_only or model is None:
-            return 0
-        det = PL.score_features(feats, model, p)
-        # written once: scoring isn't repeated for each of the outputs below
-        det.where(F.col("is_anomaly")).write.mode("overwrite").parquet(f"{out_root}/anomalies/batch={batch_id}")
-        anomalies = sp.read.schema(det.schema).parquet(f"{out_root}/anomalies/batch={batch_id}")
-        v = latest_version(sp, f"{out_root}/cooldown", batch_id)
-        anchors = None if v is None else sp.read.parquet(f"{out_root}/cooldown/v={v}")
-        acts = RS.outcome(RS.apply_cooldown(RS.decide(anomalies, p), p, anchors=anchors), p)
-        acts.write.mode("overwrite").parquet(f"{out_root}/actions/batch={batch_id}")
-        acts = sp.read.parquet(f"{out_root}/actions/batch={batch_id}")
-        inc = RP.incidents(anomalies, p, actions=acts)
-        inc = inc.withColumn("incident_id", F.concat(F.col("incident_id"), F.lit(f"-b{batch_id}")))
-        SK.save_reports(inc, f"{out_root}/reports", "both", batch_id)
-        SK.append_alerts(RP.alerts(inc), f"{out_root}/alerts", batch_id)
-        SK.append_audit(RS.audit_records(acts), f"{out_root}/audit", batch_id)
-        executed = acts.where("status = 'executed'").select(
-            "action_type", "target", F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"))
-        last = executed.groupBy("action_type", "target").agg(F.max("t").alias("last_allowed_us"))
-        if anchors is not None:
-            last = (last.unionByName(anchors).groupBy("action_type", "target")
-                    .agg(F.max("last_allowed_us").alias("last_allowed_us")))
-        last.write.mode("overwrite").parquet(f"{out_root}/cooldown/v={batch_id}")
-        drop_versions(sp, f"{out_root}/cooldown", batch_id - 1)
-        n_anom = sp.read.parquet(f"{out_root}/actions/batch={batch_id}").select("event_id").distinct().count()
-        return n_anom
-
-    def run(batch_df: DataFrame, batch_id: int):
-        started, n_anom, failed = time.time(), 0, True
-        try:
-            n_anom = cycle(batch_df, batch_id)
-            failed = False
-        finally:       # a failed cycle is a row too; a batch that runs again replaces it
-            batch_df.sparkSession.createDataFrame(
-                [(batch_id, _utc(started), _utc(time.time()), failed, n_anom)],
-                "cycle_id long, started_at timestamp, ended_at timestamp, failed boolean, anomalies long") \
-                .write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
-
-    w = lines.writeStream.foreachBatch(run).option("checkpointLocation", ck)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
-
-
-def ip_window_counts(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-                     watermark: str = "10 minutes") -> DataFrame:
-    """Coarse per-IP counts on a fixed sliding grid (native streaming
-    aggregation with watermark; append mode emits closed windows)."""
-    return (events.where(F.col("source_ip").isNotNull())
-            .withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", window, slide).alias("w"), "source_ip")
-            .agg(F.count(F.lit(1)).alias("events"),
-                 F.sum(F.when(F.instr("event_type", "failed") > 0, 1).otherwise(0)).alias("failed"),
-                 F.size(F.collect_set("username")).alias("unique_users")))
-
-
 # ------------------------------------------------------------------ cooldown state
 
-try:
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-except Exception:  # pragma: no cover
-    StatefulProcessor = object
-
-COOLDOWN_OUT = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("seq", T.IntegerType()),
-    T.StructField("action_type", T.StringType()), T.StructField("target", T.StringType()),
-    T.StructField("t", T.LongType()), T.StructField("allowed", T.BooleanType()),
-])
-
-
 class CooldownProcessor(StatefulProcessor):
-    """Greedy cooldown per action:target across micro-batches; state = last
-    allowed-and-executed time (micros), expired after ``ttl_ms`` if given."""
+    """Greedy cooldown per action:target over micro-batches; state: the last time that was
+    allowed and executed, until the watermark has passed it by the cooldown.
 
-    def __init__(self, cooldowns: dict, default: int, enable_actions: bool, ttl_ms: int | None = None):
-        self.cooldowns, self.default, self.enable, self.ttl = cooldowns, default, enable_actions, ttl_ms
+    A key's rows of a batch come in any order and number. They are sorted in runs of ``RUN``;
+    if there is more than one, runs go to a map state in pages of ``PAGE`` rows and are
+    merged from there, so a hot key never has all its rows in memory."""
 
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last_allowed", "t long", self.ttl)
+    def __init__(self, fields: list[str], cooldowns: dict, default: int, enable_actions: bool):
+        self.at = {c: k for k, c in enumerate(fields)}
+        self.out = Row(*fields, "allowed")
+        self.cooldowns, self.default, self.enable = cooldowns, default, enable_actions
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "event_id", "seq"], kind="mergesort")
-        action = pdf["action_type"].iloc[0]
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last_allowed", "t long")
+        self.runs = handle.getMapState("runs", "run long, page long", "rows string")
+
+    def _order(self, row) -> tuple:
+        return tuple(row[self.at[c]] for c in ("t", "event_id", "seq"))
+
+    def _sorted(self, rows: Iterator) -> Iterable:
+        run, n = [], 0
+        for row in rows:
+            run.append(tuple(row))
+            if len(run) == RUN:
+                run.sort(key=self._order)
+                for page in range(0, RUN, PAGE):
+                    self.runs.updateValue((n, page // PAGE), (json.dumps(run[page:page + PAGE]),))
+                run, n = [], n + 1
+        run.sort(key=self._order)
+        return heapq.merge(*[self._stored(k) for k in range(n)], run, key=self._order) if n else run
+
+    def _stored(self, run: int) -> Iterator[tuple]:
+        for page in range(RUN // PAGE):
+            rows = json.loads(self.runs.getValue((run, page))[0])
+            self.runs.removeKey((run, page))
+            yield from map(tuple, rows)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        action = key[0]
         live = action == "alert_only" or self.enable
-        c = int(self.cooldowns.get(action, self.default)) * 1_000_000
-        t = pdf["t"].to_numpy(dtype=np.int64)
-        allowed = np.ones(len(t), dtype=bool)
-        if live:
-            allowed[:] = False
-            last = int(self.last.get()[0]) if self.last.exists() else None
-            i = 0 if last is None else int(np.searchsorted(t, last + c, side="left"))
-            while i < len(t):
-                allowed[i] = True
-                last = int(t[i])
-                i = int(np.searchsorted(t, last + c, side="left"))
-            if last is not None:
-                self.last.update((last,))
-        pdf["allowed"] = allowed
-        yield pdf[["event_id", "seq", "action_type", "target", "t", "allowed"]]
+        wait = int(self.cooldowns.get(action, self.default)) * 1_000_000
+        before = last = int(self.last.get()[0]) if live and self.last.exists() else None
+        for row in self._sorted(rows):
+            t = row[self.at["t"]]
+            allowed = not live or last is None or t >= last + wait
+            if live and allowed:
+                last = t
+            yield self.out(*row, allowed)
+        if last != before:
+            self.last.update((last,))
+            self.handle.registerTimer((last + wait) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists():
+            wait = int(self.cooldowns.get(key[0], self.default)) * 1_000_000
+            if self.last.get()[0] + wait <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.last.clear()         # it can block nothing that is still to come
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def cooldown_stream(actions: DataFrame, p: Params | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """actions stream (event_id, seq, action_type, target, event_time) ->
-    (event_id, seq, action_type, target, t, allowed).
+def cooldown_stream(actions: DataFrame, p: Params | None = None, lateness_seconds: float | None = 600.0, carry: Iterable[str] = ()) -> DataFrame:
+    """actions stream (event_id, seq, action_type, target, event_time) -> event_id, seq,
+    action_type, target, t (microseconds), the columns of ``carry`` and allowed.
+    ``lateness_seconds`` None: ``actions`` has a watermark on ``wm_time`` already. ``carry``
+    columns must be strings or numbers."""
+    p = p or Params()
+    use_rocksdb(actions.sparkSession)
+    stamp = "wm_time"
+    x = actions
+    if lateness_seconds is not None:
+        x = x.withColumn(stamp, F.col("event_time").cast("timestamp")).withWatermark(stamp, f"{int(lateness_seconds * 1e6)} microseconds")
+    x = x.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target",
+                 F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"), *carry, stamp)
+    # the stamp decides about lateness and timers alone; rows carry their time as a number
+    names = [c for c in x.columns if c != stamp]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in x.schema.fields if f.name != stamp])
+    out = T.StructType([*schema.fields, T.StructField("allowed", T.BooleanType())])
+    x = x.withColumns({"_action": F.col("action_type"), "_target": F.col("target")})
+    processor = _Narrow(names, dict(p.cooldowns), p.default_cooldown, p.enable_actions)
+    return x.groupBy("_action", "_target").transformWithState(processor, out, "Append", "EventTime")
+
+
+class _Narrow(CooldownProcessor):
+    """Takes the fields it knows from the input row, which holds the stamp besides."""
 
-    A monitor that runs for ever passes ``ttl_ms`` (processing time since a key's last
-    allowed action, at least the longest cooldown); an ``availableNow`` run passes none,
-    as Spark goes on with empty batches while a state can expire."""
+    def handleInputRows(self, key, rows, timerValues):
+        names = [*self.at]
+        return super().handleInputRows(key, (tuple(r[c] for c in names) for r in rows), timerValues)
+
+
+# ------------------------------------------------------------------ window counts
+
+def ip_window_counts(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+    """Per-IP counts of sliding windows that the watermark has closed (append mode): w,
+    source_ip, events, failed, unique_users. Later rows are dropped and counted by Spark."""
+    per_user = (events.where(F.col("source_ip").isNotNull())
+                .withWatermark("event_time", watermark)
+                .groupBy(F.window("event_time", window, slide).alias("w"), "source_ip", "username")
+                .agg(F.count(F.lit(1)).alias("events"), F.sum(F.when(F.instr("event_type", "failed") > 0, 1).otherwise(0)).alias("failed")))
+    # windows end a slide apart, so the slide that a window's last moment is in tells it
+    at = F.window(F.window_time("w"), slide)
+    found = (per_user.groupBy(at.alias("last"), "source_ip")
+             .agg(F.sum("events").alias("events"), F.sum("failed").alias("failed"), F.count("username").alias("unique_users")))
+    w = F.struct((F.col("last.end") - F.expr(f"interval {window}")).alias("start"), F.col("last.end").alias("end"))
+    return found.select(w.alias("w"), "source_ip", "events", "failed", "unique_users")
+
+
+# ------------------------------------------------------------------ detection cycle
+
+def committed(spark: SparkSession, out_root: str, path: str, fmt: str = "json", schema: str | None = None) -> DataFrame:
+    """What the committed batches of a detection stream wrote to the sink ``path`` below its
+    output folder (reports/json, reports/text, alerts, audit, actions)."""
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch long")
+    return reader.format(fmt).load(f"{out_root}/{path}").join(spark.read.parquet(f"{out_root}/commits").select("batch").distinct(), "batch", "left_semi").drop("batch")
+
+
+def detection_stream(spark: SparkSession, sources: dict[str, str], model, out_root: str, p: Params | None = None, trigger: dict | None = None,
+                     checkpoint: str | None = None, max_lines: int | None = None, lateness_seconds: float = 600.0, in_order: bool = False,
+                     asn_prefixes: DataFrame | None = None):
+    """Start the streaming detection cycle. ``sources``: source -> pattern of its (growing)
+    files. ``trigger``: e.g. {"availableNow": True} (one cycle of at most ``max_lines`` lines)
+    or {"processingTime": "5 seconds"} (continuous monitoring). Started again with the same
+    ``out_root``, it resumes where it stopped. Without a model only ``features`` are written."""
     p = p or Params()
-    longest = max([p.default_cooldown, *p.cooldowns.values()])
-    if ttl_ms is not None and ttl_ms < longest * 1000:
-        raise ValueError("the state must outlive the longest cooldown")
-    x = actions.select("event_id", F.col("seq").cast("int").alias("seq"), "action_type", "target",
-                       F.unix_micros(F.col("event_time").cast("timestamp")).alias("t"))
-    return (x.groupBy("action_type", "target").transformWithStateInPandas(
-        statefulProcessor=CooldownProcessor(dict(p.cooldowns), p.default_cooldown, p.enable_actions, ttl_ms),
-        outputStructType=COOLDOWN_OUT, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime"))
+    lines = tail_sources(spark, sources, max_lines)
+    feats = streaming_features(parse_lines(lines, year=p.log_year), p, lateness_seconds, in_order, asn_prefixes, carry=("wm_time",))
+    ck = checkpoint or f"{out_root}/_checkpoint"
+    trigger = trigger or {"availableNow": True}
+    if model is None:
+        return (feats.drop("wm_time").writeStream.format("parquet").option("path", f"{out_root}/features")
+                .option("checkpointLocation", ck).trigger(**trigger).start())
+    det = PL.score_features(feats, model, p)
+    kept = [c for c in det.columns if c != "wm_time"]
+    anomaly = T.StructType([f for f in det.schema.fields if f.name in kept])
+    # the anomaly rides on its first action (every one has an alert), as text
+    acts = RS.decide(det.where("is_anomaly").withColumn("anomaly", F.to_json(F.struct(*kept), {"timestampFormat": RP.ISO})), p, carry=("anomaly", "wm_time"))
+    acts = acts.withColumn("anomaly", F.when(F.col("seq") == 0, F.col("anomaly"))).withColumn("is_reversible", F.col("is_reversible").cast("int"))
+    cooled = cooldown_stream(acts, p, None, carry=("reason", "severity", "is_reversible", "anomaly"))
+    spark.createDataFrame([], "date date, last long").write.mode("append").parquet(f"{out_root}/commits/batch=-1")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sp, started = batch.sparkSession, time.time()
+        rows = batch.withColumns({"event_time": F.timestamp_micros("t"), "is_reversible": F.col("is_reversible") == 1}).drop("t")
+        # read by several sinks: written once
+        RS.outcome(rows, p).write.mode("overwrite").parquet(f"{out_root}/actions/batch={batch_id}")
+        acted = sp.read.parquet(f"{out_root}/actions/batch={batch_id}")
+        found = acted.where("anomaly is not null").select(F.from_json("anomaly", anomaly, {"timestampFormat": RP.ISO}).alias("a")).select("a.*")
+        before = last_numbers(sp, out_root, batch_id)
+        inc = RP.incidents(found, p, actions=acted, carried=before)
+        SK.save_reports(inc, f"{out_root}/reports", "json", batch_id)
+        # the other sinks read the reports that were written: their ids are given once
+        inc = sp.read.schema(inc.schema).json(f"{out_root}/reports/json/batch={batch_id}")
+        SK.save_reports(inc, f"{out_root}/reports", "text", batch_id)
+        SK.append_alerts(RP.alerts(inc), f"{out_root}/alerts", batch_id)
+        SK.append_audit(RS.audit_records(acted), f"{out_root}/audit", batch_id)
+        cycle = sp.createDataFrame([(batch_id, _utc(started), _utc(time.time()))], "cycle_id long, started_at timestamp, ended_at timestamp")
+        cycle.withColumns({"failed": F.lit(False), "anomalies": F.lit(inc.count()).cast("long")}).write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
+        numbers = before.unionByName(inc.select(F.to_date("timestamp").alias("date"), F.element_at(F.split("incident_id", "-"), -1).cast("long").alias("last")))
+        numbers = numbers.groupBy("date").agg(F.max("last").alias("last")).unionByName(sp.createDataFrame([(None, 0)], "date date, last long"))
+        numbers.coalesce(1).write.mode("overwrite").parquet(f"{out_root}/commits/batch={batch_id}")
+
+    return cooled.writeStream.foreachBatch(run).option("checkpointLocation", ck).trigger(**trigger).start()
+
+
+def last_numbers(spark: SparkSession, out_root: str, batch_id: int) -> DataFrame:
+    """(date, last): the last incident number of every day before this batch."""
+    commits = spark.read.schema("date date, last long, batch long").parquet(f"{out_root}/commits").where(F.col("batch") < batch_id)
+    newest = commits.agg(F.max("batch")).first()[0]
+    return commits.where((F.col("batch") == F.lit(newest)) & F.col("date").isNotNull()).select("date", "last")

@@ -77,3 +77,37 @@ def test_incident_ids_per_day(spark):
     ids = [r["incident_id"] for r in RP.incident_ids(df).orderBy("event_id").collect()]
     assert ids[0] == "INC-20240115-000001" and ids[1] == "INC-20240115-000002"
     assert ids[2] == "INC-20240115-000003" and ids[3] == "INC-20240116-000001" and ids[4] == "INC-20240116-000002"
+
+
+def greedy(rows, wait, start=None):
+    """Allowed (event_id, seq) of one key's (t, event_id, seq) rows."""
+    last, out = start, set()
+    for t, i, q in sorted(rows):
+        if last is None or t >= last + wait:
+            out.add((i, q))
+            last = t
+    return out
+
+
+def test_cooldown_without_a_quiet_gap(spark):
+    """One key, times closer than the cooldown all along, cut into many slices; another
+    with ties; one with an anchor; a cooldown of zero."""
+    import random
+    r = random.Random(3)
+    p = Params(enable_actions=True, cooldowns={"block_ip": 50, "lock_account": 7, "terminate_session": 0})
+    rows, t = [], 0
+    for i in range(3000):
+        t += r.randrange(1, 9)
+        rows.append((i, 0, "block_ip", "hot", t))
+        rows.append((i, 1, "lock_account", "u", t // 5 * 5))
+        rows.append((i, 2, "block_ip", "anchored", t))
+        if i < 100:
+            rows.append((i, 3, "terminate_session", "z", t // 20))
+    df = spark.createDataFrame(rows, "event_id long, seq int, action_type string, target string, s long").withColumn("event_time", F.timestamp_seconds("s"))
+    anchors = spark.createDataFrame([("block_ip", "anchored", 10_000_000)], "action_type string, target string, last_allowed_us long")
+    for kw in ({"slice_rows": 10}, {"slice_rows": 100, "bucket_seconds": 60}, {}):
+        got = {(x.event_id, x.seq) for x in RS.apply_cooldown(df, p, anchors=anchors, **kw).where("allowed").collect()}
+        own = [(t, i, q) for i, q, _, _, t in rows]
+        want = greedy([x for x in own if x[2] == 0], 50) | greedy([x for x in own if x[2] == 2], 50, 10)
+        want |= greedy([(t // 5 * 5, i, q) for t, i, q in [x for x in own if x[2] == 1]], 7) | {(i, 3) for i in range(100)}
+        assert got == want

@@ -111,3 +111,24 @@ def test_asn_lookup_keeps_every_row(spark):
     pre = spark.createDataFrame([(167772160, 167772415, "wide"), (167772160, 167772170, "narrow")], "lo long, hi long, asn string")
     got = {r["event_id"]: r["asn"] for r in FE.asn_lookup(ips, pre).collect()}
     assert got == {1: "narrow", 2: None, 3: None, 4: None, 5: "narrow", 6: "wide"}
+
+
+def test_addresses_of_both_families(spark):
+    rows = ["10.0.0.1", "255.255.255.255", "256.1.1.1", "1.2.3", "::1", "::", "2001:db8::8:800:200C:417A", "FF01:0:0:0:0:0:0:101", "1::2::3", "host", "", None, "1:2:3:4:5:6:7"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, ip string").select("i", FE.ip_to_hex(F.col("ip")).alias("h"))
+    got = [r.h for r in df.orderBy("i").collect()]
+    assert got == ["0" * 20 + "ffff0a000001", "0" * 20 + "ffffffffffff", None, None, "0" * 31 + "1", "0" * 32, "20010db80000000000080800200c417a",
+                   "ff010000000000000000000000000101", None, None, None, None, None]
+
+
+def test_ranges_become_blocks(spark):
+    ranges = [(5, 21), (0, 0), (0, 2 ** 32 - 1), (7, 7), (2 ** 31, 2 ** 32 - 2)]
+    df = spark.createDataFrame([(lo, hi, str(i)) for i, (lo, hi) in enumerate(ranges)], "lo long, hi long, asn string")
+    by = {}
+    for r in FE.prefix_blocks(df).collect():
+        lo = int(r.address[24:], 16)
+        assert lo % (1 << 128 - r.bits) == 0
+        by.setdefault(int(r.asn), []).append((lo, lo + (1 << 128 - r.bits)))
+    for i, (lo, hi) in enumerate(ranges):
+        blocks = sorted(by[i])
+        assert blocks[0][0] == lo and blocks[-1][1] == hi + 1 and all(a[1] == b[0] for a, b in zip(blocks, blocks[1:]))

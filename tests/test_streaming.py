@@ -1,62 +1,172 @@
-"""Streaming state tables: micro-batches give the same features as one batch."""
+"""Streaming on keyed state: equal to the batch, whatever the order, stops and rotations."""
 
 import datetime as dt
+import os
 
+import pytest
+from authlytics.functions.parse import parse_lines
 from authlytics.operators import features as FE
+from authlytics.operators import response as RS
 from authlytics.params import Params
-from authlytics.streaming.stream import FeatureState
+from authlytics.plans import catalog as C
+from authlytics.plans import pipelines as PL
+from authlytics.sources import fixtures as FX
+from authlytics.sources.tail import read_growing
+from authlytics.streaming import state as S
+from authlytics.streaming import stream as ST
+from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 15, 12, 0, 0)
-COLS = "event_id long, event_time timestamp, source_ip string, username string, auth_method string, event_type string, message string"
+COLS = "event_id long, event_time timestamp, source_ip string, username string, auth_method string, event_type string, message string, time_source string"
 
 
-def test_two_batches_equal_batch(spark, tmp_path):
-    rows = []
-    for i in range(120):
-        et = ["login_failed", "login_success", "sudo_success", "sudo_failure"][i % 4]
-        ip = None if et.startswith("sudo") else f"10.0.0.{i % 3}"
-        rows.append((i, T0 + dt.timedelta(seconds=20 * i), ip, f"u{i % 4}", "password", et,
-                     "COMMAND=/bin/bash" if et == "sudo_success" else "line"))
-    ev = spark.createDataFrame(rows, COLS)
+def event(i, seconds, ip="203.0.113.5", user="eve", kind="login_failed", source="line", message="x"):
+    return (i, T0 + dt.timedelta(seconds=seconds), ip, user, "password", kind, message, source)
+
+
+def run(spark, tmp, batches, build, schema=COLS, name="s"):
+    """The result of ``build`` over the batches, each a file, and the progress."""
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema) if isinstance(rows, list) else rows
+        df.coalesce(1).write.mode("overwrite").parquet(f"{tmp}/{name}/in/seg={k}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/{name}/in/seg=*")
+    q = (build(src).writeStream.format("parquet").option("path", f"{tmp}/{name}/out").option("checkpointLocation", f"{tmp}/{name}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{tmp}/{name}/out"), q.recentProgress
+
+
+def mixed(n):
+    kinds = ["login_failed", "login_success", "sudo_success", "sudo_failure", "process_execution"]
+    return [event(i, 7 * i + i % 3, None if i % 5 > 1 else f"10.0.0.{i % 3}", None if i % 5 == 4 else f"u{i % 4}", kinds[i % 5],
+                  message="COMMAND=/bin/bash" if i % 5 == 2 else "line") for i in range(n)]
+
+
+@pytest.mark.parametrize("in_order, slab", [(False, 256), (True, 256), (True, 5)])
+def test_equal_to_the_batch(spark, tmp_path, monkeypatch, in_order, slab):
+    monkeypatch.setattr(S, "SLAB", slab)
+    rows = mixed(240)
+    parts = [rows[:80], rows[80:160], rows[160:]]
+    if in_order:       # rows of a part come one part later, others are long past
+        parts = [[r for r in rows if min(2, r[0] // 80 + (r[0] % 4 == 1)) == k] for k in range(3)]
+        parts += [[event(-2, 0), event(-1, 10 ** 6, None, None)]]
     p = Params()
-    batch = FE.extract_features(ev, p)
-    st = FeatureState(str(tmp_path / "state"), p)
-    st.step(spark, ev.where("event_id < 60"), 0)
-    st.step(spark, ev.where("event_id >= 60"), 1)
-    streamed = spark.read.parquet(str(tmp_path / "state" / "features"))
-    cols = batch.columns
-    assert streamed.count() == 120
-    assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+    got, progress = run(spark, tmp_path, parts, lambda s: S.streaming_features(s, p, lateness_seconds=700, in_order=in_order))
+    want = FE.extract_features(spark.createDataFrame(rows, COLS), p)
+    got = got.where("event_id >= 0").select(want.columns)
+    assert got.count() == 240 and want.exceptAll(got).count() == 0
+    dropped = sum(o["numRowsDroppedByWatermark"] for x in progress for o in x["stateOperators"])
+    assert dropped == (1 if in_order else 0)
 
 
-def test_ingest_stamps_do_not_move_the_history(spark, tmp_path):
+def test_ingest_stamps_do_not_move_the_watermark(spark, tmp_path):
     """Lines that no pattern matches carry their ingest time; 28 failures stay 28."""
-    fails = [(i, T0 + dt.timedelta(seconds=i), "203.0.113.5", "eve", "password", "login_failed", "x", "line") for i in range(28)]
+    fails = [event(i, i) for i in range(28)]
     cron = [(100 + i, dt.datetime.now(), None, None, "unknown", "unknown", "CRON", "ingest") for i in range(2)]
-    late = [(200, T0 - dt.timedelta(days=2), "203.0.113.5", "eve", "password", "login_failed", "x", "line")]
-    schema = COLS + ", time_source string"
-    st = FeatureState(str(tmp_path / "state"), Params())
-    st.step(spark, spark.createDataFrame(fails[:20] + cron, schema), 0)
-    second = {r["event_id"]: r for r in st.step(spark, spark.createDataFrame(fails[20:] + cron + late, schema), 1).collect()}
-    assert second[27]["ip_failed_logins"] == 28 and not second[27]["late"]
-    assert second[200]["late"]
-    st.step(spark, spark.createDataFrame(fails[:0], schema), 2)
-    assert [p.name for p in (tmp_path / "state" / "history").iterdir() if p.name == "v=0"] == []
-
-
-def test_stopped_and_started_again(spark, tmp_path):
-    """A detection stream resumes from the checkpoint in its output folder."""
-    from authlytics.streaming.stream import detection_stream
-    logs = tmp_path / "logs"
-    logs.mkdir()
+    got, _ = run(spark, tmp_path, [fails[:20] + cron, fails[20:] + cron, cron], lambda s: S.streaming_features(s, Params()))
+    by = {r.event_id: r for r in got.collect()}
+    assert by[27].ip_failed_logins == 28 and got.count() == 34
+
+
+def test_silent_keys_leave_no_window(spark, tmp_path):
+    rows = [[event(i, i, f"10.0.0.{i}", None) for i in range(5)], [event(10, 5000, "10.9.9.9", None)], [event(11, 9000, "10.9.9.9", None)]]
+    _, progress = run(spark, tmp_path, rows, lambda s: S.streaming_features(s, Params()))
+    kept = [sum(o["numRowsTotal"] for o in x["stateOperators"]) for x in progress]
+    assert kept[0] == 5 and kept[-1] == 1          # a value each; at the end that of the last address
+
+
+def test_new_asn(spark, tmp_path):
+    prefixes = spark.createDataFrame([(FE_LONG("10.0.0.0"), FE_LONG("10.0.255.255"), "A"), (FE_LONG("10.0.0.2"), FE_LONG("10.0.0.2"), "B")], "lo long, hi long, asn string")
+    rows = mixed(100)
+    p = Params()
+    got, _ = run(spark, tmp_path, [rows[:50], rows[50:]], lambda s: S.streaming_features(s, p, asn_prefixes=prefixes))
+    want = FE.extract_features(spark.createDataFrame(rows, COLS), p, asn_prefixes=prefixes)
+    assert want.exceptAll(got.select(want.columns)).count() == 0 and want.where("user_login_from_new_asn").count() > 4
+
+
+def FE_LONG(ip):
+    a, b, c, d = map(int, ip.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
 
-    def run():
-        q = detection_stream(spark, {"auth_log": str(logs)}, None, str(tmp_path / "out"), Params(), emit_features_only=True)
+
+def test_windows_close_and_late_rows_are_counted(spark, tmp_path):
+    parts = [[event(0, 0, user="a"), event(1, 30, user="b"), event(2, 31, user="b"), event(3, 40, user=None, kind="login_success")],
+             [event(4, 3600)], [event(7, 3601)], [event(5, 1)], [event(6, 7200)]]
+    got, progress = run(spark, tmp_path, parts, lambda s: ST.ip_window_counts(s))
+    rows = {r.w.start: r for r in got.collect()}
+    first = rows[T0]
+    assert (first.events, first.failed, first.unique_users) == (4, 3, 2) and first.w.end == T0 + dt.timedelta(minutes=5)
+    assert len(rows) == 10        # five windows hold the first minute, five that of the fourth row; the last row's are open
+    dropped = sum(o["numRowsDroppedByWatermark"] for x in progress for o in x["stateOperators"])
+    assert dropped == 5           # one late row in five windows
+
+
+ACTIONS = "event_id long, seq int, action_type string, target string, event_time timestamp"
+
+
+def test_cooldown_in_stored_runs_and_expiry(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "RUN", 8)
+    monkeypatch.setattr(ST, "PAGE", 4)
+    p = Params(enable_actions=True)
+    rows = [(i, i % 2, ["block_ip", "lock_account", "alert_only"][i % 3], "x", T0 + dt.timedelta(seconds=37 * i)) for i in range(200)]
+    df = spark.createDataFrame(rows, ACTIONS)
+    shuffled = [df.where(f"event_id < 100").orderBy(F.rand(1)), df.where("event_id >= 100").orderBy(F.rand(2)),
+                [(1000, 0, "alert_only", "y", T0 + dt.timedelta(days=1))], [(1001, 0, "alert_only", "y", T0 + dt.timedelta(days=2))]]
+    got, progress = run(spark, tmp_path, shuffled, lambda s: ST.cooldown_stream(s, p), ACTIONS)
+    want = RS.apply_cooldown(df, p).select("event_id", "seq", "action_type", "target", "allowed")
+    got = got.where("event_id < 1000").select(want.columns)
+    assert want.exceptAll(got).count() == 0 and got.count() == 200
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1         # y's last time
+
+
+@pytest.fixture(scope="module")
+def cycle(spark, tmp_path_factory):
+    """A model, log phases, and the batch cycle over all of them."""
+    sf = "/root/testdata/sf0.001"
+    p = Params(enable_actions=True, contamination=0.3)
+    m = PL.train(spark, FE.extract_features(FX.auth_events(spark, sf), p), p, enforce_guard=False)
+    folder = str(tmp_path_factory.mktemp("logs"))
+    return p, m, C.log_phases(spark, sf, 3), folder
+
+
+def same(a, b):
+    cols = [c for c in C._INC_SCHEMA.replace(" ", "").split(",")] and ["incident_id", "severity", "event_type", "source_ip", "username", "anomaly_score", "explanation"]
+    a, b = a.select(cols), b.select(cols)
+    return a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_cycle_equals_the_batch_and_shows_only_committed_batches(spark, cycle, tmp_path):
+    p, m, phases, folder = cycle
+    out = str(tmp_path / "out")
+    for k in range(3):
+        patterns = FX.grow_logs(phases.where(F.col("phase") == k), folder, unfinished=k == 0)
+        if k == 1:
+            FX.rotate_logs(folder)
+        q = ST.detection_stream(spark, patterns, m, out, p)
         q.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out" / "state" / "features"))
+    batch = PL.cycle(spark, parse_lines(read_growing(spark, patterns), year=p.log_year), m, p)
+    reports = ST.committed(spark, out, "reports/json", schema=C._INC_SCHEMA + ", date string")
+    assert same(reports, batch.incidents) and reports.count() > 50
+    ids = [r.incident_id for r in reports.collect()]
+    assert len(set(ids)) == len(ids) and all(len(i) == len("INC-20240101-000001") for i in ids)
+    assert ST.committed(spark, out, "alerts").count() == len(ids)
+    audit = ST.committed(spark, out, "audit").count()
+    assert audit == batch.audit.count()
+    # a batch that was killed before its commit: its files are there, nothing shows them
+    last = max(int(x.split("=")[1]) for x in os.listdir(f"{out}/commits") if x.startswith("batch="))
+    for f in os.listdir(f"{out}/commits/batch={last}"):
+        os.remove(f"{out}/commits/batch={last}/{f}")
+    left = {name: ST.committed(spark, out, name).count() for name in ("reports/json", "alerts", "audit")}
+    assert left["reports/json"] == left["alerts"] < len(ids) and left["audit"] <= audit
+
 
+def test_features_alone_and_restart(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
     for k in range(2):
-        (logs / f"part{k}.log").write_text("".join(
-            f"Mar  3 09:0{k}:{s:02d} box sshd[77]: Failed password for mallory from 198.18.0.7 port 9 ssh2\n" for s in range(15)))
-        out = run()
+        with open(logs / "auth.log", "a") as f:
+            f.write("".join(f"Mar  3 09:0{k}:{s:02d} box sshd[77]: Failed password for mallory from 198.18.0.7 port 9 ssh2\n" for s in range(15)))
+        q = ST.detection_stream(spark, {"auth_log": f"{logs}/auth.log*"}, None, str(tmp_path / "out"))
+        q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out" / "features"))
     assert out.count() == 30 and out.agg({"ip_failed_logins": "max"}).first()[0] == 30

@@ -3,17 +3,23 @@
 A model is the trigram distribution of each language (trigrams of lower-cased letters,
 other characters as one space, hashed to ``BUCKETS``). A document is a mixture: its
 trigrams come from languages with unknown proportions, which expectation-maximisation
-estimates. The set of languages is selected by penalised likelihood: the languages are
+estimates, or from a background under which all trigrams are equally likely: what no
+learned language explains better than chance falls to it. The set of languages is selected
+by penalised likelihood: beside the background the languages are
 taken in the order of their proportion in the full mixture, and one more is taken only
 if it raises the log-likelihood by more than ``PENALTY`` * log(number of trigrams).
+The score of a language is its share of the text, so texts in a script or language that
+was not learned get a low one.
 
 Training reads every document once and sends at most languages * ``BUCKETS`` counts per
 task, summed by Spark; the model is that table (its size depends on the number of
 languages alone) and is broadcast. Prediction is one narrow pass over the whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no
-languages; so is every text when nothing could be learned. Documents without language or
-text teach nothing. Ties go to the language that sorts first.
+languages; a text with letters gets ``und`` only when nothing could be learned. Documents
+without language or text teach nothing. Repeated rows are documents each. Ties go to the
+language that sorts first. The result columns take the names they are given, which replace
+columns of the same name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,7 +89,7 @@ class LanguageModel:
         ids, w = text_trigrams(text)
         if not len(ids) or not self.langs:
             return [], []
-        p = self.prob[ids]
+        p = np.column_stack([self.prob[ids], np.full(len(ids), 1 / BUCKETS, np.float32)])      # the last one is the background
         n = len(ids) if w is None else float(w.sum())
 
         def total(q: np.ndarray) -> float:
@@ -101,18 +107,18 @@ class LanguageModel:
             return mix / mix.sum()
 
         k = len(self.langs)
-        mix = em(p, np.full(k, 1 / k, np.float32), ROUNDS)
-        order = np.argsort(-mix, kind="stable")
+        mix = em(p, np.full(k + 1, 1 / (k + 1), np.float32), ROUNDS)
+        order = np.argsort(-mix[:k], kind="stable")
         best, best_score, at_most = None, -np.inf, total(p @ mix)
         for size in range(1, k + 1):
             if best is not None and at_most - PENALTY * (size - 1) * np.log(n) <= best_score:
                 break       # the full mixture is at least as likely as any set
-            chosen = order[:size]
-            part = em(p[:, chosen], mix[chosen] / max(mix[chosen].sum(), 1e-9), ROUNDS) if size > 1 else np.ones(1, np.float32)
+            chosen = np.append(order[:size], k)
+            part = em(p[:, chosen], mix[chosen] / max(mix[chosen].sum(), 1e-9), ROUNDS)
             score = total(p[:, chosen] @ part) - PENALTY * (size - 1) * np.log(n)
             if score <= best_score:
                 break
-            best, best_score = (chosen, part), score
+            best, best_score = (chosen[:-1], part[:-1]), score
         chosen, part = best
         rank = np.lexsort((chosen, -part))
         return [self.langs[i] for i in chosen[rank]], [min(1.0, max(0.0, float(x))) for x in part[rank]]
@@ -149,7 +155,8 @@ RESULT = "struct<lang_pred:string,score:double,languages:array<string>,proportio
 
 
 def language_column(docs: DataFrame, model: LanguageModel, text: str | Column = "text") -> Column:
-    """Struct with the largest language, its proportion, and the whole selected mixture."""
+    """Struct with the largest language, its proportion (of the whole text, background and
+    all), and the whole selected mixture."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prob))
 
     @arrow_udf(RESULT)
@@ -173,8 +180,9 @@ def held_out(id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string") if isinstance(id, str) else id) % 4 == 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with columns held_out and __lang (the struct of ``language_column``);
-    learned from those that aren't held out and have an id."""
+def identify_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
+                       into: str = "__lang", held_out_into: str = "held_out") -> DataFrame:
+    """``docs`` with columns held_out and __lang, or as named (the struct of
+    ``language_column``); learned from those that aren't held out and have an id."""
     model = fit_languages(docs.where(F.col(id).isNotNull() & ~held_out(id)), text, lang)
-    return docs.withColumn("__lang", language_column(docs, model, F.col(text))).withColumn("held_out", held_out(id))
+    return docs.withColumns({into: language_column(docs, model, F.col(text)), held_out_into: held_out(id)})

@@ -15,7 +15,9 @@ seeded per partition, so which rows a corpus over ``SAMPLE`` gives depends on ho
 split. No table of the corpus is shuffled.
 
 Defined results: a text that is null or has no word is bad without a vote (posterior and
-score 0, not kept). An empty table gives no rows.
+score 0, not kept). A score of just ``KEEP_FROM`` is kept. Repeated rows are judged each, all
+alike. The result column takes the name it is given, which replaces a column of that name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -284,7 +286,7 @@ def quality_column(docs: DataFrame, model: QualityModel, text: str | Column = "t
     return judge.asNondeterministic()(text)
 
 
-def classify_quality(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with column __quality: weak_label, score (both 0 to 1, of being good)."""
+def classify_quality(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, into: str = "__quality") -> DataFrame:
+    """``docs`` with column __quality, or as named: weak_label, score (both 0 to 1, of being good)."""
     model = fit_quality(docs, id, text, sample)
-    return docs.withColumn("__quality", quality_column(docs, model, F.col(text)))
+    return docs.withColumn(into, quality_column(docs, model, F.col(text)))

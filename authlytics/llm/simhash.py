@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import stored
+from .common import fresh, stored
 from .components import connected_components
 
 #: Generator polynomial of the (23, 12) Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -264,11 +264,12 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words
     without ids keeps one row, repeated rows of that id count once). Keeps all columns;
     a whole row is shuffled once, by fingerprint and id, which no group makes hot."""
     rows, groups = simhash_groups(docs, id, text, words, max_bits)
+    fp, own, key, none = fresh(docs, "__fp", "__id", "__one", "__none")
     best = (rows.join(groups, "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "fp")).alias("best"))
-            .select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp")))
-    full = docs.withColumn("__fp", fingerprint_column(F.col(text), words)).withColumn("__id", F.col(id))
-    one = F.coalesce(F.col("__id").cast("string"), F.lit(""))
-    kept = full.withColumn("__one", one).join(best.select("__fp", one.alias("__one"), F.col("__id").isNull().alias("__n")), ["__fp", "__one"])
-    kept = kept.where(F.col("__id").isNull() == F.col("__n"))
-    return kept.dropDuplicates(["__fp", "__one"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+            .select(F.col("best.id").alias("id"), F.col("best.fp").alias(fp)))
+    full = docs.withColumns({fp: fingerprint_column(F.col(text), words), own: F.col(f"`{id}`")})
+    full = full.withColumn(key, F.coalesce(F.col(own).cast("string"), F.lit("")))
+    best = best.select(fp, F.coalesce(F.col("id").cast("string"), F.lit("")).alias(key), F.col("id").isNull().alias(none))
+    kept = full.join(best, [fp, key]).where(F.col(own).isNull() == F.col(none))
+    return kept.dropDuplicates([fp, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,6 +27,52 @@ def test_mixture(spark):
     assert long[0][0] == "en"
 
 
+def plain_em(prob, ids, k, rounds):
+    """The mixture by plain loops: prob[bucket][component], the last one the background."""
+    mix = [1 / k] * k
+    for _ in range(rounds):
+        new = [0.0] * k
+        for b in ids:
+            q = [mix[c] * prob[b][c] for c in range(k)]
+            for c in range(k):
+                new[c] += q[c] / sum(q)
+        mix = [x / len(ids) for x in new]
+    return mix
+
+
+def test_mixture_against_plain_loops(spark):
+    """Trigram counts, smoothing and proportions recomputed with dictionaries."""
+    from collections import Counter
+    from authlytics.llm import langid
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    model = fit_languages(docs.where(F.col("doc_id").isin([r.doc_id for r in rows])))
+    counts = {l: Counter() for l in model.langs}
+    for r in rows:
+        counts[r.lang].update(i for i, n in zip(*whole(r.text)) for _ in range(int(n)))
+    totals = {l: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for l, c in counts.items()}
+    for text in [rows[0].text, rows[0].text[:400] + " " + next(r.text for r in rows if r.lang != rows[0].lang)[:400], "λόγος και μέτρο", "xyzzy the"]:
+        langs, parts = model.infer(text)
+        ids = [i for i, n in zip(*whole(text)) for _ in range(int(n))]
+        prob = {b: [(counts[l][b] + langid.SMOOTHING) / totals[l] for l in langs] + [1 / langid.BUCKETS] for b in set(ids)}
+        mix = plain_em(prob, ids, len(langs) + 1, 60)
+        assert max(abs(a - b) for a, b in zip(mix, parts)) < 0.05       # its rounds end when shares move by little
+
+
+def whole(text):
+    import numpy as np
+    from authlytics.llm.langid import text_trigrams
+    ids, w = text_trigrams(text)
+    return ids.tolist(), (np.ones(len(ids)) if w is None else w).tolist()
+
+
+def test_scores_of_unlearned_scripts(spark):
+    model = fit_languages(spark.read.parquet(f"{DATA}/documents.parquet"))
+    for text in ("Η γρήγορη αλεπού πηδάει πάνω από το σκυλί", "我们今天在河边看见了许多鸟"):
+        langs, parts = model.infer(text * 10)
+        assert langs[0] in model.langs and sum(parts) < 0.5
+
+
 def test_language_cases(spark):
     rows = [(1, "der hund und die katze", "de", "x"), (2, "the dog and the cat", "en", "x"), (3, "the dog and the cat", None, "x"),
             (4, None, "en", "x"), (5, "", "de", "x"), (6, "12 34 !?", "de", "x"), (None, "the cat", "en", "x"), (8, "é", "de", "x")]

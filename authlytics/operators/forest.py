@@ -1,16 +1,21 @@
 """Isolation Forest as Spark jobs (Liu, Ting, Zhou 2008).
 
-* sampling: per (row, tree) a hash draw ``xxhash64(key, tree, seed)`` keeps a
-  row in a tree's sample with probability ``min(1, 1.5 psi / n)``; a first
-  per-row draw keeps only rows that can land in any tree, so the per-tree
-  hashing touches about ``1.5 psi T`` rows, not ``n T``. Each tree's sample is
-  cut to ``psi`` inside its group.
-* fit: ``groupBy(tree_id).applyInPandas`` builds one tree per group (at most
-  about 1.5 psi rows each) -> node table.
-* score: ``mapInPandas``; the node table (at most T * (2^(d+1) - 1) rows) is a
-  broadcast variable, traversal is vectorised over an Arrow batch.
-* offset: the contamination quantile of the training scores, exact, found by
-  histogram refinement with small aggregates (no global single-task sort).
+Randomness is counter-based: every draw is a hash of seed, tree and row or node (52 bits of
+an MD5), so the forest is a function of the rows, whatever their order or partitioning, and
+SQL can restate it.
+
+* sampling: a draw per (row, tree) keeps a row in a tree's sample with probability
+  ``min(1, 1.5 psi / n)``; a first draw per row keeps only rows that can land in
+  any tree, so the per-tree hashing touches about ``1.5 psi T`` rows, not ``n T``. The
+  ``psi`` rows of the least second draw stay.
+* fit: ``groupBy(tree_id).applyInPandas`` builds one tree per group (at most about 1.5 psi
+  rows each) -> node table. Nodes are numbered as in a heap (root 1, children 2i and 2i+1); a
+  node splits on the feature of the least draw among those that vary in it, at a drawn
+  share of their range.
+* score: the node table (at most T * (2^(d+1) - 1) rows) is a broadcast variable, traversal
+  is vectorised over an Arrow batch.
+* offset: the contamination quantile of the training scores, exact, in two passes: a
+  mergeable sketch brackets the ranks, then the values in the bracket are counted.
 
 Scores follow the paper / scikit-learn convention: ``score_samples`` is
 ``-2^(-E[h(x)] / c(psi))`` in [-1, 0), lower = more anomalous.
@@ -18,13 +23,14 @@ Scores follow the paper / scikit-learn convention: ``score_samples`` is
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +48,8 @@ NODE_SCHEMA = T.StructType([
     T.StructField("n", T.IntegerType()),
 ])
 
-_MASK53 = (1 << 53) - 1
-_TWO53 = float(1 << 53)
+DIGITS = 13
+RANGE = float(1 << 4 * DIGITS)
 EULER = 0.5772156649
 
 
@@ -58,52 +64,52 @@ def avg_path_length(n):
     return out
 
 
-def _uniform(*cols) -> F.Column:
-    return (F.xxhash64(*cols).bitwiseAND(F.lit(_MASK53)) / F.lit(_TWO53))
+def _draw(*parts) -> F.Column:
+    """A number in [0, 1) that depends on the parts alone."""
+    text = F.concat_ws(":", *[F.lit(x) if isinstance(x, int) else x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long") / F.lit(RANGE)
 
 
-def draw_samples(X: DataFrame, key: str, n_rows: int, p: Params) -> DataFrame:
-    """Rows of each tree's sample: (tree_id, draw, key, features...)."""
+def _drawn(*parts) -> float:
+    """``_draw`` of plain values."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:DIGITS], 16) / RANGE
+
+
+def sample_rates(n_rows: int, p: Params) -> tuple[int, float, float]:
+    """(rows of a tree's sample, share of rows in any sample's reach, share of those per tree)."""
     psi = min(p.max_samples, n_rows)
     p_tree = min(1.0, 1.5 * psi / max(n_rows, 1))
     q = min(1.0, p_tree * p.n_trees)
-    r = p_tree / q
-    seed = F.lit(p.seed)
-    x = X.where(_uniform(F.col(key), seed) < F.lit(q)) if q < 1.0 else X
+    return psi, q, p_tree / q
+
+
+def draw_samples(X: DataFrame, key: str, n_rows: int, p: Params) -> DataFrame:
+    """Rows of each tree's sample: (tree_id, draw, key, features...)."""
+    _, q, r = sample_rates(n_rows, p)
+    x = X.where(_draw(p.seed, F.col(key)) < F.lit(q)) if q < 1.0 else X
     trees = F.filter(F.sequence(F.lit(0), F.lit(p.n_trees - 1)),
-                     lambda t: _uniform(F.col(key), t, seed) < F.lit(r))
+                     lambda t: _draw(p.seed, t, F.col(key)) < F.lit(r))
     return (x.withColumn("tree_id", F.explode(trees))
-             .withColumn("draw", _uniform(F.col(key), F.col("tree_id"), seed + F.lit(1))))
-
-
-def _build_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int):
-    feature, threshold, left, right, depth, size = [], [], [], [], [], []
-
-    def new_node(d, n):
-        feature.append(-1); threshold.append(0.0); left.append(-1); right.append(-1)
-        depth.append(d); size.append(n)
-        return len(feature) - 1
-
-    stack = [(new_node(0, len(rows)), np.arange(len(rows)), 0)]
-    while stack:
-        node, idx, d = stack.pop()
-        if d >= max_depth or len(idx) <= 1:
-            continue
-        sub = rows[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        cand = np.nonzero(hi > lo)[0]
-        if len(cand) == 0:
-            continue
-        f = int(cand[rng.integers(len(cand))])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] <= thr
-        li, ri = idx[go_left], idx[~go_left]
-        feature[node], threshold[node] = f, thr
-        left[node] = new_node(d + 1, len(li))
-        right[node] = new_node(d + 1, len(ri))
-        stack.append((left[node], li, d + 1))
-        stack.append((right[node], ri, d + 1))
-    return feature, threshold, left, right, depth, size
+             .withColumn("draw", _draw(p.seed + 1, F.col("tree_id"), F.col(key))))
+
+
+def _build_tree(rows: np.ndarray, seed: int, tree: int, max_depth: int) -> list[tuple]:
+    """(node, feature, threshold, depth, n) of every node."""
+    out, todo = [], [(1, np.arange(len(rows)), 0)]
+    while todo:
+        node, idx, d = todo.pop()
+        f, threshold = -1, 0.0
+        if d < max_depth and len(idx) > 1:
+            sub = rows[idx]
+            lo, hi = sub.min(axis=0), sub.max(axis=0)
+            vary = np.flatnonzero(hi > lo).tolist()
+            if vary:
+                f = min(vary, key=lambda k: (_drawn(seed, tree, node, k), k))
+                threshold = float(lo[f] + _drawn(seed, tree, node) * (hi[f] - lo[f]))
+                left = sub[:, f] <= threshold
+                todo += [(2 * node, idx[left], d + 1), (2 * node + 1, idx[~left], d + 1)]
+        out.append((node, f, threshold, d, len(idx)))
+    return sorted(out)
 
 
 def make_tree_builder(feature_cols, psi: int, max_depth: int, seed: int):
@@ -111,12 +117,12 @@ def make_tree_builder(feature_cols, psi: int, max_depth: int, seed: int):
         tree_id = int(pdf["tree_id"].iloc[0])
         pdf = pdf.sort_values(["draw", "_key"], kind="mergesort").head(psi)
         rows = pdf[list(feature_cols)].to_numpy(dtype=np.float64)
-        rng = np.random.default_rng([seed, tree_id])
-        f, t, l, r, d, n = _build_tree(rows, rng, max_depth)
-        return pd.DataFrame({"tree_id": tree_id, "node_id": np.arange(len(f), dtype=np.int32),
-                             "feature": np.asarray(f, np.int32), "threshold": np.asarray(t, np.float64),
-                             "left": np.asarray(l, np.int32), "right": np.asarray(r, np.int32),
-                             "depth": np.asarray(d, np.int32), "n": np.asarray(n, np.int32)})
+        node, f, t, d, n = map(np.array, zip(*_build_tree(rows, seed, tree_id, max_depth)))
+        inner = f >= 0
+        return pd.DataFrame({"tree_id": tree_id, "node_id": node.astype(np.int32),
+                             "feature": f.astype(np.int32), "threshold": t.astype(np.float64),
+                             "left": np.where(inner, 2 * node, -1).astype(np.int32), "right": np.where(inner, 2 * node + 1, -1).astype(np.int32),
+                             "depth": d.astype(np.int32), "n": n.astype(np.int32)})
     return build
 
 
@@ -134,7 +140,12 @@ class ForestModel:
         nd = self.nodes.sort_values(["tree_id", "node_id"])
         trees = []
         for _, g in nd.groupby("tree_id", sort=True):
-            trees.append(tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth", "n")))
+            at, columns = g["node_id"].to_numpy(), []
+            for c in ("feature", "threshold", "left", "right", "depth", "n"):
+                column = np.full(int(at.max()) + 1, -1, g[c].dtype)
+                column[at] = g[c]
+                columns.append(column)
+            trees.append(tuple(columns))
         return trees
 
 
@@ -154,7 +165,7 @@ def _score_batch(X: np.ndarray, trees, psi: int) -> np.ndarray:
     total = np.zeros(m)
     rows = np.arange(m)
     for feat, thr, left, right, depth, size in trees:
-        node = np.zeros(m, dtype=np.int64)
+        node = np.ones(m, dtype=np.int64)
         for _ in range(int(depth.max()) + 1):
             f = feat[node]
             inner = f >= 0
@@ -186,49 +197,33 @@ def score(df: DataFrame, model: ForestModel, feature_cols, out_col: str = "raw_s
 
 # ------------------------------------------------------------------ exact quantile
 
-def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 4096, max_collect: int = 20000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
     """Linear-interpolated quantile (numpy / DuckDB ``quantile_cont``), exact.
 
-    Each step is one aggregate over at most ``bins`` groups (map-side
-    combined); the range narrows to the histogram bucket holding the wanted
-    rank until at most ``max_collect`` values remain, which are then fetched.
-    Nothing unbounded reaches the driver or a single task.
+    Two passes whatever the size: a mergeable sketch (``percentile_approx``, rank error at
+    most n / accuracy) gives values on both sides of the wanted ranks; then the values
+    between them are counted, those below as one number. What is left to order is about
+    4 n / accuracy values. A sketch that misses the ranks would widen the bracket.
     """
-    v = F.col(col).cast("double")
-    base = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    n, lo, hi = base.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    pos = q * (n - 1)
-    k_lo, k_hi = int(math.floor(pos)), int(math.ceil(pos))
-    frac = pos - k_lo
-
-    def kth(k: int) -> float:
-        cond, below, a, b, cnt = F.lit(True), 0, lo, hi, n
-        while True:
-            if a == b:
-                return float(a)
-            if cnt <= max_collect:
-                vals = sorted(r[0] for r in base.where(cond).collect())
-                return float(vals[k - below])
-            width = (b - a) / bins
-            bkt = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            hist = (base.where(cond).groupBy(bkt.alias("b"))
-                    .agg(F.count("v").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .orderBy("b").collect())
-            acc = below
-            for r in hist:
-                if acc + r["c"] > k:
-                    cond = cond & (bkt == F.lit(r["b"]))
-                    below, a, b, cnt = acc, r["mn"], r["mx"], r["c"]
-                    break
-                acc += r["c"]
-            else:  # pragma: no cover
-                raise RuntimeError("rank outside histogram")
-
-    v_lo = kth(k_lo)
-    v_hi = v_lo if k_hi == k_lo else kth(k_hi)
-    return v_lo + (v_hi - v_lo) * frac
+    base = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    reach = 2.0 / accuracy
+    while True:
+        bounds = F.percentile_approx("v", [max(0.0, q - reach), min(1.0, q + reach)], accuracy)
+        n, found, lowest, highest = base.agg(F.count("v"), bounds, F.min("v"), F.max("v")).first()
+        if not n:
+            return None
+        pos = q * (n - 1)
+        k_lo, k_hi = int(math.floor(pos)), int(math.ceil(pos))
+        a, b = (lowest, highest) if reach >= 1 else found
+        # null stands for all values below the bracket, which sort first
+        cells = base.where(F.col("v") <= F.lit(b)).groupBy(F.when(F.col("v") >= F.lit(a), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        cells = cells.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first())))
+        below, upto, v_lo, v_hi = cells.agg(
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)), F.max("upto"),
+            *[F.min(F.when(F.col("upto") > F.lit(k), F.col("v"))) for k in (k_lo, k_hi)]).first()
+        if below <= k_lo and k_hi < upto:
+            return v_lo + (v_hi - v_lo) * (pos - k_lo)
+        reach *= 8
 
 
 # ------------------------------------------------------------------ scaler
@@ -243,6 +238,29 @@ def fit_scaler(X: DataFrame, cols) -> tuple[tuple, tuple]:
     return mean, std
 
 
+def moments(X: DataFrame, cols) -> DataFrame:
+    """(feature, n, mean, m2) of each feature: a state that merges with others."""
+    row = X.agg(*[F.struct(F.count(F.col(c)).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
+                           (F.var_pop(F.col(c).cast("double")) * F.count(F.col(c))).alias("m2")).alias(c) for c in cols])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.mean").alias("mean"),
+                                                   F.col(f"{c}.m2").alias("m2")) for c in cols])).alias("s")).select("s.*")
+
+
+def merged_moments(states: DataFrame) -> DataFrame:
+    """One state per feature from any number of them; empty ones say nothing."""
+    some = states.where("n > 0")
+    whole = some.groupBy("feature").agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"))
+    apart = F.col("mean") - F.col("all_mean")
+    return (some.join(whole, "feature").groupBy("feature", F.col("all_n").alias("n"), F.col("all_mean").alias("mean"))
+            .agg(F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2")))
+
+
+def scaler_of(state: DataFrame, cols) -> tuple[tuple, tuple]:
+    """(means, population stds) of a merged state: one row a feature."""
+    by = {r["feature"]: (float(r["mean"]), math.sqrt(max(0.0, r["m2"]) / r["n"])) for r in state.collect()}
+    return tuple(by.get(c, (0.0, 0.0))[0] for c in cols), tuple(by.get(c, (0.0, 0.0))[1] for c in cols)
+
+
 def scaler_table(spark: SparkSession, cols, mean, std) -> DataFrame:
     return spark.createDataFrame([(c, m, s) for c, m, s in zip(cols, mean, std)],
                                  "feature string, mean double, std double")

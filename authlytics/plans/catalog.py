@@ -363,27 +363,55 @@ def trained_model(spark: SparkSession, sf: str, p: Params = Params()):
     return _MODELS[key]
 
 
-@register("ml_forest_fit")
+#: The forest over the features of the checked queries, restated in SQL.
+_FOREST = "with " + OS.forest_sql(_FSQL, QP)
+
+
+@register("ml_forest_fit", f"""{_FOREST}
+select tree::int as tree_id, node::int as node_id, feature::int as feature, round(threshold, 6) as threshold, depth::int as depth, n::int as n from nodes""")
 def q_ml_forest_fit(spark, sf):
-    m = trained_model(spark, sf)
-    return spark.createDataFrame(m.nodes, FO.NODE_SCHEMA)
+    m = trained_model(spark, sf, QP)
+    return (spark.createDataFrame(m.nodes, FO.NODE_SCHEMA)
+            .select("tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "depth", "n"))
 
 
-@register("pipe_train")
+@register("pipe_train", f"""{_FOREST}
+select (select psi from rate)::int as psi, {QP.n_trees} as n_trees, round((select cut_at from cut), 6) as offset, (select count(*) from nodes)::bigint as n_nodes""")
 def q_pipe_train(spark, sf):
-    m = trained_model(spark, sf)
-    return spark.createDataFrame([(m.psi, m.n_trees, float(m.offset), len(m.nodes))],
+    m = trained_model(spark, sf, QP)
+    return spark.createDataFrame([(m.psi, m.n_trees, round(float(m.offset), 6), len(m.nodes))],
                                  "psi int, n_trees int, offset double, n_nodes long")
 
 
-@register("ml_score_samples", "select event_id, true as in_range from events")
+def scored_df(spark, sf):
+    return PL.score_features(features_df(spark, sf), trained_model(spark, sf, QP), QP)
+
+
+@register("ml_score_samples", f"{_FOREST} select event_id, round(raw, 6) as raw_score from scores")
 def q_ml_score_samples(spark, sf):
-    m = trained_model(spark, sf)
-    f = FE.extract_features(FX.auth_events(spark, sf), Params())
+    m = trained_model(spark, sf, QP)
     z = [c + "__z" for c in FO.FEATURES]
-    xs = FO.apply_scaler(f.select("event_id", *FO.FEATURES), FO.FEATURES, m.mean, m.std, suffix="__z")
-    scored = FO.score(xs.select("event_id", *z), m, z)
-    return scored.select("event_id", F.col("raw_score").between(-1.0, 0.0).alias("in_range"))
+    xs = FO.apply_scaler(features_df(spark, sf).select("event_id", *FO.FEATURES), FO.FEATURES, m.mean, m.std, suffix="__z")
+    return FO.score(xs.select("event_id", *z), m, z).select("event_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+_BASELINE_FEATURES = " union all ".join(
+    f"select '{n}' as feature, count(*)::bigint as n, round(avg({n}::double), 6) as mean, round(stddev_pop({n}::double), 6) as std from f" for n in K.FEATURE_NAMES)
+
+
+@register("pipe_train_jsonl", f"""{_FOREST}, t as ({_BASELINE_FEATURES})
+select t.*, (select count(*) from nodes)::bigint as n_nodes, round((select cut_at from cut), 6) as offset from t""")
+def q_pipe_train_jsonl(spark, sf):
+    """Training from three stored baselines (JSON lines) whose moments merge: the same scaler
+    and the same forest as from all rows at once."""
+    rows = features_df(spark, sf).select(F.col("event_id").cast("string").alias("event_id"), *K.FEATURE_NAMES)
+    root = scratch_path(spark, "baselines")
+    for k in range(3):
+        rows.where(F.pmod(F.col("event_id").cast("long"), F.lit(3)) == k).write.json(f"{root}/part{k}")
+    m, state = PL.train_from_baselines(spark, [f"{root}/part{k}" for k in range(3)], QP, enforce_guard=False)
+    std = F.round(F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / F.col("n")), 6)
+    return state.select("feature", "n", F.round("mean", 6).alias("mean"), std.alias("std"),
+                        F.lit(len(m.nodes)).cast("long").alias("n_nodes"), F.lit(round(float(m.offset), 6)).alias("offset"))
 
 
 def detections_df(spark, sf, p: Params = Params()):
@@ -429,22 +457,29 @@ def q_ml_train_guard(spark, sf):
     return spark.createDataFrame(out, "part string, n_rows long, status string, refused boolean")
 
 
-@register("ml_model_store")
+@register("ml_model_store", f"""{_FOREST}
+select tree::int as tree_id, node::int as node_id, feature::int as feature, round(threshold, 6) as threshold, depth::int as depth, n::int as n, round((select cut_at from cut), 6) as offset from nodes""")
 def q_ml_model_store(spark, sf):
-    m = trained_model(spark, sf)
+    """The model as it comes back from the store."""
+    m = trained_model(spark, sf, QP)
     path = scratch_path(spark, "model")
     PL.save_model(spark, m, path)
     back = PL.load_model(spark, path)
-    return spark.createDataFrame(back.nodes, FO.NODE_SCHEMA)
+    return (spark.createDataFrame(back.nodes, FO.NODE_SCHEMA)
+            .select("tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "depth", "n", F.lit(round(float(back.offset), 6)).alias("offset")))
+
 
+_INFER = f"""{_FOREST}, d as (select event_id, raw, raw < (select cut_at from cut) as is_anomaly from scores)
+select event_id, round(raw, 6) as raw_score, is_anomaly, {OS.risk_sql('-raw')} as risk_level from d"""
 
-@register("pipe_infer")
+
+@register("pipe_infer", _INFER)
 def q_pipe_infer(spark, sf):
-    m = trained_model(spark, sf)
+    m = trained_model(spark, sf, QP)
     path = scratch_path(spark, "model")
     PL.save_model(spark, m, path)
-    f = FE.extract_features(FX.auth_events(spark, sf), Params())
-    return PL.infer(spark, f, Params(), model_path=path).select("event_id", "raw_score", "is_anomaly", "risk_level")
+    return (PL.infer(spark, features_df(spark, sf), QP, model_path=path)
+            .select("event_id", F.round("raw_score", 6).alias("raw_score"), "is_anomaly", "risk_level"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -995,17 +1030,18 @@ def q_stream_cooldown(spark, sf):
     return spark.read.parquet(out).select("event_id", "seq", "action_type", "target", "allowed")
 
 
-@register("stream_score")
+@register("stream_score", _INFER)
 def q_stream_score(spark, sf):
-    """The forest applied to streaming features."""
+    """The forest applied to streaming features: the same scores as the batch."""
     apply_defaults(spark)
-    p = Params()
+    p = QP
     m = trained_model(spark, sf, p)
     schema, root, seconds = arrivals(spark, sf)
     out = scratch_path(spark, "score-out")
     _run_in_two(spark, lambda s: PL.score_features(streaming_features(s, p, lateness_seconds=seconds, in_order=True), m, p), out,
                 scratch_path(spark, "ck-score"), (f"{root}/seg=*",), schema)
-    return spark.read.parquet(out).where("event_id >= 0").select("event_id", "raw_score", "is_anomaly", "risk_level", "explanation")
+    return (spark.read.parquet(out).where("event_id >= 0")
+            .select("event_id", F.round("raw_score", 6).alias("raw_score"), "is_anomaly", "risk_level"))
 
 
 def _cycle_stream(spark, sf, trigger, n: int = 3):

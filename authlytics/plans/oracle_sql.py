@@ -267,3 +267,53 @@ outc as (select *,
 def incident_id_sql() -> str:
     return ("'INC-' || strftime(ts, '%Y%m%d') || '-' || "
             "lpad(cast(row_number() over (partition by cast(ts as date) order by ts, event_id) as varchar), 6, '0')")
+
+
+def forest_sql(fsql: str, p) -> str:
+    """CTEs that restate the forest over feature rows: ``z`` (scaled features), ``nodes``,
+    ``scores`` (event_id, raw) and ``cut`` (the contamination offset). Trees grow level by
+    level: each level's rows, their ranges by node, the drawn split, and the next level."""
+    names = list(K.FEATURE_NAMES)
+    k = len(names)
+
+    def draw(*parts: str) -> str:
+        return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::bigint / 4503599627370496.0::double)"
+
+    zs = ", ".join(f"({n}::double - avg({n}::double) over ()) / case when stddev_pop({n}::double) over () = 0 then 1.0 "
+                   f"else stddev_pop({n}::double) over () end as z{i}" for i, n in enumerate(names))
+    cols = ", ".join(f"z{i}" for i in range(k))
+    out = f"""f as materialized ({fsql}), z as materialized (select event_id, {zs} from f),
+size as (select count(*) as n_rows, least({p.max_samples}, count(*)) as psi, least(1.0::double, 1.5::double * least({p.max_samples}, count(*)) / count(*)) as per_tree from z),
+rate as materialized (select *, least(1.0::double, per_tree * {p.n_trees}) as q, greatest(1, ceil(log2(greatest(psi, 2))))::int as deep from size),
+near as (select z.*, r.* from z, rate r where r.q >= 1 or {draw(f"'{p.seed}'", 'event_id')} < r.q),
+drawn as (select t.tree, x.* from near x, range(0, {p.n_trees}) t(tree) where {draw(f"'{p.seed}'", 't.tree', 'event_id')} < per_tree / q),
+s0 as materialized (select tree, event_id, 1 as node, {cols} from drawn
+  qualify row_number() over (partition by tree order by {draw(f"'{p.seed + 1}'", 'tree', 'event_id')}, event_id) <= psi)"""
+    depth = max(1, (max(p.max_samples, 2) - 1).bit_length())
+    feature = "case i " + " ".join(f"when {i} then z{i}" for i in range(k)) + " end"
+    for d in range(depth + 1):
+        out += f""",
+b{d} as (select tree, node, i, min({feature}) as lo, max({feature}) as hi, count(*) as n from s{d}, range(0, {k}) r(i) group by tree, node, i),
+c{d} as (select tree, node, i, lo, hi from b{d}, rate where n > 1 and hi > lo and {d} < deep
+  qualify row_number() over (partition by tree, node order by {draw(f"'{p.seed}'", 'tree', 'node', 'i')}, i) = 1),
+n{d} as materialized (select g.tree, g.node, coalesce(c.i, -1) as feature,
+  coalesce(c.lo + {draw(f"'{p.seed}'", 'g.tree', 'g.node')} * (c.hi - c.lo), 0.0) as threshold, {d} as depth, g.n
+  from (select tree, node, max(n) as n from b{d} group by tree, node) g left join c{d} c using (tree, node)),
+s{d + 1} as materialized (select s.tree, s.event_id, 2 * s.node + case when case n.feature {" ".join(f"when {i} then z{i}" for i in range(k))} end <= n.threshold then 0 else 1 end as node, {cols}
+  from s{d} s join n{d} n using (tree, node) where n.feature >= 0)"""
+    out += ",\nnodes as materialized (" + " union all ".join(f"select * from n{d}" for d in range(depth + 1)) + ")"
+    out += f""",
+p0 as (select z.event_id, t.tree, 1 as node, 0 as steps, {cols} from z, range(0, {p.n_trees}) t(tree))"""
+    # every row falls through every tree; leaves stay where they are
+    for d in range(depth):
+        out += f""",
+p{d + 1} as (select p.event_id, p.tree, case when n.feature < 0 then p.node else 2 * p.node +
+  case when case n.feature {" ".join(f"when {i} then z{i}" for i in range(k))} end <= n.threshold then 0 else 1 end end as node, p.steps, {cols}
+  from p{d} p join nodes n on n.tree = p.tree and n.node = p.node)"""
+    path = "case when {0} > 2 then 2.0 * (ln({0} - 1.0) + 0.5772156649) - 2.0 * ({0} - 1.0) / {0} when {0} = 2 then 1.0 else 0.0 end"
+    out += f""",
+scores as materialized (select p.event_id, -pow(2.0, -(list_sum(list(n.depth + {path.format('n.n')} order by p.tree)) / {p.n_trees})
+    / (select {path.format('psi')} from rate)) as raw
+  from p{depth} p join nodes n on n.tree = p.tree and n.node = p.node group by p.event_id),
+cut as (select quantile_cont(raw, {p.contamination}) as cut_at from scores)"""
+    return out

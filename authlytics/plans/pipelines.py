@@ -17,6 +17,7 @@ from ..operators import report as RP
 from ..operators import response as RS
 from ..params import Params
 from ..session import cut_lineage
+from ..sources.text_logs import read_baseline_jsonl
 
 log = logging.getLogger(__name__)
 FEATURES = list(K.FEATURE_NAMES)
@@ -48,7 +49,26 @@ def train(spark: SparkSession, features: DataFrame, p: Params | None = None, enf
     X = cut_lineage(X)
     n = X.count()
     training_guard(n, p, enforce_guard)
-    mean, std = FO.fit_scaler(X, FEATURES)
+    return _fitted(spark, X, key, n, *FO.fit_scaler(X, FEATURES), p)
+
+
+def train_from_baselines(spark: SparkSession, paths: list[str], p: Params | None = None, enforce_guard: bool = True) -> tuple[FO.ForestModel, DataFrame]:
+    """(model, moments) from stored baselines of feature rows (JSON lines). Each baseline is
+    read once and summed up as moments, which merge into the scaler, whatever their number;
+    the rows then go to the forest."""
+    p = p or Params()
+    X, states = None, None
+    for path in paths:
+        rows = cut_lineage(read_baseline_jsonl(spark, path).na.drop(subset=FEATURES))
+        state = FO.moments(rows, FEATURES)
+        X, states = (rows, state) if X is None else (X.unionByName(rows), states.unionByName(state))
+    merged = cut_lineage(FO.merged_moments(states))
+    n = int((merged.agg(F.max("n")).first()[0]) or 0)
+    training_guard(n, p, enforce_guard)
+    return _fitted(spark, X, "event_id", n, *FO.scaler_of(merged, FEATURES), p), merged
+
+
+def _fitted(spark: SparkSession, X: DataFrame, key: str, n: int, mean: tuple, std: tuple, p: Params) -> FO.ForestModel:
     Xs = FO.apply_scaler(X, FEATURES, mean, std)
     model = FO.fit_forest(spark, Xs, key, FEATURES, n, p)
     model.mean, model.std = mean, std

@@ -34,5 +34,25 @@ def test_exact_quantile_matches_numpy(spark):
     v = np.concatenate([rng.normal(size=50000), np.full(5000, 0.25)])
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     for q in (0.1, 0.5, 0.9):
-        got = FO.exact_quantile(df, "v", q, bins=64, max_collect=1000)
-        assert abs(got - float(np.percentile(v, 100 * q))) < 1e-12
+        for accuracy in (64, 100_000):
+            got = FO.exact_quantile(df, "v", q, accuracy)
+            assert abs(got - float(np.percentile(v, 100 * q))) < 1e-12
+    assert FO.exact_quantile(df.limit(0), "v", 0.5) is None
+    assert FO.exact_quantile(df.limit(1), "v", 0.5) == float(v[0])
+
+
+def test_moments_merge(spark):
+    df = _data(spark, 1000)
+    parts = [df.where(f"id % 3 = {k}") for k in range(3)] + [df.limit(0)]
+    states = FO.moments(parts[0], ["a", "b", "c"])
+    for x in parts[1:]:
+        states = states.unionByName(FO.moments(x, ["a", "b", "c"]))
+    merged = FO.scaler_of(FO.merged_moments(states), ["a", "b", "c"])
+    assert np.allclose(merged, FO.fit_scaler(df, ["a", "b", "c"]), atol=1e-12)
+
+
+def test_forest_does_not_depend_on_order_or_partitions(spark):
+    df, p = _data(spark, 800), Params(n_trees=10)
+    one, other = (FO.fit_forest(spark, x, "id", ["a", "b", "c"], 800, p).nodes for x in (df.coalesce(1), df.repartition(7).orderBy(F.rand(4))))
+    key = ["tree_id", "node_id"]
+    assert one.sort_values(key).reset_index(drop=True).equals(other.sort_values(key).reset_index(drop=True))

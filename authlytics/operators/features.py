@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..params import Params
 from ..session import cut_lineage
+from . import blocks as BL
 
 FEATURE_COLUMNS = list(K.FEATURE_NAMES)
 
@@ -125,28 +126,80 @@ def _with_replicas(df: DataFrame, W: int, B: int) -> DataFrame:
 
 # ------------------------------------------------------------------ IP side
 
-def _pair_markers(base: DataFrame, seen_pairs: DataFrame | None = None) -> DataFrame:
-    """One marker row per (ip, user) pair in the bucket of its first sighting.
+def _first_sightings(base: DataFrame, seen_pairs: DataFrame | None = None) -> DataFrame:
+    """The first sighting (time and event) of each (ip, user) pair.
     A map-side-combined aggregate: a hot pair costs one partial row per task.
     ``seen_pairs`` (ip, user): pairs known from earlier micro-batches."""
     first = (base.where(F.col("ip").isNotNull() & F.col("user").isNotNull() & ~F.col("hist"))
              .groupBy("ip", "user").agg(F.min(F.struct("tus", "event_id")).alias("f")))
     if seen_pairs is not None:
         first = first.join(seen_pairs.select("ip", "user"), ["ip", "user"], "left_anti")
-    return first.select("ip", "user", F.col("f.tus").alias("_ftus"))
-
-
-def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) -> DataFrame:
+    return first.select("ip", "user", F.col("f.tus").alias("_ftus"), F.col("f.event_id").alias("_fid"))
+
+
+def _ip_deltas(x: DataFrame, W: int, B: int) -> DataFrame:
+    """Entry, exit and output rows of events that know their neighbours (``prev_*``, ``next_*``)."""
+    # entry (+1 at ts), exit (-1 at ts + w), output marker; island starts
+    # and ends of (ip, user) and (ip, method) give the distinct counts
+    start_u = f"(user is not null and (prev_u is null or tus - prev_u >= {W}))"
+    end_u = f"(user is not null and (next_u is null or next_u - tus >= {W}))"
+    start_m = f"(prev_m is null or tus - prev_m >= {W})"
+    end_m = f"(next_m is null or next_m - tus >= {W})"
+
+    def ev(time, kind, dn, df_, du, dm, nxt):
+        return (f"named_struct('time', {time}, 'kind', {kind}, 'dn', cast({dn} as bigint), "
+                f"'df', cast({df_} as bigint), 'du', cast({du} as bigint), 'dm', cast({dm} as bigint), "
+                f"'nxt', cast({nxt} as bigint))")
+    entry = ev("tus", 1, 1, "is_failed", f"cast({start_u} as int)", f"cast({start_m} as int)", "null")
+    exit_ = ev(f"tus + {W}", 0, -1, "-is_failed", f"-cast({end_u} as int)", f"-cast({end_m} as int)", "next_any")
+    mark = ev("tus", 2, 0, 0, 0, 0, "null")
+    arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
+    # the payload rides on the output row only
+    payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
+    y = (x.select("ip", "bkt", "event_id", "new_ip", "_p", F.explode(arr).alias("d"))
+          .select("ip", "bkt", "event_id", "new_ip", payload, "d.*")
+          # exits past the bucket end cannot reach any output row of this bucket
+          .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
+    return y
+
+
+def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """IP features for events that have an IP. Returns one row per event with
-    the passthrough struct ``_p`` unpacked."""
+    the passthrough struct ``_p`` unpacked. ``hot`` (ip, bkt, n_blk): buckets to be
+    worked on in blocks."""
     W, B = _micros(p)
     rows = prep.where(F.col("ip").isNotNull())
     passthrough = F.struct(*[c for c in prep.columns if c not in ("ip", "bkt", "tus", "event_id")])
     rows = rows.select("ip", "bkt", "tus", "event_id", "user", "auth_method", "is_failed", "hist",
                        passthrough.alias("_p"))
-    rows = _with_replicas(rows, W, B).withColumn("is_marker", F.lit(False))
-
-    markers = (_pair_markers(prep, seen_pairs)
+    rows = _with_replicas(rows, W, B)
+    firsts = _first_sightings(prep, seen_pairs)
+    if hot is not None:
+        return (_ip_side_rows(rows.join(hot, ["ip", "bkt"], "left_anti"), firsts, p)
+                .unionByName(_ip_side_hot(rows.join(hot, ["ip", "bkt"]), firsts, W, B)))
+    return _ip_side_rows(rows, firsts, p)
+
+
+def _ip_side_hot(rows: DataFrame, firsts: DataFrame, W: int, B: int) -> DataFrame:
+    """The same for hot buckets: neighbours and running totals over blocks."""
+    x = BL.in_blocks(rows, "tus", B).withColumns({"mkey": F.coalesce("auth_method", F.lit("\u0000")), "ukey": F.coalesce("user", F.lit("\u0000"))})
+    x = x.join(firsts.select(F.col("_fid").alias("event_id"), F.lit(True).alias("_first")), "event_id", "left")
+    x = BL.stored(x.withColumn("new_ip", F.col("emit") & F.coalesce("_first", F.lit(False))).drop("_first"))
+    for keys, before, after in ((["ip", "bkt", "ukey"], "prev_u", "next_u"), (["ip", "bkt", "mkey"], "prev_m", "next_m"), (["ip", "bkt"], "prev_any", "next_any")):
+        x = BL.stored(BL.neighbours(x, keys, before, after))
+    y = _ip_deltas(x, W, B).join(rows.select("ip", "bkt", "n_blk").distinct(), ["ip", "bkt"])
+    y = BL.running(BL.stored(BL.in_blocks(y, "time", B)), ["ip", "bkt"], ["time", "kind", "event_id"],
+                   sums={"n": F.col("dn"), "f": F.col("df"), "u": F.col("du"), "m": F.col("dm")},
+                   lasts={"left": F.col("nxt")}, least={"start": F.when(F.col("kind") == 1, F.col("time"))})
+    out = y.where(F.col("kind") == 2).select("ip", "event_id", F.col("time").alias("tus"), "kind", "new_ip", "_p", "n", "f", "u", "m",
+                                            F.coalesce("left", "start").alias("t_min"))
+    return _ip_output(out)
+
+
+def _ip_side_rows(rows: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
+    W, B = _micros(p)
+    rows = rows.withColumn("is_marker", F.lit(False))
+    markers = (firsts
                .select("ip", "user",
                        F.expr(f"(_ftus - pmod(_ftus, {B})) div {B}").alias("bkt"),
                        F.lit(True).alias("is_marker"), F.lit(False).alias("home")))
@@ -179,27 +232,7 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
         w_0 = Window.partitionBy("ip", "bkt").orderBy("tus", "event_id")
         x = x.withColumns({"prev_m": F.lag("tus").over(w_m), "next_m": F.lead("tus").over(w_m),
                            "next_any": F.lead("tus").over(w_0)})
-        # entry (+1 at ts), exit (-1 at ts + w), output marker; island starts
-        # and ends of (ip, user) and (ip, method) give the distinct counts
-        start_u = f"(user is not null and (prev_u is null or tus - prev_u >= {W}))"
-        end_u = f"(user is not null and (next_u is null or next_u - tus >= {W}))"
-        start_m = f"(prev_m is null or tus - prev_m >= {W})"
-        end_m = f"(next_m is null or next_m - tus >= {W})"
-
-        def ev(time, kind, dn, df_, du, dm, nxt):
-            return (f"named_struct('time', {time}, 'kind', {kind}, 'dn', cast({dn} as bigint), "
-                    f"'df', cast({df_} as bigint), 'du', cast({du} as bigint), 'dm', cast({dm} as bigint), "
-                    f"'nxt', cast({nxt} as bigint))")
-        entry = ev("tus", 1, 1, "is_failed", f"cast({start_u} as int)", f"cast({start_m} as int)", "null")
-        exit_ = ev(f"tus + {W}", 0, -1, "-is_failed", f"-cast({end_u} as int)", f"-cast({end_m} as int)", "next_any")
-        mark = ev("tus", 2, 0, 0, 0, 0, "null")
-        arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
-        # the payload rides on the output row only
-        payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
-        y = (x.select("ip", "bkt", "event_id", "new_ip", "_p", F.explode(arr).alias("d"))
-              .select("ip", "bkt", "event_id", "new_ip", payload, "d.*")
-              # exits past the bucket end cannot reach any output row of this bucket
-              .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
+        y = _ip_deltas(x, W, B)
         wr = (Window.partitionBy("ip", "bkt").orderBy("time", "kind", "event_id")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = (y.select(
@@ -210,6 +243,10 @@ def _ip_side(prep: DataFrame, p: Params, seen_pairs: DataFrame | None = None) ->
                        F.min(F.when(F.col("kind") == 1, F.col("time"))).over(wr)).alias("t_min"))
             .where(F.col("kind") == 2))
 
+    return _ip_output(out)
+
+
+def _ip_output(out: DataFrame) -> DataFrame:
     return out.select("event_id", "tus", "ip", "_p.*", *[c.alias(name) for name, c in ip_measures().items()],
                       F.col("new_ip").alias("user_new_ip_detected"))
 
@@ -267,18 +304,68 @@ def _user_prefix(prep: DataFrame, B: int, user_base: DataFrame | None = None) ->
     return out
 
 
-def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
-    """User features. Rows without a user are keyed by their own event id
-    (a singleton key each: spread evenly, never one giant null partition) and
-    get zero user features at the end."""
+def _user_rows(rows: DataFrame) -> DataFrame:
     rows = rows.drop("emit", "home")
-    W, B = _micros(p)
     rows = rows.withColumn("ukey", F.coalesce(F.col("user"), F.concat(F.lit("\u0001"), F.col("event_id").cast("string"))))
     keep = ["ukey", "user", "bkt", "tus", "event_id", "is_login", "login_h", "is_sudoish", "is_sudo_fail",
             "is_sudo_ok", "is_cmd", "is_acct", "hist"]
     passthrough = F.struct(*[c for c in rows.columns if c not in ("bkt", "tus", "event_id", "user", "ukey")])
     x = rows.select(*keep, passthrough.alias("_p"))
-    x = _with_replicas(x, W, B).repartition("ukey", "bkt")
+    return x
+
+
+def _user_deltas(x: DataFrame, carry: list[str], W: int, B: int) -> DataFrame:
+    """Entry, exit and output rows of a user's events; the payload is the last of ``carry``."""
+    def ev(time, kind, sub, dn, dfs, dac, dcmd, login_t):
+        return (f"named_struct('time', {time}, 'kind', {kind}, 'sub', cast({sub} as int), "
+                f"'dun', cast({dn} as bigint), 'dfs', cast({dfs} as bigint), 'dac', cast({dac} as bigint), "
+                f"'dcmd', cast({dcmd} as bigint), 'login_t', cast({login_t} as bigint))")
+    entry = ev("tus", 1, "is_login", 1, "is_sudo_fail", "is_acct", "is_cmd", "if(is_login, tus, null)")
+    exit_ = ev(f"tus + {W}", 0, 0, -1, "-is_sudo_fail", "-is_acct", 0, "null")
+    mark = ev("tus", 2, 0, 0, 0, 0, 0, "null")
+    arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
+    payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
+    y = (x.select("ukey", "user", "bkt", *carry, F.explode(arr).alias("d"))
+          .select("ukey", "user", "bkt", *carry[:-1], payload, "d.*")
+          .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
+    return y
+
+
+def _user_side_hot(x: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
+    """User features of hot buckets (with n_blk): running totals over blocks."""
+    W, B = _micros(p)
+    blocks = x.select("ukey", "bkt", "n_blk").distinct()
+    x = BL.stored(BL.in_blocks(x, "tus", B))
+    hl, keys = F.when(F.col("emit"), F.col("login_h")), ["ukey", "bkt"]
+    own = F.when(F.col("emit"), F.col("is_sudoish")).otherwise(0)
+    x = BL.running(x, keys, ["tus", "event_id"], sums={"sudo_upto": own, "ln": hl.isNotNull().cast("long"), "ls": F.coalesce(hl, F.lit(0)),
+                                                       "lss": F.coalesce(hl * hl, F.lit(0))})
+    x = x.withColumn("sudo_before", F.col("sudo_upto") - own).drop("sudo_upto", "blk", "n_blk")
+    y = _user_deltas(x, ["event_id", "emit", "is_sudo_ok", "sudo_before", "ln", "ls", "lss", "_p"], W, B).join(blocks, keys)
+    order = ["time", "kind", "sub", "event_id"]
+    y = BL.running(BL.stored(BL.in_blocks(y, "time", B)), keys, order, most={"last_login": F.col("login_t")},
+                   sums={"un": F.col("dun"), "fs": F.col("dfs"), "ac": F.col("dac"), "R": F.col("dcmd")})
+    y = BL.running(BL.stored(y), keys, order, lasts={"RL": F.when(F.col("login_t").isNotNull(), F.col("R"))})
+    return _user_output(y.where(F.col("kind") == 2).withColumnRenamed("time", "tus"), prefix, p)
+
+
+def _user_side(rows: DataFrame, prefix: DataFrame, p: Params, hot: DataFrame | None = None) -> DataFrame:
+    """User features. Rows without a user are keyed by their own event id
+    (a singleton key each: spread evenly, never one giant null partition) and
+    get zero user features at the end. ``hot`` (user, bkt, n_blk): buckets to be
+    worked on in blocks."""
+    W, B = _micros(p)
+    x = _with_replicas(_user_rows(rows), W, B)
+    if hot is not None:
+        hot = hot.withColumnRenamed("user", "ukey")
+        return (_user_side_rows(x.join(hot, ["ukey", "bkt"], "left_anti"), prefix, p)
+                .unionByName(_user_side_hot(x.join(hot, ["ukey", "bkt"]), prefix, p)))
+    return _user_side_rows(x, prefix, p)
+
+
+def _user_side_rows(x: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
+    W, B = _micros(p)
+    x = x.repartition("ukey", "bkt")
 
     w1 = Window.partitionBy("ukey", "bkt").orderBy("tus", "event_id")
     before = w1.rowsBetween(Window.unboundedPreceding, -1)
@@ -305,18 +392,7 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
             F.max(F.when(F.col("is_login"), F.col("R"))).over(wf).alias("RL"))
             .where("emit"))
     else:
-        def ev(time, kind, sub, dn, dfs, dac, dcmd, login_t):
-            return (f"named_struct('time', {time}, 'kind', {kind}, 'sub', cast({sub} as int), "
-                    f"'dun', cast({dn} as bigint), 'dfs', cast({dfs} as bigint), 'dac', cast({dac} as bigint), "
-                    f"'dcmd', cast({dcmd} as bigint), 'login_t', cast({login_t} as bigint))")
-        entry = ev("tus", 1, "is_login", 1, "is_sudo_fail", "is_acct", "is_cmd", "if(is_login, tus, null)")
-        exit_ = ev(f"tus + {W}", 0, 0, -1, "-is_sudo_fail", "-is_acct", 0, "null")
-        mark = ev("tus", 2, 0, 0, 0, 0, 0, "null")
-        arr = F.expr(f"if(emit, array({entry}, {exit_}, {mark}), array({entry}, {exit_}))")
-        payload = F.when(F.col("d.kind") == 2, F.col("_p")).alias("_p")
-        y = (x.select("ukey", "user", "bkt", *carry, F.explode(arr).alias("d"))
-              .select("ukey", "user", "bkt", *carry[:-1], payload, "d.*")
-              .where(F.col("time") < (F.col("bkt") + 1) * F.lit(B)))
+        y = _user_deltas(x, carry, W, B)
         # commands sort before a login at the same instant: R at a login row
         # counts every command up to and including that instant
         wr = (Window.partitionBy("ukey", "bkt").orderBy("time", "kind", "sub", "event_id")
@@ -327,6 +403,10 @@ def _user_side(rows: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
         y = y.withColumn("RL", F.last(F.when(F.col("login_t").isNotNull(), F.col("R")), ignorenulls=True).over(wr))
         out = y.where(F.col("kind") == 2).withColumnRenamed("time", "tus")
 
+    return _user_output(out, prefix, p)
+
+
+def _user_output(out: DataFrame, prefix: DataFrame, p: Params) -> DataFrame:
     out = out.join(prefix, ["user", "bkt"], "left")
     total = {c: F.coalesce(F.col("base_" + c), F.lit(0)) + F.col(own)
              for c, own in (("sudo", "sudo_before"), ("ln", "ln"), ("ls", "ls"), ("lss", "lss"))}
@@ -397,7 +477,12 @@ def extract_features(events: DataFrame, p: Params | None = None,
     p = p or Params()
     W, B = _micros(p)
     prep = prepare(events.where(F.col("event_time").isNotNull()), p, carry)
-    ip_part = _ip_side(prep, p, seen_pairs)
+    hot_ips = hot_users = None
+    if p.hot_rows is not None:
+        prep = cut_lineage(prep)           # counted first, then read by both sides
+        hot_ips, hot_users = (cut_lineage(BL.hot_buckets(prep, key, p.hot_rows)) for key in ("ip", "user"))
+        hot_ips, hot_users = (None if x.isEmpty() else x for x in (hot_ips, hot_users))
+    ip_part = _ip_side(prep, p, seen_pairs, hot_ips)
     ip_cols = [c for c in ip_part.columns]
     with_ip = ip_part.unionByName(_no_ip_rows(prep.where(~F.col("hist"))).select(*ip_cols))
     # re-derive the user bucket and the user key for the second side
@@ -407,7 +492,7 @@ def extract_features(events: DataFrame, p: Params | None = None,
     hist_rows = prep.where(F.col("hist") & F.col("user").isNotNull()).select(*[
         F.col(c) if c in prep.columns else F.lit(None).cast(ip_part.schema[c].dataType).alias(c)
         for c in ip_cols]).withColumn("bkt", F.expr(f"(tus - pmod(tus, {B})) div {B}"))
-    allrows = _user_side(with_ip.unionByName(hist_rows), prefix, p)
+    allrows = _user_side(with_ip.unionByName(hist_rows), prefix, p, hot_users)
     if asn_prefixes is not None and not p.compat:
         allrows = allrows.join(new_asn_flags(prep, asn_prefixes, seen_asn), "event_id", "left")
     return assembled(allrows, p, carry)

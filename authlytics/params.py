@@ -15,6 +15,9 @@ class Params:
     # "delta": running sums of +1/-1 events (linear in rows, skew-safe);
     # "frame": RANGE window frames (simple; cost grows with rows per window)
     window_method: str = "delta"
+    # with a number: events are stored and counted first, and an IP or user with more rows in
+    # a bucket is worked on in blocks of about that many (needs window_method "delta")
+    hot_rows: int | None = None
     # reproduce accidental reference behaviour (new-IP, first-sudo, LOLBin test,
     # declared-but-never-filled slots) instead of the intended semantics
     compat: bool = False
@@ -57,9 +60,11 @@ class Params:
             raise ValueError("bucket_seconds must be >= window_seconds")
         if self.window_method not in ("delta", "frame"):
             raise ValueError("window_method must be 'delta' or 'frame'")
+        if self.hot_rows is not None and (self.hot_rows < 1 or self.window_method != "delta"):
+            raise ValueError("hot_rows needs window_method 'delta' and a positive number")
 
-    def __hash__(self):  # dict field: hash on the scalar identity
-        return id(self)
+    def __hash__(self):  # equal parameters have equal hashes: the dict by its sorted items
+        return hash(tuple(tuple(sorted(v.items())) if isinstance(v, dict) else v for v in vars(self).values()))
 
 
 DEFAULT = Params()

@@ -189,6 +189,13 @@ from ..session import apply_defaults  # noqa: E402
 _FSQL = OS.features_sql()
 
 
+@register("feat_extract_all_hot", f"select event_id, {', '.join(K.FEATURE_NAMES)} from ({_FSQL}) f")
+def q_feat_extract_all_hot(spark, sf):
+    """All features with every bucket of more than ten rows worked on in blocks."""
+    p = QP.with_(hot_rows=10)
+    return _feature_select(FE.extract_features(FX.auth_events(spark, sf), p), list(K.FEATURE_NAMES))
+
+
 @register("feat_window_history", f"select event_id, ip_window_events, user_window_events from ({_FSQL}) f")
 def q_feat_window_history(spark, sf):
     return features_df(spark, sf).select("event_id", "ip_window_events", "user_window_events")

@@ -21,6 +21,8 @@ from ..sources.text_logs import read_baseline_jsonl
 
 log = logging.getLogger(__name__)
 FEATURES = list(K.FEATURE_NAMES)
+#: Rows of an IP or user in one time bucket that the cycle leaves to one task.
+HOT_ROWS = 200_000
 
 
 class TrainingDataError(ValueError):
@@ -136,6 +138,8 @@ def cycle(spark: SparkSession, events: DataFrame, model: FO.ForestModel, p: Para
     """ingest -> features -> score -> filter -> decide/cooldown -> report/alert/audit.
     The anomaly rows are checkpointed once; every output is a lazy plan over them."""
     p = p or Params()
+    if p.hot_rows is None and p.window_method == "delta":
+        p = p.with_(hot_rows=HOT_ROWS)     # typed events are stored once, not parsed for each side
     feats = FE.extract_features(events, p)
     det = score_features(feats, model, p)
     # the anomaly rows feed two branches (actions, incidents): cut the lineage

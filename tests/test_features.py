@@ -132,3 +132,22 @@ def test_ranges_become_blocks(spark):
     for i, (lo, hi) in enumerate(ranges):
         blocks = sorted(by[i])
         assert blocks[0][0] == lo and blocks[-1][1] == hi + 1 and all(a[1] == b[0] for a, b in zip(blocks, blocks[1:]))
+
+
+def test_hot_keys_in_blocks(spark):
+    """One address and two users have nearly all rows; blocks of a few rows give the same."""
+    import random
+    r = random.Random(9)
+    kinds = ["login_failed", "login_success", "sudo_success", "sudo_failure", "process_execution"]
+    t0 = dt.datetime(2024, 1, 15, 12)
+    rows = [(i, t0 + dt.timedelta(seconds=r.choice([i // 3, i, 7 * i]) % 5000), r.choice(["9.9.9.9"] * 8 + [None, "1.1.1.1"]), r.choice(["root"] * 6 + ["eve"] * 3 + [None]),
+             r.choice(["password", "publickey", None]), r.choice(kinds), r.choice(["COMMAND=/bin/bash", "useradd x", "line"])) for i in range(1500)]
+    ev = spark.createDataFrame(rows, "event_id long, event_time timestamp, source_ip string, username string, auth_method string, event_type string, message string")
+    p = Params()
+    want = FE.extract_features(ev, p)
+    for hot in (40, 400, 10 ** 6):
+        got = FE.extract_features(ev, p.with_(hot_rows=hot)).select(want.columns)
+        assert want.exceptAll(got).count() == 0 and got.count() == 1500
+    prep = FE.prepare(ev, p)
+    assert FE.BL.hot_buckets(prep, "ip", 40).count() >= 1
+    assert hash(p) == hash(Params()) and p == Params() and len({p, Params(), p.with_(hot_rows=4)}) == 2

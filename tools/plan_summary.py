@@ -18,7 +18,7 @@ from authlytics.session import get_spark  # noqa: E402
 from authlytics.sources import fixtures as FX  # noqa: E402
 
 KEEP = ("Exchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "Window",
-        "MapInPandas", "FlatMapGroupsInPandas", "Generate", "HashAggregate", "TakeOrderedAndProject",
+        "MapInPandas", "ArrowEvalPython", "FlatMapGroupsInPandas", "Generate", "HashAggregate", "TakeOrderedAndProject",
         "BroadcastNestedLoopJoin", "CartesianProduct")
 
 
@@ -44,6 +44,8 @@ def main():
     items = {
         "features (5 min, delta)": FE.extract_features(FX.auth_events(spark, sf), p),
         "features (5 min, frame)": FE.extract_features(FX.auth_events(spark, sf), p.with_(window_method="frame")),
+        "features (5 min, hot buckets in blocks of 100)": FE.extract_features(FX.auth_events(spark, sf), p.with_(hot_rows=100, bucket_seconds=7 * 86400)),
+        "new ASN (both families)": C.QUERIES["feat_user_new_asn_nested"](spark, sf),
         "parse all sources": C.parsed_df(spark, sf),
         "score + detect": PL.score_features(FE.extract_features(FX.auth_events(spark, sf), p), model, p),
         "cooldown": C.QUERIES["resp_cooldown"](spark, sf),

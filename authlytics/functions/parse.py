@@ -1,7 +1,7 @@
 """Log line -> authentication event, as column expressions (no UDF).
 
 The reference tries its patterns in a fixed order and keeps the first hit; that
-precedence is one CASE. Each regex is guarded by a literal it needs, so most lines
+precedence is one coalesce. Each regex is guarded by a literal it needs, so most lines
 are classified without running a regex at all. Java regex semantics apply
 (``\\w`` and ``\\d`` are ASCII; immaterial for syslog text).
 
@@ -20,7 +20,7 @@ from . import constants as K
 AUTH_SOURCES = ("auth_log", "syslog")
 AUDIT_SOURCE = "audit_log"
 
-# kind codes of the CASE
+# kind codes
 _FAILED, _SUCCESS, _INVALID, _SUDO_OK, _SUDO_FAIL, _UNKNOWN, _EXEC = 1, 2, 3, 4, 5, 6, 7
 
 # Java's "." excludes \r and other line separators; (?d) makes \n the only
@@ -38,29 +38,31 @@ _PATTERNS = (
 )
 
 
-def _groups(v: Column, pattern: str, kind: int, n: int) -> Column:
-    """'<kind>|g1|g2|..' from one anchored replace: the lazy prefix finds the
-    leftmost match, exactly like a search, and all groups come out of a single
-    regex run instead of one run per group."""
-    rep = _SEP.join(f"${i}" for i in range(1, n + 1))
-    return F.concat(F.lit(f"{kind}{_SEP}"), F.regexp_replace(v, f"{_UNIX}^.*?{pattern}.*$", rep))
+def _replaced(v: Column, pattern: str, kind: int, n: int) -> Column:
+    """'<kind>|g1|g2|..' from one anchored replace, or the line itself if nothing matches: the
+    lazy prefix finds the leftmost match, exactly like a search, and the test and all
+    groups come out of a single regex run."""
+    rep = _SEP.join([str(kind), *(f"${i}" for i in range(1, n + 1))])
+    return F.regexp_replace(v, f"{_UNIX}^.*?{pattern}.*$", rep)
 
 
-def match_expr(v: Column, source: Column) -> Column:
-    """Winning pattern and its groups as one string, null when the line yields
-    no event. Patterns are tried in the reference's order; a "Disconnected"
+def with_match(lines: DataFrame, value: Column, source: Column) -> DataFrame:
+    """``lines`` with the winning pattern and its groups as one string ``_m``, null when
+    the line yields no event. Patterns are tried in the reference's order; a "Disconnected"
     line matches its own pattern but yields no event there, so it falls
-    through to the sudo tests and then to unknown."""
-    blank = v.rlike(r"^\s*$")
+    through to the sudo tests and then to unknown. The cleaned line and the outcome of each
+    pattern are columns of their own, read by the next projection more than once, so
+    each is worked out once."""
+    audit = source == F.lit(AUDIT_SOURCE)
     # the separator of the groups can't come from the line itself
-    v = F.translate(v, _SEP, "")
-    auth = F.when(blank, F.lit(None))
-    for pattern, kind, n, literal in _PATTERNS:
-        auth = auth.when((F.instr(v, literal) > 0) & v.rlike(_UNIX + pattern), _groups(v, pattern, kind, n))
-    auth = auth.otherwise(F.lit(str(_UNKNOWN)))
-    audit = (F.when(blank | (F.instr(v, "type=") == 0), F.lit(None))
-             .when(v.rlike(_UNIX + K.RE_AUDIT_EXECVE), _groups(v, K.RE_AUDIT_EXECVE, _EXEC, 1)))
-    return F.when(source == F.lit(AUDIT_SOURCE), audit).otherwise(auth)
+    x = lines.withColumn("_v", F.translate(value, _SEP, ""))
+    v = F.col("_v")
+    tried = {f"_r{kind}": F.when(~audit & (F.instr(v, literal) > 0), _replaced(v, pattern, kind, n)) for pattern, kind, n, literal in _PATTERNS}
+    tried["_rx"] = F.when(audit & (F.instr(v, "type=") > 0), _replaced(v, K.RE_AUDIT_EXECVE, _EXEC, 1))
+    x = x.withColumns(tried)
+    hits = F.coalesce(*[F.when(F.col(c) != v, F.col(c)) for c in tried if c != "_rx"], F.lit(str(_UNKNOWN)))
+    found = F.when(v.rlike(r"^\s*$"), F.lit(None)).when(audit, F.when(F.col("_rx") != v, F.col("_rx"))).otherwise(hits)
+    return x.withColumn("_m", found).drop("_v", *tried)
 
 
 def syslog_time(stamp: Column, year: int | None, ingest: Column | None = None) -> Column:
@@ -97,8 +99,8 @@ def parse_lines(lines: DataFrame, year: int | None = 2024, value_col: str = "val
     passthrough = [c for c in lines.columns if c not in (value_col, ingest_col)]
     ingest = (F.col(ingest_col) if ingest_col and ingest_col in lines.columns
               else F.current_timestamp())
-    m = (lines.withColumn("_g", F.explode(F.array(F.split(match_expr(v, F.col(source_col)), _SEP))))
-              .where(F.col("_g").isNotNull()))
+    m = (with_match(lines, v, F.col(source_col)).withColumn("_g", F.explode(F.array(F.split("_m", _SEP))))
+         .where(F.col("_g").isNotNull()))
     g = F.col("_g")
     kind = g[0].cast("int")
     ssh = kind.isin(_FAILED, _SUCCESS, _INVALID)

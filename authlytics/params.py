@@ -21,8 +21,8 @@ class Params:
     # reproduce accidental reference behaviour (new-IP, first-sudo, LOLBin test,
     # declared-but-never-filled slots) instead of the intended semantics
     compat: bool = False
-    # year for the yearless syslog stamp
-    log_year: int = 2024
+    # year for the yearless syslog stamp; None: the latest that doesn't lie after the ingest
+    log_year: int | None = None
     # rule thresholds (the reference hard-codes these literals)
     failed_login_threshold: int = 5
     unique_users_threshold: int = 5

@@ -390,10 +390,6 @@ def q_pipe_train(spark, sf):
                                  "psi int, n_trees int, offset double, n_nodes long")
 
 
-def scored_df(spark, sf):
-    return PL.score_features(features_df(spark, sf), trained_model(spark, sf, QP), QP)
-
-
 @register("ml_score_samples", f"{_FOREST} select event_id, round(raw, 6) as raw_score from scores")
 def q_ml_score_samples(spark, sf):
     m = trained_model(spark, sf, QP)
@@ -427,13 +423,15 @@ def detections_df(spark, sf, p: Params = Params()):
 
 
 _DETECT_SQL = f"""select event_id, event_type, raw_score, anomaly_score, is_anomaly, {OS.risk_sql('anomaly_score')} as risk_level,
-  least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation from ({_SCORED}) s"""
+  least(anomaly_score * 1.5, 1.0) as confidence, {OS.explanation_sql()} as explanation,
+  array_to_string(list_transform({OS.contributions_list_sql()}, lambda x: x.name || '=' || round(x.value, 6)::decimal(12, 6)::varchar), ',') as contributing_features from ({_SCORED}) s"""
 
 
 @register("ml_detect", _DETECT_SQL)
 def q_ml_detect(spark, sf):
+    named = F.transform("contributing_features", lambda x: F.concat(x["name"], F.lit("="), F.round(x["value"], 6).cast("decimal(12,6)").cast("string")))
     return scored_df(spark, sf).select("event_id", "event_type", "raw_score", "anomaly_score", "is_anomaly", "risk_level",
-                                       "confidence", "explanation")
+                                       "confidence", "explanation", F.array_join(named, ",").alias("contributing_features"))
 
 
 @register("ml_filter_anomalies", f"select event_id, event_type, anomaly_score, risk_level from ({_DETECT_SQL}) d where is_anomaly")
@@ -493,7 +491,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The batch detection cycle, from log lines in text files to incidents with
     ATT&CK, actions and explanation."""
     apply_defaults(spark)
-    p = Params()
+    p = Params(log_year=2024)
     m = trained_model(spark, sf, p)
     lines = FX.log_lines(spark, sf)
     paths = FX.write_sources(spark, lines, scratch_path(spark, "logs-cycle"))
@@ -1055,7 +1053,7 @@ def _cycle_stream(spark, sf, trigger, n: int = 3):
     """Incidents of the streaming cycle over logs that grow in phases: one run a phase, or
     one that goes on."""
     apply_defaults(spark)
-    p = Params()
+    p = Params(log_year=2024)
     m = trained_model(spark, sf, p)
     phases = log_phases(spark, sf, n)
     folder, out = scratch_path(spark, "cycle-logs"), scratch_path(spark, "cycle-out")

@@ -123,7 +123,7 @@ def test_cooldown_in_stored_runs_and_expiry(spark, tmp_path, monkeypatch):
 def cycle(spark, tmp_path_factory):
     """A model, log phases, and the batch cycle over all of them."""
     sf = "/root/testdata/sf0.001"
-    p = Params(enable_actions=True, contamination=0.3)
+    p = Params(enable_actions=True, contamination=0.3, log_year=2024)
     m = PL.train(spark, FE.extract_features(FX.auth_events(spark, sf), p), p, enforce_guard=False)
     folder = str(tmp_path_factory.mktemp("logs"))
     return p, m, C.log_phases(spark, sf, 3), folder

@@ -3,8 +3,9 @@
 A directory is indexed by the leading bits of a row's hash. A shard over the byte limit
 splits on the next bit, and only that shard, until every shard fits or holds one row. A
 round settles several bits at once: rows are summed per cell (the shards' next bits, a few
-times as many cells as shards, combined on the map side), the cells' sums give the sum of
-every prefix, and a cell's shard is its shortest prefix that fits. Cells with no such
+times as many cells as shards, combined on the map side), the cells' sums add up to those of
+every prefix (again combined first, so the short prefixes are no hot keys), and a shard is a
+prefix that fits below one that doesn't. Cells with no such
 prefix go to the next round with the rows in them.
 
 The bits are 60 of the id's hash, then 60 of a number of the row itself, so rows that
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -55,15 +56,21 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id: str = "doc_id", tex
         final = at + n >= 2 * HASH_BITS
         rows = rows.withColumn("cell", F.expr(_bits(at, n)))
         cells = rows.groupBy("parent", "cell").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("c"))
-        prefixes = cells.select("*", F.explode(F.sequence(F.lit(0 if at == 0 else 1), F.lit(n))).alias("d")).withColumn(
-            "prefix", F.expr(f"shiftright(cell, {n} - d)"))
-        w = Window.partitionBy("parent", "d", "prefix")     # at most 2^bits cells
-        sums = prefixes.withColumn("pb", F.sum("b").over(w)).withColumn("pc", F.sum("c").over(w))
+        first = 0 if at == 0 else 1
+        prefixes = cells.select("parent", "b", "c", "cell", F.explode(F.sequence(F.lit(first), F.lit(n))).alias("d"))
+        sums = stored(prefixes.groupBy("parent", "d", F.expr(f"shiftright(cell, {n} - d)").alias("prefix"))
+                      .agg(F.sum("b").alias("pb"), F.sum("c").alias("pc")), f"shard-prefixes-{at}", small=True)
         fits = (F.col("pb") <= limit_bytes) | (F.col("pc") == 1) | (F.lit(final) & (F.col("d") == n))
-        best = sums.groupBy("parent", "cell").agg(F.min(F.when(fits, F.struct("d", "prefix", "pb", "pc"))).alias("s"), F.max("b").alias("b"))
-        bits = F.when(F.col("s.d") > 0, F.lpad(F.conv(F.col("s.prefix").cast("string"), 10, 2), F.col("s.d"), "0")).otherwise("")
-        whole = F.lpad(F.conv(F.col("cell").cast("string"), 10, 2), n, "0")
-        directory = stored(best.select("parent", "cell", "s", F.concat("parent", F.when(F.col("s").isNull(), whole).otherwise(bits)).alias("shard"), "b"), f"shard-directory-{at}")
+        # a shard is a prefix that fits below one that doesn't
+        over = sums.where(~fits).select("parent", (F.col("d") + 1).alias("d"), F.col("prefix").alias("above"))
+        small = sums.where(fits).withColumn("above", F.shiftright("prefix", 1))
+        shards = small.where(F.col("d") == first).unionByName(small.where(F.col("d") > first).join(over, ["parent", "d", "above"], "left_semi"))
+        bits = F.when(F.col("d") > 0, F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("d"), "0")).otherwise("")
+        within = F.expr(f"sequence(shiftleft(prefix, {n} - d), shiftleft(prefix + 1, {n} - d) - 1)")
+        found = shards.select("parent", F.explode(within).alias("cell"), F.struct("d", "prefix", "pb", "pc").alias("s"), F.concat("parent", bits).alias("shard"))
+        rest = sums.where(~fits & (F.col("d") == n)).select("parent", F.col("prefix").alias("cell"), F.lit(None).cast(found.schema["s"].dataType).alias("s"),
+                                                            F.concat("parent", bits).alias("shard"), F.col("pb").alias("b"))
+        directory = stored(found.unionByName(rest, allowMissingColumns=True), f"shard-directory-{at}", small=True)
         dealt = rows.join(directory.drop("b"), ["parent", "cell"])
         settled = dealt.where("s is not null").select("id", "bytes", "shard", F.length("shard").alias("depth"),
                                                       F.col("s.pb").alias("shard_bytes"), F.col("s.pc").alias("shard_docs"))

@@ -15,8 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings a plan in this package relies on. They are applied with setIfMissing
-# semantics so a cluster profile always wins.
+# Settings a plan in this package relies on. ``get_spark`` gives them to a session it
+# builds; ``apply_defaults`` only fills in what a given session leaves unset (and pins
+# the time zone).
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

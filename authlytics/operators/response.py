@@ -192,8 +192,8 @@ def apply_cooldown(actions: DataFrame, p: Params | None = None, bucket_seconds:
     p = p or Params()
     max_cd = max([p.default_cooldown] + list(p.cooldowns.values()))
     B = int(round((bucket_seconds or max(3600.0, float(max_cd))) * 1e6))
-    # rows get numbers that stay: the upstream plan runs once
-    x = cut_lineage(cut_lineage(actions).withColumn("_row", F.monotonically_increasing_id()))
+    # rows get numbers, which the checkpoint keeps with them
+    x = cut_lineage(actions.withColumn("_row", F.monotonically_increasing_id()))
     live = (x.where(executes(F.col("action_type"), p))
             .select(F.concat_ws(":", F.col("action_type"), F.col("target")).alias("_k"),
                     F.unix_micros(F.col("event_time").cast("timestamp")).alias("_t"),

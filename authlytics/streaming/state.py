@@ -14,15 +14,21 @@ into features.
 * The watermark follows stamps read from lines. Rows stamped at ingest have none and never
   move it; rows without an address (or user) have nothing to share and are spread over
   ``SPREAD`` keys without state.
+* Between Spark and a processor a row is two texts: what the processor computes with (``row``,
+  the JSON of its fields) and everything else, which passes through unread (``rest``); the
+  measures come back as one JSON list. A value a column, or a state row a value, costs the
+  Python worker a multiple of the work itself.
 * ``in_order=True`` holds rows back until the watermark has passed them and then takes them
   in event-time order, so rows may arrive in any order within ``lateness_seconds`` and
   the result equals the batch; the last rows leave when a later stamp moves the watermark.
+  Held rows lie in texts of ``CHUNK`` rows and are read when the first of them is due.
   ``in_order=False`` answers at once: a row sees all that has arrived before it.
 * Rows behind the watermark are dropped and counted by Spark (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 from bisect import bisect_right
 from collections import Counter
@@ -40,43 +46,50 @@ from ..params import Params
 SLICES = 8
 SLAB = 256
 SPREAD = 64
+CHUNK = 1024
 NO_KEY = "\u0001"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_IP_OUT = "n long, f long, u long, m long, t_min long"
-_USER_OUT = ("un long, fs long, ac long, last_login long, R long, RL long, "
-             "all_sudo long, all_ln long, all_ls long, all_lss long, user_new_ip_detected boolean, _new_asn boolean")
+_EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+_STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_OUT = "wm_time timestamp, rest string, measures string"
 
 
 class WindowProcessor(StatefulProcessor):
-    """What both sides share: rows held back, trailing rows, timers."""
-
-    #: Fields of the input row that the window keeps; the first two are time and id.
-    keep: tuple[str, ...] = ()
+    """What both sides share: rows held back, trailing rows, timers. A row is (stamped, fields,
+    rest): whether it has a stamp, the values of ``fields``, the text that passes through."""
+
+    #: Fields of the input row; the first two are time and id.
+    fields: tuple[str, ...] = ()
+    #: How many of them, from the first, the window keeps.
+    kept: int = 0
+    #: The measures that come back, and those of a row without a key.
+    out: tuple[str, ...] = ()
+    nothing: tuple = ()
     #: What the value holds beside the trailing rows, if this side keeps anything for ever.
     more: str = ""
     empty: tuple = ()
 
-    def __init__(self, fields: list[str], more: list[str], window_us: int, in_order: bool):
-        self.at = {c: k for k, c in enumerate(fields)}
-        self.out = Row(*fields, *more)
+    def __init__(self, window_us: int, in_order: bool):
+        self.row = Row("wm_time", "rest", "measures")
         self.window, self.in_order = window_us, in_order
         self.slice = max(1, window_us // SLICES)
-        self.schema: T.StructType | None = None
 
     def init(self, handle) -> None:
         self.handle = handle
         self.own = handle.getValueState("own", "trail string, sliced boolean, timer long" + self.more)
         self.slices = handle.getMapState("slices", "slice long, first long", "trail string")
         if self.in_order:
-            self.held = handle.getListState("held", self.schema)
+            self.held = handle.getListState("held", "rows string")
+            self.first = handle.getValueState("first", "t long")
         self.start(handle)
 
     def start(self, handle) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows, now = list(rows), timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [(r[1] is not None, [*json.loads(r[2]).values()], r[3]) for r in rows]
         if self.in_order:
             rows = self._due(rows, now)
         if rows:
@@ -89,28 +102,34 @@ class WindowProcessor(StatefulProcessor):
 
     def _due(self, new: list, now: int) -> list:
         """The rows that the watermark has passed; the others are held."""
-        time, stamp = self.at["tus"], self.at["wm_time"]
-        old = list(self.held.get()) if self.held.exists() else []
+        first = self.first.get()[0] if self.first.exists() else None
+        reached = first is not None and first // 1000 <= now
+        if reached:
+            new = [r for (text,) in self.held.get() for r in json.loads(text)] + new
+            self.held.clear()
         due, wait = [], []
-        for r in old + new:
-            (due if r[stamp] is None or r[time] // 1000 <= now else wait).append(r)
-        if due or not old:
-            if wait:
-                self.held.put([tuple(r) for r in wait])
-            elif old:
-                self.held.clear()
-        elif new:
-            self.held.appendList([tuple(r) for r in new])
+        for r in new:
+            (due if not r[0] or r[1][0] // 1000 <= now else wait).append(r)
         if wait:
-            self.handle.registerTimer(min(r[time] for r in wait) // 1000 + 1)
+            self.held.appendList([(json.dumps(wait[k:k + CHUNK]),) for k in range(0, len(wait), CHUNK)])
+            least = min(r[1][0] for r in wait)
+            if first is None or reached or least < first:
+                self.first.update((least,))
+                self.handle.registerTimer(least // 1000 + 1)
+        elif reached:
+            self.first.clear()
         return due
 
+    def _answer(self, row: tuple, *measures) -> Row:
+        stamped, fields, rest = row
+        return self.row(_EPOCH + datetime.timedelta(microseconds=fields[0]) if stamped else None, rest, json.dumps(measures))
+
     def _take(self, key: str, rows: list, now: int, fired: bool = False) -> Iterator[Row]:
         if key.startswith(NO_KEY):
             for r in rows:
-                yield self.out(*r, *self.nothing)
+                yield self._answer(r, *self.nothing)
             return
-        rows.sort(key=lambda r: (r[self.at["tus"]], r[self.at["event_id"]]))
+        rows.sort(key=lambda r: r[1][:2])
         trail, sliced, timer, *more = self.own.get() if self.own.exists() else ("[]", False, None, *self.empty)
         gone = now * 1000 - self.window           # rows still to come are later than the watermark
         old = [tuple(x) for x in json.loads(trail)]
@@ -122,9 +141,9 @@ class WindowProcessor(StatefulProcessor):
             for k in passed:
                 self.slices.removeKey(k)
             sliced = len(passed) < len(parts)
-        new = [tuple(r[self.at[c]] for c in self.keep) for r in rows]
+        new = [tuple(r[1][:self.kept]) for r in rows]
         if rows:
-            first = rows[0][self.at["tus"]] - self.window
+            first = rows[0][1][0] - self.window
             seen = [x for x in seen if x[0] > first]
             yield from self.measure(rows, sorted(seen + new, key=lambda x: x[:2]) if seen else new, more)
         kept = [x for x in old + new if x[0] > gone]
@@ -157,16 +176,18 @@ class WindowProcessor(StatefulProcessor):
 
 
 class IpProcessor(WindowProcessor):
-    keep = ("tus", "event_id", "is_failed", "user", "auth_method")
+    fields = ("tus", "event_id", "is_failed", "user", "auth_method")
+    kept = 5
+    out = ("n", "f", "u", "m", "t_min")
     nothing = (0, 0, 0, 0, 0)
 
     def measure(self, rows, seen, more):
         times = [x[0] for x in seen]
         failed = [0, *accumulate(x[2] for x in seen)]
         users, methods = Counter(), Counter()
-        low = high = bisect_right(times, rows[0][self.at["tus"]] - self.window)
+        low = high = bisect_right(times, rows[0][1][0] - self.window)
         for r in rows:
-            t = r[self.at["tus"]]
+            t = r[1][0]
             while high < len(seen) and times[high] <= t:
                 users[seen[high][3]] += 1
                 methods[seen[high][4]] += 1
@@ -177,12 +198,14 @@ class IpProcessor(WindowProcessor):
                     if not counted[value]:
                         del counted[value]
                 low += 1
-            yield self.out(*r, high - low, failed[high] - failed[low], len(users) - (None in users), len(methods), times[low])
+            yield self._answer(r, high - low, failed[high] - failed[low], len(users) - (None in users), len(methods), times[low])
 
 
 class UserProcessor(WindowProcessor):
-    keep = ("tus", "event_id", "is_sudo_fail", "is_acct", "is_cmd", "is_login")
-    nothing = (0, 0, 0, None, 0, 0, 0, 0, 0, 0, False, False)
+    fields = ("tus", "event_id", "is_sudo_fail", "is_acct", "is_cmd", "is_login", "login_h", "is_sudoish", "ip", "asn")
+    kept = 6
+    out = ("un", "fs", "ac", "last_login", "R", "RL", "all_sudo", "all_ln", "all_ls", "all_lss", "user_new_ip_detected", "_new_asn")
+    nothing = (0, 0, 0, None, 0, 0, 0, 0, 0, 0, 0, 0)
     more = ", sudo long, ln long, ls long, lss long, ips string, ips_moved boolean, asns string, asns_moved boolean"
     empty = (0, 0, 0, 0, "[]", False, "[]", False)
 
@@ -203,16 +226,16 @@ class UserProcessor(WindowProcessor):
         sudo, n, s, ss, ips, ips_moved, asns, asns_moved = more
         ips, asns = dict.fromkeys(json.loads(ips)), dict.fromkeys(json.loads(asns))
         for r in rows:
-            t, minute = r[self.at["tus"]], r[self.at["login_h"]]
+            t, minute, is_sudoish, ip, asn = r[1][0], *r[1][6:]
             if minute is not None:
                 n, s, ss = n + 1, s + minute, ss + minute * minute
             high, low = bisect_right(times, t), bisect_right(times, t - self.window)
             k = bisect_right(logins, t)
             login = logins[k - 1] if k and logins[k - 1] > t - self.window else None
-            yield self.out(*r, high - low, fails[high] - fails[low], acts[high] - acts[low], login,
-                           commands[high], commands[bisect_right(times, login)] if login is not None else 0, sudo, n, s, ss,
-                           self._first("ips", ips, ips_moved, r[self.at["ip"]]), self._first("asns", asns, asns_moved, r[self.at["asn"]]))
-            sudo += r[self.at["is_sudoish"]]
+            yield self._answer(r, high - low, fails[high] - fails[low], acts[high] - acts[low], login,
+                               commands[high], commands[bisect_right(times, login)] if login is not None else 0, sudo, n, s, ss,
+                               int(self._first("ips", ips, ips_moved, ip)), int(self._first("asns", asns, asns_moved, asn)))
+            sudo += is_sudoish
         for kind, known in (("ips", ips), ("asns", asns)):
             if len(known) > SLAB:
                 for name in known:
@@ -241,25 +264,26 @@ def streaming_features(events: DataFrame, p: Params | None = None, lateness_seco
     window = FE._micros(p)[0]
     use_rocksdb(events.sparkSession)
     stamp = F.when(F.col("time_source") == "line", F.col("event_time").cast("timestamp"))
-    x = FE.prepare(events.where(F.col("event_time").isNotNull()).withColumn("wm_time", stamp), p, carry=("wm_time",)).drop("bkt", "hist")
+    x = FE.prepare(events.where(F.col("event_time").isNotNull()).withColumn("wm_time", stamp), p, carry=("wm_time",)).drop("bkt", "hist", "message")
     x = x.withColumn("event_time", F.unix_micros("event_time")).withWatermark("wm_time", f"{int(lateness_seconds * 1e6)} microseconds")
     if asn_prefixes is not None and not p.compat:
         x = FE.asn_lookup(x, asn_prefixes).withColumn("asn", F.when(F.col("user").isNotNull(), F.col("asn")))
     else:
         x = x.withColumn("asn", F.lit(None).cast("string"))
 
-    def keyed(rows: DataFrame, kind: type, key: str, more: str, hold: bool) -> DataFrame:
-        rows = rows.withColumn("_key", _spread(key))
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-        out = T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
-        processor = kind(schema.names, out.names[len(schema):], window, hold)
-        processor.schema = schema
-        return rows.groupBy("_key").transformWithState(processor, out, "Append", "EventTime", eventTimeColumnName="wm_time").drop("_key")
+    def keyed(rows: DataFrame, kind: type[WindowProcessor], key: str, hold: bool) -> DataFrame:
+        """``rows`` with the measures of ``kind``, as numbers."""
+        rest = T.StructType([f for f in rows.schema.fields if f.name != "wm_time"])
+        packed = rows.select(_spread(key).alias("_key"), "wm_time", F.to_json(F.struct(*kind.fields), {"ignoreNullFields": "false"}).alias("row"),
+                             F.to_json(F.struct(*rest.names), _STAMPS).alias("rest"))
+        found = packed.groupBy("_key").transformWithState(kind(window, hold), _OUT, "Append", "EventTime", eventTimeColumnName="wm_time")
+        found = found.select("wm_time", F.from_json("rest", rest, _STAMPS).alias("r"), F.from_json("measures", "array<bigint>").alias("m"))
+        return found.select("wm_time", "r.*", *[F.col("m")[k].alias(c) for k, c in enumerate(kind.out)])
 
-    x = keyed(x, IpProcessor, "ip", _IP_OUT, in_order)
+    x = keyed(x, IpProcessor, "ip", in_order)
     has = F.col("ip").isNotNull()             # without an address the measures are zero, as in the batch
     x = x.select("*", *[F.when(has, c).otherwise(F.lit(0)).alias(name) for name, c in FE.ip_measures().items()]).drop("n", "f", "u", "m", "t_min")
-    x = keyed(x, UserProcessor, "user", _USER_OUT, False)
+    x = keyed(x, UserProcessor, "user", False).withColumns({c: F.col(c) == 1 for c in ("user_new_ip_detected", "_new_asn")})
     x = x.select("*", *FE.user_measures(p)).withColumn("event_time", F.timestamp_micros("event_time"))
     return FE.assembled(x, p, carry)
 

@@ -170,3 +170,48 @@ def test_features_alone_and_restart(spark, tmp_path):
         q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out" / "features"))
     assert out.count() == 30 and out.agg({"ip_failed_logins": "max"}).first()[0] == 30
+
+
+class Kept:
+    """A list or value state that tells how often it is read and what it holds."""
+
+    def __init__(self):
+        self.values, self.reads = [], 0
+
+    def get(self):
+        self.reads += 1
+        return iter(self.values) if not isinstance(self.values, tuple) else self.values
+
+    def exists(self):
+        return bool(self.values)
+
+    def appendList(self, more):
+        self.values += more
+
+    def update(self, value):
+        self.values = value
+
+    def clear(self):
+        self.values = []
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_held_rows_are_few_values_and_read_when_due():
+    held = S.IpProcessor(300_000_000, True)
+    held.handle, held.held, held.first = Kept(), Kept(), Kept()
+    rows = [(True, [i * 1_000_000, i, 1, "u", "password"], "{}") for i in range(3000)]
+    assert held._due(rows, -1) == [] and len(held.held.values) == 3
+    assert held._due([], -1) == [] and held.held.reads == 0         # the first isn't due yet
+    due = held._due([], 999_999)
+    assert len(due) == 1000 and held.held.reads == 1
+    assert sorted(r[1][1] for r in due + held._due([], 10 ** 9)) == [*range(3000)] and not held.held.values and not held.first.exists()
+
+
+def test_segments_are_written_by_all_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i)) for i in range(100)], "event_id long, event_time timestamp").repartition(4)
+    C.write_segments(df, "event_time", str(tmp_path / "in"), n=2)
+    files = [[f for f in os.listdir(tmp_path / "in" / f"seg={k}") if f.endswith(".parquet")] for k in range(2)]
+    assert min(map(len, files)) > 1
+    assert [sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "in" / f"seg={k}")).collect()) for k in range(2)] == [[*range(50)], [*range(50, 100)]]

@@ -151,3 +151,17 @@ def test_hot_keys_in_blocks(spark):
     prep = FE.prepare(ev, p)
     assert FE.BL.hot_buckets(prep, "ip", 40).count() >= 1
     assert hash(p) == hash(Params()) and p == Params() and len({p, Params(), p.with_(hot_rows=4)}) == 2
+
+
+def test_blocks_are_stored_as_parquet(spark):
+    df = spark.range(10).withColumn("t", F.lit(None).cast("string"))
+    x = FE.BL.stored(df)
+    assert x.inputFiles() and all(f.endswith(".parquet") for f in x.inputFiles())
+    assert x.schema == df.schema and x.exceptAll(df).count() == 0
+
+
+def test_exchanges_begin_with_many_partitions_and_without_the_message(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 512
+    plan = FE.extract_features(_brute_force(spark), Params())._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("RepartitionByExpression")
+    assert len(above) == 3 and not any("message" in x.split("\n")[0] for x in above[1:]) and "message, message" not in plan

@@ -157,7 +157,7 @@ def test_blocks_are_stored_as_parquet(spark):
     df = spark.range(10).withColumn("t", F.lit(None).cast("string"))
     x = FE.BL.stored(df)
     assert x.inputFiles() and all(f.endswith(".parquet") for f in x.inputFiles())
-    assert x.schema == df.schema and x.exceptAll(df).count() == 0
+    assert x.dtypes == df.dtypes and x.exceptAll(df).count() == 0
 
 
 def test_exchanges_begin_with_many_partitions_and_without_the_message(spark):

@@ -165,3 +165,17 @@ def test_exchanges_begin_with_many_partitions_and_without_the_message(spark):
     plan = FE.extract_features(_brute_force(spark), Params())._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("RepartitionByExpression")
     assert len(above) == 3 and not any("message" in x.split("\n")[0] for x in above[1:]) and "message, message" not in plan
+
+
+def test_tasks_of_an_exchange_read_a_bounded_size(spark):
+    # 64 MB that don't compress: a share per core would be 16 MB
+    x = spark.range(2_000_000).withColumn("x", F.unhex(F.sha2(F.col("id").cast("string"), 256)))
+    parts = x.repartition("id").groupBy(F.spark_partition_id().alias("part")).agg(F.max("x"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in parts) == 2_000_000 and max(r["n"] for r in parts) <= 300_000
+
+
+def test_payload_rides_on_rows_with_output_only(spark):
+    rows = [(1, 0, 0, False), (2, 90, 0, False), (3, 95, 0, True)]      # bucket of 100, window of 20: the last two reach the next
+    x = spark.createDataFrame(rows, "event_id long, tus long, bkt long, hist boolean").withColumn("_p", F.struct("event_id", "tus"))
+    got = sorted((r["event_id"], r["bkt"], r["emit"], r["_p"] and tuple(r["_p"])) for r in FE._with_replicas(x, 20, 100).collect())
+    assert got == [(1, 0, True, (1, 0)), (2, 0, True, (2, 90)), (2, 1, False, None), (3, 0, False, None), (3, 1, False, None)]

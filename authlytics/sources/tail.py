@@ -12,6 +12,9 @@ bytes appended since the last micro-batch:
 * ``max_lines`` bounds a micro-batch; the positions of its end are found by reading no more
   than those lines. Files are taken in turn by name, rotated ones too if the pattern
   matches them.
+* While the file ``hold`` exists, no batch takes new lines: whoever appends to several files can
+  hold the stream until all of them are complete, so that it never has the lines of one
+  host without those of the others from the same time (they would be late afterwards).
 * The bytes of a batch are read by the executors, in parts of ``part_bytes``; a part gives the
   lines that begin in it. The checkpoint of the query makes this exactly-once.
 
@@ -26,6 +29,7 @@ import fnmatch
 import json
 import os
 import posixpath
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -121,13 +125,30 @@ class GrowingLogsReader(DataSourceStreamReader):
         self.patterns: dict[str, str] = json.loads(options["sources"])
         self.max_lines = int(options["max_lines"]) if options.get("max_lines") else None
         self.part_bytes = int(options.get("part_bytes", 64 << 20))
+        self.hold: str | None = options.get("hold") or None
         self.at: dict | None = None
 
     def initialOffset(self) -> dict:
         return {}
 
+    def _held(self) -> bool:
+        if self.hold is None:
+            return False
+        fs, path = _open(self.hold)
+        return fs.get_file_info(path).type != pafs.FileType.NotFound
+
     def latestOffset(self) -> dict:
         """Per source and file: path, position, check sum of what is before it."""
+        while True:
+            if not self._held():
+                new = self._found()
+                if not self._held():          # otherwise some of the files may have grown, others not yet
+                    self.at = new
+            if self.at is not None:
+                return self.at
+            time.sleep(0.05)                  # where an earlier run ended isn't known yet
+
+    def _found(self) -> dict:
         old, new, left = self.at or {}, {}, self.max_lines
         for source, pattern in self.patterns.items():
             known, files = old.get(source, {}), {}
@@ -143,7 +164,6 @@ class GrowingLogsReader(DataSourceStreamReader):
                 files[f"{identity}#{times}"] = {"path": path if isinstance(fs, pafs.LocalFileSystem) else self._uri(pattern, path),
                                                 "pos": end, "check": _check(fs, path, end)}
             new[source] = files
-        self.at = new
         return new
 
     @staticmethod
@@ -240,12 +260,13 @@ def read_growing(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
     return _with_ids(spark.read.format(FORMAT).option("sources", json.dumps(patterns)).load())
 
 
-def tail_sources(spark: SparkSession, patterns: dict[str, str], max_lines: int | None = None, part_bytes: int | None = None) -> DataFrame:
+def tail_sources(spark: SparkSession, patterns: dict[str, str], max_lines: int | None = None, part_bytes: int | None = None, hold: str | None = None) -> DataFrame:
     """Lines appended to the files that match each source's pattern, as a stream: value,
-    source, ingest_time, event_id (of file and position: the same in every run)."""
+    source, ingest_time, event_id (of file and position: the same in every run). No batch
+    takes lines while the file ``hold`` exists."""
     spark.dataSource.register(GrowingLogs)
     reader = spark.readStream.format(FORMAT).option("sources", json.dumps(patterns))
-    for name, value in (("max_lines", max_lines), ("part_bytes", part_bytes)):
+    for name, value in (("max_lines", max_lines), ("part_bytes", part_bytes), ("hold", hold)):
         if value is not None:
             reader = reader.option(name, value)
     return _with_ids(reader.load())

@@ -18,6 +18,8 @@ into features.
   the JSON of its fields) and everything else, which passes through unread (``rest``); the
   measures come back as one JSON list. A value a column, or a state row a value, costs the
   Python worker a multiple of the work itself.
+* State is kept in at most ``STATE_TASKS`` partitions a core (``state_partitions``), as each of them
+  costs a Python worker and a commit for every operator and batch, with rows or without.
 * ``in_order=True`` holds rows back until the watermark has passed them and then takes them
   in event-time order, so rows may arrive in any order within ``lateness_seconds`` and
   the result equals the batch; the last rows leave when a later stamp moves the watermark.
@@ -33,6 +35,7 @@ import json
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -47,6 +50,7 @@ SLICES = 8
 SLAB = 256
 SPREAD = 64
 CHUNK = 1024
+STATE_TASKS = 2
 NO_KEY = "\u0001"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -249,6 +253,19 @@ def _spread(key: str):
     return F.coalesce(F.col(key), F.concat(F.lit(NO_KEY), F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)).cast("string")))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in at most ``STATE_TASKS`` partitions a
+    core; those that have a checkpoint keep the number that it names."""
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    spark.conf.set(name, min(int(given), STATE_TASKS * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that keyed state needs, committing what a batch changed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -32,7 +32,7 @@ from ..params import Params
 from ..plans import pipelines as PL
 from ..sinks import files as SK
 from ..sources.tail import tail_sources
-from .state import streaming_features, use_rocksdb
+from .state import state_partitions, streaming_features, use_rocksdb
 
 EVENT_COLS = ["event_id", "event_time", "source_ip", "username", "auth_method", "event_type", "message", "time_source"]
 #: Rows of a key sorted at once, and rows of a stored run read at once.
@@ -168,19 +168,21 @@ def committed(spark: SparkSession, out_root: str, path: str, fmt: str = "json",
 
 def detection_stream(spark: SparkSession, sources: dict[str, str], model, out_root: str, p: Params | None = None, trigger: dict | None = None,
                      checkpoint: str | None = None, max_lines: int | None = None, lateness_seconds: float = 600.0, in_order: bool = False,
-                     asn_prefixes: DataFrame | None = None):
+                     asn_prefixes: DataFrame | None = None, hold: str | None = None):
     """Start the streaming detection cycle. ``sources``: source -> pattern of its (growing)
     files. ``trigger``: e.g. {"availableNow": True} (one cycle of at most ``max_lines`` lines)
     or {"processingTime": "5 seconds"} (continuous monitoring). Started again with the same
-    ``out_root``, it resumes where it stopped. Without a model only ``features`` are written."""
+    ``out_root``, it resumes where it stopped. Without a model only ``features`` are written.
+    While the file ``hold`` exists, no batch takes new lines."""
     p = p or Params()
-    lines = tail_sources(spark, sources, max_lines)
+    lines = tail_sources(spark, sources, max_lines, hold=hold)
     feats = streaming_features(parse_lines(lines, year=p.log_year), p, lateness_seconds, in_order, asn_prefixes, carry=("wm_time",))
     ck = checkpoint or f"{out_root}/_checkpoint"
     trigger = trigger or {"availableNow": True}
     if model is None:
-        return (feats.drop("wm_time").writeStream.format("parquet").option("path", f"{out_root}/features")
-                .option("checkpointLocation", ck).trigger(**trigger).start())
+        with state_partitions(spark):
+            return (feats.drop("wm_time").writeStream.format("parquet").option("path", f"{out_root}/features")
+                    .option("checkpointLocation", ck).trigger(**trigger).start())
     det = PL.score_features(feats, model, p)
     kept = [c for c in det.columns if c != "wm_time"]
     anomaly = T.StructType([f for f in det.schema.fields if f.name in kept])
@@ -191,27 +193,33 @@ def detection_stream(spark: SparkSession, sources: dict[str, str], model, out_ro
     spark.createDataFrame([], "date date, last long").write.mode("append").parquet(f"{out_root}/commits/batch=-1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        sp, started = batch.sparkSession, time.time()
+        # the batch's own session runs without AQE: whatever is read back, the caller's plans
+        sp, started = spark, time.time()
         rows = batch.withColumns({"event_time": F.timestamp_micros("t"), "is_reversible": F.col("is_reversible") == 1}).drop("t")
         # read by several sinks: written once
         RS.outcome(rows, p).write.mode("overwrite").parquet(f"{out_root}/actions/batch={batch_id}")
         acted = sp.read.parquet(f"{out_root}/actions/batch={batch_id}")
-        found = acted.where("anomaly is not null").select(F.from_json("anomaly", anomaly, {"timestampFormat": RP.ISO}).alias("a")).select("a.*")
         before = last_numbers(sp, out_root, batch_id)
-        inc = RP.incidents(found, p, actions=acted, carried=before)
-        SK.save_reports(inc, f"{out_root}/reports", "json", batch_id)
-        # the other sinks read the reports that were written: their ids are given once
-        inc = sp.read.schema(inc.schema).json(f"{out_root}/reports/json/batch={batch_id}")
-        SK.save_reports(inc, f"{out_root}/reports", "text", batch_id)
-        SK.append_alerts(RP.alerts(inc), f"{out_root}/alerts", batch_id)
-        SK.append_audit(RS.audit_records(acted), f"{out_root}/audit", batch_id)
+        numbers, n = before, 0
+        # a batch that only ends timers has nothing for the sinks, whose folders the first one makes
+        if batch_id == 0 or not acted.isEmpty():
+            found = acted.where("anomaly is not null").select(F.from_json("anomaly", anomaly, {"timestampFormat": RP.ISO}).alias("a")).select("a.*")
+            inc = RP.incidents(found, p, actions=acted, carried=before)
+            SK.save_reports(inc, f"{out_root}/reports", "json", batch_id)
+            # the other sinks read the reports that were written: their ids are given once
+            inc = sp.read.schema(inc.schema).json(f"{out_root}/reports/json/batch={batch_id}")
+            SK.save_reports(inc, f"{out_root}/reports", "text", batch_id)
+            SK.append_alerts(RP.alerts(inc), f"{out_root}/alerts", batch_id)
+            SK.append_audit(RS.audit_records(acted), f"{out_root}/audit", batch_id)
+            n = inc.count()
+            numbers = before.unionByName(inc.select(F.to_date("timestamp").alias("date"), F.element_at(F.split("incident_id", "-"), -1).cast("long").alias("last")))
         cycle = sp.createDataFrame([(batch_id, _utc(started), _utc(time.time()))], "cycle_id long, started_at timestamp, ended_at timestamp")
-        cycle.withColumns({"failed": F.lit(False), "anomalies": F.lit(inc.count()).cast("long")}).write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
-        numbers = before.unionByName(inc.select(F.to_date("timestamp").alias("date"), F.element_at(F.split("incident_id", "-"), -1).cast("long").alias("last")))
+        cycle.withColumns({"failed": F.lit(False), "anomalies": F.lit(n).cast("long")}).write.mode("overwrite").parquet(f"{out_root}/cycles/batch={batch_id}")
         numbers = numbers.groupBy("date").agg(F.max("last").alias("last")).unionByName(sp.createDataFrame([(None, 0)], "date date, last long"))
         numbers.coalesce(1).write.mode("overwrite").parquet(f"{out_root}/commits/batch={batch_id}")
 
-    return cooled.writeStream.foreachBatch(run).option("checkpointLocation", ck).trigger(**trigger).start()
+    with state_partitions(spark):
+        return cooled.writeStream.foreachBatch(run).option("checkpointLocation", ck).trigger(**trigger).start()
 
 
 def last_numbers(spark: SparkSession, out_root: str, batch_id: int) -> DataFrame:

@@ -215,3 +215,29 @@ def test_segments_are_written_by_all_tasks(spark, tmp_path):
     files = [[f for f in os.listdir(tmp_path / "in" / f"seg={k}") if f.endswith(".parquet")] for k in range(2)]
     assert min(map(len, files)) > 1
     assert [sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "in" / f"seg={k}")).collect()) for k in range(2)] == [[*range(50)], [*range(50, 100)]]
+
+
+def test_state_lies_in_partitions_by_core(spark):
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 600)
+        with S.state_partitions(spark):
+            assert int(spark.conf.get(name)) == S.STATE_TASKS * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(name) == "600"
+    finally:
+        spark.conf.set(name, given)
+
+
+def test_batches_without_actions_write_no_reports(spark, cycle, tmp_path):
+    """A batch that only moves the watermark commits the numbers of the one before."""
+    p, m, phases, _ = cycle
+    logs, out = str(tmp_path / "logs"), str(tmp_path / "out")
+    patterns = FX.grow_logs(phases.where("phase = 0"), logs)
+    q = ST.detection_stream(spark, patterns, m, out, p, trigger={"processingTime": "0 seconds"}, hold=FX.hold_file(logs))
+    q.processAllAvailable()
+    q.stop()
+    assert {f for f in os.listdir(f"{out}/commits") if f.startswith("batch=")} == {"batch=-1", "batch=0", "batch=1"}
+    assert [f for f in os.listdir(f"{out}/reports/json") if f.startswith("batch=")] == ["batch=0"]
+    last = ST.last_numbers(spark, out, 2)
+    assert last.exceptAll(ST.last_numbers(spark, out, 1)).count() == 0 and last.count() > 0

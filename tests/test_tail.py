@@ -1,8 +1,10 @@
 """Growing files: appended, unfinished, renamed, emptied; bounds and restarts."""
 
+import json
 import os
 
-from authlytics.sources.tail import tail_sources
+from authlytics.sources import fixtures as FX
+from authlytics.sources.tail import GrowingLogsReader, tail_sources
 
 
 def lines(n, tag):
@@ -74,3 +76,30 @@ def test_line_bound_and_parts(spark, tmp_path):
     ids = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(set(ids)) == len(ids)
     t.q.stop()
+
+
+def test_a_held_reader_takes_no_lines(tmp_path):
+    (tmp_path / "auth.log").write_text("a\n")
+    hold = tmp_path / ".appending"
+    reader = GrowingLogsReader({"sources": json.dumps({"auth_log": f"{tmp_path}/auth.log*"}), "hold": str(hold)})
+    before = reader.latestOffset()
+    hold.touch()
+    (tmp_path / "auth.log").write_text("a\nbb\n")
+    assert reader.latestOffset() == before
+    hold.unlink()
+    assert [f["pos"] for f in reader.latestOffset()["auth_log"].values()] == [5]
+
+
+def test_logs_are_held_while_they_grow(spark, tmp_path, monkeypatch):
+    """A reader that looks at any time sees all files of a phase or none of it."""
+    held, spots = str(tmp_path / "logs"), []
+    hold = FX.hold_file(held)
+    end = type(spark.range(1).write.format("noop")).save
+    monkeypatch.setattr(type(spark.range(1).write), "save", lambda self, *a, **b: (spots.append(os.path.exists(hold)), end(self, *a, **b)))
+    rows = [("auth_log", i % 2, i, f"line {i}") for i in range(100)]
+    for part in (rows[:50], rows[50:]):
+        FX.grow_logs(spark.createDataFrame(part, "source string, host long, n long, value string").repartition(4), held)
+    assert spots == [True, True] and not os.path.exists(hold)
+    for host in range(2):
+        with open(f"{held}/auth_log-{host}.log") as f:
+            assert f.read().split("\n") == [f"line {i}" for i in range(100) if i % 2 == host] + [""]

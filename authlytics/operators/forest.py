@@ -137,15 +137,19 @@ class ForestModel:
     std: tuple | None = None
 
     def arrays(self):
+        """Per tree, by node: feature, threshold, the left child (of a leaf: itself), what is to be
+        added for the right one (of a leaf: 0), path length; and the tree's depth."""
         nd = self.nodes.sort_values(["tree_id", "node_id"])
         trees = []
         for _, g in nd.groupby("tree_id", sort=True):
             at, columns = g["node_id"].to_numpy(), []
-            for c in ("feature", "threshold", "left", "right", "depth", "n"):
-                column = np.full(int(at.max()) + 1, -1, g[c].dtype)
-                column[at] = g[c]
+            inner = g["feature"] >= 0
+            for c, dtype in ((g["feature"].where(inner, 0), np.int64), (g["threshold"], np.float64), (g["left"].where(inner, g["node_id"]), np.int64),
+                             ((g["right"] - g["left"]).where(inner, 0), np.int64), (g["depth"] + avg_path_length(g["n"]), np.float64)):
+                column = np.zeros(int(at.max()) + 1, dtype)
+                column[at] = c
                 columns.append(column)
-            trees.append(tuple(columns))
+            trees.append((*columns, int(g["depth"].max())))
         return trees
 
 
@@ -163,18 +167,13 @@ def fit_forest(spark: SparkSession, Xs: DataFrame, key: str, feature_cols, n_row
 def _score_batch(X: np.ndarray, trees, psi: int) -> np.ndarray:
     m = X.shape[0]
     total = np.zeros(m)
-    rows = np.arange(m)
-    for feat, thr, left, right, depth, size in trees:
-        node = np.ones(m, dtype=np.int64)
-        for _ in range(int(depth.max()) + 1):
-            f = feat[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fx = X[rows, np.where(inner, f, 0)]
-            nxt = np.where(fx <= thr[node], left[node], right[node])
-            node = np.where(inner, nxt, node)
-        total += depth[node] + avg_path_length(size[node])
+    rows, values = np.arange(m), X.T.ravel()
+    for feat, thr, left, right, path, deep in trees:
+        node, column = np.ones(m, dtype=np.int64), feat * m
+        for _ in range(deep):
+            beyond = ~(values.take(column.take(node) + rows) <= thr.take(node))
+            node = left.take(node) + right.take(node) * beyond
+        total += path.take(node)
     mean_h = total / len(trees)
     return -np.power(2.0, -mean_h / avg_path_length(np.array([psi]))[0])
 

@@ -1,6 +1,7 @@
 """Isolation Forest: determinism, depth limit, planted outliers, exact quantile."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from authlytics.operators import forest as FO
@@ -56,3 +57,18 @@ def test_forest_does_not_depend_on_order_or_partitions(spark):
     one, other = (FO.fit_forest(spark, x, "id", ["a", "b", "c"], 800, p).nodes for x in (df.coalesce(1), df.repartition(7).orderBy(F.rand(4))))
     key = ["tree_id", "node_id"]
     assert one.sort_values(key).reset_index(drop=True).equals(other.sort_values(key).reset_index(drop=True))
+
+
+def test_scoring_looks_path_lengths_up(monkeypatch):
+    """By node, once a forest: not again for every row. A missing value goes to the right."""
+    names = ("a", "b")
+    nodes = pd.DataFrame([(t, 1, t % 2, 0.5, 2, 3, 0, 9) for t in range(4)] + [(t, k, -1, 0.0, -1, -1, 1, 3 * k - 3) for t in range(4) for k in (2, 3)],
+                         columns=[f.name for f in FO.NODE_SCHEMA.fields])
+    trees = FO.ForestModel(nodes, 9, 4, names).arrays()
+    asked, c = [], FO.avg_path_length
+    monkeypatch.setattr(FO, "avg_path_length", lambda n: asked.append(np.size(n)) or c(n))
+    X = np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [np.nan, 1.0]] * 50)
+    got = FO._score_batch(X, trees, 9)
+    low, high = 1 + c([3])[0], 1 + c([6])[0]
+    want = [-2.0 ** (-h / c([9])[0]) for h in (low, (low + high) / 2, (low + high) / 2, high)] * 50
+    assert np.allclose(got, want, rtol=0, atol=1e-15) and sum(asked) == 1

@@ -14,10 +14,11 @@ into features.
 * The watermark follows stamps read from lines. Rows stamped at ingest have none and never
   move it; rows without an address (or user) have nothing to share and are spread over
   ``SPREAD`` keys without state.
-* Between Spark and a processor a row is two texts: what the processor computes with (``row``,
-  the JSON of its fields) and everything else, which passes through unread (``rest``); the
-  measures come back as one JSON list. A value a column, or a state row a value, costs the
-  Python worker a multiple of the work itself.
+* Between Spark and a processor a row is one text of two lines: the JSON of the fields that the
+  processor computes with, and that of the whole row, which passes through unread. The
+  answers of up to ``CHUNK`` rows come back as one row: these second lines, and the measures as
+  one JSON list. A value a column, a row an answer, or a state row a value costs the Python
+  worker a multiple of the work itself.
 * State is kept in at most ``STATE_TASKS`` partitions a core (``state_partitions``), as each of them
   costs a Python worker and a commit for every operator and batch, with rows or without.
 * ``in_order=True`` holds rows back until the watermark has passed them and then takes them
@@ -56,7 +57,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 _EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
 _STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-_OUT = "wm_time timestamp, rest string, measures string"
+_OUT = "wm_time timestamp, rests array<string>, measures string"
 
 
 class WindowProcessor(StatefulProcessor):
@@ -75,7 +76,7 @@ class WindowProcessor(StatefulProcessor):
     empty: tuple = ()
 
     def __init__(self, window_us: int, in_order: bool):
-        self.row = Row("wm_time", "rest", "measures")
+        self.row = Row("wm_time", "rests", "measures")
         self.window, self.in_order = window_us, in_order
         self.slice = max(1, window_us // SLICES)
 
@@ -93,16 +94,16 @@ class WindowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [(r[1] is not None, [*json.loads(r[2]).values()], r[3]) for r in rows]
+        rows = [(r[1] is not None, [*json.loads(own).values()], rest) for r in rows for own, rest in (r[2].split("\n"),)]
         if self.in_order:
             rows = self._due(rows, now)
         if rows:
-            yield from self._take(key[0], rows, now)
+            yield from self._answers(rows, self._take(key[0], rows, now))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         rows = self._due([], now) if self.in_order else []
-        yield from self._take(key[0], rows, now, fired=True)
+        yield from self._answers(rows, self._take(key[0], rows, now, fired=True))
 
     def _due(self, new: list, now: int) -> list:
         """The rows that the watermark has passed; the others are held."""
@@ -124,14 +125,18 @@ class WindowProcessor(StatefulProcessor):
             self.first.clear()
         return due
 
-    def _answer(self, row: tuple, *measures) -> Row:
-        stamped, fields, rest = row
-        return self.row(_EPOCH + datetime.timedelta(microseconds=fields[0]) if stamped else None, rest, json.dumps(measures))
+    def _answers(self, rows: list, measures: Iterator[tuple]) -> Iterator[Row]:
+        """What goes out for ``rows``, in the order that ``measures`` gives them, which is that
+        of ``rows`` once it has begun. The stamp is the latest of a chunk."""
+        found = list(measures)
+        for k in range(0, len(found), CHUNK):
+            part = rows[k:k + CHUNK]
+            last = max((r[1][0] for r in part if r[0]), default=None)
+            yield self.row(None if last is None else _EPOCH + datetime.timedelta(microseconds=last), [r[2] for r in part], json.dumps(found[k:k + CHUNK]))
 
-    def _take(self, key: str, rows: list, now: int, fired: bool = False) -> Iterator[Row]:
+    def _take(self, key: str, rows: list, now: int, fired: bool = False) -> Iterator[tuple]:
         if key.startswith(NO_KEY):
-            for r in rows:
-                yield self._answer(r, *self.nothing)
+            yield from [self.nothing] * len(rows)
             return
         rows.sort(key=lambda r: r[1][:2])
         trail, sliced, timer, *more = self.own.get() if self.own.exists() else ("[]", False, None, *self.empty)
@@ -170,8 +175,8 @@ class WindowProcessor(StatefulProcessor):
         else:
             self.own.clear()
 
-    def measure(self, rows: list, seen: list[tuple], more: list) -> Iterator[Row]:
-        """Output rows for ``rows``; ``seen``: they and the trailing rows, in order; ``more``:
+    def measure(self, rows: list, seen: list[tuple], more: list) -> Iterator[tuple]:
+        """The measures of ``rows``; ``seen``: they and the trailing rows, in order; ``more``:
         the rest of the value, changed in place."""
         raise NotImplementedError
 
@@ -202,7 +207,7 @@ class IpProcessor(WindowProcessor):
                     if not counted[value]:
                         del counted[value]
                 low += 1
-            yield self._answer(r, high - low, failed[high] - failed[low], len(users) - (None in users), len(methods), times[low])
+            yield high - low, failed[high] - failed[low], len(users) - (None in users), len(methods), times[low]
 
 
 class UserProcessor(WindowProcessor):
@@ -236,9 +241,9 @@ class UserProcessor(WindowProcessor):
             high, low = bisect_right(times, t), bisect_right(times, t - self.window)
             k = bisect_right(logins, t)
             login = logins[k - 1] if k and logins[k - 1] > t - self.window else None
-            yield self._answer(r, high - low, fails[high] - fails[low], acts[high] - acts[low], login,
-                               commands[high], commands[bisect_right(times, login)] if login is not None else 0, sudo, n, s, ss,
-                               int(self._first("ips", ips, ips_moved, ip)), int(self._first("asns", asns, asns_moved, asn)))
+            yield (high - low, fails[high] - fails[low], acts[high] - acts[low], login,
+                   commands[high], commands[bisect_right(times, login)] if login is not None else 0, sudo, n, s, ss,
+                   int(self._first("ips", ips, ips_moved, ip)), int(self._first("asns", asns, asns_moved, asn)))
             sudo += is_sudoish
         for kind, known in (("ips", ips), ("asns", asns)):
             if len(known) > SLAB:
@@ -276,7 +281,8 @@ def streaming_features(events: DataFrame, p: Params | None = None, lateness_seco
                        asn_prefixes: DataFrame | None = None, carry=()) -> DataFrame:
     """``features.extract_features`` of a stream of events (append mode). ``events`` as
     there, with ``time_source``: rows that aren't 'line' don't move the watermark, which lies
-    on ``wm_time`` (in the result if ``carry`` names it)."""
+    on ``wm_time``. If ``carry`` names it, the result has it for operators that follow: not
+    before the row's own stamp, nor the watermark."""
     p = p or Params()
     window = FE._micros(p)[0]
     use_rocksdb(events.sparkSession)
@@ -291,10 +297,12 @@ def streaming_features(events: DataFrame, p: Params | None = None, lateness_seco
     def keyed(rows: DataFrame, kind: type[WindowProcessor], key: str, hold: bool) -> DataFrame:
         """``rows`` with the measures of ``kind``, as numbers."""
         rest = T.StructType([f for f in rows.schema.fields if f.name != "wm_time"])
-        packed = rows.select(_spread(key).alias("_key"), "wm_time", F.to_json(F.struct(*kind.fields), {"ignoreNullFields": "false"}).alias("row"),
-                             F.to_json(F.struct(*rest.names), _STAMPS).alias("rest"))
+        fields = F.struct(*[F.col(c).alias(chr(97 + k)) for k, c in enumerate(kind.fields)])
+        packed = rows.select(_spread(key).alias("_key"), "wm_time", F.concat_ws("\n", F.to_json(fields, {"ignoreNullFields": "false"}),
+                                                                               F.to_json(F.struct(*rest.names), _STAMPS)).alias("row"))
         found = packed.groupBy("_key").transformWithState(kind(window, hold), _OUT, "Append", "EventTime", eventTimeColumnName="wm_time")
-        found = found.select("wm_time", F.from_json("rest", rest, _STAMPS).alias("r"), F.from_json("measures", "array<bigint>").alias("m"))
+        found = found.select("wm_time", F.explode(F.arrays_zip("rests", F.from_json("measures", "array<array<bigint>>").alias("m"))).alias("x"))
+        found = found.select("wm_time", F.from_json("x.rests", rest, _STAMPS).alias("r"), F.col("x.m").alias("m"))
         return found.select("wm_time", "r.*", *[F.col("m")[k].alias(c) for k, c in enumerate(kind.out)])
 
     x = keyed(x, IpProcessor, "ip", in_order)

@@ -1,6 +1,7 @@
 """Streaming on keyed state: equal to the batch, whatever the order, stops and rotations."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -217,6 +218,17 @@ def test_segments_are_written_by_all_tasks(spark, tmp_path):
     assert [sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "in" / f"seg={k}")).collect()) for k in range(2)] == [[*range(50)], [*range(50, 100)]]
 
 
+def test_answers_of_many_rows_are_few_rows():
+    ip = S.IpProcessor(300_000_000, False)
+    ip.handle, ip.own, ip.slices = Kept(), Kept(), Kept()
+    ip.slices.updateValue = lambda name, value: None
+    rows = [("10.0.0.1", T0, json.dumps({"a": i * 1_000_000, "b": i, "c": 1, "d": "u", "e": "password"}) + "\n" + json.dumps({"event_id": i}), ) for i in range(3000)]
+    out = list(ip.handleInputRows(("10.0.0.1",), iter(rows), type("Now", (), {"getCurrentWatermarkInMs": lambda self: 0})()))
+    assert len(out) == 3 and [json.loads(x)["event_id"] for r in out for x in r.rests] == [*range(3000)]
+    assert [m[0] for r in out for m in json.loads(r.measures)] == [min(i + 1, 300) for i in range(3000)]
+    assert out[0].wm_time.timestamp() == 1023
+
+
 def test_state_lies_in_partitions_by_core(spark):
     name = "spark.sql.shuffle.partitions"
     given = spark.conf.get(name)
